@@ -9,9 +9,12 @@ global order; a tiny per-(partition, group) block table (at most
 partitions + groups rows) gives every block the number of rows before it,
 and a row's rank is its position inside its block plus that offset.
 
-``repartitionByRange(n, ...)`` with an explicit ``n`` is never coalesced
-or rewritten to a local reader by AQE, so ``spark_partition_id`` means
-the same range slice in every branch reading the (reused) exchange.
+The slice tags (partition id, position) are read twice - once for the
+block table, once for the rows. Range boundaries come from sampling the
+input, whose row order after a shuffle is not fixed, so two evaluations
+could disagree. The tagged slices are therefore checkpointed once into the
+cluster's reliable checkpoint folder: both reads see the same tags, and a
+lost executor re-reads the checkpoint instead of re-sampling.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _PID, _POS = "_cl_pid", "_cl_pos"
 
 
@@ -32,9 +37,10 @@ def _sorted_slices(df: DataFrame, keys: list[Column], n: int | None) -> DataFram
     ranged = df.repartitionByRange(_partitions(df, n), *keys).sortWithinPartitions(*keys)
     pid = F.spark_partition_id()
     # monotonically_increasing_id = (partition << 33) + position in partition
-    return ranged.withColumn(_PID, pid).withColumn(
+    tagged = ranged.withColumn(_PID, pid).withColumn(
         _POS, F.monotonically_increasing_id() - F.shiftleft(pid.cast("bigint"), 33)
     )
+    return cut_lineage(tagged)
 
 
 def rank_within_groups(
@@ -89,7 +95,7 @@ def exact_medians(df: DataFrame, cols: list[str], partitions: int | None = None)
 
     n_parts = _partitions(df, partitions)
     ranged = counts.repartitionByRange(n_parts, "k", "v").sortWithinPartitions("k", "v")
-    tagged = ranged.withColumn(_PID, F.spark_partition_id())
+    tagged = cut_lineage(ranged.withColumn(_PID, F.spark_partition_id()))
 
     blocks = tagged.groupBy(_PID, "k").agg(F.sum("n").alias("bn"))
     w_before = Window.partitionBy("k").orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)

@@ -86,3 +86,72 @@ def q_sector_share(spark, d):
 )
 def q_top_risky_rule(spark, d):
     return top_by(std_scored(spark, d), "RuleScore", 100)
+
+
+# ---------------------------------------------------------------------------
+# collections: candidates, officers, plan, feedback, KPIs
+# ---------------------------------------------------------------------------
+
+PLAN_CHAIN = O.LOAN_CHAIN + [O.PLAN]
+NOW_TS = "2024-01-31T00:00:00Z"
+
+
+def plan_rule(spark, d):
+    return cp.visit_plan(std_scored(spark, d), PLAN_DATE)
+
+
+def feedback_raw(spark, d):
+    return V.feedback_view(spark, d)
+
+
+def plan_with_feedback(spark, d):
+    return cp.visit_plan(std_scored(spark, d), PLAN_DATE, feedback_raw(spark, d))
+
+
+@register(
+    "visit_candidates",
+    O.with_ctes(
+        PLAN_CHAIN,
+        "SELECT AccountNo, Branch, DaysOverdue, InstRiskNum AS InstallmentRisk, RiskBand, RiskCore, PriorityScore FROM cand",
+    ),
+)
+def q_visit_candidates(spark, d):
+    return cp.visit_candidates(std_scored(spark, d)).select(
+        "AccountNo", "Branch", "DaysOverdue", "InstallmentRisk", "RiskBand", "RiskCore", "PriorityScore"
+    )
+
+
+@register("officer_assignment", O.with_ctes(PLAN_CHAIN, "SELECT o_branch AS Branch, OfficerId FROM officers"))
+def q_officer_assignment(spark, d):
+    return cp.branch_officer_map(cp.visit_candidates(std_scored(spark, d)))
+
+
+@register(
+    "officer_round_robin",
+    O.with_ctes(
+        PLAN_CHAIN,
+        "SELECT AccountNo AS AccountId, concat('OFFICER_', cast((row_number() OVER (ORDER BY AccountNo) - 1) % 5 + 1 AS varchar)) "
+        "AS OfficerId FROM cand",
+    ),
+)
+def q_officer_round_robin(spark, d):
+    cand = cp.visit_candidates(std_scored(spark, d)).drop("Branch")
+    cand = cand.withColumn("AccountId", F.col("AccountNo").cast("string"))
+    return cp.assign_officers(cand).select("AccountId", "OfficerId")
+
+
+register("visit_plan", O.with_ctes(PLAN_CHAIN, "SELECT * FROM plan"))(plan_rule)
+register(
+    "visit_plan_feedback",
+    O.with_ctes(PLAN_CHAIN + [O.FEEDBACK, O.LATEST, O.PLAN_FB], "SELECT * FROM plan_fb"),
+)(plan_with_feedback)
+
+
+@register("officer_kpis", O.with_ctes(PLAN_CHAIN, O.kpis("plan")))
+def q_officer_kpis(spark, d):
+    return cp.officer_kpis(plan_rule(spark, d))
+
+
+@register("latest_feedback", O.with_ctes([O.FEEDBACK, O.LATEST], "SELECT * FROM lf"))
+def q_latest_feedback(spark, d):
+    return cp.latest_feedback(feedback_raw(spark, d))

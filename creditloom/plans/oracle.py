@@ -10,6 +10,17 @@ from ..schema import (
     HIGH,
     LOW,
     MEDIUM,
+    NEGOTIATE_ESCALATE,
+    NEGOTIATE_PARTIAL,
+    NEGOTIATE_STANDARD,
+    SCRIPT_DUE,
+    SCRIPT_OVERDUE,
+    SCRIPT_REGULARIZE,
+    SCRIPT_URGENT,
+    TIP_COMMIT,
+    TIP_EARLY,
+    TIP_REVIEW,
+    TIP_STABLE,
 )
 
 AS_OF = "timestamp '2024-01-31 00:00:00'"
@@ -141,3 +152,125 @@ LOAN_CHAIN = [LOAN, CLEAN, FEATURES, SCORED]
 
 def with_ctes(ctes: list[str], body: str) -> str:
     return "WITH " + ",".join(c.strip("\n") for c in ctes) + "\n" + body
+
+
+def _f(x: float) -> str:
+    return f"cast({x!r} AS double)"
+
+
+def clip(x: str, lo: float = 0.0, hi: float = 1.0) -> str:
+    return f"least(greatest({x}, {_f(lo)}), {_f(hi)})"
+
+
+def round_even(x: str, k: int) -> str:
+    s = float(10**k)
+    return f"(round_even(({x}) * {_f(s)}, 0) / {_f(s)})"
+
+
+# -- visit plan, rule mode, from the regular (STD) accounts -------------------
+PLAN = f"""
+pri0 AS (
+  SELECT *, coalesce(cast(AgeDays AS double), {_f(0.0)}) AS DaysOverdue,
+         coalesce(cast(InstallmentRisk AS double), {_f(0.0)}) AS InstRiskNum,
+         coalesce(RuleRiskCategory, 'nan') AS RiskBand,
+         {clip('cast(RuleScore AS double) / mx')} AS RiskCore
+  FROM std CROSS JOIN (SELECT greatest(coalesce(max(cast(RuleScore AS double)), {_f(1.0)}), {_f(1.0)}) AS mx FROM std)
+),
+pri AS (
+  SELECT *, {clip(f"RiskCore + CASE WHEN DaysOverdue > 15 THEN {_f(0.2)} ELSE {_f(0.0)} END + CASE WHEN InstRiskNum >= 2 THEN {_f(0.15)} ELSE {_f(0.0)} END")} AS PriorityScore
+  FROM pri0
+),
+cand AS (
+  SELECT pri.* FROM pri CROSS JOIN (
+    SELECT max(CASE WHEN RiskBand IN ({q(MEDIUM)}, {q(HIGH)}) THEN 1 ELSE 0 END) AS any_mh FROM pri)
+  WHERE CASE WHEN any_mh = 1 THEN RiskBand IN ({q(MEDIUM)}, {q(HIGH)}) ELSE DaysOverdue > 15 END
+),
+officers AS (
+  SELECT Branch AS o_branch,
+         concat('OFFICER_', cast((row_number() OVER (ORDER BY Branch) - 1) % 5 + 1 AS varchar)) AS OfficerId
+  FROM (SELECT DISTINCT Branch FROM cand)
+),
+plan0 AS (
+  SELECT '2024-01-31' AS AsOfDate, OfficerId, cast(AccountNo AS varchar) AS AccountId, Branch, DaysOverdue, RiskBand,
+         PriorityScore,
+         CASE WHEN DaysOverdue <= 7 THEN 'SMS' ELSE 'Call' END AS ContactChannel,
+         CASE WHEN DaysOverdue > 15 THEN 'Field Visit' ELSE 'Remote Follow-up' END AS VisitAction,
+         CASE WHEN DaysOverdue > 45 THEN {q(NEGOTIATE_ESCALATE)}
+              WHEN DaysOverdue > 15 OR InstRiskNum >= 2 THEN {q(NEGOTIATE_PARTIAL)}
+              ELSE {q(NEGOTIATE_STANDARD)} END AS SuggestedNegotiation,
+         CASE WHEN DaysOverdue <= 7 THEN {q(SCRIPT_DUE)}
+              WHEN DaysOverdue <= 30 THEN {q(SCRIPT_OVERDUE)}
+              WHEN RiskBand = {q(HIGH)} THEN {q(SCRIPT_URGENT)}
+              ELSE {q(SCRIPT_REGULARIZE)} END AS SuggestedScript,
+         CASE WHEN DaysOverdue > 45 OR RiskBand = {q(HIGH)} THEN 'Yes' ELSE 'No' END AS EscalationFlag,
+         RuleScore AS tie
+  FROM cand LEFT JOIN officers ON Branch = o_branch
+),
+plan AS (
+  SELECT AsOfDate, OfficerId, AccountId, Branch, DaysOverdue, RiskBand, PriorityScore, ContactChannel, VisitAction,
+         SuggestedNegotiation, SuggestedScript, EscalationFlag,
+         row_number() OVER (PARTITION BY OfficerId ORDER BY PriorityScore DESC, tie DESC, AccountId) AS DailyVisitRank,
+         cast(NULL AS varchar) AS Outcome, cast(NULL AS varchar) AS PromiseStatus,
+         cast(NULL AS varchar) AS SupervisorEscalation, cast(NULL AS varchar) AS FieldNotes
+  FROM plan0
+)"""
+
+FEEDBACK = """
+fb AS (
+  SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS RecordedAt, props AS FieldNotes,
+         concat('ACC_', cast(event_id * 7 % 1500 AS varchar(20))) AS AccountId,
+         CASE event_type WHEN 'purchase' THEN 'Paid' WHEN 'view' THEN ' Resolved ' WHEN 'error' THEN 'No Contact'
+              WHEN 'click' THEN 'Promise to Pay' ELSE '' END AS Outcome,
+         CASE WHEN event_id % 9 = 0 THEN 'BROKEN' WHEN event_id % 9 = 1 THEN 'Kept' ELSE 'None' END AS PromiseStatus,
+         CASE WHEN event_id % 13 = 0 THEN 'Yes' WHEN event_id % 13 = 1 THEN NULL ELSE 'No' END AS SupervisorEscalation,
+         CASE WHEN event_id % 10 = 3 THEN 'n/a' ELSE cast(event_id % 1000 AS varchar(10)) END AS PromisedAmount,
+         concat('officer_', cast(user_id % 6 AS varchar(4))) AS RecordedBy
+  FROM events
+)"""
+
+TS_FORMATS = "['%Y-%m-%dT%H:%M:%SZ', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d']"
+
+LATEST = f"""
+lf AS (
+  SELECT AccountId, Outcome, PromiseStatus, SupervisorEscalation, FieldNotes, RecordedAt FROM (
+    SELECT *, row_number() OVER (PARTITION BY AccountId
+                                 ORDER BY (p_ts IS NOT NULL) DESC, p_ts DESC, event_id DESC) AS rn
+    FROM (SELECT *, try_strptime({strip('RecordedAt')}, {TS_FORMATS}) AS p_ts FROM fb))
+  WHERE rn = 1
+)"""
+
+PLAN_FB = f"""
+merged AS (
+  SELECT p.* REPLACE (
+           {clip(f"PriorityScore + CASE WHEN lower(coalesce(lf.SupervisorEscalation, 'No')) = 'yes' THEN {_f(0.2)} ELSE {_f(0.0)} END + CASE WHEN lower(coalesce(lf.PromiseStatus, '')) = 'broken' THEN {_f(0.15)} ELSE {_f(0.0)} END - CASE WHEN lower(coalesce(lf.Outcome, '')) IN ('paid', 'resolved', 'regularized') THEN {_f(0.3)} ELSE {_f(0.0)} END")} AS PriorityScore),
+         coalesce(lf.Outcome, '') AS Outcome, coalesce(lf.PromiseStatus, '') AS PromiseStatus,
+         coalesce(lf.SupervisorEscalation, 'No') AS SupervisorEscalation, lf.FieldNotes AS FieldNotes
+  FROM plan0 p LEFT JOIN lf ON p.AccountId = lf.AccountId
+  WHERE lower(coalesce(lf.Outcome, '')) NOT IN ('paid', 'resolved', 'regularized')
+),
+plan_fb AS (
+  SELECT AsOfDate, OfficerId, AccountId, Branch, DaysOverdue, RiskBand, PriorityScore, ContactChannel, VisitAction,
+         SuggestedNegotiation, SuggestedScript, EscalationFlag,
+         row_number() OVER (PARTITION BY OfficerId ORDER BY PriorityScore DESC, tie DESC, AccountId) AS DailyVisitRank,
+         Outcome, PromiseStatus, SupervisorEscalation, FieldNotes
+  FROM merged
+)"""
+
+
+def kpis(plan: str) -> str:
+    avg = "avg(cast(DaysOverdue AS double))"
+    pct = clip(f"{_f(1.0)} - {avg} / {_f(60.0)}")
+    return f"""
+SELECT OfficerId,
+       count(AccountId) AS AssignedCases,
+       cast(sum(CASE WHEN RiskBand = {q(HIGH)} THEN 1 ELSE 0 END) AS bigint) AS HighRiskCases,
+       {round_even(avg, 2)} AS AverageDaysOverdue,
+       {round_even("avg(CASE WHEN coalesce(contains(lower(SuggestedNegotiation), 'reschedul'), false) THEN 1.0 ELSE 0.0 END)", 3)}
+         AS RescheduleCandidateRate,
+       cast(sum(CASE WHEN EscalationFlag = 'Yes' THEN 1 ELSE 0 END) AS bigint) AS EscalationCount,
+       {round_even(pct, 3)} AS PctCurrent,
+       CASE WHEN {pct} < 0.7 THEN {q(TIP_EARLY)}
+            WHEN {avg} > 20 THEN {q(TIP_COMMIT)}
+            WHEN sum(CASE WHEN EscalationFlag = 'Yes' THEN 1 ELSE 0 END) > 5 THEN {q(TIP_REVIEW)}
+            ELSE {q(TIP_STABLE)} END AS CoachingTip
+FROM {plan} GROUP BY OfficerId ORDER BY OfficerId"""
