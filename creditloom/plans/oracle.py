@@ -274,3 +274,36 @@ SELECT OfficerId,
             WHEN sum(CASE WHEN EscalationFlag = 'Yes' THEN 1 ELSE 0 END) > 5 THEN {q(TIP_REVIEW)}
             ELSE {q(TIP_STABLE)} END AS CoachingTip
 FROM {plan} GROUP BY OfficerId ORDER BY OfficerId"""
+
+
+# -- portfolio frame over the regular accounts --------------------------------
+PF = """
+pf AS (
+  SELECT * REPLACE (coalesce(cast(PrincipalOS AS double), cast(0 AS double)) AS PrincipalOS,
+                    coalesce(cast(SecurityValue AS double), cast(0 AS double)) AS SecurityValue),
+         coalesce(cast(PrincipalOS AS double) / CASE WHEN DisbAmount <> 0 THEN DisbAmount END * cast(100 AS double),
+                  cast(0 AS double)) AS OutstandingPct
+  FROM std
+)"""
+
+TOP_COLS = "AccountNo, AccountName, Branch, Sector, PrincipalOS, SecurityValue, OutstandingPct, RuleRiskCategory"
+
+
+def label(c: str) -> str:
+    s = strip(f"coalesce(cast({c} AS varchar), 'Unknown')")
+    return f"CASE WHEN {s} = '' THEN 'Unknown' ELSE {s} END"
+
+
+def breakdown(g: str, limit: int = 10) -> str:
+    return f"""
+SELECT *, coalesce(NonLowRisk / CASE WHEN TotalAccounts <> 0 THEN TotalAccounts END * cast(100 AS double),
+                   cast(0 AS double)) AS NonLowRiskPct
+FROM (
+  SELECT *, "High Risk" + "Medium Risk" + "Low Risk" AS TotalAccounts, "High Risk" + "Medium Risk" AS NonLowRisk
+  FROM (
+    SELECT {label(g)} AS {g},
+           cast(sum(CASE WHEN coalesce(RuleRiskCategory, 'Unknown') = {q(HIGH)} THEN 1 ELSE 0 END) AS bigint) AS "High Risk",
+           cast(sum(CASE WHEN coalesce(RuleRiskCategory, 'Unknown') = {q(MEDIUM)} THEN 1 ELSE 0 END) AS bigint) AS "Medium Risk",
+           cast(sum(CASE WHEN coalesce(RuleRiskCategory, 'Unknown') = {q(LOW)} THEN 1 ELSE 0 END) AS bigint) AS "Low Risk"
+    FROM pf GROUP BY 1))
+ORDER BY NonLowRisk DESC, TotalAccounts DESC, {g} LIMIT {limit}"""
