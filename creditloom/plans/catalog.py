@@ -16,7 +16,9 @@ from ..operators.features import engineer, sector_share
 from ..operators.quality import clean
 from ..operators.scoring import regular_accounts, rule_score, top_by
 from ..schema import BANDS, HIGH, LOW, MEDIUM
+from ..sources import files
 from ..sources import views as V
+from . import pipeline
 from . import oracle as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -302,3 +304,86 @@ for _name, _col, _asc in [("top_outstanding", "PrincipalOS", False), ("low_outst
         _name,
         O.with_ctes(PF_CHAIN, f"SELECT {O.TOP_COLS} FROM pf ORDER BY {_col} {'ASC' if _asc else 'DESC'}, AccountNo LIMIT 10"),
     )(lambda spark, d, _c=_col, _a=_asc: pf.top_n(pframe(spark, d), _c, 10, _a, "AccountNo", TOP_COLS))
+
+
+# ---------------------------------------------------------------------------
+# feedback log: scan, canonical append, union, recent page; record pages
+# ---------------------------------------------------------------------------
+
+FB_CHAIN = [O.FEEDBACK, O.FB_ALIGNED]
+
+
+def feedback_aligned(spark, d):
+    return files.align_feedback(feedback_raw(spark, d))
+
+
+def feedback_canonical(spark, d):
+    ok, _rejected = files.canonicalize_feedback(feedback_raw(spark, d), NOW_TS, PLAN_DATE)
+    return ok
+
+
+register("feedback_scan", O.with_ctes(FB_CHAIN, "SELECT * FROM fba"))(feedback_aligned)
+register(
+    "feedback_canonical", O.with_ctes([O.FEEDBACK, O.FB_CANON], "SELECT * FROM fbc WHERE AccountId <> ''")
+)(feedback_canonical)
+
+
+@register(
+    "feedback_union",
+    O.with_ctes(
+        [O.FEEDBACK, O.FB_ALIGNED, O.FB_CANON],
+        "SELECT * FROM fba UNION ALL SELECT * FROM fbc WHERE AccountId <> ''",
+    ),
+)
+def q_feedback_union(spark, d):
+    return files.append_feedback(feedback_aligned(spark, d), feedback_canonical(spark, d))
+
+
+@register(
+    "recent_feedback",
+    O.with_ctes(
+        [O.FEEDBACK],
+        "SELECT * EXCLUDE (event_id) REPLACE (coalesce(SupervisorEscalation, '') AS SupervisorEscalation), "
+        "(SELECT count(*) FROM fb) AS total FROM fb "
+        "ORDER BY RecordedAt DESC, event_id DESC LIMIT 100",
+    ),
+)
+def q_recent_feedback(spark, d):
+    page = files.record_page(feedback_raw(spark, d), 100, [F.col("RecordedAt").desc(), F.col("event_id").desc()])
+    return page.drop("event_id")
+
+
+@register(
+    "scored_page",
+    O.with_ctes(
+        O.LOAN_CHAIN,
+        "SELECT *, (SELECT count(*) FROM std) AS total FROM std ORDER BY RuleScore DESC, AccountNo LIMIT 200",
+    ),
+)
+def q_scored_page(spark, d):
+    return files.record_page(std_scored(spark, d), files.clamp_limit(200, 5000),
+                             [F.col("RuleScore").desc(), F.col("AccountNo")])
+
+
+@register(
+    "pipeline_counts",
+    O.with_ctes(
+        PLAN_CHAIN,
+        "SELECT (SELECT count(*) FROM std) AS scored_accounts, "
+        "(SELECT count(*) FROM (SELECT * FROM std LIMIT 100)) AS top_risky_accounts, "
+        "(SELECT count(*) FROM plan) AS visit_plan_rows, "
+        "(SELECT count(DISTINCT OfficerId) FROM plan) AS officer_kpi_rows",
+    ),
+)
+def q_pipeline_counts(spark, d):
+    out = pipeline.run(loans(spark, d), PLAN_DATE, mode="rule")
+    parts = [
+        out.scored.agg(F.count(F.lit(1)).alias("scored_accounts")),
+        out.top_risky.agg(F.count(F.lit(1)).alias("top_risky_accounts")),
+        out.visit_plan.agg(F.count(F.lit(1)).alias("visit_plan_rows")),
+        out.officer_kpis.agg(F.count(F.lit(1)).alias("officer_kpi_rows")),
+    ]
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.crossJoin(p)
+    return res

@@ -307,3 +307,33 @@ FROM (
            cast(sum(CASE WHEN coalesce(RuleRiskCategory, 'Unknown') = {q(LOW)} THEN 1 ELSE 0 END) AS bigint) AS "Low Risk"
     FROM pf GROUP BY 1))
 ORDER BY NonLowRisk DESC, TotalAccounts DESC, {g} LIMIT {limit}"""
+
+
+# -- feedback log views --------------------------------------------------------
+FB_ALIGNED = f"""
+fba AS (
+  SELECT '' AS AsOfDate, '' AS OfficerId, AccountId, '' AS VisitStatus, Outcome, PromiseStatus,
+         '' AS PromiseToPayDate, try_cast({strip('PromisedAmount')} AS double) AS PromisedAmount,
+         '' AS ClientHardshipFlag, '' AS DisputeFlag, SupervisorEscalation, '' AS NextAction, FieldNotes, RecordedBy,
+         RecordedAt
+  FROM fb
+)"""
+
+
+def _blank_default(c: str, d: str) -> str:
+    s = strip(c)
+    return f"coalesce(CASE WHEN {s} = '' THEN NULL ELSE {s} END, {q(d)})"
+
+
+FB_CANON = f"""
+fbc AS (
+  SELECT '2024-01-31' AS AsOfDate, '' AS OfficerId, {strip("coalesce(AccountId, '')")} AS AccountId,
+         'Completed' AS VisitStatus, {_blank_default('Outcome', 'Contacted')} AS Outcome,
+         {_blank_default('PromiseStatus', 'None')} AS PromiseStatus, '' AS PromiseToPayDate,
+         coalesce(try_cast({strip('PromisedAmount')} AS double), cast(0 AS double)) AS PromisedAmount,
+         'No' AS ClientHardshipFlag, 'No' AS DisputeFlag,
+         {_blank_default('SupervisorEscalation', 'No')} AS SupervisorEscalation, 'Follow-up Call' AS NextAction,
+         {strip("coalesce(FieldNotes, '')")} AS FieldNotes, {_blank_default('RecordedBy', 'system')} AS RecordedBy,
+         {_blank_default('RecordedAt', '2024-01-31T00:00:00Z')} AS RecordedAt
+  FROM fb
+)"""
