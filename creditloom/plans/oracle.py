@@ -337,3 +337,34 @@ fbc AS (
          {_blank_default('RecordedAt', '2024-01-31T00:00:00Z')} AS RecordedAt
   FROM fb
 )"""
+
+
+# -- job log -------------------------------------------------------------------
+JOB = """
+job AS (
+  SELECT concat('job_', cast(event_id AS varchar(20))) AS job_id,
+         concat('type_', cast(user_id % 7 AS varchar(4))) AS job_type,
+         CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'view' THEN 'succeeded'
+              WHEN 'error' THEN 'dead_letter' ELSE 'canceled' END AS status,
+         props AS payload_json, cast(NULL AS varchar) AS result_json,
+         CASE WHEN event_type <> 'error' THEN NULL WHEN event_id % 4 = 0 THEN 'timeout'
+              WHEN event_id % 4 = 1 THEN 'validation' WHEN event_id % 4 = 2 THEN '  ' END AS error,
+         cast(event_id % 4 AS int) AS attempts, 3 AS max_attempts, cast(60 AS double) AS timeout_seconds,
+         CASE WHEN event_type = 'signup' AND event_id % 3 > 0 THEN ts + INTERVAL 2 MINUTE END AS next_attempt_at,
+         ts AS created_at, ts + INTERVAL 1 MINUTE AS updated_at
+  FROM events
+)"""
+
+JOB_COLS = "job_id, job_type, status, result_json, error, created_at, updated_at, attempts, max_attempts, timeout_seconds"
+
+
+def ts(text: str) -> str:
+    return f"timestamp '{text}'"
+
+
+def secs(start: str, end: str) -> str:
+    return f"(cast(epoch_us({end}) - epoch_us({start}) AS double) / cast(1000000 AS double))"
+
+
+def cnt(cond: str) -> str:
+    return f"cast(sum(CASE WHEN {cond} THEN 1 ELSE 0 END) AS bigint)"
