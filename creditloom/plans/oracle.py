@@ -368,3 +368,60 @@ def secs(start: str, end: str) -> str:
 
 def cnt(cond: str) -> str:
     return f"cast(sum(CASE WHEN {cond} THEN 1 ELSE 0 END) AS bigint)"
+
+
+# -- alert signals and gates ----------------------------------------------------
+def signals_sql(presets, as_of: str, shift) -> list[str]:
+    windows = sorted({max(1.0, float(p[2])) for p in presets})
+    a = ts(as_of)
+    dead = "status = 'dead_letter'"
+    recent_cols = ", ".join(
+        f"{cnt(f'{dead} AND updated_at >= {ts(shift(as_of, -w))}')} AS r_{int(w)}" for w in windows
+    )
+    values = ", ".join(f"({q(p)}, {_f(float(x))}, {_f(float(w))}, {_f(float(t))})" for p, x, w, t in presets)
+    pick = " ".join(f"WHEN greatest(dead_letter_window_seconds, {_f(1.0)}) = {_f(w)} THEN r_{int(w)}" for w in windows)
+    g = f"""
+g AS (
+  SELECT job_type, {cnt("status = 'queued'")} AS queued, {cnt("status = 'running'")} AS running,
+         min(CASE WHEN status = 'queued' THEN created_at END) AS oldest_queued_at,
+         {cnt(dead)} AS total_dead_letter, {recent_cols}
+  FROM job GROUP BY job_type
+)"""
+    sig0 = f"""
+sig0 AS (
+  SELECT g.*, p.*, true AS worker_alive, false AS paused, false AS worker_breached,
+         greatest({secs('oldest_queued_at', a)}, {_f(0.0)}) AS oldest_queued_age_seconds,
+         CASE {pick} END AS recent_dead_letter
+  FROM g CROSS JOIN (VALUES {values}) p(policy, queue_age_threshold_seconds, dead_letter_window_seconds,
+                                        dead_letter_threshold_per_minute)
+)"""
+    sig1 = f"""
+sig1 AS (
+  SELECT *, coalesce(oldest_queued_age_seconds >= greatest(queue_age_threshold_seconds, {_f(0.0)}), false) AS queue_age_breached,
+         recent_dead_letter / (greatest(dead_letter_window_seconds, {_f(1.0)}) / {_f(60.0)}) AS dead_letter_rate_per_minute
+  FROM sig0
+)"""
+    sig = f"""
+sig AS (
+  SELECT *, CASE WHEN worker_breached OR dead_letter_rate_breached THEN 'critical'
+                 WHEN queue_age_breached THEN 'warning' ELSE 'ok' END AS severity,
+         (worker_breached OR dead_letter_rate_breached OR queue_age_breached) AS breached,
+         cast(worker_breached AS int) + cast(queue_age_breached AS int) + cast(dead_letter_rate_breached AS int) AS failing_count
+  FROM (SELECT *, dead_letter_rate_per_minute >= greatest(dead_letter_threshold_per_minute, {_f(0.0)}) AS dead_letter_rate_breached
+        FROM sig1)
+)"""
+    return [g, sig0, sig1, sig]
+
+
+def signal_rows(recs: dict, prios: dict) -> str:
+    parts = []
+    for pos, (name, status, flag) in enumerate(
+        [("worker", "critical", "worker_breached"), ("queue_age", "warning", "queue_age_breached"),
+         ("dead_letter_rate", "critical", "dead_letter_rate_breached")]
+    ):
+        parts.append(
+            f"SELECT job_type, policy, severity, breached, failing_count, {pos} AS pos0, {q(name)} AS signal, "
+            f"CASE WHEN {flag} THEN {q(status)} ELSE 'ok' END AS signal_status, {flag} AS b, {prios[name]} AS priority, "
+            f"{q(recs[name])} AS recommendation FROM sig"
+        )
+    return "\nsl AS (" + "\nUNION ALL\n".join(parts) + "\n)"
