@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import collections_plan as cp
+from ..operators import applicants as ap
 from ..operators import job_log as jl
+from ..operators import request_log as rl
 from ..operators import ops_gate as og
 from ..operators import portfolio as pf
 from ..operators.features import engineer, sector_share
@@ -19,6 +21,22 @@ from ..operators.quality import clean
 from ..operators.scoring import regular_accounts, rule_score, top_by
 from ..schema import (
     ALL_CLEAR_REASON,
+    DEVICE_TENURE_POINTS,
+    EMPLOYMENT_POINTS,
+    LATENCY_BUCKETS_MS,
+    REASON_GEO_HIGH,
+    REASON_GEO_LOW,
+    REASON_LOAN_HIGH,
+    REASON_MERCHANT,
+    REASON_MONEY_HIGH,
+    REASON_MONEY_LOW,
+    REASON_RECHARGE_HIGH,
+    REASON_RECHARGE_LOW,
+    REASON_SALARY,
+    REASON_TENURE_ESTABLISHED,
+    REASON_TENURE_NEW,
+    REASON_UTILITY,
+    UTILITY_POINTS,
     BANDS,
     HIGH,
     LOW,
@@ -708,3 +726,96 @@ register(
         f"FROM ({rollout_sql(False)}) r JOIN sig ON r.job_type = sig.job_type AND r.policy = sig.policy",
     ),
 )(lambda spark, d: og.rollout(og.with_failing(sig(spark, d, POLICY_PRESETS)).drop("_failing")).select(*MATRIX_COLS))
+
+
+# ---------------------------------------------------------------------------
+# request log
+# ---------------------------------------------------------------------------
+
+R = [O.REQUEST]
+
+
+def requests(spark, d):
+    return V.request_view(spark, d)
+
+
+register(
+    "requests_by_route",
+    O.with_ctes(R, "SELECT route, concat(cast(floor(status_code / 100) AS bigint), 'xx') AS status_group, count(*) AS requests, "
+                   f"{O.cnt('status_code >= 500')} AS errors_5xx FROM req GROUP BY 1, 2"),
+)(lambda spark, d: rl.requests_by_route(requests(spark, d)))
+_BUCKET = "CASE " + " ".join(f"WHEN duration_ms <= {O._f(b)} THEN {i}" for i, b in enumerate(LATENCY_BUCKETS_MS)) + \
+    f" ELSE {len(LATENCY_BUCKETS_MS)} END"
+_LABELS = ", ".join(f"({i}, '{b:.0f}')" for i, b in enumerate(LATENCY_BUCKETS_MS)) + f", ({len(LATENCY_BUCKETS_MS)}, '+Inf')"
+register(
+    "latency_histogram",
+    O.with_ctes(R, f"SELECT l.bucket, le, coalesce(c.n, 0) AS bucket_count, "
+                   "sum(coalesce(c.n, 0)) OVER (ORDER BY l.bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative_count "
+                   f"FROM (VALUES {_LABELS}) l(bucket, le) LEFT JOIN (SELECT {_BUCKET} AS bucket, count(*) AS n FROM req "
+                   "WHERE duration_ms IS NOT NULL AND NOT isnan(duration_ms) GROUP BY 1) c ON l.bucket = c.bucket"),
+)(lambda spark, d: rl.latency_histogram(requests(spark, d)))
+register(
+    "trailing_attempts",
+    O.with_ctes(R, "SELECT *, count(*) OVER (PARTITION BY client_key ORDER BY epoch_us(ts) "
+                   "RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) AS trailing_attempts FROM req"),
+)(lambda spark, d: rl.trailing_attempts(requests(spark, d), 60))
+# admission depends on earlier admissions: no SQL frame expresses it -> rows-only check
+register("rate_limit_admission")(lambda spark, d: rl.rate_limit_admission(requests(spark, d), 30, 60))
+
+
+# ---------------------------------------------------------------------------
+# applicants
+# ---------------------------------------------------------------------------
+
+AP = [O.APPLICANT]
+_PTS = {"deviceTenure": DEVICE_TENURE_POINTS, "employmentType": EMPLOYMENT_POINTS, "utilityHistory": UTILITY_POINTS}
+
+
+def _pts_sql(c):
+    return "CASE " + c + " " + " ".join(f"WHEN {O.q(k)} THEN {v}" for k, v in _PTS[c].items()) + " END"
+
+
+_RAW = (
+    "cast(500 AS double) + rechargeFrequency * 5 + mobileMoney * cast(1.2 AS double) + geoConsistency * cast(1.1 AS double) + "
+    + " + ".join(_pts_sql(c) for c in _PTS)
+    + " - greatest(cast(0 AS double), (requestedLoan - cast(15000 AS double)) / cast(500 AS double))"
+)
+
+
+def applicants(spark, d):
+    return V.applicant_view(spark, d)
+
+
+register(
+    "alt_score",
+    O.with_ctes(
+        AP,
+        "SELECT *, greatest(cast(0.04 AS double), least(cast(0.42 AS double), (850 - score) / cast(950 AS double))) AS pd, "
+        "greatest(5000, cast(floor((score - 300) * cast(55 AS double) + cast(0.5 AS double)) AS int)) AS loan_cap, "
+        "CASE WHEN score >= 720 THEN 'Low risk' WHEN score < 580 THEN 'High risk' ELSE 'Medium risk' END AS risk_band, "
+        "CASE WHEN score >= 720 THEN 'Approve' WHEN score < 580 THEN 'Restrict' ELSE 'Review manually' END AS decision, "
+        "CASE WHEN score >= 720 THEN 'Auto-approve threshold' WHEN score < 580 THEN 'Manual review or decline' "
+        "ELSE 'Conditional approval' END AS approval_mode "
+        f"FROM (SELECT *, greatest(320, least(850, cast(floor(({_RAW}) + cast(0.5 AS double)) AS int))) AS score FROM app)",
+    ),
+)(lambda spark, d: ap.alt_score(applicants(spark, d)))
+
+_REASON_CASES = [
+    f"CASE WHEN rechargeFrequency >= 16 THEN {O.q(REASON_RECHARGE_HIGH)} ELSE {O.q(REASON_RECHARGE_LOW)} END",
+    f"CASE WHEN mobileMoney >= 65 THEN {O.q(REASON_MONEY_HIGH)} ELSE {O.q(REASON_MONEY_LOW)} END",
+    f"CASE WHEN geoConsistency >= 70 THEN {O.q(REASON_GEO_HIGH)} ELSE {O.q(REASON_GEO_LOW)} END",
+    f"CASE WHEN deviceTenure = 'established' THEN {O.q(REASON_TENURE_ESTABLISHED)} WHEN deviceTenure = 'new' THEN {O.q(REASON_TENURE_NEW)} END",
+    f"CASE WHEN employmentType = 'salary' THEN {O.q(REASON_SALARY)} WHEN employmentType = 'merchant' THEN {O.q(REASON_MERCHANT)} END",
+    f"CASE WHEN utilityHistory = 'strong' THEN {O.q(REASON_UTILITY)} END",
+    f"CASE WHEN requestedLoan > 30000 THEN {O.q(REASON_LOAN_HIGH)} END",
+]
+register(
+    "alt_reasons",
+    O.with_ctes(
+        AP,
+        "SELECT applicant_id, cast(rn AS int) AS reason_rank, reason FROM (SELECT applicant_id, reason, "
+        "row_number() OVER (PARTITION BY applicant_id ORDER BY k) AS rn FROM ("
+        + " UNION ALL ".join(f"SELECT applicant_id, {i} AS k, {c} AS reason FROM app" for i, c in enumerate(_REASON_CASES))
+        + ") WHERE reason IS NOT NULL) WHERE rn <= 4",
+    ),
+)(lambda spark, d: ap.alt_reasons(applicants(spark, d)))

@@ -425,3 +425,25 @@ def signal_rows(recs: dict, prios: dict) -> str:
             f"{q(recs[name])} AS recommendation FROM sig"
         )
     return "\nsl AS (" + "\nUNION ALL\n".join(parts) + "\n)"
+
+
+# -- request log and applicants ----------------------------------------------------
+REQUEST = """
+req AS (
+  SELECT event_id, concat('/api/', event_type) AS route, concat('client_', cast(user_id AS varchar(10))) AS client_key, ts,
+         CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 503 ELSE 404 END
+              WHEN event_id % 20 = 0 THEN 302 ELSE 200 END AS status_code,
+         value * cast(10 AS double) AS duration_ms
+  FROM events
+)"""
+
+APPLICANT = """
+app AS (
+  SELECT c_custkey AS applicant_id, cast(c_custkey % 31 AS int) AS rechargeFrequency,
+         cast(c_custkey * 7 % 101 AS int) AS mobileMoney, cast(c_custkey * 13 % 101 AS int) AS geoConsistency,
+         CASE c_custkey % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'mid' ELSE 'established' END AS deviceTenure,
+         CASE c_custkey % 4 WHEN 0 THEN 'variable' WHEN 1 THEN 'salary' WHEN 2 THEN 'merchant' ELSE 'salary' END AS employmentType,
+         CASE c_custkey % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'partial' ELSE 'strong' END AS utilityHistory,
+         cast(5000 + c_custkey * 37 % 45000 AS double) AS requestedLoan
+  FROM customer
+)"""
