@@ -8,6 +8,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import collections_plan as cp
@@ -819,3 +821,49 @@ register(
         + ") WHERE reason IS NOT NULL) WHERE rn <= 4",
     ),
 )(lambda spark, d: ap.alt_reasons(applicants(spark, d)))
+
+
+# ---------------------------------------------------------------------------
+# model (rows-only checks: Spark ML and the SQL engine share no trainer)
+# ---------------------------------------------------------------------------
+
+
+@register("model_features")
+def q_model_features(spark, d):
+    from ..operators import ml
+
+    frame = ml.model_frame(scored(spark, d))
+    asm = VectorAssembler(inputCols=ml.MODEL_NUMERIC, outputCol="v", handleInvalid="keep")
+    out = asm.transform(frame).select("AccountNo", ml.LABEL, *ml.MODEL_CATEGORICAL, vector_to_array("v").alias("numeric_features"))
+    return out
+
+
+@register("model_split")
+def q_model_split(spark, d):
+    from ..operators import ml
+
+    split = ml.stratified_split(ml.model_frame(scored(spark, d)))
+    return split.groupBy(ml.LABEL, "split").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("model_metrics")
+def q_model_metrics(spark, d):
+    from ..operators import ml
+
+    model, test_df = ml.train(scored(spark, d))
+    return ml.metrics(model, test_df)
+
+
+@register("scored_model")
+def q_scored_model(spark, d):
+    from ..operators import ml
+
+    model, _ = ml.train(scored(spark, d))
+    return ml.score_regular(scored(spark, d), model).select(
+        "AccountNo", "RuleScore", "RuleRiskCategory", "PredDefaultProbability", "ModelRiskCategory"
+    )
+
+
+@register("top_risky_model")
+def q_top_risky_model(spark, d):
+    return top_by(q_scored_model(spark, d), "PredDefaultProbability", 100)
