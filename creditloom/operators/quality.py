@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import strip
 from ..schema import ID_CANDIDATES, REQUIRED_COLUMNS
+from ..session import cut_lineage
 from ..sources.files import required_status, validate_columns
 from .ordering import approx_medians, exact_medians
 
@@ -18,7 +19,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def clean(df: DataFrame, approx: bool = False, medians: DataFrame | None = None) -> DataFrame:
+def clean(df: DataFrame, approx: bool = False, medians: DataFrame | None = None, materialize: bool = True) -> DataFrame:
     """Whole-row dedupe, median fill of numeric and 'Unknown' fill of text.
 
     * Duplicate rows (nulls equal) are dropped.
@@ -28,22 +29,34 @@ def clean(df: DataFrame, approx: bool = False, medians: DataFrame | None = None)
       id candidate columns keep their type.
     * Text columns: null becomes ``Unknown``; all values are stripped.
 
-    The medians are a one-row aggregate cross-joined by broadcast (its size
-    is one row by construction) - no driver round trip.
+    ``materialize`` writes the de-duplicated table once to the reliable
+    checkpoint folder: the null census, the medians and every later branch
+    (sector shares, score maxima, plans) read it instead of recomputing the
+    source joins, and lost executors re-read it. The census is a one-row
+    aggregate; medians are computed only for columns that have nulls (for
+    the others the fill is a no-op). The medians are a one-row aggregate
+    cross-joined by broadcast.
     """
     dedup = df.dropDuplicates()
+    if materialize:
+        dedup = cut_lineage(dedup)
     num = [c for c in numeric_columns(dedup) if c not in ID_CANDIDATES]
-    if num:
-        med = medians if medians is not None else (approx_medians(dedup, num) if approx else exact_medians(dedup, num))
-        med = med.select(*[F.col(c).alias(f"_med_{c}") for c in num])
+    fill = []
+    if num and medians is None:
+        census = dedup.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in num]).first()
+        fill = [c for c in num if census[c] > 0]
+    elif num:
+        fill = num
+    joined = dedup
+    if fill:
+        med = medians if medians is not None else (approx_medians(dedup, fill) if approx else exact_medians(dedup, fill))
+        med = med.select(*[F.col(c).alias(f"_med_{c}") for c in fill])
         joined = dedup.crossJoin(F.broadcast(med))
-    else:
-        joined = dedup
     out = []
     for f in dedup.schema.fields:
         c = F.col(f.name)
         if f.name in num:
-            c = F.coalesce(c.cast("double"), F.col(f"_med_{f.name}"))
+            c = F.coalesce(c.cast("double"), F.col(f"_med_{f.name}")) if f.name in fill else c.cast("double")
         elif isinstance(f.dataType, T.StringType):
             c = strip(F.coalesce(c, F.lit("Unknown")))
         elif not isinstance(f.dataType, T.NumericType):
