@@ -105,7 +105,10 @@ def _events(spark, sf_dir):
 
 def feedback_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw feedback log rows as written by officers (text, partly blank)."""
-    e = _events(spark, sf_dir)
+    return feedback_from_events(_events(spark, sf_dir))
+
+
+def feedback_from_events(e: DataFrame) -> DataFrame:
     i = F.col("event_id")
     outcome = (
         F.when(F.col("event_type") == "purchase", "Paid")
@@ -128,7 +131,10 @@ def feedback_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir)
+    return jobs_from_events(_events(spark, sf_dir))
+
+
+def jobs_from_events(e: DataFrame) -> DataFrame:
     i = F.col("event_id")
     et = F.col("event_type")
     status = (
@@ -161,7 +167,10 @@ def job_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir)
+    return requests_from_events(_events(spark, sf_dir))
+
+
+def requests_from_events(e: DataFrame) -> DataFrame:
     i = F.col("event_id")
     code = (
         F.when(F.col("event_type") == "error", F.when(i % 2 == 0, 503).otherwise(404))
