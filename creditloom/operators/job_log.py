@@ -130,7 +130,10 @@ def queue_age(jobs: DataFrame, as_of: str, threshold_seconds: float = 300.0) ->
     q = jobs.filter(F.col("status") == "queued").agg(
         F.count(F.lit(1)).alias("queued"), F.min("created_at").alias("oldest_queued_at")
     )
-    age = F.greatest(seconds_between(F.col("oldest_queued_at"), ts_lit(as_of)), F.lit(0.0))
+    age = F.when(
+        F.col("oldest_queued_at").isNotNull(),
+        F.greatest(seconds_between(F.col("oldest_queued_at"), ts_lit(as_of)), F.lit(0.0)),
+    )
     return (
         q.withColumn("oldest_queued_age_seconds", age)
         .withColumn("threshold_seconds", F.lit(thr))

@@ -71,7 +71,10 @@ def signals(jobs: DataFrame, as_of: str, presets=None, group_cols: list[str] | N
     recent = F.lit(None).cast("bigint")
     for w in windows:
         recent = F.when(window == F.lit(w), F.col(_wcol(w))).otherwise(recent)
-    age = F.greatest(seconds_between(F.col("oldest_queued_at"), ts_lit(as_of)), F.lit(0.0))
+    age = F.when(
+        F.col("oldest_queued_at").isNotNull(),
+        F.greatest(seconds_between(F.col("oldest_queued_at"), ts_lit(as_of)), F.lit(0.0)),
+    )
     out = (
         out.withColumn("oldest_queued_age_seconds", age)
         .withColumn("queue_age_breached", F.coalesce(F.col("oldest_queued_age_seconds") >= qa_thr, F.lit(False)))

@@ -474,7 +474,8 @@ register(
     "queue_age",
     O.with_ctes(J, "SELECT queued, oldest_queued_at, age AS oldest_queued_age_seconds, cast(300 AS double) AS threshold_seconds, "
                    "coalesce(age >= 300, false) AS breached FROM (SELECT count(*) AS queued, min(created_at) AS oldest_queued_at, "
-                   f"greatest({O.secs('min(created_at)', A)}, cast(0 AS double)) AS age FROM job WHERE status = 'queued')"),
+                   f"CASE WHEN min(created_at) IS NOT NULL THEN greatest({O.secs('min(created_at)', A)}, cast(0 AS double)) END AS age "
+                   "FROM job WHERE status = 'queued')"),
 )(lambda spark, d: jl.queue_age(jobs(spark, d), AS_OF, 300.0))
 _DL = "status = 'dead_letter'"
 _RECENT_DL = O.cnt(f"{_DL} AND updated_at >= {O.ts(jl.shifted(AS_OF, -3600))}")

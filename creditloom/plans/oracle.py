@@ -390,7 +390,8 @@ g AS (
     sig0 = f"""
 sig0 AS (
   SELECT g.*, p.*, true AS worker_alive, false AS paused, false AS worker_breached,
-         greatest({secs('oldest_queued_at', a)}, {_f(0.0)}) AS oldest_queued_age_seconds,
+         CASE WHEN oldest_queued_at IS NOT NULL THEN greatest({secs('oldest_queued_at', a)}, {_f(0.0)}) END
+           AS oldest_queued_age_seconds,
          CASE {pick} END AS recent_dead_letter
   FROM g CROSS JOIN (VALUES {values}) p(policy, queue_age_threshold_seconds, dead_letter_window_seconds,
                                         dead_letter_threshold_per_minute)
