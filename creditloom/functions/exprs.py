@@ -78,3 +78,22 @@ def first_existing(columns, candidates):
     """First candidate present in ``columns`` (decided at plan time)."""
     present = set(columns)
     return next((c for c in candidates if c in present), None)
+
+
+# Largest side (rows) broadcast after an explicit size check.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def join_small(big, small, on, how: str = "inner", max_rows: int = BROADCAST_MAX_ROWS):
+    """Join ``big`` with a data-derived ``small`` side, broadcasting it only
+    after checking its row count; beyond ``max_rows`` it is a shuffle join.
+
+    The check is one count over ``small`` (typically an aggregate over a
+    materialised base), so the big side is never shuffled on a skewed
+    low-cardinality key when the small side really is small.
+    """
+    from pyspark.sql import functions as F
+
+    if small.count() <= max_rows:
+        return big.join(F.broadcast(small), on, how)
+    return big.join(small, on, how)

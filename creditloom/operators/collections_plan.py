@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip, count_if, round_half_even, strip
+from ..functions.exprs import clip, count_if, join_small, round_half_even, strip
 from ..schema import (
     HIGH,
     LOW,
@@ -113,8 +113,8 @@ def assign_officers(cand: DataFrame, pool: int = OFFICER_POOL_SIZE, order_cols:
     if "Branch" in cand.columns:
         mapping = branch_officer_map(cand, pool).withColumnRenamed("Branch", "_branch_key")
         keyed = cand.withColumn("_branch_key", F.coalesce(F.col("Branch").cast("string"), F.lit("nan")))
-        # the map has one row per distinct branch; AQE broadcasts it when small
-        return keyed.join(mapping, "_branch_key", "left").drop("_branch_key")
+        # one row per distinct branch: broadcast after a size check
+        return join_small(keyed, mapping, "_branch_key", "left").drop("_branch_key")
     order = order_cols or [F.col("AccountId").asc()]
     idx = global_row_index(cand, order, "_row")
     return idx.withColumn("OfficerId", officer_label(F.col("_row"), pool)).drop("_row")

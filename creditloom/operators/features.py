@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import literal_map, norm_code, safe_divide
+from ..functions.exprs import join_small, literal_map, norm_code, safe_divide
 from ..schema import DEFAULT_STATUSES, STATUS_CODES
 
 
@@ -32,8 +32,9 @@ def engineer(df: DataFrame) -> DataFrame:
     """Add the derived feature columns of a cleaned loan table.
 
     The sector shares are joined back on ``Sector``; the share table has
-    one row per sector and AQE broadcasts it once its measured size is
-    known, so the loan table itself is not shuffled for this join.
+    one row per sector and is broadcast after a row-count check (a shuffle
+    join beyond the limit), so the loan table is not shuffled on the
+    low-cardinality, skewed sector key.
     """
     out = df.withColumn("CLStatusCode", norm_code(_text("CLStatusCode")))
     out = out.withColumn(
@@ -68,7 +69,7 @@ def engineer(df: DataFrame) -> DataFrame:
     )
     out = out.withColumn("Sector", norm_code(_text("Sector")))
     shares = sector_share(out).select(F.col("Sector").alias("_sec"), F.col("Share").alias("_share"))
-    out = out.join(shares, out["Sector"].eqNullSafe(shares["_sec"]), "left")
+    out = join_small(out, shares, out["Sector"].eqNullSafe(shares["_sec"]), "left")
     out = out.withColumn(
         "SectorRiskScore", F.coalesce(F.lit(1.0) - F.col("_share"), F.lit(0.5))
     ).drop("_sec", "_share")

@@ -212,3 +212,66 @@ def record_page(df: DataFrame, limit: int, order_by: list | None = None) -> Data
     page = page.fillna("", subset=text_cols) if text_cols else page
     total = df.agg(F.count(F.lit(1)).alias("total"))
     return page.crossJoin(F.broadcast(total))
+
+
+# ---------------------------------------------------------------------------
+# SQL / catalog tables, job log, account ids
+# ---------------------------------------------------------------------------
+
+def read_sql_table(spark: SparkSession, name: str, url: str | None = None, properties: dict | None = None) -> DataFrame:
+    """A catalog table, or a JDBC table when ``url`` is given (``SELECT *``)."""
+    if url:
+        return spark.read.jdbc(url, name, properties=properties or {})
+    return spark.table(name)
+
+
+def _is_table(spark: SparkSession, name: str) -> bool:
+    if "/" in name:
+        return False
+    try:
+        return bool(spark.catalog.tableExists(name))
+    except Exception:
+        return False
+
+
+def output_exists(spark: SparkSession, name_or_path: str) -> bool:
+    """True when the table/path exists and holds at least one row."""
+    if _is_table(spark, name_or_path):
+        return not spark.table(name_or_path).isEmpty()
+    if path_exists(spark, name_or_path):
+        return not spark.read.parquet(name_or_path).isEmpty()
+    return False
+
+
+JOB_TIME_COLUMNS = ["next_attempt_at", "created_at", "updated_at"]
+
+
+def load_job_log(spark: SparkSession, path_or_table: str) -> DataFrame:
+    """Job log with ISO-8601 UTC text stamps ('...Z') converted to timestamps."""
+    df = spark.table(path_or_table) if _is_table(spark, path_or_table) else spark.read.parquet(path_or_table)
+    for c in JOB_TIME_COLUMNS:
+        if c in df.columns and isinstance(df.schema[c].dataType, T.StringType):
+            text = F.regexp_replace(strip(F.col(c)), "Z$", "")
+            df = df.withColumn(c, F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss")),
+                                             F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss"))).cast("timestamp_ntz"))
+    return df
+
+
+def assign_account_ids(df: DataFrame, order_cols: list | None = None, id_col: str = "AccountNo") -> DataFrame:
+    """Store an account id once at ingest: the first id candidate as text, or
+    ``ACC_<position>`` in the given source order (distributed row index)."""
+    from ..functions.exprs import first_existing
+    from ..operators.ordering import global_row_index
+    from ..schema import ID_CANDIDATES
+
+    existing = first_existing(df.columns, ID_CANDIDATES)
+    if existing is not None:
+        return df.withColumn(id_col, F.col(existing).cast("string"))
+    order = order_cols or [F.col(c) for c in df.columns]
+    idx = global_row_index(df, order, "_row")
+    return idx.withColumn(id_col, F.concat(F.lit("ACC_"), F.col("_row").cast("string"))).drop("_row")
+
+
+def decode_json(df: DataFrame, col_name: str, schema: str) -> DataFrame:
+    """Parse a JSON text column (payload, details) into a struct column."""
+    return df.withColumn(col_name.replace("_json", ""), F.from_json(F.col(col_name), schema))
