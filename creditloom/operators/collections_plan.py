@@ -243,7 +243,8 @@ def apply_feedback(plan: DataFrame, feedback: DataFrame, tie_cols: list[Column]
     """Re-score the plan with each account's latest outcome; drop paid/resolved."""
     latest = latest_feedback(feedback).select("AccountId", "Outcome", "PromiseStatus", "SupervisorEscalation", "FieldNotes")
     base = plan.drop("DailyVisitRank", "Outcome", "PromiseStatus", "SupervisorEscalation", "FieldNotes")
-    merged = base.join(latest, "AccountId", "left")
+    # one row per account with feedback: broadcast only when the count allows
+    merged = join_small(base, latest, "AccountId", "left")
     merged = (
         merged.withColumn("Outcome", F.coalesce(F.col("Outcome"), F.lit("")))
         .withColumn("PromiseStatus", F.coalesce(F.col("PromiseStatus"), F.lit("")))
