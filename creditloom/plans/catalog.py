@@ -753,7 +753,8 @@ _LABELS = ", ".join(f"({i}, '{b:.0f}')" for i, b in enumerate(LATENCY_BUCKETS_MS
 register(
     "latency_histogram",
     O.with_ctes(R, f"SELECT l.bucket, le, coalesce(c.n, 0) AS bucket_count, "
-                   "sum(coalesce(c.n, 0)) OVER (ORDER BY l.bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative_count "
+                   "cast(sum(coalesce(c.n, 0)) OVER (ORDER BY l.bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint) "
+                   "AS cumulative_count "
                    f"FROM (VALUES {_LABELS}) l(bucket, le) LEFT JOIN (SELECT {_BUCKET} AS bucket, count(*) AS n FROM req "
                    "WHERE duration_ms IS NOT NULL AND NOT isnan(duration_ms) GROUP BY 1) c ON l.bucket = c.bucket"),
 )(lambda spark, d: rl.latency_histogram(requests(spark, d)))
