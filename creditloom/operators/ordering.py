@@ -123,3 +123,30 @@ def exact_medians(df: DataFrame, cols: list[str], partitions: int | None = None)
 
 def approx_medians(df: DataFrame, cols: list[str], accuracy: int = 100000) -> DataFrame:
     return df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(c) for c in cols])
+
+
+def running_count_within_groups(
+    df: DataFrame,
+    group_cols: list[str],
+    order_cols: list[Column],
+    flag_col: str,
+    out_col: str,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Running count of ``flag_col`` (0/1) within ``group_cols`` in a total order.
+
+    Same range-slice scheme as ``rank_within_groups``: a hot group spans many
+    slices; each (slice, group) block sums locally and adds the flags of the
+    group's earlier blocks from the block table.
+    """
+    keys = [F.col(g) for g in group_cols] + list(order_cols)
+    tagged = _sorted_slices(df, keys, partitions)
+    local_w = Window.partitionBy(_PID, *group_cols).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
+    local = tagged.withColumn("_cl_loc", F.sum(F.col(flag_col).cast("bigint")).over(local_w))
+    blocks = tagged.groupBy(_PID, *group_cols).agg(F.sum(F.col(flag_col).cast("bigint")).alias("_cl_bs"))
+    before = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_cl_before", F.coalesce(F.sum("_cl_bs").over(before), F.lit(0))).drop("_cl_bs")
+    from ..functions.exprs import join_small
+
+    out = join_small(local, blocks, [_PID, *group_cols], "inner")
+    return out.withColumn(out_col, F.col("_cl_loc") + F.col("_cl_before")).drop(_PID, _POS, "_cl_loc", "_cl_before")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import count_if
 from ..schema import LATENCY_BUCKETS_MS
+from .ordering import running_count_within_groups
 
 
 def status_group(code) -> F.Column:
@@ -79,17 +80,17 @@ ADMISSION_SCHEMA = T.StructType(
 
 
 def _admit_scan(limit: int, window_us: int):
-    """Streaming scan over rows sorted by (key, time, id); state is the
-    admitted stamps of the current key inside the window (<= limit)."""
+    """Streaming scan over rows sorted by (key, segment, time, id); state is
+    the admitted stamps of the current key inside the window (<= limit)."""
 
     def run(batches):
         current, admitted = None, deque()
         for pdf in batches:
-            keys, times = pdf["client_key"].to_numpy(), pdf["_t"].to_numpy()
+            keys, segs, times = pdf["client_key"].to_numpy(), pdf["_seg"].to_numpy(), pdf["_t"].to_numpy()
             out = []
-            for k, t in zip(keys, times):
-                if k != current:
-                    current, admitted = k, deque()
+            for k, s, t in zip(keys, segs, times):
+                if (k, s) != current:
+                    current, admitted = (k, s), deque()
                 cutoff = t - window_us
                 while admitted and admitted[0] < cutoff:
                     admitted.popleft()
@@ -104,17 +105,45 @@ def _admit_scan(limit: int, window_us: int):
     return run
 
 
-def rate_limit_admission(req: DataFrame, limit: int = 30, window_seconds: int = 60) -> DataFrame:
+def quiet_gap_segments(rows: DataFrame, window_us: int) -> DataFrame:
+    """Number each key's events into segments that start after a quiet gap.
+
+    An event whose previous event (same key) is older than the window sees
+    an empty limiter state whatever happened before, so segments can be
+    scanned independently. The previous event is found per (key, time
+    bucket of one window) with the prior bucket's rows copied in as
+    context; the segment number is a distributed running count of starts.
+    """
+    b = F.floor(F.col("_t") / F.lit(window_us))
+    own = rows.withColumn("_b", b).withColumn("_own", F.lit(True))
+    ctx = rows.withColumn("_b", b + 1).withColumn("_own", F.lit(False))
+    w = Window.partitionBy("client_key", "_b").orderBy("_t", "event_id")
+    prev = own.unionByName(ctx).withColumn("_prev", F.lag("_t").over(w)).where("_own")
+    flagged = prev.withColumn(
+        "_start", (F.col("_prev").isNull() | (F.col("_prev") < F.col("_t") - F.lit(window_us))).cast("int")
+    ).drop("_b", "_own", "_prev")
+    return running_count_within_groups(flagged, ["client_key"], [F.col("_t"), F.col("event_id")], "_start", "_seg")
+
+
+def rate_limit_admission(req: DataFrame, limit: int = 30, window_seconds: int = 60, split_hot_keys: bool = True) -> DataFrame:
     """Admit an attempt if fewer than ``limit`` *admitted* attempts of the same
     key fall within the trailing ``window_seconds`` (inclusive).
 
     The decision depends on earlier decisions of the same key, which no SQL
-    frame expresses, so each key is scanned in time order on executors:
-    rows are hash-partitioned by key and sorted within partitions, and an
-    Arrow-batched scan keeps only O(limit) state per key (the group is
-    streamed, never materialised). Different keys run in parallel.
+    frame expresses, so events are scanned in time order on executors with
+    an Arrow-batched ``mapInPandas`` keeping O(limit) state (rows are
+    streamed, never materialised per key). With ``split_hot_keys`` each
+    key's events are first cut at quiet gaps (no event in the preceding
+    window): the segments are independent, so a hot key is spread over many
+    tasks; a segment of back-to-back traffic is the sequential unit.
     """
     w_us = int(window_seconds * 1_000_000)
     rows = req.select("event_id", "client_key", "ts", _micros("ts").alias("_t"))
-    ordered = rows.repartition("client_key").sortWithinPartitions("client_key", "_t", "event_id")
+    if split_hot_keys:
+        rows = quiet_gap_segments(rows, w_us)
+        ordered = rows.repartition("client_key", "_seg")
+    else:
+        rows = rows.withColumn("_seg", F.lit(0).cast("bigint"))
+        ordered = rows.repartition("client_key")
+    ordered = ordered.sortWithinPartitions("client_key", "_seg", "_t", "event_id")
     return ordered.mapInPandas(_admit_scan(limit, w_us), ADMISSION_SCHEMA)

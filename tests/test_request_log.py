@@ -64,3 +64,17 @@ def test_requests_by_route(spark):
     df = spark.createDataFrame([("/a", 200), ("/a", 503), ("/a", 502), ("/b", 404)], "route string, status_code int")
     got = {(r.route, r.status_group): (r.requests, r.errors_5xx) for r in rl.requests_by_route(df).collect()}
     assert got == {("/a", "2xx"): (1, 0), ("/a", "5xx"): (2, 2), ("/b", "4xx"): (1, 0)}
+
+
+def test_admission_split_equals_unsplit_with_gaps(spark):
+    rnd = random.Random(11)
+    t0 = datetime(2026, 1, 1)
+    rows, t = [], t0
+    for i in range(2500):
+        # bursts separated by quiet gaps longer than the window
+        t = t + timedelta(seconds=rnd.choice([1, 2, 3, 5, 90]))
+        rows.append((i, "hot" if i % 4 else f"k{i % 7}", t))
+    df = _events(spark, rows)
+    split = {r.event_id: r.admitted for r in rl.rate_limit_admission(df, 3, 60, split_hot_keys=True).collect()}
+    plain = {r.event_id: r.admitted for r in rl.rate_limit_admission(df, 3, 60, split_hot_keys=False).collect()}
+    assert split == plain == _brute_admission(rows, 3, 60)
