@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column
@@ -66,10 +65,6 @@ def literal_map(mapping: dict) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])
 
 
-def any_of(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, cols) if cols else F.lit(False)
-
-
 def count_if(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
 

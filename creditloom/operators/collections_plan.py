@@ -142,15 +142,6 @@ def contact_script(days: Column, band: Column) -> Column:
     )
 
 
-def source_order(df: DataFrame) -> list[Column]:
-    """Order of the scoring base (model probability or rule score, desc)."""
-    if "PredDefaultProbability" in df.columns:
-        return [F.col("PredDefaultProbability").desc_nulls_last()]
-    if "RuleScore" in df.columns:
-        return [F.col("RuleScore").desc_nulls_last()]
-    return []
-
-
 def rank_visits(plan: DataFrame, tie_cols: list[Column]) -> DataFrame:
     """DailyVisitRank: 1..n per officer by PriorityScore desc, then ties.
 

@@ -65,6 +65,3 @@ def clean(df: DataFrame, approx: bool = False, medians: DataFrame | None = None,
     return joined.select(*out)
 
 
-def clean_validated(df: DataFrame, approx: bool = False) -> DataFrame:
-    validate_columns(df, REQUIRED_COLUMNS)
-    return clean(df, approx=approx)

@@ -18,10 +18,6 @@ from pyspark.sql import functions as F
 AS_OF = "2024-01-31 00:00:00"
 
 
-def as_of_lit():
-    return F.lit(AS_OF).cast("timestamp_ntz")
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

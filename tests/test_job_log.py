@@ -2,8 +2,6 @@
 
 from datetime import datetime
 
-import pytest
-
 from creditloom.operators import job_log as jl
 from creditloom.operators import ops_gate as og
 from creditloom.schema import JOB_SCHEMA, STALE_EXHAUSTED, STALE_REQUEUED
@@ -109,3 +107,30 @@ def test_retention_and_cancel(spark):
     assert sorted(r.job_id for r in jl.retention_keep(jobs, AS_OF).collect()) == ["b", "c"]
     assert [r.job_id for r in jl.cancel_candidates(jobs, AS_OF, limit=1).collect()] == ["b"]
     assert jl.cancel_candidates(jobs, AS_OF).count() == 2
+
+
+def test_next_state_overlay_and_lookup(spark):
+    jobs = frame(spark, [job("a", "running", D2000, attempts=1), job("b", "queued", D2001)])
+    changes = jl.stale_recovery(jobs, AS_OF, 300)
+    merged = jl.apply_next_state(jobs, changes)
+    got = {r.job_id: (r.status, r.error) for r in merged.collect()}
+    assert got == {"a": ("queued", STALE_REQUEUED), "b": ("queued", None)}
+    assert merged.columns == jobs.columns
+    assert jl.job_by_id(merged, "a").first().status == "queued"
+
+
+def test_annotation_log_normalized_and_listed(spark):
+    raw = spark.createDataFrame(
+        [("1", " Rollout ", " deploy paused ", '{"k": 1}', "u", "ops", D2000),
+         ("2", "", "  ", "{}", "u", "ops", D2001),
+         ("3", "", "note", "{}", "u", "ops", D2099)],
+        "annotation_id string, scope string, summary string, details_json string, created_by string, "
+        "created_by_role string, created_at timestamp_ntz",
+    )
+    ok, rejected = jl.normalize_annotations(raw)
+    assert rejected.count() == 1
+    listed = [(r.annotation_id, r.scope, r.summary) for r in jl.list_log(ok, "scope", "ROLLOUT").collect()]
+    assert listed == [("3", "rollout", "note"), ("1", "rollout", "deploy paused")]
+    from creditloom.sources.files import decode_json
+
+    assert decode_json(ok, "details_json", "k int").filter("annotation_id = '1'").first().details.k == 1

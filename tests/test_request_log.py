@@ -4,8 +4,6 @@ import random
 from collections import deque
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
-
 from creditloom.operators import request_log as rl
 
 

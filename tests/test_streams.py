@@ -4,9 +4,6 @@ import tempfile
 import uuid
 
 import pytest
-from pyspark.sql import functions as F
-
-from creditloom.operators import collections_plan as cp
 from creditloom.operators import request_log as rl
 from creditloom.sources import views as V
 from creditloom.streaming import streams as S
