@@ -69,6 +69,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Materialise ``df`` into the reliable checkpoint folder (never local)."""
+    """Materialise ``df`` into the reliable checkpoint folder (never local).
+
+    A reliable checkpoint writes the data in a second job after the one
+    that computes it; the input is persisted for the duration so it is
+    computed once, then released (the checkpoint files are the durable copy).
+    """
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist(blocking=False)
