@@ -1,7 +1,7 @@
 """Structured Streaming forms of the time-windowed computations.
 
 * R1 feedback ingest: canonicalise, de-duplicate within the watermark and
-  append to the log; the latest-per-account table is rebuilt per batch.
+  append to the log; each batch is merged into the latest-per-account table.
 * R2 dead letters per sliding event-time window.
 * R3 request counts and latency buckets per tumbling window.
 * R4 per-key admission limiter with keyed state.
@@ -24,7 +24,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import collections_plan as cp
 from ..operators.request_log import LATENCY_BUCKETS_MS, status_group
-from ..sources.files import align_feedback, canonicalize_feedback
+from ..session import cut_lineage
+from ..sources.files import align_feedback, canonicalize_feedback, path_exists
+
+LATEST_PAYLOAD = ["Outcome", "PromiseStatus", "SupervisorEscalation", "FieldNotes", "RecordedAt"]
 
 
 def event_time(c: str) -> F.Column:
@@ -40,7 +43,7 @@ def event_time(c: str) -> F.Column:
 def feedback_ingest(stream: DataFrame, log_path: str, latest_path: str, checkpoint: str, now_ts: str, today: str,
                     watermark: str = "1 day", trigger: dict | None = None):
     """Start the ingest query; each micro-batch appends canonical rows to the
-    log and rewrites the latest-per-account table from the whole log."""
+    log and merges them into the latest-per-account table."""
     canon, _rejected = canonicalize_feedback(stream, now_ts, today)
     keyed = canon.withColumn("_et", cp.parse_recorded_at(F.col("RecordedAt")).cast("timestamp"))
     dedup = keyed.withWatermark("_et", watermark).dropDuplicatesWithinWatermark(
@@ -48,10 +51,17 @@ def feedback_ingest(stream: DataFrame, log_path: str, latest_path: str, checkpoi
     )
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         rows = align_feedback(batch.drop("_et"))
         rows.write.mode("append").parquet(log_path)
-        log = batch.sparkSession.read.parquet(log_path)
-        cp.latest_feedback(log).write.mode("overwrite").parquet(latest_path)
+        # latest-per-account is a max over (stamp, tie, payload): merging the
+        # previous latest table with this batch equals recomputing it over the
+        # whole log, at the cost of the latest table only
+        fresh = rows.select("AccountId", *LATEST_PAYLOAD)
+        if path_exists(spark, latest_path):
+            fresh = spark.read.parquet(latest_path).select("AccountId", *LATEST_PAYLOAD).unionByName(fresh)
+        merged = cut_lineage(cp.latest_feedback(fresh))  # detach from the path it overwrites
+        merged.write.mode("overwrite").parquet(latest_path)
 
     writer = dedup.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -105,6 +115,10 @@ ADMISSION_STATE = T.StructType([T.StructField("admitted_us", T.ArrayType(T.LongT
 
 def _admission_fn(limit: int, window_us: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            # no event of this key for a whole window: its state is empty anyway
+            state.remove()
+            return
         admitted = list(state.get[0]) if state.exists else []
         batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["_t", "event_id"], kind="mergesort")
         flags = []
@@ -116,6 +130,8 @@ def _admission_fn(limit: int, window_us: int):
                 admitted.append(int(t))
             flags.append(ok)
         state.update((admitted,))
+        # evict once the watermark passes the last event plus one window
+        state.setTimeoutTimestamp(int(batch["_t"].max()) // 1000 + window_us // 1000 + 1)
         yield pd.DataFrame({"event_id": batch["event_id"].to_numpy(), "client_key": batch["client_key"].to_numpy(),
                             "ts": batch["ts"].to_numpy(), "admitted": flags})
 
@@ -124,10 +140,12 @@ def _admission_fn(limit: int, window_us: int):
 
 def admission_stream(req: DataFrame, limit: int = 30, window_seconds: int = 60) -> DataFrame:
     """Keyed admission over a request stream; state = admitted stamps in the window
-    (at most ``limit`` per key). Events of one key are assumed to arrive in
-    time order across micro-batches (ordered within each batch here)."""
+    (at most ``limit`` per key), evicted by an event-time timer one window
+    after the key's last event. Events behind the watermark (one window)
+    are dropped; within a micro-batch a key's events are ordered by time."""
     w_us = int(window_seconds * 1_000_000)
     rows = req.select("event_id", "client_key", event_time("ts").alias("ts")).withColumn("_t", F.unix_micros("ts"))
+    rows = rows.withWatermark("ts", f"{int(window_seconds)} seconds")
     return rows.groupBy("client_key").applyInPandasWithState(
-        _admission_fn(limit, w_us), ADMISSION_OUT, ADMISSION_STATE, "append", GroupStateTimeout.NoTimeout
+        _admission_fn(limit, w_us), ADMISSION_OUT, ADMISSION_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )

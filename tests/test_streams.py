@@ -59,9 +59,15 @@ def test_feedback_ingest_stream(spark, events_stream):
     log = spark.read.parquet(f"{base}/log")
     from creditloom.sources.files import canonicalize_feedback
     batch, _ = canonicalize_feedback(V.feedback_view(spark, SF), "2024-01-31T00:00:00Z", "2024-01-31")
-    cols = [c for c in log.columns]
+    log_cols = list(log.columns)
     # exact duplicates (same account, stamp, outcome, promise, notes) are dropped once
     assert log.count() == batch.dropDuplicates(["AccountId", "RecordedAt", "Outcome", "PromiseStatus", "FieldNotes"]).count()
     latest = spark.read.parquet(f"{base}/latest")
     assert latest.count() == batch.select("AccountId").distinct().count()
-    assert set(cols) >= {"AccountId", "RecordedAt", "Outcome"}
+    from creditloom.operators.collections_plan import latest_feedback
+
+    expected = latest_feedback(log)
+    cols = ["AccountId", "Outcome", "PromiseStatus", "SupervisorEscalation", "FieldNotes", "RecordedAt"]
+    assert sorted(tuple(r[c] for c in cols) for r in latest.collect()) == sorted(
+        tuple(r[c] for c in cols) for r in expected.collect())
+    assert set(log_cols) >= {"AccountId", "RecordedAt", "Outcome"}
