@@ -7,8 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import literal_map
 from ..schema import (
+    APPROVE_SCORE,
+    BAND_HIGH,
+    BAND_LOW,
+    BAND_MEDIUM,
+    DECISION_APPROVE,
+    DECISION_RESTRICT,
+    DECISION_REVIEW,
     DEVICE_TENURE_POINTS,
     EMPLOYMENT_POINTS,
+    MODE_AUTO,
+    MODE_CONDITIONAL,
+    MODE_MANUAL,
     REASON_GEO_HIGH,
     REASON_GEO_LOW,
     REASON_LOAN_HIGH,
@@ -21,6 +31,7 @@ from ..schema import (
     REASON_TENURE_ESTABLISHED,
     REASON_TENURE_NEW,
     REASON_UTILITY,
+    RESTRICT_SCORE,
     UTILITY_POINTS,
 )
 
@@ -47,14 +58,11 @@ def alt_score(app: DataFrame) -> DataFrame:
     s = F.col("score")
     out = out.withColumn("pd", F.greatest(F.lit(0.04), F.least(F.lit(0.42), (F.lit(850) - s) / F.lit(950.0))))
     out = out.withColumn("loan_cap", F.greatest(F.lit(5000), half_up((s - 300) * F.lit(55.0)).cast("int")))
-    hi, lo = s >= 720, s < 580
+    hi, lo = s >= APPROVE_SCORE, s < RESTRICT_SCORE
     return (
-        out.withColumn("risk_band", F.when(hi, "Low risk").when(lo, "High risk").otherwise("Medium risk"))
-        .withColumn("decision", F.when(hi, "Approve").when(lo, "Restrict").otherwise("Review manually"))
-        .withColumn(
-            "approval_mode",
-            F.when(hi, "Auto-approve threshold").when(lo, "Manual review or decline").otherwise("Conditional approval"),
-        )
+        out.withColumn("risk_band", F.when(hi, BAND_LOW).when(lo, BAND_HIGH).otherwise(BAND_MEDIUM))
+        .withColumn("decision", F.when(hi, DECISION_APPROVE).when(lo, DECISION_RESTRICT).otherwise(DECISION_REVIEW))
+        .withColumn("approval_mode", F.when(hi, MODE_AUTO).when(lo, MODE_MANUAL).otherwise(MODE_CONDITIONAL))
     )
 
 

@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import clip, count_if, join_small, round_half_even, strip
 from ..schema import (
+    ACTION_FIELD,
+    ACTION_REMOTE,
+    BRANCH_UNKNOWN,
+    CHANNEL_CALL,
+    CHANNEL_SMS,
+    FLAG_NO,
+    FLAG_YES,
     HIGH,
     LOW,
     MEDIUM,
@@ -16,6 +23,7 @@ from ..schema import (
     OFFICER_POOL_SIZE,
     OFFICER_UNASSIGNED,
     PLAN_COLUMNS,
+    RESCHEDULE_MARK,
     RESOLVED_OUTCOMES,
     SCRIPT_DUE,
     SCRIPT_OVERDUE,
@@ -166,7 +174,7 @@ def visit_plan(
     cand = visit_candidates(scored)
     cand = cand.withColumn("AccountId", F.col(id_column(cand)).cast("string"))
     cand = assign_officers(cand, pool)
-    branch = F.col("Branch").cast("string") if "Branch" in cand.columns else F.lit("UNKNOWN")
+    branch = F.col("Branch").cast("string") if "Branch" in cand.columns else F.lit(BRANCH_UNKNOWN)
     days, band = F.col("DaysOverdue"), F.col("RiskBand")
     ties = _tie_columns(cand)
     plan = cand.select(
@@ -177,11 +185,11 @@ def visit_plan(
         "DaysOverdue",
         "RiskBand",
         "PriorityScore",
-        F.when(days <= 7, "SMS").otherwise("Call").alias("ContactChannel"),
-        F.when(days > 15, "Field Visit").otherwise("Remote Follow-up").alias("VisitAction"),
+        F.when(days <= 7, CHANNEL_SMS).otherwise(CHANNEL_CALL).alias("ContactChannel"),
+        F.when(days > 15, ACTION_FIELD).otherwise(ACTION_REMOTE).alias("VisitAction"),
         negotiation(days, F.col("InstallmentRisk")).alias("SuggestedNegotiation"),
         contact_script(days, band).alias("SuggestedScript"),
-        F.when((days > 45) | (band == HIGH), "Yes").otherwise("No").alias("EscalationFlag"),
+        F.when((days > 45) | (band == HIGH), FLAG_YES).otherwise(FLAG_NO).alias("EscalationFlag"),
         *[F.col(c).alias(f"_tie_{c}") for c in ties],
     )
     tie_cols = [F.col(f"_tie_{c}").desc_nulls_last() for c in ties]
@@ -275,13 +283,13 @@ def officer_kpis(plan: DataFrame) -> DataFrame:
 
     One grouped aggregate (partial + final), no Python.
     """
-    resched = F.coalesce(F.lower(F.col("SuggestedNegotiation")).contains("reschedul"), F.lit(False))
+    resched = F.coalesce(F.lower(F.col("SuggestedNegotiation")).contains(RESCHEDULE_MARK), F.lit(False))
     kpi = plan.groupBy("OfficerId").agg(
         F.count("AccountId").alias("AssignedCases"),
         count_if(F.col("RiskBand") == HIGH).alias("HighRiskCases"),
         F.avg(F.col("DaysOverdue").cast("double")).alias("_avg"),
         F.avg(resched.cast("double")).alias("_resched"),
-        count_if(F.col("EscalationFlag") == "Yes").alias("EscalationCount"),
+        count_if(F.col("EscalationFlag") == FLAG_YES).alias("EscalationCount"),
     )
     pct = clip(F.lit(1.0) - F.col("_avg") / F.lit(60.0), 0.0, 1.0)
     kpi = kpi.withColumn("_pct", pct)

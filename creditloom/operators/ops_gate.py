@@ -16,16 +16,18 @@ from pyspark.sql import functions as F
 from ..functions.exprs import count_if, literal_map
 from ..schema import (
     ALL_CLEAR_REASON,
+    NO_ACTION,
     POLICY_PRESETS,
     PROFILE_ACTIONS,
     PROFILE_READINESS,
+    REMEDIATION_CLEAR,
+    REMEDIATION_PENDING_SUFFIX,
     SIGNAL_ENDPOINT,
     SIGNAL_PRIORITY,
     SIGNAL_RECOMMENDATION,
 )
 from .job_log import seconds_between, shifted, ts_lit
 
-NO_ACTION = "No immediate action required; continue routine monitoring."
 BALANCED = [p for p in POLICY_PRESETS if p[0] == "balanced"]
 
 
@@ -173,8 +175,8 @@ def remediation_summary(sig: DataFrame) -> DataFrame:
         .withColumn("recommended_status_code", F.when(allowed, 200).otherwise(503))
         .withColumn(
             "summary",
-            F.when(F.size(fl) > 0, F.concat(F.size(fl).cast("string"), F.lit(" remediation action(s) pending before deployment.")))
-            .otherwise("Remediation clear for deployment."),
+            F.when(F.size(fl) > 0, F.concat(F.size(fl).cast("string"), F.lit(REMEDIATION_PENDING_SUFFIX)))
+            .otherwise(REMEDIATION_CLEAR),
         )
         .drop("_failing")
     )

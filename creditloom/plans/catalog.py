@@ -23,9 +23,27 @@ from ..operators.quality import clean
 from ..operators.scoring import regular_accounts, rule_score, top_by
 from ..schema import (
     ALL_CLEAR_REASON,
+    APPROVE_SCORE,
+    BANDS,
+    BAND_HIGH,
+    BAND_LOW,
+    BAND_MEDIUM,
+    DECISION_APPROVE,
+    DECISION_RESTRICT,
+    DECISION_REVIEW,
     DEVICE_TENURE_POINTS,
     EMPLOYMENT_POINTS,
+    HIGH,
     LATENCY_BUCKETS_MS,
+    LOW,
+    MEDIUM,
+    MODE_AUTO,
+    MODE_CONDITIONAL,
+    MODE_MANUAL,
+    NO_ACTION,
+    POLICY_PRESETS,
+    PROFILE_ACTIONS,
+    PROFILE_READINESS,
     REASON_GEO_HIGH,
     REASON_GEO_LOW,
     REASON_LOAN_HIGH,
@@ -38,19 +56,15 @@ from ..schema import (
     REASON_TENURE_ESTABLISHED,
     REASON_TENURE_NEW,
     REASON_UTILITY,
-    UTILITY_POINTS,
-    BANDS,
-    HIGH,
-    LOW,
-    MEDIUM,
-    POLICY_PRESETS,
-    PROFILE_ACTIONS,
-    PROFILE_READINESS,
+    REMEDIATION_CLEAR,
+    REMEDIATION_PENDING_SUFFIX,
+    RESTRICT_SCORE,
     SIGNAL_ENDPOINT,
     SIGNAL_PRIORITY,
     SIGNAL_RECOMMENDATION,
     STALE_EXHAUSTED,
     STALE_REQUEUED,
+    UTILITY_POINTS,
 )
 from ..sources import files
 from ..sources import views as V
@@ -626,7 +640,7 @@ register(
         "cast(row_number() OVER (PARTITION BY job_type, policy ORDER BY pos0) - 1 AS int) AS position, signal, signal_status, "
         "recommendation FROM sl WHERE b "
         "UNION ALL SELECT job_type, policy, severity, breached, cast(failing_count AS int), 3, 0, cast(NULL AS varchar), 'ok', "
-        f"{O.q(og.NO_ACTION)} FROM sig WHERE failing_count = 0",
+        f"{O.q(NO_ACTION)} FROM sig WHERE failing_count = 0",
     ),
 )(lambda spark, d: og.failing_signals(sig(spark, d)))
 register(
@@ -653,8 +667,8 @@ register(
         "CASE WHEN worker_breached THEN 'worker' WHEN dead_letter_rate_breached THEN 'dead_letter_rate' "
         "WHEN queue_age_breached THEN 'queue_age' END AS top_priority_signal, NOT breached AS deployment_allowed, "
         "CASE WHEN breached THEN 503 ELSE 200 END AS recommended_status_code, "
-        "CASE WHEN failing_count > 0 THEN concat(cast(failing_count AS varchar), ' remediation action(s) pending before deployment.') "
-        "ELSE 'Remediation clear for deployment.' END AS summary FROM sig",
+        f"CASE WHEN failing_count > 0 THEN concat(cast(failing_count AS varchar), {O.q(REMEDIATION_PENDING_SUFFIX)}) "
+        f"ELSE {O.q(REMEDIATION_CLEAR)} END AS summary FROM sig",
     ),
 )(lambda spark, d: og.remediation_summary(sig(spark, d)).select(*SUMMARY_COLS))
 
@@ -796,10 +810,13 @@ register(
         AP,
         "SELECT *, greatest(cast(0.04 AS double), least(cast(0.42 AS double), (850 - score) / cast(950 AS double))) AS pd, "
         "greatest(5000, cast(floor((score - 300) * cast(55 AS double) + cast(0.5 AS double)) AS int)) AS loan_cap, "
-        "CASE WHEN score >= 720 THEN 'Low risk' WHEN score < 580 THEN 'High risk' ELSE 'Medium risk' END AS risk_band, "
-        "CASE WHEN score >= 720 THEN 'Approve' WHEN score < 580 THEN 'Restrict' ELSE 'Review manually' END AS decision, "
-        "CASE WHEN score >= 720 THEN 'Auto-approve threshold' WHEN score < 580 THEN 'Manual review or decline' "
-        "ELSE 'Conditional approval' END AS approval_mode "
+        + ", ".join(
+            f"CASE WHEN score >= {APPROVE_SCORE} THEN {O.q(hi)} WHEN score < {RESTRICT_SCORE} THEN {O.q(lo)} ELSE {O.q(mid)} END AS {name}"
+            for name, hi, lo, mid in [("risk_band", BAND_LOW, BAND_HIGH, BAND_MEDIUM),
+                                      ("decision", DECISION_APPROVE, DECISION_RESTRICT, DECISION_REVIEW),
+                                      ("approval_mode", MODE_AUTO, MODE_MANUAL, MODE_CONDITIONAL)]
+        )
+        + " "
         f"FROM (SELECT *, greatest(320, least(850, cast(floor(({_RAW}) + cast(0.5 AS double)) AS int))) AS score FROM app)",
     ),
 )(lambda spark, d: ap.alt_score(applicants(spark, d)))

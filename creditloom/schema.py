@@ -114,6 +114,13 @@ TIP_STABLE = "Performance stable. Continue proactive follow-up and documentation
 
 RESOLVED_OUTCOMES = ["paid", "resolved", "regularized"]
 
+# Plan labels.
+CHANNEL_SMS, CHANNEL_CALL = "SMS", "Call"
+ACTION_FIELD, ACTION_REMOTE = "Field Visit", "Remote Follow-up"
+FLAG_YES, FLAG_NO = "Yes", "No"
+BRANCH_UNKNOWN = "UNKNOWN"
+RESCHEDULE_MARK = "reschedul"
+
 # Feedback log columns (order) and canonical defaults for blanks.
 FEEDBACK_COLUMNS = [
     "AsOfDate",
@@ -221,6 +228,9 @@ SIGNAL_ENDPOINT = {
     "queue_age": "GET /api/v1/jobs/queued-oldest; POST /api/v1/jobs/cancel-queued",
 }
 ALL_CLEAR_REASON = "All alert signals are within configured thresholds."
+NO_ACTION = "No immediate action required; continue routine monitoring."
+REMEDIATION_CLEAR = "Remediation clear for deployment."
+REMEDIATION_PENDING_SUFFIX = " remediation action(s) pending before deployment."
 
 # Threshold presets (queue age s, dead-letter window s, dead letters per minute).
 POLICY_PRESETS = [
@@ -253,6 +263,12 @@ DEVICE_TENURE_POINTS = {"new": -45, "mid": 0, "established": 38}
 EMPLOYMENT_POINTS = {"variable": -18, "salary": 30, "merchant": 12}
 UTILITY_POINTS = {"none": -28, "partial": 4, "strong": 24}
 
+# Applicant bands (score >= 720, < 580, otherwise), decisions, modes.
+APPROVE_SCORE, RESTRICT_SCORE = 720, 580
+BAND_LOW, BAND_HIGH, BAND_MEDIUM = "Low risk", "High risk", "Medium risk"
+DECISION_APPROVE, DECISION_RESTRICT, DECISION_REVIEW = "Approve", "Restrict", "Review manually"
+MODE_AUTO, MODE_MANUAL, MODE_CONDITIONAL = "Auto-approve threshold", "Manual review or decline", "Conditional approval"
+
 REASON_RECHARGE_HIGH = "Frequent airtime recharges indicate steady phone usage."
 REASON_RECHARGE_LOW = "Recharge behavior is still light, so usage history is less predictive."
 REASON_MONEY_HIGH = "Transaction activity supports stronger cash-flow confidence."

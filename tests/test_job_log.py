@@ -1,9 +1,10 @@
-"""Job-log operators on small fixtures (cases mirror the reference's unit tests)."""
+"""Job-log operators on small fixtures: age, rate, trend, recovery, requeue, gates."""
 
 from datetime import datetime
 
 from creditloom.operators import job_log as jl
 from creditloom.operators import ops_gate as og
+from creditloom.schema import NO_ACTION
 from creditloom.schema import JOB_SCHEMA, STALE_EXHAUSTED, STALE_REQUEUED
 
 AS_OF = "2026-01-01 00:00:00"
@@ -98,7 +99,7 @@ def test_signals_severity_and_suppression(spark):
 def test_ok_group_has_no_action_row(spark):
     s = og.signals(frame(spark, [job("a", "succeeded", D2000)]), AS_OF)
     rows = og.failing_signals(s).collect()
-    assert len(rows) == 1 and rows[0].signal is None and rows[0].recommendation == og.NO_ACTION
+    assert len(rows) == 1 and rows[0].signal is None and rows[0].recommendation == NO_ACTION
     assert og.rollout(s).first().recommended_profile == "prod"
 
 
