@@ -67,6 +67,7 @@ from ..schema import (
     UTILITY_POINTS,
 )
 from ..sources import files
+from ..streaming import streams
 from ..sources import views as V
 from . import pipeline
 from . import oracle as O
@@ -886,3 +887,29 @@ def q_scored_model(spark, d):
 @register("top_risky_model")
 def q_top_risky_model(spark, d):
     return top_by(q_scored_model(spark, d), "PredDefaultProbability", 100)
+
+
+# ---------------------------------------------------------------------------
+# windowed counts (batch form of the streaming queries R2 / R3)
+# ---------------------------------------------------------------------------
+
+register(
+    "dead_letter_windows",
+    O.with_ctes(
+        J,
+        "SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, job_type, count(*) AS dead_letter FROM ("
+        "SELECT job_type, updated_at, time_bucket(INTERVAL 5 MINUTE, updated_at) - k * INTERVAL 5 MINUTE AS window_start "
+        "FROM job CROSS JOIN range(12) r(k) WHERE status = 'dead_letter') "
+        "WHERE updated_at >= window_start AND updated_at < window_start + INTERVAL 1 HOUR GROUP BY 1, 2, 3",
+    ),
+)(lambda spark, d: streams.dead_letters_per_window(jobs(spark, d)))
+_LE = ", ".join(f"{O.cnt(f'duration_ms <= {O._f(b)}')} AS le_{int(b)}" for b in LATENCY_BUCKETS_MS)
+register(
+    "request_windows",
+    O.with_ctes(
+        R,
+        "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE "
+        "AS window_end, route, concat(cast(floor(status_code / 100) AS bigint), 'xx') AS status_group, count(*) AS requests, "
+        f"{O.cnt('status_code >= 500')} AS errors_5xx, {_LE} FROM req GROUP BY 1, 2, 3, 4",
+    ),
+)(lambda spark, d: streams.requests_per_window(requests(spark, d)))

@@ -35,6 +35,11 @@ def event_time(c: str) -> F.Column:
     return F.col(c).cast("timestamp")
 
 
+def _wall(c: str) -> F.Column:
+    """Window bound back as wall-clock TIMESTAMP_NTZ (the log's own type)."""
+    return F.col(c).cast("timestamp_ntz")
+
+
 # ---------------------------------------------------------------------------
 # R1 feedback ingest
 # ---------------------------------------------------------------------------
@@ -80,7 +85,7 @@ def dead_letters_per_window(jobs: DataFrame, window: str = "1 hour", slide: str
         dl = dl.withWatermark("_et", watermark)
     return dl.groupBy(F.window("_et", window, slide).alias("w"), "job_type").agg(
         F.count(F.lit(1)).alias("dead_letter")
-    ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "job_type", "dead_letter")
+    ).select(_wall("w.start").alias("window_start"), _wall("w.end").alias("window_end"), "job_type", "dead_letter")
 
 
 def requests_per_window(req: DataFrame, window: str = "1 minute", watermark: str = "5 minutes") -> DataFrame:
@@ -94,7 +99,7 @@ def requests_per_window(req: DataFrame, window: str = "1 minute", watermark: str
         F.count(F.lit(1)).alias("requests"),
         F.sum(F.when(F.col("status_code") >= 500, 1).otherwise(0)).cast("bigint").alias("errors_5xx"),
         *buckets,
-    ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "route", "status_group",
+    ).select(_wall("w.start").alias("window_start"), _wall("w.end").alias("window_end"), "route", "status_group",
              "requests", "errors_5xx", *[f"le_{int(b)}" for b in LATENCY_BUCKETS_MS])
 
 
