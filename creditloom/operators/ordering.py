@@ -14,7 +14,9 @@ block table, once for the rows. Range boundaries come from sampling the
 input, whose row order after a shuffle is not fixed, so two evaluations
 could disagree. The tagged slices are therefore checkpointed once into the
 cluster's reliable checkpoint folder: both reads see the same tags, and a
-lost executor re-reads the checkpoint instead of re-sampling.
+lost executor re-reads the checkpoint instead of re-sampling. Because the
+tags are materialised, AQE is free to merge adjacent ranges (they stay
+contiguous), so the slice count adapts to the data size.
 """
 
 from __future__ import annotations
@@ -27,14 +29,14 @@ from ..session import cut_lineage
 _PID, _POS = "_cl_pid", "_cl_pos"
 
 
-def _partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return int(n)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def _ranged(df: DataFrame, keys: list, n: int | None) -> DataFrame:
+    """Range partitioning on ``keys``; without an explicit ``n`` AQE may merge
+    adjacent (hence still contiguous) ranges to its advisory size."""
+    return df.repartitionByRange(int(n), *keys) if n else df.repartitionByRange(*keys)
 
 
 def _sorted_slices(df: DataFrame, keys: list[Column], n: int | None) -> DataFrame:
-    ranged = df.repartitionByRange(_partitions(df, n), *keys).sortWithinPartitions(*keys)
+    ranged = _ranged(df, keys, n).sortWithinPartitions(*keys)
     pid = F.spark_partition_id()
     # monotonically_increasing_id = (partition << 33) + position in partition
     tagged = ranged.withColumn(_PID, pid).withColumn(
@@ -93,8 +95,7 @@ def exact_medians(df: DataFrame, cols: list[str], partitions: int | None = None)
     long = df.select(F.explode(items).alias("x")).select("x.k", "x.v").where(F.col("v").isNotNull())
     counts = long.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
 
-    n_parts = _partitions(df, partitions)
-    ranged = counts.repartitionByRange(n_parts, "k", "v").sortWithinPartitions("k", "v")
+    ranged = _ranged(counts, [F.col("k"), F.col("v")], partitions).sortWithinPartitions("k", "v")
     tagged = cut_lineage(ranged.withColumn(_PID, F.spark_partition_id()))
 
     blocks = tagged.groupBy(_PID, "k").agg(F.sum("n").alias("bn"))
