@@ -92,3 +92,21 @@ def join_small(big, small, on, how: str = "inner", max_rows: int = BROADCAST_MAX
     if small.count() <= max_rows:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
+
+
+# Wall-clock (TIMESTAMP_NTZ) <-> instant (TIMESTAMP) conversions that read the
+# wall clock as UTC whatever the session time zone is.
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def ntz_micros(c: Column) -> Column:
+    """Microseconds since the epoch of a TIMESTAMP_NTZ value, zone-free."""
+    return F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), c)
+
+
+def wall_to_instant(c: Column) -> Column:
+    return F.timestamp_micros(ntz_micros(c))
+
+
+def instant_to_wall(c: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit(EPOCH_NTZ).cast("timestamp_ntz"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import count_if
+from ..functions.exprs import count_if, ntz_micros
 from ..schema import LATENCY_BUCKETS_MS
 from .ordering import running_count_within_groups
 
@@ -48,8 +48,11 @@ def latency_histogram(req: DataFrame) -> DataFrame:
     return joined.select("bucket", "le", "bucket_count", F.sum("bucket_count").over(running).alias("cumulative_count"))
 
 
-def _micros(c: str) -> F.Column:
-    return F.unix_micros(F.col(c).cast("timestamp"))
+def _micros(c: str, df: DataFrame | None = None) -> F.Column:
+    """Event time in epoch microseconds (wall clock read as UTC)."""
+    if df is not None and isinstance(df.schema[c].dataType, T.TimestampType):
+        return F.unix_micros(F.col(c))
+    return ntz_micros(F.col(c).cast("timestamp_ntz"))
 
 
 def trailing_attempts(req: DataFrame, window_seconds: int = 60, key: str = "client_key", ts: str = "ts") -> DataFrame:
@@ -60,7 +63,7 @@ def trailing_attempts(req: DataFrame, window_seconds: int = 60, key: str = "clie
     so each (key, bucket) partition holds everything its rows can see.
     """
     w_us = int(window_seconds * 1_000_000)
-    base = req.withColumn("_t", _micros(ts)).withColumn("_b", F.floor(F.col("_t") / F.lit(w_us)))
+    base = req.withColumn("_t", _micros(ts, req)).withColumn("_b", F.floor(F.col("_t") / F.lit(w_us)))
     own = base.withColumn("_own", F.lit(True))
     ctx = base.withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False))
     both = own.unionByName(ctx)
@@ -138,7 +141,7 @@ def rate_limit_admission(req: DataFrame, limit: int = 30, window_seconds: int =
     tasks; a segment of back-to-back traffic is the sequential unit.
     """
     w_us = int(window_seconds * 1_000_000)
-    rows = req.select("event_id", "client_key", "ts", _micros("ts").alias("_t"))
+    rows = req.select("event_id", "client_key", "ts", _micros("ts", req).alias("_t"))
     if split_hot_keys:
         rows = quiet_gap_segments(rows, w_us)
         ordered = rows.repartition("client_key", "_seg")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.exprs import instant_to_wall, wall_to_instant
 from ..operators import collections_plan as cp
 from ..operators.request_log import LATENCY_BUCKETS_MS, status_group
 from ..session import cut_lineage
@@ -31,13 +32,14 @@ LATEST_PAYLOAD = ["Outcome", "PromiseStatus", "SupervisorEscalation", "FieldNote
 
 
 def event_time(c: str) -> F.Column:
-    """Event time as TIMESTAMP (session zone UTC) for watermarks/windows."""
-    return F.col(c).cast("timestamp")
+    """Event time as TIMESTAMP for watermarks/windows (wall clock read as UTC,
+    independent of the session time zone)."""
+    return wall_to_instant(F.col(c))
 
 
 def _wall(c: str) -> F.Column:
     """Window bound back as wall-clock TIMESTAMP_NTZ (the log's own type)."""
-    return F.col(c).cast("timestamp_ntz")
+    return instant_to_wall(F.col(c))
 
 
 # ---------------------------------------------------------------------------
