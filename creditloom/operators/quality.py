@@ -12,13 +12,32 @@ from ..session import cut_lineage
 from ..sources.files import required_status, validate_columns
 from .ordering import approx_medians, exact_medians
 
-__all__ = ["validate_columns", "required_status", "clean", "numeric_columns", "REQUIRED_COLUMNS"]
+__all__ = ["validate_columns", "required_status", "clean", "drop_duplicate_rows", "numeric_columns", "REQUIRED_COLUMNS"]
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
+def drop_duplicate_rows(df: DataFrame, materialize: bool = True) -> DataFrame:
+    """Whole-row distinct, nulls equal.
+
+    When the table has an account-id column and ``materialize`` is on, the
+    rows are first written once to the checkpoint folder and the ids are
+    checked for repeats with a key-only aggregate: unique ids mean no two
+    rows can be equal, so the wide shuffle of every column is skipped.
+    Only when ids repeat (or there is no id) are whole rows de-duplicated.
+    """
+    key = next((c for c in ID_CANDIDATES if c in df.columns), None)
+    if not materialize:
+        return df.dropDuplicates()
+    if key is None:
+        return cut_lineage(df.dropDuplicates())
+    raw = cut_lineage(df)
+    repeats = raw.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).limit(1).count()
+    return raw if repeats == 0 else cut_lineage(raw.dropDuplicates())
+
+
 def clean(df: DataFrame, approx: bool = False, medians: DataFrame | None = None, materialize: bool = True) -> DataFrame:
     """Whole-row dedupe, median fill of numeric and 'Unknown' fill of text.
 
@@ -30,16 +49,14 @@ def clean(df: DataFrame, approx: bool = False, medians: DataFrame | None = None,
     * Text columns: null becomes ``Unknown``; all values are stripped.
 
     ``materialize`` writes the de-duplicated table once to the reliable
-    checkpoint folder: the null census, the medians and every later branch
+    checkpoint folder (see ``drop_duplicate_rows``): the null census, the medians and every later branch
     (sector shares, score maxima, plans) read it instead of recomputing the
     source joins, and lost executors re-read it. The census is a one-row
     aggregate; medians are computed only for columns that have nulls (for
     the others the fill is a no-op). The medians are a one-row aggregate
     cross-joined by broadcast.
     """
-    dedup = df.dropDuplicates()
-    if materialize:
-        dedup = cut_lineage(dedup)
+    dedup = drop_duplicate_rows(df, materialize)
     num = [c for c in numeric_columns(dedup) if c not in ID_CANDIDATES]
     fill = []
     if num and medians is None:

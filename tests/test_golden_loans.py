@@ -144,3 +144,15 @@ def test_missing_required_column(spark):
 
     with pytest.raises(ValueError, match="Missing required columns"):
         score_rules(spark.createDataFrame([("STD",)], ["CLStatusCode"]))
+
+
+def test_dedupe_with_and_without_unique_ids(spark):
+    from creditloom.operators.quality import drop_duplicate_rows
+
+    rows = [("A1", "x", 1), ("A2", "y", 2), ("A2", "y", 2), ("A3", None, None), ("A3", None, None), ("A4", "z", 3)]
+    df = spark.createDataFrame(rows, "AccountNo string, t string, v int")
+    assert drop_duplicate_rows(df).count() == 4
+    unique = df.dropDuplicates()
+    assert drop_duplicate_rows(unique).count() == 4
+    no_id = df.drop("AccountNo")
+    assert drop_duplicate_rows(no_id).count() == 4
