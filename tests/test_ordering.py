@@ -33,3 +33,14 @@ def test_exact_median(spark, values):
     present = [v for v in values if v is not None]
     exp = statistics.median(present) if present else None
     assert got.a == exp and got.b == exp
+
+
+def test_running_count_matches_window(spark):
+    from creditloom.operators.ordering import running_count_within_groups
+
+    df = spark.range(0, 4000).select("id", F.when(F.col("id") % 5 == 0, "cold").otherwise("hot").alias("g"),
+                                     ((F.col("id") * 31) % 7 == 0).cast("int").alias("flag"))
+    r = running_count_within_groups(df, ["g"], [F.col("id")], "flag", "rc")
+    w = df.withColumn("rc2", F.sum("flag").over(Window.partitionBy("g").orderBy("id")
+                                                 .rowsBetween(Window.unboundedPreceding, 0)))
+    assert r.join(w.select("id", "rc2"), "id").filter("rc <> rc2").count() == 0
