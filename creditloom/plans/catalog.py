@@ -913,3 +913,20 @@ register(
         f"{O.cnt('status_code >= 500')} AS errors_5xx, {_LE} FROM req GROUP BY 1, 2, 3, 4",
     ),
 )(lambda spark, d: streams.requests_per_window(requests(spark, d)))
+
+
+# ---------------------------------------------------------------------------
+# cleaning on a book with missing cells (exact medians, Unknown fills)
+# ---------------------------------------------------------------------------
+
+register("scan_clean_gaps", O.with_ctes([O.LOAN_GAPS, O.CLEAN_GAPS], "SELECT * FROM clean"))(
+    lambda spark, d: clean(V.loan_view_with_gaps(spark, d))
+)
+register(
+    "rule_score_gaps",
+    O.with_ctes([O.LOAN_GAPS, O.CLEAN_GAPS, O.FEATURES, O.SCORED.split(",\nstd AS")[0]],
+                "SELECT AccountNo, AgeDays, PrincipalOS, Sector, RepaymentFrequency, ArrearRatio, LTVRatio, "
+                "DelinquencyScore, SectorRiskScore, RuleScore, RuleRiskCategory FROM scored"),
+)(lambda spark, d: rule_score(engineer(clean(V.loan_view_with_gaps(spark, d)))).select(
+    "AccountNo", "AgeDays", "PrincipalOS", "Sector", "RepaymentFrequency", "ArrearRatio", "LTVRatio",
+    "DelinquencyScore", "SectorRiskScore", "RuleScore", "RuleRiskCategory"))

@@ -448,3 +448,17 @@ app AS (
          cast(5000 + c_custkey * 37 % 45000 AS double) AS requestedLoan
   FROM customer
 )"""
+
+
+# -- the loan view with missing cells (median / Unknown fills) -----------------
+LOAN_GAPS = LOAN + """,
+loan_gaps AS (
+  SELECT * REPLACE (
+    CASE WHEN cast(regexp_extract(AccountNo, '(\\d+)$', 1) AS bigint) % 7 = 0 THEN NULL ELSE AgeDays END AS AgeDays,
+    CASE WHEN CustomerID % 11 = 0 THEN NULL ELSE PrincipalOS END AS PrincipalOS,
+    CASE WHEN cast(regexp_extract(AccountNo, '(\\d+)$', 1) AS bigint) % 13 = 0 THEN NULL ELSE Sector END AS Sector,
+    CASE WHEN cast(regexp_extract(AccountNo, '(\\d+)$', 1) AS bigint) % 17 = 3 THEN NULL ELSE RepaymentFrequency END
+      AS RepaymentFrequency)
+  FROM loan
+)"""
+CLEAN_GAPS = CLEAN.replace("SELECT DISTINCT * FROM loan)", "SELECT DISTINCT * FROM loan_gaps)")

@@ -200,3 +200,17 @@ def applicant_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 0, "none").when(k % 5 == 1, "partial").otherwise("strong").alias("utilityHistory"),
         (F.lit(5000) + k * 37 % 45000).cast("double").alias("requestedLoan"),
     )
+
+
+def loan_view_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loan view with missing cells, as raw books have: a few numeric and
+    text fields are blank by a rule on the keys (exercises the median and
+    'Unknown' fills on whole tables)."""
+    v = loan_view(spark, sf_dir)
+    k = F.regexp_extract(F.col("AccountNo"), r"(\d+)$", 1).cast("bigint")
+    return (
+        v.withColumn("AgeDays", F.when(k % 7 == 0, F.lit(None)).otherwise(F.col("AgeDays")))
+        .withColumn("PrincipalOS", F.when(F.col("CustomerID") % 11 == 0, F.lit(None)).otherwise(F.col("PrincipalOS")))
+        .withColumn("Sector", F.when(k % 13 == 0, F.lit(None)).otherwise(F.col("Sector")))
+        .withColumn("RepaymentFrequency", F.when(k % 17 == 3, F.lit(None)).otherwise(F.col("RepaymentFrequency")))
+    )
