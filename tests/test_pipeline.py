@@ -42,3 +42,15 @@ def test_model_mode(spark):
     m = out.metrics.first()
     assert 0.0 <= m.accuracy <= 1.0 and 0.5 < m.roc_auc <= 1.0
     assert out.visit_plan.count() > 0
+
+
+def test_score_and_refresh_jobs(spark, tmp_path):
+    from creditloom.plans import jobs
+
+    out = str(tmp_path / "out")
+    counts = jobs.score_job(spark, SF, out, as_of="2024-01-31")
+    assert counts["scored_accounts"] > 0 and counts["officer_kpis"] >= 1
+    fb = tmp_path / "fb.csv"
+    fb.write_text("AccountId,Outcome,RecordedAt\nACC_1,Paid,2024-01-30T00:00:00Z\n")
+    r = jobs.refresh_job(spark, f"{out}/scored_accounts", str(fb), str(tmp_path / "refresh"), as_of="2024-01-31")
+    assert r["feedback_rows"] == 1 and r["visit_plan_rows"] > 0
