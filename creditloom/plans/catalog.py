@@ -930,3 +930,13 @@ register(
 )(lambda spark, d: rule_score(engineer(clean(V.loan_view_with_gaps(spark, d)))).select(
     "AccountNo", "AgeDays", "PrincipalOS", "Sector", "RepaymentFrequency", "ArrearRatio", "LTVRatio",
     "DelinquencyScore", "SectorRiskScore", "RuleScore", "RuleRiskCategory"))
+
+
+# the original default path scores with the model before planning (rows-only)
+def plan_model(spark, d):
+    out = pipeline.run(loans(spark, d), PLAN_DATE, feedback_raw(spark, d), mode="model")
+    return out.visit_plan, out.officer_kpis
+
+
+register("visit_plan_model")(lambda spark, d: plan_model(spark, d)[0])
+register("officer_kpis_model")(lambda spark, d: plan_model(spark, d)[1])
