@@ -41,7 +41,13 @@ def test_model_mode(spark):
     assert "PredDefaultProbability" in out.scored.columns
     m = out.metrics.first()
     assert 0.0 <= m.accuracy <= 1.0 and 0.5 < m.roc_auc <= 1.0
+    assert 0.0 <= m.precision <= 1.0 and 0.0 <= m.recall <= 1.0
+    probs = out.scored.agg(F.min("PredDefaultProbability").alias("lo"), F.max("PredDefaultProbability").alias("hi")).first()
+    assert 0.0 <= probs.lo <= probs.hi <= 1.0
     assert out.visit_plan.count() > 0
+    base = tempfile.mkdtemp(prefix="creditloom-model-")
+    pipeline.write_outputs(out, base)
+    assert spark.read.json(f"{base}/model_metrics").count() == 1
 
 
 def test_score_and_refresh_jobs(spark, tmp_path):
