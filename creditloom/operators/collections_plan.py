@@ -113,13 +113,19 @@ def branch_officer_map(cand: DataFrame, pool: int = OFFICER_POOL_SIZE) -> DataFr
     return numbered.select("Branch", officer_label(F.col("_ord"), pool).alias("OfficerId"))
 
 
-def assign_officers(cand: DataFrame, pool: int = OFFICER_POOL_SIZE, order_cols: list[Column] | None = None) -> DataFrame:
+def assign_officers(cand: DataFrame, pool: int = OFFICER_POOL_SIZE, order_cols: list[Column] | None = None,
+                    officer_map: DataFrame | None = None) -> DataFrame:
+    """OfficerId: ``LoanOfficer`` when present; else a stable (Branch,
+    OfficerId) table when given; else branches numbered in sorted order
+    (the numbering depends on which branches have candidates); else a round
+    robin over the accounts in id order."""
     if "LoanOfficer" in cand.columns:
         officer = F.coalesce(F.when(strip(F.col("LoanOfficer").cast("string")) != "", F.col("LoanOfficer").cast("string")),
                              F.lit(OFFICER_UNASSIGNED))
         return cand.withColumn("OfficerId", officer)
     if "Branch" in cand.columns:
-        mapping = branch_officer_map(cand, pool).withColumnRenamed("Branch", "_branch_key")
+        mapping = officer_map.select("Branch", "OfficerId") if officer_map is not None else branch_officer_map(cand, pool)
+        mapping = mapping.withColumnRenamed("Branch", "_branch_key")
         keyed = cand.withColumn("_branch_key", F.coalesce(F.col("Branch").cast("string"), F.lit("nan")))
         # one row per distinct branch: broadcast after a size check
         return join_small(keyed, mapping, "_branch_key", "left").drop("_branch_key")
@@ -169,11 +175,12 @@ def visit_plan(
     as_of_date: str,
     feedback: DataFrame | None = None,
     pool: int = OFFICER_POOL_SIZE,
+    officer_map: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked daily visit plan (fixed 17 columns; feedback columns null without feedback)."""
     cand = visit_candidates(scored)
     cand = cand.withColumn("AccountId", F.col(id_column(cand)).cast("string"))
-    cand = assign_officers(cand, pool)
+    cand = assign_officers(cand, pool, officer_map=officer_map)
     branch = F.col("Branch").cast("string") if "Branch" in cand.columns else F.lit(BRANCH_UNKNOWN)
     days, band = F.col("DaysOverdue"), F.col("RiskBand")
     ties = _tie_columns(cand)

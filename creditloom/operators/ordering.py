@@ -68,13 +68,24 @@ def rank_within_groups(
     before = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_cl_before", F.coalesce(F.sum("_cl_n").over(before), F.lit(0)))
     blocks = blocks.drop("_cl_n")
-    if few_groups:
-        blocks = F.broadcast(blocks)
-    out = tagged.join(blocks, [_PID, *group_cols], "inner")
+    out = _join_blocks(tagged, blocks, group_cols, few_groups)
     rank = (F.col(_POS) - F.col("_cl_first") + F.lit(1) + F.col("_cl_before")).cast("bigint")
     return out.withColumn(rank_col, rank).drop(_PID, _POS, "_cl_first", "_cl_before")
 
 
+def _join_blocks(tagged: DataFrame, blocks: DataFrame, group_cols: list[str], few_groups: bool) -> DataFrame:
+    """Rows joined to their block on (slice, group); a null group is a group too."""
+    renamed = blocks.select(*[F.col(c).alias(f"_cl_b_{c}") for c in [_PID, *group_cols]],
+                            *[c for c in blocks.columns if c not in (_PID, *group_cols)])
+    if few_groups:
+        renamed = F.broadcast(renamed)
+    cond = F.col(_PID) == F.col(f"_cl_b_{_PID}")
+    for g in group_cols:
+        cond = cond & F.col(g).eqNullSafe(F.col(f"_cl_b_{g}"))
+    out = tagged.join(renamed, cond, "inner")
+    return out.drop(*[f"_cl_b_{c}" for c in [_PID, *group_cols]])
+
+
 def global_row_index(df: DataFrame, order_cols: list[Column], index_col: str, partitions: int | None = None) -> DataFrame:
     """0-based position of every row in a total order, without a 1-task window."""
     out = rank_within_groups(df, [], order_cols, "_cl_rank", partitions, few_groups=True)
@@ -147,7 +158,5 @@ def running_count_within_groups(
     blocks = tagged.groupBy(_PID, *group_cols).agg(F.sum(F.col(flag_col).cast("bigint")).alias("_cl_bs"))
     before = Window.partitionBy(*group_cols).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_cl_before", F.coalesce(F.sum("_cl_bs").over(before), F.lit(0))).drop("_cl_bs")
-    from ..functions.exprs import join_small
-
-    out = join_small(local, blocks, [_PID, *group_cols], "inner")
+    out = _join_blocks(local, blocks, group_cols, few_groups=False)
     return out.withColumn(out_col, F.col("_cl_loc") + F.col("_cl_before")).drop(_PID, _POS, "_cl_loc", "_cl_before")

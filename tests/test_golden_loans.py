@@ -156,3 +156,13 @@ def test_dedupe_with_and_without_unique_ids(spark):
     assert drop_duplicate_rows(unique).count() == 4
     no_id = df.drop("AccountNo")
     assert drop_duplicate_rows(no_id).count() == 4
+
+
+def test_stable_officer_map_and_loan_officer(spark, scored):
+    m = spark.createDataFrame([("East Branch", "OFF_E"), ("North Branch", "OFF_N")], "Branch string, OfficerId string")
+    plan = cp.visit_plan(regular_accounts(scored), "2026-01-01", officer_map=m)
+    got = {r.AccountId: r.OfficerId for r in plan.collect()}
+    assert got["ACC_2"] == "OFF_E" and got["ACC_1"] == "OFF_N" and got["ACC_9"] is None
+    with_lo = regular_accounts(scored).withColumn("LoanOfficer", F.when(F.col("AccountNo") == "ACC_2", " ").otherwise("LO_1"))
+    got = {r.AccountId: r.OfficerId for r in cp.visit_plan(with_lo, "2026-01-01").collect()}
+    assert got["ACC_2"] == "OFFICER_UNASSIGNED" and got["ACC_1"] == "LO_1"
