@@ -166,3 +166,12 @@ def test_stable_officer_map_and_loan_officer(spark, scored):
     with_lo = regular_accounts(scored).withColumn("LoanOfficer", F.when(F.col("AccountNo") == "ACC_2", " ").otherwise("LO_1"))
     got = {r.AccountId: r.OfficerId for r in cp.visit_plan(with_lo, "2026-01-01").collect()}
     assert got["ACC_2"] == "OFFICER_UNASSIGNED" and got["ACC_1"] == "LO_1"
+
+
+def test_empty_book(spark, book):
+    empty = book.limit(0)
+    scored_empty = rule_score(engineer(clean(empty)))
+    assert scored_empty.count() == 0
+    plan = cp.visit_plan(regular_accounts(scored_empty), "2026-01-01")
+    assert plan.count() == 0 and len(plan.columns) == 17
+    assert cp.officer_kpis(plan).count() == 0
