@@ -12,30 +12,52 @@ from ..session import cut_lineage
 from ..sources.files import required_status, validate_columns
 from .ordering import approx_medians, exact_medians
 
-__all__ = ["validate_columns", "required_status", "clean", "drop_duplicate_rows", "numeric_columns", "REQUIRED_COLUMNS"]
+__all__ = ["validate_columns", "required_status", "clean", "dedupe_and_census", "drop_duplicate_rows", "numeric_columns",
+           "REQUIRED_COLUMNS"]
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def drop_duplicate_rows(df: DataFrame, materialize: bool = True) -> DataFrame:
-    """Whole-row distinct, nulls equal.
+def _null_census(cols: list[str]) -> list:
+    return [F.count(F.when(F.col(c).isNull(), 1)).alias(f"_null_{c}") for c in cols]
+
+
+def dedupe_and_census(df: DataFrame, num: list[str], materialize: bool = True):
+    """(whole-row distinct table, null count per numeric column).
 
     When the table has an account-id column and ``materialize`` is on, the
-    rows are first written once to the checkpoint folder and the ids are
-    checked for repeats with a key-only aggregate: unique ids mean no two
-    rows can be equal, so the wide shuffle of every column is skipped.
-    Only when ids repeat (or there is no id) are whole rows de-duplicated.
+    rows are written once to the checkpoint folder and one aggregate both
+    counts nulls and checks the ids: unique ids (at most one missing) mean
+    no two rows can be equal, so the wide shuffle of every column is
+    skipped. Only when ids repeat (or there is no id) are whole rows
+    de-duplicated - map-side combined - and the census taken again.
     """
     key = next((c for c in ID_CANDIDATES if c in df.columns), None)
     if not materialize:
-        return df.dropDuplicates()
-    if key is None:
-        return cut_lineage(df.dropDuplicates())
-    raw = cut_lineage(df)
-    repeats = raw.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).limit(1).count()
-    return raw if repeats == 0 else cut_lineage(raw.dropDuplicates())
+        dedup = df.dropDuplicates()
+    elif key is None:
+        dedup = cut_lineage(df.dropDuplicates())
+    else:
+        raw = cut_lineage(df)
+        k = F.col(key)
+        stats = raw.agg(
+            F.count(F.lit(1)).alias("_rows"), F.countDistinct(k).alias("_keys"),
+            F.count(F.when(k.isNull(), 1)).alias("_null_keys"), *_null_census(num),
+        ).first()
+        if stats["_rows"] == stats["_keys"] + stats["_null_keys"] and stats["_null_keys"] <= 1:
+            return raw, {c: stats[f"_null_{c}"] for c in num}
+        dedup = cut_lineage(raw.dropDuplicates())
+    if not num:
+        return dedup, {}
+    census = dedup.agg(*_null_census(num)).first()
+    return dedup, {c: census[f"_null_{c}"] for c in num}
+
+
+def drop_duplicate_rows(df: DataFrame, materialize: bool = True) -> DataFrame:
+    """Whole-row distinct, nulls equal (see ``dedupe_and_census``)."""
+    return dedupe_and_census(df, [], materialize)[0]
 
 
 def clean(df: DataFrame, approx: bool = False, medians: DataFrame | None = None, materialize: bool = True) -> DataFrame:
@@ -49,21 +71,16 @@ def clean(df: DataFrame, approx: bool = False, medians: DataFrame | None = None,
     * Text columns: null becomes ``Unknown``; all values are stripped.
 
     ``materialize`` writes the de-duplicated table once to the reliable
-    checkpoint folder (see ``drop_duplicate_rows``): the null census, the medians and every later branch
+    checkpoint folder (see ``dedupe_and_census``): the null census, the medians and every later branch
     (sector shares, score maxima, plans) read it instead of recomputing the
     source joins, and lost executors re-read it. The census is a one-row
     aggregate; medians are computed only for columns that have nulls (for
     the others the fill is a no-op). The medians are a one-row aggregate
     cross-joined by broadcast.
     """
-    dedup = drop_duplicate_rows(df, materialize)
-    num = [c for c in numeric_columns(dedup) if c not in ID_CANDIDATES]
-    fill = []
-    if num and medians is None:
-        census = dedup.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in num]).first()
-        fill = [c for c in num if census[c] > 0]
-    elif num:
-        fill = num
+    num = [c for c in numeric_columns(df) if c not in ID_CANDIDATES]
+    dedup, nulls = dedupe_and_census(df, num if medians is None else [], materialize)
+    fill = num if medians is not None else [c for c in num if nulls.get(c, 1) > 0]
     joined = dedup
     if fill:
         med = medians if medians is not None else (approx_medians(dedup, fill) if approx else exact_medians(dedup, fill))
