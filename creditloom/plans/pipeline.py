@@ -45,8 +45,9 @@ def run(
     materialize: bool = False,
     top_n: int = 100,
 ) -> PipelineOutputs:
-    """Batch scoring. ``mode``: 'rule', 'model' or 'auto' (model when the
-    label has two classes; the check is a one-row aggregate)."""
+    """Batch scoring. ``mode``: 'rule', 'model' or 'auto' (model when future
+    status labels exist and have two classes; the check is a one-row
+    aggregate)."""
     processed = score_rules(loans)
     if materialize:
         processed = cut_lineage(processed)
@@ -54,7 +55,9 @@ def run(
     if mode == "auto":
         from ..operators.ml import label_classes
 
-        mode = "model" if label_classes(processed) >= 2 else "rule"
+        # labels from current status (no FutureStatusCode) are not a real target
+        has_future = "FutureStatusCode" in loans.columns
+        mode = "model" if has_future and label_classes(processed) >= 2 else "rule"
     if mode == "model":
         from ..operators.ml import score_model
 
