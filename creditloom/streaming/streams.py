@@ -48,10 +48,14 @@ def _wall(c: str) -> F.Column:
 
 
 def feedback_ingest(stream: DataFrame, log_path: str, latest_path: str, checkpoint: str, now_ts: str, today: str,
-                    watermark: str = "1 day", trigger: dict | None = None):
+                    watermark: str = "1 day", trigger: dict | None = None, rejected_path: str | None = None):
     """Start the ingest query; each micro-batch appends canonical rows to the
-    log and merges them into the latest-per-account table."""
-    canon, _rejected = canonicalize_feedback(stream, now_ts, today)
+    log and merges them into the latest-per-account table. Rows without an
+    AccountId are rejected (appended to ``rejected_path`` when given)."""
+    accepted, rejected = canonicalize_feedback(stream, now_ts, today)
+    canon = accepted.withColumn("_ok", F.lit(True))
+    if rejected_path:
+        canon = canon.unionByName(rejected.withColumn("_ok", F.lit(False)))
     keyed = canon.withColumn("_et", cp.parse_recorded_at(F.col("RecordedAt")).cast("timestamp"))
     dedup = keyed.withWatermark("_et", watermark).dropDuplicatesWithinWatermark(
         ["AccountId", "RecordedAt", "Outcome", "PromiseStatus", "FieldNotes"]
@@ -59,7 +63,9 @@ def feedback_ingest(stream: DataFrame, log_path: str, latest_path: str, checkpoi
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = align_feedback(batch.drop("_et"))
+        if rejected_path:
+            align_feedback(batch.filter(~F.col("_ok"))).write.mode("append").parquet(rejected_path)
+        rows = align_feedback(batch.filter(F.col("_ok")).drop("_et", "_ok"))
         rows.write.mode("append").parquet(log_path)
         # latest-per-account is a max over (stamp, tie, payload): merging the
         # previous latest table with this batch equals recomputing it over the

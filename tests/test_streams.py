@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 from creditloom.operators import request_log as rl
 from creditloom.sources import views as V
 from creditloom.streaming import streams as S
@@ -53,12 +54,18 @@ def test_admission_stream_equals_batch(spark, events_stream):
 
 def test_feedback_ingest_stream(spark, events_stream):
     base = tempfile.mkdtemp(prefix="creditloom-fb-")
-    q = S.feedback_ingest(V.feedback_from_events(events_stream), f"{base}/log", f"{base}/latest", f"{base}/ck",
-                          "2024-01-31T00:00:00Z", "2024-01-31", watermark="3650 days")
+    src = V.feedback_from_events(events_stream)
+    # blank the account of some rows so the reject path is exercised
+    src = src.withColumn("AccountId", F.when(F.col("event_id") % 250 == 0, F.lit("  ")).otherwise(F.col("AccountId")))
+    q = S.feedback_ingest(src, f"{base}/log", f"{base}/latest", f"{base}/ck",
+                          "2024-01-31T00:00:00Z", "2024-01-31", watermark="3650 days", rejected_path=f"{base}/rejected")
     q.awaitTermination(300)
     log = spark.read.parquet(f"{base}/log")
     from creditloom.sources.files import canonicalize_feedback
-    batch, _ = canonicalize_feedback(V.feedback_view(spark, SF), "2024-01-31T00:00:00Z", "2024-01-31")
+    raw = V.feedback_view(spark, SF)
+    raw = raw.withColumn("AccountId", F.when(F.col("event_id") % 250 == 0, F.lit("  ")).otherwise(F.col("AccountId")))
+    batch, rejected = canonicalize_feedback(raw, "2024-01-31T00:00:00Z", "2024-01-31")
+    assert spark.read.parquet(f"{base}/rejected").count() == rejected.count() == 4
     log_cols = list(log.columns)
     # exact duplicates (same account, stamp, outcome, promise, notes) are dropped once
     assert log.count() == batch.dropDuplicates(["AccountId", "RecordedAt", "Outcome", "PromiseStatus", "FieldNotes"]).count()
