@@ -71,17 +71,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Materialise ``df`` into the reliable checkpoint folder (never local).
+    """Materialise ``df`` as a parquet table under the cluster's shared
+    checkpoint folder (``spark.checkpoint.dir``) and return a DataFrame that
+    reads it back.
 
-    A reliable checkpoint writes the data in a second job after the one
-    that computes it; the input is persisted for the duration so it is
-    computed once, then released (the checkpoint files are the durable copy).
+    Compared with an RDD checkpoint the copy is columnar and compressed, and
+    later readers get column pruning and filter push-down; lost executors
+    re-read the files instead of recomputing the lineage. Never local.
     """
-    from pyspark import StorageLevel
-
-    ensure_checkpoint_dir(df.sparkSession)
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist(blocking=False)
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/creditloom-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
