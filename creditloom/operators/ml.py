@@ -44,15 +44,23 @@ def model_frame(df: DataFrame) -> DataFrame:
     return out
 
 
+def split_draw(key: F.Column, label: F.Column, seed: int = SEED) -> F.Column:
+    """A uniform draw in [0, 1) from the seeded digest of (id, label): the
+    first 32 bits of md5('<id>|<label>|<seed>') modulo 10^6, over 10^6."""
+    text = F.concat_ws("|", key.cast("string"), label.cast("string"), F.lit(str(seed)))
+    bits = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return (bits % F.lit(1_000_000)).cast("double") / F.lit(1e6)
+
+
 def stratified_split(df: DataFrame, test_fraction: float = TEST_FRACTION, seed: int = SEED) -> DataFrame:
     """Deterministic stratified split: within each class a row goes to test when
-    its seeded hash falls in the lowest ``test_fraction`` of the hash range.
+    its seeded draw falls below ``test_fraction``.
 
     Same proportion per class as a stratified shuffle split, without a sort
-    or shuffle (a per-row expression), and stable across re-runs.
+    or shuffle (a per-row expression), stable across re-runs and
+    reproducible in plain SQL.
     """
-    key = id_column(df)
-    u = (F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(LABEL), F.lit(seed)), F.lit(1_000_000))).cast("double") / 1e6
+    u = split_draw(F.col(id_column(df)), F.col(LABEL), seed)
     return df.withColumn("split", F.when(u < F.lit(test_fraction), "test").otherwise("train"))
 
 

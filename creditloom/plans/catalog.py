@@ -8,8 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import collections_plan as cp
@@ -35,6 +33,8 @@ from ..schema import (
     EMPLOYMENT_POINTS,
     HIGH,
     LATENCY_BUCKETS_MS,
+    MODEL_CATEGORICAL,
+    MODEL_NUMERIC,
     LOW,
     MEDIUM,
     MODE_AUTO,
@@ -848,17 +848,28 @@ register(
 # ---------------------------------------------------------------------------
 
 
-@register("model_features")
+_MODEL_COLS = ", ".join(["AccountNo", "WillDefault"] + [f"cast({c} AS double) AS {c}" for c in MODEL_NUMERIC]
+                       + MODEL_CATEGORICAL)
+_MODEL_FRAME = f"model_frame AS (SELECT {_MODEL_COLS} FROM scored WHERE WillDefault IS NOT NULL)"
+_DRAW = ("(cast(('0x' || substr(md5(concat_ws('|', cast(AccountNo AS varchar), cast(WillDefault AS varchar), '42')), 1, 8))"
+         " AS BIGINT) % 1000000) / cast(1000000 AS double)")
+
+
+@register("model_features", O.with_ctes(O.LOAN_CHAIN + [_MODEL_FRAME], "SELECT * FROM model_frame"))
 def q_model_features(spark, d):
     from ..operators import ml
 
-    frame = ml.model_frame(scored(spark, d))
-    asm = VectorAssembler(inputCols=ml.MODEL_NUMERIC, outputCol="v", handleInvalid="keep")
-    out = asm.transform(frame).select("AccountNo", ml.LABEL, *ml.MODEL_CATEGORICAL, vector_to_array("v").alias("numeric_features"))
-    return out
+    return ml.model_frame(scored(spark, d)).select("AccountNo", ml.LABEL, *ml.MODEL_NUMERIC, *ml.MODEL_CATEGORICAL)
 
 
-@register("model_split")
+@register(
+    "model_split",
+    O.with_ctes(
+        O.LOAN_CHAIN + [_MODEL_FRAME],
+        f"SELECT WillDefault, CASE WHEN {_DRAW} < 0.3 THEN 'test' ELSE 'train' END AS split, count(*) AS rows "
+        "FROM model_frame GROUP BY 1, 2",
+    ),
+)
 def q_model_split(spark, d):
     from ..operators import ml
 
