@@ -44,3 +44,12 @@ def test_running_count_matches_window(spark):
     w = df.withColumn("rc2", F.sum("flag").over(Window.partitionBy("g").orderBy("id")
                                                  .rowsBetween(Window.unboundedPreceding, 0)))
     assert r.join(w.select("id", "rc2"), "id").filter("rc <> rc2").count() == 0
+
+
+def test_approx_median_close_to_exact(spark):
+    from creditloom.operators.ordering import approx_medians
+
+    df = spark.range(0, 10001).select((F.col("id") * 7 % 10001).cast("double").alias("v"))
+    exact = exact_medians(df, ["v"]).first().v
+    approx = approx_medians(df, ["v"]).first().v
+    assert exact == 5000.0 and abs(approx - exact) <= 1.0
