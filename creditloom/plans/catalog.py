@@ -10,12 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import collections_plan as cp
 from ..operators import applicants as ap
+from ..operators import collections_plan as cp
 from ..operators import job_log as jl
-from ..operators import request_log as rl
 from ..operators import ops_gate as og
 from ..operators import portfolio as pf
+from ..operators import request_log as rl
 from ..operators.features import engineer, sector_share
 from ..operators.quality import clean
 from ..operators.scoring import regular_accounts, rule_score, top_by
@@ -33,10 +33,10 @@ from ..schema import (
     EMPLOYMENT_POINTS,
     HIGH,
     LATENCY_BUCKETS_MS,
-    MODEL_CATEGORICAL,
-    MODEL_NUMERIC,
     LOW,
     MEDIUM,
+    MODEL_CATEGORICAL,
+    MODEL_NUMERIC,
     MODE_AUTO,
     MODE_CONDITIONAL,
     MODE_MANUAL,
@@ -67,10 +67,10 @@ from ..schema import (
     UTILITY_POINTS,
 )
 from ..sources import files
-from ..streaming import streams
 from ..sources import views as V
-from . import pipeline
+from ..streaming import streams
 from . import oracle as O
+from . import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
