@@ -43,9 +43,10 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def ensure_defaults(spark: SparkSession) -> SparkSession:
-    for key, value in SESSION_DEFAULTS.items():
-        if key == "spark.sql.session.timeZone":
-            spark.conf.set(key, value)
+    """Prepare a caller's session without overriding its settings: results do
+    not depend on the session time zone (wall-clock columns are
+    TIMESTAMP_NTZ and converted zone-free), so only the checkpoint folder
+    is ensured."""
     ensure_checkpoint_dir(spark)
     return spark
 
