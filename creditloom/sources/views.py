@@ -22,22 +22,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def _dec(c, p, s):
-    return F.col(c).cast(f"decimal({p},{s})")
+def _hundredths(c: str, precision: int) -> F.Column:
+    """A money/rate column rounded to 2 decimals (as DECIMAL(p,2)), as an
+    exact integer count of hundredths."""
+    return (F.col(c).cast(f"decimal({precision},2)") * F.lit(100)).cast("bigint")
 
 
 def loan_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Money is summed exactly in integer hundredths (price) and ten-thousandths
+    # (price x rate): 64-bit sums stay on Spark's fast path, unlike DECIMAL
+    # sums wider than 18 digits; converting the exact integer with one IEEE
+    # division gives the correctly rounded double of the decimal sum.
+    price, disc, tax = _hundredths("l_extendedprice", 12), _hundredths("l_discount", 4), _hundredths("l_tax", 4)
+    returned = F.col("l_returnflag") == "R"
     li = (
         read_table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
         .agg(
-            F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("n_ret"),
+            F.sum(F.when(returned, 1).otherwise(0)).alias("n_ret"),
             F.count(F.lit(1)).alias("n_lines"),
-            F.sum(
-                F.when(F.col("l_returnflag") == "R", _dec("l_extendedprice", 12, 2)).otherwise(F.lit(0))
-            ).alias("p_arr"),
-            F.sum(_dec("l_extendedprice", 12, 2) * _dec("l_discount", 4, 2)).alias("i_arr"),
-            F.sum(_dec("l_extendedprice", 12, 2) * _dec("l_tax", 4, 2)).alias("acc_int"),
+            F.sum(F.when(returned, price).otherwise(F.lit(0))).alias("p_arr_c"),
+            F.sum(price * disc).alias("i_arr_c"),
+            F.sum(price * tax).alias("acc_int_c"),
         )
     )
     orders = read_table(spark, sf_dir, "orders").select(
@@ -84,9 +90,9 @@ def loan_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_ret").cast("int").alias("DefaultedInst"),
         F.col("n_lines").cast("int").alias("TotalInstallments"),
         F.col("o_totalprice").alias("PrincipalOS"),
-        F.col("p_arr").cast("double").alias("PrincipalArrear"),
-        F.col("i_arr").cast("double").alias("InterestArrear"),
-        F.col("acc_int").cast("double").alias("TotalAccruedInt"),
+        (F.col("p_arr_c").cast("double") / F.lit(100.0)).alias("PrincipalArrear"),
+        (F.col("i_arr_c").cast("double") / F.lit(10000.0)).alias("InterestArrear"),
+        (F.col("acc_int_c").cast("double") / F.lit(10000.0)).alias("TotalAccruedInt"),
         F.when(k % 50 == 0, F.lit(0.0))
         .otherwise(F.col("o_totalprice") * ((F.lit(5) + k % 11).cast("double") / F.lit(10)))
         .alias("SecurityValue"),
