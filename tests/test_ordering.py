@@ -53,3 +53,11 @@ def test_approx_median_close_to_exact(spark):
     exact = exact_medians(df, ["v"]).first().v
     approx = approx_medians(df, ["v"]).first().v
     assert exact == 5000.0 and abs(approx - exact) <= 1.0
+
+
+def test_rank_independent_of_slice_count(spark):
+    df = spark.range(0, 3000).select("id", (F.col("id") % 2).alias("g"), (F.col("id") * 17 % 97).alias("s"))
+    order = [F.col("s").desc(), F.col("id")]
+    a = {r.id: r.rk for r in rank_within_groups(df, ["g"], order, "rk", partitions=3).collect()}
+    b = {r.id: r.rk for r in rank_within_groups(df, ["g"], order, "rk").collect()}
+    assert a == b and len(a) == 3000
