@@ -135,10 +135,17 @@ def align_feedback(df: DataFrame) -> DataFrame:
 
 
 def load_feedback(spark: SparkSession, path: str) -> DataFrame:
+    """The feedback log (csv/parquet/json/orc by suffix); an empty 15-column
+    table when the log does not exist yet."""
     if not path_exists(spark, path):
         return empty_feedback(spark)
-    df = spark.read.option("header", True).csv(path)
-    return align_feedback(null_na_tokens(df.toDF(*[c.strip() for c in df.columns])))
+    fmt = _format_of(path)
+    reader = spark.read.format(fmt)
+    if fmt == "csv":
+        reader = reader.option("header", True)
+    df = reader.load(path)
+    df = df.toDF(*[c.strip() for c in df.columns])
+    return align_feedback(null_na_tokens(df) if fmt == "csv" else df)
 
 
 def canonicalize_feedback(df: DataFrame, now_ts: str, today: str) -> tuple[DataFrame, DataFrame]:

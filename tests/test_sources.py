@@ -79,3 +79,10 @@ def test_job_log_text_stamps(spark):
     df.write.mode("overwrite").parquet(d + "/j")
     out = files.load_job_log(spark, d + "/j").first()
     assert str(out.created_at) == "2026-01-01 00:00:05"
+
+
+def test_feedback_log_parquet(spark, tmp_path):
+    p = str(tmp_path / "fb.parquet")
+    spark.createDataFrame([("ACC_1", "Paid", 3.0)], "AccountId string, Outcome string, PromisedAmount double").write.parquet(p)
+    fb = files.load_feedback(spark, p)
+    assert fb.columns == FEEDBACK_COLUMNS and fb.first().PromisedAmount == 3.0
