@@ -176,8 +176,13 @@ def visit_plan(
     feedback: DataFrame | None = None,
     pool: int = OFFICER_POOL_SIZE,
     officer_map: DataFrame | None = None,
+    ranked: bool = True,
 ) -> DataFrame:
-    """Ranked daily visit plan (fixed 17 columns; feedback columns null without feedback)."""
+    """Ranked daily visit plan (fixed 17 columns; feedback columns null without feedback).
+
+    ``ranked=False`` leaves ``DailyVisitRank`` null and skips the ranking
+    shuffle - for consumers such as the KPIs that do not read it.
+    """
     cand = visit_candidates(scored)
     cand = cand.withColumn("AccountId", F.col(id_column(cand)).cast("string"))
     cand = assign_officers(cand, pool, officer_map=officer_map)
@@ -201,11 +206,11 @@ def visit_plan(
     )
     tie_cols = [F.col(f"_tie_{c}").desc_nulls_last() for c in ties]
     if feedback is None:
-        ranked = rank_visits(plan, tie_cols)
+        out = rank_visits(plan, tie_cols) if ranked else plan.withColumn("DailyVisitRank", F.lit(None).cast("bigint"))
         for c in ("Outcome", "PromiseStatus", "SupervisorEscalation", "FieldNotes"):
-            ranked = ranked.withColumn(c, F.lit(None).cast("string"))
-        return ranked.select(*PLAN_COLUMNS)
-    return apply_feedback(plan, feedback, tie_cols)
+            out = out.withColumn(c, F.lit(None).cast("string"))
+        return out.select(*PLAN_COLUMNS)
+    return apply_feedback(plan, feedback, tie_cols, ranked)
 
 
 # ---------------------------------------------------------------------------
@@ -245,7 +250,8 @@ def latest_feedback(feedback: DataFrame, tie_col: str | None = None) -> DataFram
     return best.select("AccountId", *[F.col(f"m.{c}").alias(c) for c in payload])
 
 
-def apply_feedback(plan: DataFrame, feedback: DataFrame, tie_cols: list[Column] | None = None) -> DataFrame:
+def apply_feedback(plan: DataFrame, feedback: DataFrame, tie_cols: list[Column] | None = None,
+                   ranked: bool = True) -> DataFrame:
     """Re-score the plan with each account's latest outcome; drop paid/resolved."""
     latest = latest_feedback(feedback).select("AccountId", "Outcome", "PromiseStatus", "SupervisorEscalation", "FieldNotes")
     base = plan.drop("DailyVisitRank", "Outcome", "PromiseStatus", "SupervisorEscalation", "FieldNotes")
@@ -268,6 +274,8 @@ def apply_feedback(plan: DataFrame, feedback: DataFrame, tie_cols: list[Column]
     merged = merged.withColumn("PriorityScore", clip(score, 0.0, 1.0)).filter(~paid)
     if tie_cols is None:
         tie_cols = [F.col(c).desc_nulls_last() for c in merged.columns if c.startswith("_tie_")]
+    if not ranked:
+        return merged.withColumn("DailyVisitRank", F.lit(None).cast("bigint")).select(*PLAN_COLUMNS)
     return rank_visits(merged, tie_cols).select(*PLAN_COLUMNS)
 
 

@@ -204,7 +204,8 @@ register(
 
 @register("officer_kpis", O.with_ctes(PLAN_CHAIN, O.kpis("plan")))
 def q_officer_kpis(spark, d):
-    return cp.officer_kpis(plan_rule(spark, d))
+    # KPIs do not read the visit rank, so the plan is built without ranking
+    return cp.officer_kpis(cp.visit_plan(std_scored(spark, d), PLAN_DATE, ranked=False))
 
 
 @register("latest_feedback", O.with_ctes([O.FEEDBACK, O.LATEST], "SELECT * FROM lf"))
