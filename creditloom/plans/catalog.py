@@ -1,954 +1,19 @@
 """Registered queries: name -> (spark, sf_dir) -> DataFrame, plus oracle SQL.
 
-Every query reads the driver tables (through the domain views) whole.
+The queries live in ``plans/queries/`` by family; importing that package
+registers them. Every query reads the driver tables (through the domain
+views) whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..operators import applicants as ap
-from ..operators import collections_plan as cp
-from ..operators import job_log as jl
-from ..operators import ops_gate as og
-from ..operators import portfolio as pf
-from ..operators import request_log as rl
-from ..operators.features import engineer, sector_share
-from ..operators.quality import clean
-from ..operators.scoring import regular_accounts, rule_score, top_by
-from ..schema import (
-    ALL_CLEAR_REASON,
-    APPROVE_SCORE,
-    BANDS,
-    BAND_HIGH,
-    BAND_LOW,
-    BAND_MEDIUM,
-    DECISION_APPROVE,
-    DECISION_RESTRICT,
-    DECISION_REVIEW,
-    DEVICE_TENURE_POINTS,
-    EMPLOYMENT_POINTS,
-    HIGH,
-    LATENCY_BUCKETS_MS,
-    LOW,
-    MEDIUM,
-    MODEL_CATEGORICAL,
-    MODEL_NUMERIC,
-    MODE_AUTO,
-    MODE_CONDITIONAL,
-    MODE_MANUAL,
-    NO_ACTION,
-    POLICY_PRESETS,
-    PROFILE_ACTIONS,
-    PROFILE_READINESS,
-    REASON_GEO_HIGH,
-    REASON_GEO_LOW,
-    REASON_LOAN_HIGH,
-    REASON_MERCHANT,
-    REASON_MONEY_HIGH,
-    REASON_MONEY_LOW,
-    REASON_RECHARGE_HIGH,
-    REASON_RECHARGE_LOW,
-    REASON_SALARY,
-    REASON_TENURE_ESTABLISHED,
-    REASON_TENURE_NEW,
-    REASON_UTILITY,
-    REMEDIATION_CLEAR,
-    REMEDIATION_PENDING_SUFFIX,
-    RESTRICT_SCORE,
-    SIGNAL_ENDPOINT,
-    SIGNAL_PRIORITY,
-    SIGNAL_RECOMMENDATION,
-    STALE_EXHAUSTED,
-    STALE_REQUEUED,
-    UTILITY_POINTS,
-)
-from ..sources import files
-from ..sources import views as V
-from ..streaming import streams
-from . import oracle as O
-from . import pipeline
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-PLAN_DATE = "2024-01-31"
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return deco
-
-
-# ---------------------------------------------------------------------------
-# shared inputs
-# ---------------------------------------------------------------------------
-
-
-def loans(spark, d):
-    return V.loan_view(spark, d)
-
-
-def cleaned(spark, d):
-    return clean(loans(spark, d))
-
-
-def featured(spark, d):
-    return engineer(cleaned(spark, d))
-
-
-def scored(spark, d):
-    return rule_score(featured(spark, d))
-
-
-def std_scored(spark, d):
-    return regular_accounts(scored(spark, d))
-
-
-# ---------------------------------------------------------------------------
-# ingest, clean, features, rule score
-# ---------------------------------------------------------------------------
-
-register("scan_clean", O.with_ctes([O.LOAN, O.CLEAN], "SELECT * FROM clean"))(cleaned)
-register("features", O.with_ctes([O.LOAN, O.CLEAN, O.FEATURES], "SELECT * FROM features"))(featured)
-register("rule_score", O.with_ctes(O.LOAN_CHAIN, "SELECT * FROM scored"))(scored)
-register("std_accounts", O.with_ctes(O.LOAN_CHAIN, "SELECT * FROM std"))(std_scored)
-
-
-@register(
-    "sector_share",
-    O.with_ctes(
-        [O.LOAN, O.CLEAN, O.FEATURES],
-        "SELECT Sector, count(*) AS Accounts, cast(count(*) AS double) / cast(sum(count(*)) OVER () AS double) AS Share "
-        "FROM f0 GROUP BY Sector",
-    ),
-)
-def q_sector_share(spark, d):
-    return sector_share(featured(spark, d))
-
-
-@register(
-    "top_risky_rule",
-    O.with_ctes(O.LOAN_CHAIN, "SELECT * FROM std ORDER BY RuleScore DESC, AccountNo LIMIT 100"),
-)
-def q_top_risky_rule(spark, d):
-    return top_by(std_scored(spark, d), "RuleScore", 100)
-
-
-# ---------------------------------------------------------------------------
-# collections: candidates, officers, plan, feedback, KPIs
-# ---------------------------------------------------------------------------
-
-PLAN_CHAIN = O.LOAN_CHAIN + [O.PLAN]
-NOW_TS = "2024-01-31T00:00:00Z"
-
-
-def plan_rule(spark, d):
-    return cp.visit_plan(std_scored(spark, d), PLAN_DATE)
-
-
-def feedback_raw(spark, d):
-    return V.feedback_view(spark, d)
-
-
-def plan_with_feedback(spark, d):
-    return cp.visit_plan(std_scored(spark, d), PLAN_DATE, feedback_raw(spark, d))
-
-
-@register(
-    "visit_candidates",
-    O.with_ctes(
-        PLAN_CHAIN,
-        "SELECT AccountNo, Branch, DaysOverdue, InstRiskNum AS InstallmentRisk, RiskBand, RiskCore, PriorityScore FROM cand",
-    ),
-)
-def q_visit_candidates(spark, d):
-    return cp.visit_candidates(std_scored(spark, d)).select(
-        "AccountNo", "Branch", "DaysOverdue", "InstallmentRisk", "RiskBand", "RiskCore", "PriorityScore"
-    )
-
-
-@register("officer_assignment", O.with_ctes(PLAN_CHAIN, "SELECT o_branch AS Branch, OfficerId FROM officers"))
-def q_officer_assignment(spark, d):
-    return cp.branch_officer_map(cp.visit_candidates(std_scored(spark, d)))
-
-
-@register(
-    "officer_round_robin",
-    O.with_ctes(
-        PLAN_CHAIN,
-        "SELECT AccountNo AS AccountId, concat('OFFICER_', cast((row_number() OVER (ORDER BY AccountNo) - 1) % 5 + 1 AS varchar)) "
-        "AS OfficerId FROM cand",
-    ),
-)
-def q_officer_round_robin(spark, d):
-    cand = cp.visit_candidates(std_scored(spark, d)).drop("Branch")
-    cand = cand.withColumn("AccountId", F.col("AccountNo").cast("string"))
-    return cp.assign_officers(cand).select("AccountId", "OfficerId")
-
-
-register("visit_plan", O.with_ctes(PLAN_CHAIN, "SELECT * FROM plan"))(plan_rule)
-register(
-    "visit_plan_feedback",
-    O.with_ctes(PLAN_CHAIN + [O.FEEDBACK, O.LATEST, O.PLAN_FB], "SELECT * FROM plan_fb"),
-)(plan_with_feedback)
-
-
-@register("officer_kpis", O.with_ctes(PLAN_CHAIN, O.kpis("plan")))
-def q_officer_kpis(spark, d):
-    # KPIs do not read the visit rank, so the plan is built without ranking
-    return cp.officer_kpis(cp.visit_plan(std_scored(spark, d), PLAN_DATE, ranked=False))
-
-
-@register("latest_feedback", O.with_ctes([O.FEEDBACK, O.LATEST], "SELECT * FROM lf"))
-def q_latest_feedback(spark, d):
-    return cp.latest_feedback(feedback_raw(spark, d))
-
-
-# ---------------------------------------------------------------------------
-# portfolio views
-# ---------------------------------------------------------------------------
-
-PF_CHAIN = O.LOAN_CHAIN + [O.PF]
-TOP_COLS = ["AccountNo", "AccountName", "Branch", "Sector", "PrincipalOS", "SecurityValue", "OutstandingPct",
-            "RuleRiskCategory"]
-
-
-def pframe(spark, d):
-    return pf.portfolio_frame(std_scored(spark, d))
-
-
-@register(
-    "prepared_table",
-    O.with_ctes(
-        PF_CHAIN,
-        "SELECT AccountNo, AccountName, Branch, Sector, PrincipalOS, RuleScore, RuleRiskCategory FROM pf "
-        "ORDER BY RuleScore DESC, AccountNo LIMIT 100",
-    ),
-)
-def q_prepared_table(spark, d):
-    return pf.prepare_table(
-        pframe(spark, d),
-        ["AccountNo", "AccountName", "Branch", "Sector", "PrincipalOS", "RuleScore", "RuleRiskCategory"],
-        ["PredDefaultProbability", "RuleScore"], ascending=False, limit=100, tie_cols=["AccountNo"],
-    )
-
-
-@register(
-    "exact_filter",
-    O.with_ctes(
-        PF_CHAIN,
-        f"SELECT {O.TOP_COLS} FROM pf WHERE lower({O.strip('Branch')}) = 'nation_15' "
-        "AND lower(" + O.strip("RuleRiskCategory") + ") = 'high risk'",
-    ),
-)
-def q_exact_filter(spark, d):
-    f = pf.exact_filter(pframe(spark, d), ["BrCode", "Branch"], "  Nation_15 ")
-    return pf.exact_filter(f, ["ModelRiskCategory", "RuleRiskCategory"], "High Risk").select(*TOP_COLS)
-
-
-SEARCH_SQL = " OR ".join(
-    f"regexp_matches(lower(cast({c} AS varchar)), 'acc_12[0-9]?$')" for c in ["AccountNo", "CustomerID", "AccountName"]
-)
-
-
-@register("text_search", O.with_ctes(PF_CHAIN, f"SELECT {O.TOP_COLS} FROM pf WHERE {SEARCH_SQL}"))
-def q_text_search(spark, d):
-    return pf.text_search(pframe(spark, d), " ACC_12[0-9]?$ ").select(*TOP_COLS)
-
-
-@register(
-    "risk_distribution",
-    O.with_ctes(
-        PF_CHAIN,
-        f"SELECT RiskBand, Accounts, Accounts / greatest(sum(Accounts) OVER (), 1) * cast(100 AS double) AS SharePct "
-        f"FROM (SELECT {O.label('RuleRiskCategory')} AS RiskBand, count(*) AS Accounts FROM pf GROUP BY 1)",
-    ),
-)
-def q_risk_distribution(spark, d):
-    return pf.risk_distribution(pframe(spark, d), "RuleRiskCategory")
-
-
-register("branch_risk", O.with_ctes(PF_CHAIN, O.breakdown("Branch")))(
-    lambda spark, d: pf.group_risk_breakdown(pframe(spark, d), "Branch", "RuleRiskCategory", 10)
-)
-register("sector_risk", O.with_ctes(PF_CHAIN, O.breakdown("Sector")))(
-    lambda spark, d: pf.group_risk_breakdown(pframe(spark, d), "Sector", "RuleRiskCategory", 10)
-)
-
-
-@register(
-    "stacked_risk",
-    O.with_ctes(
-        PF_CHAIN,
-        "SELECT Branch, "
-        + ", ".join(
-            f"cast(sum(CASE WHEN RuleRiskCategory = {O.q(b)} THEN 1 ELSE 0 END) AS bigint) AS \"{b}\"" for b in BANDS
-        )
-        + ", count(*) AS Total FROM pf GROUP BY Branch ORDER BY Total DESC, Branch LIMIT 5",
-    ),
-)
-def q_stacked_risk(spark, d):
-    return pf.stacked_risk(pframe(spark, d), "Branch", "RuleRiskCategory", 5)
-
-
-@register(
-    "ranking_ratio",
-    O.with_ctes(
-        PF_CHAIN,
-        "SELECT AccountNo, PrincipalOS, CASE WHEN max(PrincipalOS) OVER () = 0 THEN cast(0 AS double) "
-        "ELSE PrincipalOS / max(PrincipalOS) OVER () END AS Ratio "
-        "FROM (SELECT AccountNo, PrincipalOS FROM pf ORDER BY PrincipalOS DESC, AccountNo LIMIT 10)",
-    ),
-)
-def q_ranking_ratio(spark, d):
-    top = pf.top_n(pframe(spark, d), "PrincipalOS", 10, False, "AccountNo", ["AccountNo", "PrincipalOS"])
-    return pf.ranking_ratio(top, "AccountNo", "PrincipalOS", 10)
-
-
-RISK_TEXT = O.strip("coalesce(RuleRiskCategory, 'Unknown')")
-
-
-@register(
-    "band_counts",
-    O.with_ctes(
-        PF_CHAIN,
-        "SELECT "
-        + ", ".join(
-            f"cast(sum(CASE WHEN {RISK_TEXT} {op} {O.q(b)} THEN 1 ELSE 0 END) AS bigint) AS {n}"
-            for n, op, b in [
-                ("LowRiskAccounts", "=", LOW),
-                ("MediumRiskAccounts", "=", MEDIUM),
-                ("HighRiskAccounts", "=", HIGH),
-                ("NonStandardAccounts", "<>", LOW),
-            ]
-        )
-        + ", count(*) AS SyncedAccounts FROM pf",
-    ),
-)
-def q_band_counts(spark, d):
-    return pf.band_counts(pframe(spark, d), "RuleRiskCategory")
-
-
-@register(
-    "unique_branches",
-    O.with_ctes(
-        PF_CHAIN,
-        f"SELECT DISTINCT {O.strip('cast(Branch AS varchar)')} AS value FROM pf "
-        f"WHERE Branch IS NOT NULL AND {O.strip('cast(Branch AS varchar)')} <> '' ORDER BY value",
-    ),
-)
-def q_unique_branches(spark, d):
-    return pf.unique_values(pframe(spark, d), ["BrCode", "Branch"])
-
-
-for _name, _col, _asc in [("top_outstanding", "PrincipalOS", False), ("low_outstanding_pct", "OutstandingPct", True),
-                          ("low_security", "SecurityValue", True)]:
-    register(
-        _name,
-        O.with_ctes(PF_CHAIN, f"SELECT {O.TOP_COLS} FROM pf ORDER BY {_col} {'ASC' if _asc else 'DESC'}, AccountNo LIMIT 10"),
-    )(lambda spark, d, _c=_col, _a=_asc: pf.top_n(pframe(spark, d), _c, 10, _a, "AccountNo", TOP_COLS))
-
-
-# ---------------------------------------------------------------------------
-# feedback log: scan, canonical append, union, recent page; record pages
-# ---------------------------------------------------------------------------
-
-FB_CHAIN = [O.FEEDBACK, O.FB_ALIGNED]
-
-
-def feedback_aligned(spark, d):
-    return files.align_feedback(feedback_raw(spark, d))
-
-
-def feedback_canonical(spark, d):
-    ok, _rejected = files.canonicalize_feedback(feedback_raw(spark, d), NOW_TS, PLAN_DATE)
-    return ok
-
-
-register("feedback_scan", O.with_ctes(FB_CHAIN, "SELECT * FROM fba"))(feedback_aligned)
-register(
-    "feedback_canonical", O.with_ctes([O.FEEDBACK, O.FB_CANON], "SELECT * FROM fbc WHERE AccountId <> ''")
-)(feedback_canonical)
-
-
-@register(
-    "feedback_union",
-    O.with_ctes(
-        [O.FEEDBACK, O.FB_ALIGNED, O.FB_CANON],
-        "SELECT * FROM fba UNION ALL SELECT * FROM fbc WHERE AccountId <> ''",
-    ),
+from .queries import ORACLE, QUERIES  # noqa: F401
+from .queries.common import (  # noqa: F401
+    cleaned,
+    featured,
+    feedback_raw,
+    loans,
+    plan_rule,
+    scored,
+    std_scored,
 )
-def q_feedback_union(spark, d):
-    return files.append_feedback(feedback_aligned(spark, d), feedback_canonical(spark, d))
-
-
-@register(
-    "recent_feedback",
-    O.with_ctes(
-        [O.FEEDBACK],
-        "SELECT * EXCLUDE (event_id) REPLACE (coalesce(SupervisorEscalation, '') AS SupervisorEscalation), "
-        "(SELECT count(*) FROM fb) AS total FROM fb "
-        "ORDER BY RecordedAt DESC, event_id DESC LIMIT 100",
-    ),
-)
-def q_recent_feedback(spark, d):
-    page = files.record_page(feedback_raw(spark, d), 100, [F.col("RecordedAt").desc(), F.col("event_id").desc()])
-    return page.drop("event_id")
-
-
-@register(
-    "scored_page",
-    O.with_ctes(
-        O.LOAN_CHAIN,
-        "SELECT *, (SELECT count(*) FROM std) AS total FROM std ORDER BY RuleScore DESC, AccountNo LIMIT 200",
-    ),
-)
-def q_scored_page(spark, d):
-    return files.record_page(std_scored(spark, d), files.clamp_limit(200, 5000),
-                             [F.col("RuleScore").desc(), F.col("AccountNo")])
-
-
-@register(
-    "pipeline_counts",
-    O.with_ctes(
-        PLAN_CHAIN,
-        "SELECT (SELECT count(*) FROM std) AS scored_accounts, "
-        "(SELECT count(*) FROM (SELECT * FROM std LIMIT 100)) AS top_risky_accounts, "
-        "(SELECT count(*) FROM plan) AS visit_plan_rows, "
-        "(SELECT count(DISTINCT OfficerId) FROM plan) AS officer_kpi_rows",
-    ),
-)
-def q_pipeline_counts(spark, d):
-    out = pipeline.run(loans(spark, d), PLAN_DATE, mode="rule")
-    parts = [
-        out.scored.agg(F.count(F.lit(1)).alias("scored_accounts")),
-        out.top_risky.agg(F.count(F.lit(1)).alias("top_risky_accounts")),
-        out.visit_plan.agg(F.count(F.lit(1)).alias("visit_plan_rows")),
-        out.officer_kpis.agg(F.count(F.lit(1)).alias("officer_kpi_rows")),
-    ]
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.crossJoin(p)
-    return res
-
-
-# ---------------------------------------------------------------------------
-# job log
-# ---------------------------------------------------------------------------
-
-AS_OF = V.AS_OF
-A = f"timestamp '{AS_OF}'"
-J = [O.JOB]
-KNOWN_TYPES = ["type_0", "type_1", "type_2", "type_3", "type_4"]
-
-
-def jobs(spark, d):
-    return V.job_view(spark, d)
-
-
-register(
-    "jobs_by_status",
-    O.with_ctes(J, f"SELECT {O.JOB_COLS} FROM job WHERE status = 'dead_letter' ORDER BY updated_at DESC, job_id DESC LIMIT 50"),
-)(lambda spark, d: jl.jobs_by_status(jobs(spark, d), " Dead_Letter ", 50))
-register(
-    "jobs_due",
-    O.with_ctes(J, f"SELECT * FROM job WHERE status = 'queued' AND (next_attempt_at IS NULL OR next_attempt_at <= {A}) "
-                   "ORDER BY next_attempt_at ASC NULLS FIRST, created_at, job_id"),
-)(lambda spark, d: jl.jobs_due(jobs(spark, d), AS_OF))
-register(
-    "jobs_active_latest",
-    O.with_ctes(J, "SELECT job_type, job_id, status, created_at, updated_at, attempts FROM ("
-                   "SELECT *, row_number() OVER (PARTITION BY job_type ORDER BY updated_at DESC, job_id DESC) AS rn "
-                   "FROM job WHERE status IN ('queued', 'running')) WHERE rn = 1"),
-)(lambda spark, d: jl.active_latest_by_type(jobs(spark, d)))
-register(
-    "job_stats",
-    O.with_ctes(
-        J,
-        "SELECT *, paused AND running = 0 AS drained, queued >= 500 AS capacity_exceeded FROM (SELECT "
-        + ", ".join(f"{O.cnt(f'status = {O.q(s)}')} AS {s}" for s in ["queued", "running", "succeeded", "dead_letter", "canceled"])
-        + ", count(*) AS total, "
-        + ", ".join(f"min(CASE WHEN status = '{s}' THEN created_at END) AS oldest_{s}" for s in ["queued", "running", "dead_letter"])
-        + ", false AS paused FROM job)",
-    ),
-)(lambda spark, d: jl.job_stats(jobs(spark, d)))
-register(
-    "job_type_stats",
-    O.with_ctes(J, "SELECT job_type, " + ", ".join(f"{O.cnt(f'status = {O.q(s)}')} AS {s}" for s in ["queued", "running", "dead_letter"])
-                + ", count(*) AS total FROM job GROUP BY job_type ORDER BY total DESC, job_type LIMIT 50"),
-)(lambda spark, d: jl.job_type_stats(jobs(spark, d), 50))
-register(
-    "queue_age",
-    O.with_ctes(J, "SELECT queued, oldest_queued_at, age AS oldest_queued_age_seconds, cast(300 AS double) AS threshold_seconds, "
-                   "coalesce(age >= 300, false) AS breached FROM (SELECT count(*) AS queued, min(created_at) AS oldest_queued_at, "
-                   f"CASE WHEN min(created_at) IS NOT NULL THEN greatest({O.secs('min(created_at)', A)}, cast(0 AS double)) END AS age "
-                   "FROM job WHERE status = 'queued')"),
-)(lambda spark, d: jl.queue_age(jobs(spark, d), AS_OF, 300.0))
-_DL = "status = 'dead_letter'"
-_RECENT_DL = O.cnt(f"{_DL} AND updated_at >= {O.ts(jl.shifted(AS_OF, -3600))}")
-_ALL_DL = O.cnt(_DL)
-register(
-    "dead_letter_rate",
-    O.with_ctes(J, "SELECT *, cast(3600 AS double) AS window_seconds, cast(1 AS double) AS threshold_per_minute, "
-                   "recent_dead_letter / cast(60 AS double) AS rate_per_minute, recent_dead_letter / cast(60 AS double) >= 1 AS breached "
-                   f"FROM (SELECT {_RECENT_DL} AS recent_dead_letter, {_ALL_DL} AS total_dead_letter FROM job)"),
-)(lambda spark, d: jl.dead_letter_rate(jobs(spark, d), AS_OF, 3600.0, 1.0))
-register(
-    "dead_letter_types",
-    O.with_ctes(J, "SELECT job_type, count(*) AS dead_letter FROM job WHERE status = 'dead_letter' GROUP BY job_type "
-                   "ORDER BY dead_letter DESC, job_type LIMIT 10"),
-)(lambda spark, d: jl.dead_letter_top_types(jobs(spark, d), 10))
-_RC, _PC = O.ts(jl.shifted(AS_OF, -3600)), O.ts(jl.shifted(AS_OF, -7200))
-register(
-    "dead_letter_trend",
-    O.with_ctes(J, "SELECT *, cast(3600 AS double) AS window_seconds, recent_count - previous_count AS delta, "
-                   "CASE WHEN recent_count > previous_count THEN 'up' WHEN recent_count < previous_count THEN 'down' ELSE 'flat' END AS direction "
-                   f"FROM (SELECT {O.cnt(f'{_DL} AND updated_at >= {_RC}')} AS recent_count, "
-                   f"{O.cnt(f'{_DL} AND updated_at >= {_PC} AND updated_at < {_RC}')} AS previous_count FROM job)"),
-)(lambda spark, d: jl.dead_letter_trend(jobs(spark, d), AS_OF, 3600.0))
-register(
-    "dead_letter_errors",
-    O.with_ctes(J, "SELECT coalesce(nullif(trim(error), ''), '(no error message)') AS error_message, count(*) AS dead_letter "
-                   "FROM job WHERE status = 'dead_letter' GROUP BY 1 ORDER BY dead_letter DESC, error_message LIMIT 10"),
-)(lambda spark, d: jl.dead_letter_errors(jobs(spark, d), 10))
-register(
-    "queued_oldest",
-    O.with_ctes(J, f"SELECT {O.JOB_COLS} FROM job WHERE status = 'queued' ORDER BY created_at, job_id LIMIT 20"),
-)(lambda spark, d: jl.oldest_queued(jobs(spark, d), 20))
-register(
-    "dead_letter_recent",
-    O.with_ctes(J, f"SELECT {O.JOB_COLS} FROM job WHERE status = 'dead_letter' ORDER BY updated_at DESC, job_id DESC LIMIT 20"),
-)(lambda spark, d: jl.recent_dead_letters(jobs(spark, d), 20))
-register(
-    "stale_recovery",
-    O.with_ctes(J, "SELECT job_id, job_type, CASE WHEN attempts < max_attempts THEN 'queued' ELSE 'dead_letter' END AS status, "
-                   f"CASE WHEN attempts < max_attempts THEN {O.q(STALE_REQUEUED)} ELSE {O.q(STALE_EXHAUSTED)} END AS error, "
-                   f"attempts, max_attempts, CASE WHEN attempts < max_attempts THEN {A} END AS next_attempt_at, {A} AS updated_at "
-                   f"FROM job WHERE status = 'running' AND updated_at <= {O.ts(jl.shifted(AS_OF, -300))}"),
-)(lambda spark, d: jl.stale_recovery(jobs(spark, d), AS_OF, 300.0))
-
-
-def failures(spark, d):
-    j = jobs(spark, d).filter(F.col("status") == "running")
-    return j.withColumn("error", F.coalesce(F.col("error"), F.lit("handler failed")))
-
-
-register(
-    "retry_transition",
-    O.with_ctes(J, "SELECT job_id, job_type, CASE WHEN attempts < max_attempts THEN 'queued' ELSE 'dead_letter' END AS status, "
-                   "cast(NULL AS varchar) AS result_json, coalesce(error, 'handler failed') AS error, attempts, max_attempts, "
-                   f"CASE WHEN attempts < max_attempts THEN {A} + to_microseconds(cast(attempts * cast(200000 AS double) AS bigint)) END "
-                   f"AS next_attempt_at, {A} AS updated_at FROM job WHERE status = 'running'"),
-)(lambda spark, d: jl.retry_transition(failures(spark, d), AS_OF, 0.2))
-_KNOWN_SQL = ", ".join(O.q(t) for t in KNOWN_TYPES)
-register(
-    "requeue_candidates",
-    O.with_ctes(J, f"SELECT job_id, job_type, 'queued' AS status, 0 AS attempts, cast(NULL AS varchar) AS result_json, "
-                   f"cast(NULL AS varchar) AS error, {A} AS next_attempt_at, {A} AS updated_at FROM ("
-                   "SELECT * FROM job WHERE status = 'dead_letter' ORDER BY updated_at, job_id LIMIT 100) "
-                   f"WHERE job_type IN ({_KNOWN_SQL})"),
-)(lambda spark, d: jl.requeue_candidates(jobs(spark, d), spark.createDataFrame([(t,) for t in KNOWN_TYPES], "job_type string"),
-                                         AS_OF, None, 100))
-register(
-    "cancel_candidates",
-    O.with_ctes(J, f"SELECT job_id, job_type, 'canceled' AS status, cast(NULL AS timestamp) AS next_attempt_at, {A} AS updated_at "
-                   "FROM (SELECT * FROM job WHERE status = 'queued' ORDER BY created_at, job_id LIMIT 200)"),
-)(lambda spark, d: jl.cancel_candidates(jobs(spark, d), AS_OF, None, 200))
-register(
-    "retention_keep",
-    O.with_ctes(J, "SELECT * FROM job WHERE NOT (status IN ('succeeded', 'dead_letter', 'canceled') "
-                   f"AND updated_at <= {O.ts(jl.shifted(AS_OF, -86400))})"),
-)(lambda spark, d: jl.retention_keep(jobs(spark, d), AS_OF, 86400.0))
-
-
-def annotations(spark, d):
-    j = jobs(spark, d)
-    raw = j.select(
-        F.col("job_id").alias("annotation_id"),
-        F.col("job_type").alias("scope"),
-        F.col("error").alias("summary"),
-        F.to_json(F.struct("job_id", "attempts")).alias("details_json"),
-        F.lit("system").alias("created_by"),
-        F.lit("ops").alias("created_by_role"),
-        F.col("updated_at").alias("created_at"),
-    )
-    ok, _ = jl.normalize_annotations(raw)
-    return ok
-
-
-def decisions(spark, d):
-    j = jobs(spark, d)
-    allowed = F.col("status") != "dead_letter"
-    return j.select(
-        F.col("job_id").alias("decision_id"),
-        F.lower(F.trim(F.col("job_type"))).alias("decision_type"),
-        allowed.cast("int").alias("allowed"),
-        F.when(allowed, 200).otherwise(503).alias("status_code"),
-        F.to_json(F.struct("status", "attempts")).alias("payload_json"),
-        F.lit("system").alias("created_by"),
-        F.lit("ops").alias("created_by_role"),
-        F.col("updated_at").alias("created_at"),
-    )
-
-
-register(
-    "incident_log",
-    O.with_ctes(J, "SELECT * FROM (SELECT job_id AS annotation_id, "
-                   "CASE WHEN lower(trim(job_type)) = '' THEN 'rollout' ELSE lower(trim(job_type)) END AS scope, "
-                   "trim(coalesce(error, '')) AS summary, json_object('job_id', job_id, 'attempts', attempts)::varchar AS details_json, "
-                   "'system' AS created_by, 'ops' AS created_by_role, updated_at AS created_at FROM job) "
-                   "WHERE summary <> '' AND scope = 'type_1' ORDER BY created_at DESC, annotation_id DESC LIMIT 500"),
-)(lambda spark, d: jl.list_log(annotations(spark, d), "scope", " TYPE_1", 500))
-register(
-    "gate_decisions_log",
-    O.with_ctes(J, "SELECT * FROM (SELECT job_id AS decision_id, lower(trim(job_type)) AS decision_type, "
-                   "CASE WHEN status <> 'dead_letter' THEN 1 ELSE 0 END AS allowed, "
-                   "CASE WHEN status <> 'dead_letter' THEN 200 ELSE 503 END AS status_code, "
-                   "json_object('status', status, 'attempts', attempts)::varchar AS payload_json, "
-                   "'system' AS created_by, 'ops' AS created_by_role, updated_at AS created_at FROM job) "
-                   "WHERE decision_type = 'type_2' ORDER BY created_at DESC, decision_id DESC LIMIT 500"),
-)(lambda spark, d: jl.list_log(decisions(spark, d), "decision_type", "type_2", 500))
-
-
-# ---------------------------------------------------------------------------
-# alert signals, remediation, gates, rollout
-# ---------------------------------------------------------------------------
-
-SIG_BAL = J + O.signals_sql(og.BALANCED, AS_OF, jl.shifted)
-SIG_ALL = J + O.signals_sql(POLICY_PRESETS, AS_OF, jl.shifted)
-SL = O.signal_rows(SIGNAL_RECOMMENDATION, SIGNAL_PRIORITY)
-SNAP_SQL = "SELECT job_type, policy, " + ", ".join(og.SNAPSHOT_COLUMNS) + " FROM sig"
-
-
-def sig(spark, d, presets=None):
-    return og.signals(jobs(spark, d), AS_OF, presets or og.BALANCED)
-
-
-register("ops_signals", O.with_ctes(SIG_BAL, SNAP_SQL))(lambda spark, d: og.snapshot(sig(spark, d)))
-register(
-    "ops_failing",
-    O.with_ctes(
-        SIG_BAL + [SL],
-        "SELECT job_type, policy, severity, breached, cast(failing_count AS int) AS failing_count, 3 AS total_signals, "
-        "cast(row_number() OVER (PARTITION BY job_type, policy ORDER BY pos0) - 1 AS int) AS position, signal, signal_status, "
-        "recommendation FROM sl WHERE b "
-        "UNION ALL SELECT job_type, policy, severity, breached, cast(failing_count AS int), 3, 0, cast(NULL AS varchar), 'ok', "
-        f"{O.q(NO_ACTION)} FROM sig WHERE failing_count = 0",
-    ),
-)(lambda spark, d: og.failing_signals(sig(spark, d)))
-register(
-    "ops_remediation",
-    O.with_ctes(
-        SIG_BAL + [SL],
-        "SELECT job_type, policy, severity, cast(row_number() OVER (PARTITION BY job_type, policy ORDER BY priority) - 1 AS int) "
-        "AS position, signal, signal_status AS status, priority, recommendation AS action, "
-        + "CASE signal " + " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in SIGNAL_ENDPOINT.items())
-        + " END AS endpoint_hint FROM sl WHERE b",
-    ),
-)(lambda spark, d: og.remediation_actions(sig(spark, d)))
-
-SUMMARY_COLS = ["job_type", "policy", "severity", "breached", "failing_count", "total_actions", "critical_actions",
-                "warning_actions", "top_priority_signal", "deployment_allowed", "recommended_status_code", "summary"]
-register(
-    "ops_remediation_summary",
-    O.with_ctes(
-        SIG_BAL,
-        "SELECT job_type, policy, severity, breached, cast(failing_count AS int) AS failing_count, "
-        "cast(failing_count AS int) AS total_actions, "
-        "cast(worker_breached AS int) + cast(dead_letter_rate_breached AS int) AS critical_actions, "
-        "cast(queue_age_breached AS int) AS warning_actions, "
-        "CASE WHEN worker_breached THEN 'worker' WHEN dead_letter_rate_breached THEN 'dead_letter_rate' "
-        "WHEN queue_age_breached THEN 'queue_age' END AS top_priority_signal, NOT breached AS deployment_allowed, "
-        "CASE WHEN breached THEN 503 ELSE 200 END AS recommended_status_code, "
-        f"CASE WHEN failing_count > 0 THEN concat(cast(failing_count AS varchar), {O.q(REMEDIATION_PENDING_SUFFIX)}) "
-        f"ELSE {O.q(REMEDIATION_CLEAR)} END AS summary FROM sig",
-    ),
-)(lambda spark, d: og.remediation_summary(sig(spark, d)).select(*SUMMARY_COLS))
-
-GATE_COLS = ["job_type", "policy", "severity", "breached", "failing_count", "healthy", "healthy_strict", "relaxed_pass",
-             "strict_pass", "relaxed_status_code", "strict_status_code", "recommended_mode", "deployment_allowed",
-             "recommended_status_code", "reasons"]
-_REASONS = (
-    "CASE WHEN failing_count = 0 THEN " + O.q(ALL_CLEAR_REASON) + " ELSE concat_ws(' | ', "
-    + ", ".join(f"CASE WHEN {flag} THEN {O.q(name + ': ' + SIGNAL_RECOMMENDATION[name])} END"
-                for name, flag in [("worker", "worker_breached"), ("queue_age", "queue_age_breached"),
-                                   ("dead_letter_rate", "dead_letter_rate_breached")])
-    + ") END"
-)
-register(
-    "ops_gate",
-    O.with_ctes(
-        SIG_BAL,
-        "SELECT job_type, policy, severity, breached, cast(failing_count AS int) AS failing_count, "
-        "severity <> 'critical' AS healthy, severity = 'ok' AS healthy_strict, severity <> 'critical' AS relaxed_pass, "
-        "severity = 'ok' AS strict_pass, CASE WHEN severity <> 'critical' THEN 200 ELSE 503 END AS relaxed_status_code, "
-        "CASE WHEN severity = 'ok' THEN 200 ELSE 503 END AS strict_status_code, "
-        "CASE WHEN severity = 'ok' THEN 'strict' WHEN severity <> 'critical' THEN 'relaxed' ELSE 'block' END AS recommended_mode, "
-        "severity <> 'critical' AS deployment_allowed, CASE WHEN severity <> 'critical' THEN 200 ELSE 503 END AS recommended_status_code, "
-        f"{_REASONS} AS reasons FROM sig",
-    ),
-)(lambda spark, d: og.gate(sig(spark, d)).select(*GATE_COLS))
-
-ROLLOUT_COLS = ["job_type", "policy", "severity", "prod_pass", "staging_pass", "dev_pass", "recommended_profile",
-                "next_profile", "recommended_action", "promotion_path", "highest_eligible_profile", "release_readiness",
-                "blocking_profiles", "eligible_stages", "blocked_stages", "total_stages", "suppression_active", "suppressed",
-                "deployment_allowed", "recommended_status_code"]
-SUPPRESS_UNTIL = "2024-01-31T06:00:00Z"
-
-
-def rollout_sql(suppress_active: bool) -> str:
-    prof = "CASE WHEN severity = 'ok' THEN 'prod' WHEN severity <> 'critical' THEN 'staging' ELSE 'block' END"
-    act = "true" if suppress_active else "false"
-    return (
-        f"SELECT *, allowed OR suppressed AS deployment_allowed, "
-        "CASE WHEN allowed OR suppressed THEN 200 ELSE 503 END AS recommended_status_code FROM ("
-        "SELECT job_type, policy, severity, severity = 'ok' AS prod_pass, severity <> 'critical' AS staging_pass, "
-        f"severity <> 'critical' AS dev_pass, {prof} AS recommended_profile, "
-        f"CASE WHEN {prof} <> 'block' THEN {prof} END AS next_profile, "
-        f"CASE {prof} " + " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in PROFILE_ACTIONS.items()) + " END AS recommended_action, "
-        f"CASE {prof} WHEN 'prod' THEN 'dev>staging>prod' WHEN 'staging' THEN 'dev>staging' WHEN 'dev' THEN 'dev' ELSE '' END AS promotion_path, "
-        f"CASE WHEN {prof} <> 'block' THEN {prof} END AS highest_eligible_profile, "
-        f"CASE {prof} " + " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in PROFILE_READINESS.items()) + " END AS release_readiness, "
-        "concat_ws(',', CASE WHEN severity = 'critical' THEN 'dev' END, CASE WHEN severity = 'critical' THEN 'staging' END, "
-        "CASE WHEN severity <> 'ok' THEN 'prod' END) AS blocking_profiles, "
-        "cast(severity = 'ok' AS int) + 2 * cast(severity <> 'critical' AS int) AS eligible_stages, "
-        "3 - (cast(severity = 'ok' AS int) + 2 * cast(severity <> 'critical' AS int)) AS blocked_stages, 3 AS total_stages, "
-        f"{act} AS suppression_active, {act} AND severity = 'warning' AS suppressed, {prof} <> 'block' AS allowed FROM sig)"
-    )
-
-
-register(
-    "ops_rollout",
-    O.with_ctes(SIG_BAL, "SELECT " + ", ".join(ROLLOUT_COLS) + f" FROM ({rollout_sql(True)})"),
-)(lambda spark, d: og.rollout(sig(spark, d), SUPPRESS_UNTIL, AS_OF).select(*ROLLOUT_COLS))
-
-MATRIX_COLS = ["job_type", "policy", "queue_age_threshold_seconds", "dead_letter_window_seconds",
-               "dead_letter_threshold_per_minute", "severity", "breached", "failing_count", "recent_dead_letter",
-               "dead_letter_rate_per_minute", "recommended_profile", "release_readiness", "deployment_allowed",
-               "recommended_status_code"]
-register(
-    "ops_policy_matrix",
-    O.with_ctes(
-        SIG_ALL,
-        "SELECT r.job_type, r.policy, queue_age_threshold_seconds, dead_letter_window_seconds, dead_letter_threshold_per_minute, "
-        "r.severity, breached, cast(failing_count AS int) AS failing_count, recent_dead_letter, dead_letter_rate_per_minute, "
-        "recommended_profile, release_readiness, deployment_allowed, recommended_status_code "
-        f"FROM ({rollout_sql(False)}) r JOIN sig ON r.job_type = sig.job_type AND r.policy = sig.policy",
-    ),
-)(lambda spark, d: og.rollout(og.with_failing(sig(spark, d, POLICY_PRESETS)).drop("_failing")).select(*MATRIX_COLS))
-
-
-# ---------------------------------------------------------------------------
-# request log
-# ---------------------------------------------------------------------------
-
-R = [O.REQUEST]
-
-
-def requests(spark, d):
-    return V.request_view(spark, d)
-
-
-register(
-    "requests_by_route",
-    O.with_ctes(R, "SELECT route, concat(cast(floor(status_code / 100) AS bigint), 'xx') AS status_group, count(*) AS requests, "
-                   f"{O.cnt('status_code >= 500')} AS errors_5xx FROM req GROUP BY 1, 2"),
-)(lambda spark, d: rl.requests_by_route(requests(spark, d)))
-_BUCKET = "CASE " + " ".join(f"WHEN duration_ms <= {O._f(b)} THEN {i}" for i, b in enumerate(LATENCY_BUCKETS_MS)) + \
-    f" ELSE {len(LATENCY_BUCKETS_MS)} END"
-_LABELS = ", ".join(f"({i}, '{b:.0f}')" for i, b in enumerate(LATENCY_BUCKETS_MS)) + f", ({len(LATENCY_BUCKETS_MS)}, '+Inf')"
-register(
-    "latency_histogram",
-    O.with_ctes(R, f"SELECT l.bucket, le, coalesce(c.n, 0) AS bucket_count, "
-                   "cast(sum(coalesce(c.n, 0)) OVER (ORDER BY l.bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint) "
-                   "AS cumulative_count "
-                   f"FROM (VALUES {_LABELS}) l(bucket, le) LEFT JOIN (SELECT {_BUCKET} AS bucket, count(*) AS n FROM req "
-                   "WHERE duration_ms IS NOT NULL AND NOT isnan(duration_ms) GROUP BY 1) c ON l.bucket = c.bucket"),
-)(lambda spark, d: rl.latency_histogram(requests(spark, d)))
-register(
-    "trailing_attempts",
-    O.with_ctes(R, "SELECT *, count(*) OVER (PARTITION BY client_key ORDER BY epoch_us(ts) "
-                   "RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) AS trailing_attempts FROM req"),
-)(lambda spark, d: rl.trailing_attempts(requests(spark, d), 60))
-# admission depends on earlier admissions: no SQL frame expresses it -> rows-only check
-register("rate_limit_admission")(lambda spark, d: rl.rate_limit_admission(requests(spark, d), 30, 60))
-
-
-# ---------------------------------------------------------------------------
-# applicants
-# ---------------------------------------------------------------------------
-
-AP = [O.APPLICANT]
-_PTS = {"deviceTenure": DEVICE_TENURE_POINTS, "employmentType": EMPLOYMENT_POINTS, "utilityHistory": UTILITY_POINTS}
-
-
-def _pts_sql(c):
-    return "CASE " + c + " " + " ".join(f"WHEN {O.q(k)} THEN {v}" for k, v in _PTS[c].items()) + " END"
-
-
-_RAW = (
-    "cast(500 AS double) + rechargeFrequency * 5 + mobileMoney * cast(1.2 AS double) + geoConsistency * cast(1.1 AS double) + "
-    + " + ".join(_pts_sql(c) for c in _PTS)
-    + " - greatest(cast(0 AS double), (requestedLoan - cast(15000 AS double)) / cast(500 AS double))"
-)
-
-
-def applicants(spark, d):
-    return V.applicant_view(spark, d)
-
-
-register(
-    "alt_score",
-    O.with_ctes(
-        AP,
-        "SELECT *, greatest(cast(0.04 AS double), least(cast(0.42 AS double), (850 - score) / cast(950 AS double))) AS pd, "
-        "greatest(5000, cast(floor((score - 300) * cast(55 AS double) + cast(0.5 AS double)) AS int)) AS loan_cap, "
-        + ", ".join(
-            f"CASE WHEN score >= {APPROVE_SCORE} THEN {O.q(hi)} WHEN score < {RESTRICT_SCORE} THEN {O.q(lo)} ELSE {O.q(mid)} END AS {name}"
-            for name, hi, lo, mid in [("risk_band", BAND_LOW, BAND_HIGH, BAND_MEDIUM),
-                                      ("decision", DECISION_APPROVE, DECISION_RESTRICT, DECISION_REVIEW),
-                                      ("approval_mode", MODE_AUTO, MODE_MANUAL, MODE_CONDITIONAL)]
-        )
-        + " "
-        f"FROM (SELECT *, greatest(320, least(850, cast(floor(({_RAW}) + cast(0.5 AS double)) AS int))) AS score FROM app)",
-    ),
-)(lambda spark, d: ap.alt_score(applicants(spark, d)))
-
-_REASON_CASES = [
-    f"CASE WHEN rechargeFrequency >= 16 THEN {O.q(REASON_RECHARGE_HIGH)} ELSE {O.q(REASON_RECHARGE_LOW)} END",
-    f"CASE WHEN mobileMoney >= 65 THEN {O.q(REASON_MONEY_HIGH)} ELSE {O.q(REASON_MONEY_LOW)} END",
-    f"CASE WHEN geoConsistency >= 70 THEN {O.q(REASON_GEO_HIGH)} ELSE {O.q(REASON_GEO_LOW)} END",
-    f"CASE WHEN deviceTenure = 'established' THEN {O.q(REASON_TENURE_ESTABLISHED)} WHEN deviceTenure = 'new' THEN {O.q(REASON_TENURE_NEW)} END",
-    f"CASE WHEN employmentType = 'salary' THEN {O.q(REASON_SALARY)} WHEN employmentType = 'merchant' THEN {O.q(REASON_MERCHANT)} END",
-    f"CASE WHEN utilityHistory = 'strong' THEN {O.q(REASON_UTILITY)} END",
-    f"CASE WHEN requestedLoan > 30000 THEN {O.q(REASON_LOAN_HIGH)} END",
-]
-register(
-    "alt_reasons",
-    O.with_ctes(
-        AP,
-        "SELECT applicant_id, cast(rn AS int) AS reason_rank, reason FROM (SELECT applicant_id, reason, "
-        "row_number() OVER (PARTITION BY applicant_id ORDER BY k) AS rn FROM ("
-        + " UNION ALL ".join(f"SELECT applicant_id, {i} AS k, {c} AS reason FROM app" for i, c in enumerate(_REASON_CASES))
-        + ") WHERE reason IS NOT NULL) WHERE rn <= 4",
-    ),
-)(lambda spark, d: ap.alt_reasons(applicants(spark, d)))
-
-
-# ---------------------------------------------------------------------------
-# model (rows-only checks: Spark ML and the SQL engine share no trainer)
-# ---------------------------------------------------------------------------
-
-
-_MODEL_COLS = ", ".join(["AccountNo", "WillDefault"] + [f"cast({c} AS double) AS {c}" for c in MODEL_NUMERIC]
-                       + MODEL_CATEGORICAL)
-_MODEL_FRAME = f"model_frame AS (SELECT {_MODEL_COLS} FROM scored WHERE WillDefault IS NOT NULL)"
-_DRAW = ("(cast(('0x' || substr(md5(concat_ws('|', cast(AccountNo AS varchar), cast(WillDefault AS varchar), '42')), 1, 8))"
-         " AS BIGINT) % 1000000) / cast(1000000 AS double)")
-
-
-@register("model_features", O.with_ctes(O.LOAN_CHAIN + [_MODEL_FRAME], "SELECT * FROM model_frame"))
-def q_model_features(spark, d):
-    from ..operators import ml
-
-    return ml.model_frame(scored(spark, d)).select("AccountNo", ml.LABEL, *ml.MODEL_NUMERIC, *ml.MODEL_CATEGORICAL)
-
-
-@register(
-    "model_split",
-    O.with_ctes(
-        O.LOAN_CHAIN + [_MODEL_FRAME],
-        f"SELECT WillDefault, CASE WHEN {_DRAW} < 0.3 THEN 'test' ELSE 'train' END AS split, count(*) AS rows "
-        "FROM model_frame GROUP BY 1, 2",
-    ),
-)
-def q_model_split(spark, d):
-    from ..operators import ml
-
-    split = ml.stratified_split(ml.model_frame(scored(spark, d)))
-    return split.groupBy(ml.LABEL, "split").agg(F.count(F.lit(1)).alias("rows"))
-
-
-@register("model_metrics")
-def q_model_metrics(spark, d):
-    from ..operators import ml
-
-    model, test_df = ml.train(scored(spark, d))
-    return ml.metrics(model, test_df)
-
-
-@register("scored_model")
-def q_scored_model(spark, d):
-    from ..operators import ml
-
-    model, _ = ml.train(scored(spark, d))
-    return ml.score_regular(scored(spark, d), model).select(
-        "AccountNo", "RuleScore", "RuleRiskCategory", "PredDefaultProbability", "ModelRiskCategory"
-    )
-
-
-@register("top_risky_model")
-def q_top_risky_model(spark, d):
-    return top_by(q_scored_model(spark, d), "PredDefaultProbability", 100)
-
-
-# ---------------------------------------------------------------------------
-# windowed counts (batch form of the streaming queries R2 / R3)
-# ---------------------------------------------------------------------------
-
-register(
-    "dead_letter_windows",
-    O.with_ctes(
-        J,
-        "SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, job_type, count(*) AS dead_letter FROM ("
-        "SELECT job_type, updated_at, time_bucket(INTERVAL 5 MINUTE, updated_at) - k * INTERVAL 5 MINUTE AS window_start "
-        "FROM job CROSS JOIN range(12) r(k) WHERE status = 'dead_letter') "
-        "WHERE updated_at >= window_start AND updated_at < window_start + INTERVAL 1 HOUR GROUP BY 1, 2, 3",
-    ),
-)(lambda spark, d: streams.dead_letters_per_window(jobs(spark, d)))
-_LE = ", ".join(f"{O.cnt(f'duration_ms <= {O._f(b)}')} AS le_{int(b)}" for b in LATENCY_BUCKETS_MS)
-register(
-    "request_windows",
-    O.with_ctes(
-        R,
-        "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE "
-        "AS window_end, route, concat(cast(floor(status_code / 100) AS bigint), 'xx') AS status_group, count(*) AS requests, "
-        f"{O.cnt('status_code >= 500')} AS errors_5xx, {_LE} FROM req GROUP BY 1, 2, 3, 4",
-    ),
-)(lambda spark, d: streams.requests_per_window(requests(spark, d)))
-
-
-# ---------------------------------------------------------------------------
-# cleaning on a book with missing cells (exact medians, Unknown fills)
-# ---------------------------------------------------------------------------
-
-register("scan_clean_gaps", O.with_ctes([O.LOAN_GAPS, O.CLEAN_GAPS], "SELECT * FROM clean"))(
-    lambda spark, d: clean(V.loan_view_with_gaps(spark, d))
-)
-register(
-    "rule_score_gaps",
-    O.with_ctes([O.LOAN_GAPS, O.CLEAN_GAPS, O.FEATURES, O.SCORED.split(",\nstd AS")[0]],
-                "SELECT AccountNo, AgeDays, PrincipalOS, Sector, RepaymentFrequency, ArrearRatio, LTVRatio, "
-                "DelinquencyScore, SectorRiskScore, RuleScore, RuleRiskCategory FROM scored"),
-)(lambda spark, d: rule_score(engineer(clean(V.loan_view_with_gaps(spark, d)))).select(
-    "AccountNo", "AgeDays", "PrincipalOS", "Sector", "RepaymentFrequency", "ArrearRatio", "LTVRatio",
-    "DelinquencyScore", "SectorRiskScore", "RuleScore", "RuleRiskCategory"))
-
-
-# the original default path scores with the model before planning (rows-only)
-def plan_model(spark, d):
-    out = pipeline.run(loans(spark, d), PLAN_DATE, feedback_raw(spark, d), mode="model")
-    return out.visit_plan, out.officer_kpis
-
-
-register("visit_plan_model")(lambda spark, d: plan_model(spark, d)[0])
-register("officer_kpis_model")(lambda spark, d: plan_model(spark, d)[1])
