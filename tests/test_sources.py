@@ -86,3 +86,12 @@ def test_feedback_log_parquet(spark, tmp_path):
     spark.createDataFrame([("ACC_1", "Paid", 3.0)], "AccountId string, Outcome string, PromisedAmount double").write.parquet(p)
     fb = files.load_feedback(spark, p)
     assert fb.columns == FEEDBACK_COLUMNS and fb.first().PromisedAmount == 3.0
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json", "orc"])
+def test_other_formats_dispatch_by_suffix(spark, tmp_path, fmt):
+    path = str(tmp_path / f"loans.{fmt}")
+    df = spark.createDataFrame([(" STD ", 12, 1.5)], "CLStatusCode string, AgeDays int, PrincipalOS double")
+    df.write.format(fmt).save(path)
+    got = files.load_table(spark, path).first()
+    assert got.CLStatusCode == " STD " and got.AgeDays == 12 and got.PrincipalOS == 1.5
