@@ -60,3 +60,19 @@ def test_score_and_refresh_jobs(spark, tmp_path):
     fb.write_text("AccountId,Outcome,RecordedAt\nACC_1,Paid,2024-01-30T00:00:00Z\n")
     r = jobs.refresh_job(spark, f"{out}/scored_accounts", str(fb), str(tmp_path / "refresh"), as_of="2024-01-31")
     assert r["feedback_rows"] == 1 and r["visit_plan_rows"] > 0
+
+
+def test_model_save_and_reload(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from creditloom.operators import ml
+    from creditloom.plans import catalog as C
+
+    scored = C.scored(spark, SF)
+    model, _ = ml.train(scored)
+    path = str(tmp_path / "model")
+    ml.save_model(model, path)
+    again = PipelineModel.load(path)
+    a = ml.score_regular(scored, model).select("AccountNo", "PredDefaultProbability")
+    b = ml.score_regular(scored, again).select("AccountNo", "PredDefaultProbability")
+    assert a.exceptAll(b).count() == 0 and a.count() > 0

@@ -95,3 +95,14 @@ def test_other_formats_dispatch_by_suffix(spark, tmp_path, fmt):
     df.write.format(fmt).save(path)
     got = files.load_table(spark, path).first()
     assert got.CLStatusCode == " STD " and got.AgeDays == 12 and got.PrincipalOS == 1.5
+
+
+def test_resolve_source_prefers_active_file(spark, tmp_path):
+    default = tmp_path / "default.csv"
+    default.write_text("a\n1\n")
+    active = tmp_path / "active.csv"
+    assert files.resolve_source(spark, [str(active), str(default)]) == str(default)
+    active.write_text("a\n2\n")
+    assert files.resolve_source(spark, [str(active), str(default)]) == str(active)
+    with pytest.raises(FileNotFoundError):
+        files.resolve_source(spark, [str(tmp_path / "none.csv")])
