@@ -34,6 +34,7 @@ from ..schema import (
     TIP_REVIEW,
     TIP_STABLE,
 )
+from ..session import cut_lineage
 from .ordering import global_row_index, rank_within_groups
 from .scoring import id_column
 
@@ -253,7 +254,11 @@ def latest_feedback(feedback: DataFrame, tie_col: str | None = None) -> DataFram
 def apply_feedback(plan: DataFrame, feedback: DataFrame, tie_cols: list[Column] | None = None,
                    ranked: bool = True) -> DataFrame:
     """Re-score the plan with each account's latest outcome; drop paid/resolved."""
-    latest = latest_feedback(feedback).select("AccountId", "Outcome", "PromiseStatus", "SupervisorEscalation", "FieldNotes")
+    # one row per account with feedback, aggregated once: the size check and
+    # the join both read the materialised table
+    latest = cut_lineage(
+        latest_feedback(feedback).select("AccountId", "Outcome", "PromiseStatus", "SupervisorEscalation", "FieldNotes")
+    )
     base = plan.drop("DailyVisitRank", "Outcome", "PromiseStatus", "SupervisorEscalation", "FieldNotes")
     # one row per account with feedback: broadcast only when the count allows
     merged = join_small(base, latest, "AccountId", "left")
