@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import BROADCAST_MAX_ROWS
 from ..session import cut_lineage
 
 _PID, _POS = "_cl_pid", "_cl_pos"
@@ -56,9 +57,9 @@ def rank_within_groups(
     """``row_number`` of each row within ``group_cols`` by ``order_cols``.
 
     ``order_cols`` must make the order total (end with a unique key), so the
-    result is deterministic across retries. ``few_groups`` states that the
-    block table (<= partitions + groups rows) is small enough to broadcast;
-    otherwise AQE decides from its measured size.
+    result is deterministic across retries. ``few_groups`` asks for the
+    block table (<= slices + groups rows) to be broadcast once its row count
+    is checked; otherwise AQE decides from its measured size.
     """
     keys = [F.col(g) for g in group_cols] + list(order_cols)
     tagged = _sorted_slices(df, keys, partitions)
@@ -77,7 +78,9 @@ def _join_blocks(tagged: DataFrame, blocks: DataFrame, group_cols: list[str], fe
     """Rows joined to their block on (slice, group); a null group is a group too."""
     renamed = blocks.select(*[F.col(c).alias(f"_cl_b_{c}") for c in [_PID, *group_cols]],
                             *[c for c in blocks.columns if c not in (_PID, *group_cols)])
-    if few_groups:
+    # the block table has at most slices + groups rows; broadcast it only
+    # after checking that count (it is an aggregate of a materialised table)
+    if few_groups and renamed.count() <= BROADCAST_MAX_ROWS:
         renamed = F.broadcast(renamed)
     cond = F.col(_PID) == F.col(f"_cl_b_{_PID}")
     for g in group_cols:
