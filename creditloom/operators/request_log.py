@@ -55,18 +55,33 @@ def _micros(c: str, df: DataFrame | None = None) -> F.Column:
     return ntz_micros(F.col(c).cast("timestamp_ntz"))
 
 
+# Time buckets are this many windows wide; only rows in the last window of a
+# bucket are copied (as context) into the next one, so rows are shuffled
+# 1 + 1/BUCKET_WINDOWS times while every row still sees its whole window.
+BUCKET_WINDOWS = 4
+
+
+def _with_context(rows: DataFrame, window_us: int) -> DataFrame:
+    """Rows tagged with their time bucket (``_b``, own rows) plus copies of the
+    last window of each bucket tagged with the next bucket (context rows)."""
+    width = window_us * BUCKET_WINDOWS
+    b = F.floor(F.col("_t") / F.lit(width))
+    own = rows.withColumn("_b", b).withColumn("_own", F.lit(True))
+    tail = F.col("_t") >= (b + 1) * F.lit(width) - F.lit(window_us)
+    ctx = rows.where(tail).withColumn("_b", b + 1).withColumn("_own", F.lit(False))
+    return own.unionByName(ctx)
+
+
 def trailing_attempts(req: DataFrame, window_seconds: int = 60, key: str = "client_key", ts: str = "ts") -> DataFrame:
     """Attempts by the same key within [t - w, t] (peers at t included).
 
-    A hot key is split by time: rows are bucketed into windows of length
-    ``w``; every row is also copied, as context only, into the next bucket,
-    so each (key, bucket) partition holds everything its rows can see.
+    A hot key is split by time: rows are bucketed into spans of a few
+    windows; the last window of each span is copied, as context only, into
+    the next span, so each (key, bucket) partition holds everything its own
+    rows can see.
     """
     w_us = int(window_seconds * 1_000_000)
-    base = req.withColumn("_t", _micros(ts, req)).withColumn("_b", F.floor(F.col("_t") / F.lit(w_us)))
-    own = base.withColumn("_own", F.lit(True))
-    ctx = base.withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False))
-    both = own.unionByName(ctx)
+    both = _with_context(req.withColumn("_t", _micros(ts, req)), w_us)
     win = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(-w_us, 0)
     out = both.withColumn("trailing_attempts", F.count(F.lit(1)).over(win)).where("_own")
     return out.drop("_t", "_b", "_own")
@@ -113,15 +128,13 @@ def quiet_gap_segments(rows: DataFrame, window_us: int) -> DataFrame:
 
     An event whose previous event (same key) is older than the window sees
     an empty limiter state whatever happened before, so segments can be
-    scanned independently. The previous event is found per (key, time
-    bucket of one window) with the prior bucket's rows copied in as
-    context; the segment number is a distributed running count of starts.
+    scanned independently. The previous event within the window is found
+    per (key, time bucket) with the prior bucket's last window copied in as
+    context (none found means a gap of at least a window); the segment
+    number is a distributed running count of starts.
     """
-    b = F.floor(F.col("_t") / F.lit(window_us))
-    own = rows.withColumn("_b", b).withColumn("_own", F.lit(True))
-    ctx = rows.withColumn("_b", b + 1).withColumn("_own", F.lit(False))
     w = Window.partitionBy("client_key", "_b").orderBy("_t", "event_id")
-    prev = own.unionByName(ctx).withColumn("_prev", F.lag("_t").over(w)).where("_own")
+    prev = _with_context(rows, window_us).withColumn("_prev", F.lag("_t").over(w)).where("_own")
     flagged = prev.withColumn(
         "_start", (F.col("_prev").isNull() | (F.col("_prev") < F.col("_t") - F.lit(window_us))).cast("int")
     ).drop("_b", "_own", "_prev")
