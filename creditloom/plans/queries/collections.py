@@ -140,7 +140,7 @@ def q_scored_page(spark, d):
     ),
 )
 def q_pipeline_counts(spark, d):
-    out = pipeline.run(loans(spark, d), PLAN_DATE, mode="rule")
+    out = pipeline.run(loans(spark, d), PLAN_DATE, mode="rule", materialize=True)
     parts = [
         out.scored.agg(F.count(F.lit(1)).alias("scored_accounts")),
         out.top_risky.agg(F.count(F.lit(1)).alias("top_risky_accounts")),
