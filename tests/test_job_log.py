@@ -135,3 +135,18 @@ def test_annotation_log_normalized_and_listed(spark):
     from creditloom.sources.files import decode_json
 
     assert decode_json(ok, "details_json", "k int").filter("annotation_id = '1'").first().details.k == 1
+
+
+def test_policy_presets_differ_on_dead_letter_rate(spark):
+    # 8 dead letters in the last 20 minutes: 0.13/min over 1 h, 0.27/min over 30 min
+    dead = [job(f"d{i}", "dead_letter", D2000, datetime(2025, 12, 31, 23, 40 + 2 * i)) for i in range(8)]
+    sig = og.signals(frame(spark, dead), AS_OF, presets=None)
+    from creditloom.schema import POLICY_PRESETS
+
+    allp = {r.policy: r for r in og.signals(frame(spark, dead), AS_OF, presets=POLICY_PRESETS).collect()}
+    assert allp["strict-prod"].dead_letter_rate_breached and allp["strict-prod"].severity == "critical"
+    assert not allp["balanced"].dead_letter_rate_breached and allp["balanced"].severity == "ok"
+    assert allp["conservative"].recent_dead_letter == 8
+    assert sig.first().policy == "balanced"
+    roll = {r.policy: r.recommended_profile for r in og.rollout(og.signals(frame(spark, dead), AS_OF, POLICY_PRESETS)).collect()}
+    assert roll == {"strict-prod": "block", "balanced": "prod", "conservative": "prod"}
