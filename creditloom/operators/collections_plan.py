@@ -62,11 +62,8 @@ def with_risk_core(df: DataFrame) -> DataFrame:
     if "PredDefaultProbability" in df.columns:
         return df.withColumn("RiskCore", clip(F.col("PredDefaultProbability").cast("double"), 0.0, 1.0))
     if "RuleScore" in df.columns:
-        mx = df.agg(F.greatest(F.coalesce(F.max(F.col("RuleScore").cast("double")), F.lit(1.0)), F.lit(1.0)).alias("_max_rule"))
-        out = df.crossJoin(F.broadcast(mx))  # one row by construction
-        return out.withColumn(
-            "RiskCore", clip(F.col("RuleScore").cast("double") / F.col("_max_rule"), 0.0, 1.0)
-        ).drop("_max_rule")
+        mx = df.agg(F.greatest(F.coalesce(F.max(F.col("RuleScore").cast("double")), F.lit(1.0)), F.lit(1.0))).scalar()
+        return df.withColumn("RiskCore", clip(F.col("RuleScore").cast("double") / mx, 0.0, 1.0))
     return df.withColumn("RiskCore", F.lit(0.0))
 
 
@@ -87,15 +84,13 @@ def prioritize(df: DataFrame) -> DataFrame:
 def visit_candidates(scored: DataFrame) -> DataFrame:
     """Medium/High accounts; when the book has none, accounts > 15 days late.
 
-    "Has none" is a one-row flag aggregate cross-joined by broadcast, so the
-    choice needs no driver round trip and is a single filter.
+    "Has none" is a scalar subquery over the book, so the choice needs no
+    driver round trip and no join, and is a single filter.
     """
     pri = prioritize(scored)
     mh = F.col("RiskBand").isin(MEDIUM, HIGH)
-    flag = pri.agg(F.max(mh.cast("int")).alias("_any_mh"))
-    out = pri.crossJoin(F.broadcast(flag))
-    keep = F.when(F.col("_any_mh") == 1, mh).otherwise(F.col("DaysOverdue") > 15)
-    return out.filter(keep).drop("_any_mh")
+    any_mh = pri.agg(F.max(mh.cast("int"))).scalar()
+    return pri.filter(F.when(any_mh == 1, mh).otherwise(F.col("DaysOverdue") > 15))
 
 
 # ---------------------------------------------------------------------------

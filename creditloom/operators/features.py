@@ -18,14 +18,12 @@ def sector_share(df: DataFrame, sector_col: str = "Sector") -> DataFrame:
     """(Sector, Accounts, Share) with Share = accounts / all accounts.
 
     Aggregated with map-side combining, so a sector holding a third of the
-    rows costs no more than any other; the total is a one-row aggregate of
+    rows costs no more than any other; the total is a scalar subquery over
     the (sector-sized) result.
     """
     counts = df.groupBy(sector_col).agg(F.count(F.lit(1)).alias("Accounts"))
-    total = counts.agg(F.sum("Accounts").alias("_total"))
-    return counts.crossJoin(F.broadcast(total)).select(
-        sector_col, "Accounts", (F.col("Accounts") / F.col("_total")).alias("Share")
-    )
+    total = counts.agg(F.sum("Accounts")).scalar()
+    return counts.select(sector_col, "Accounts", (F.col("Accounts") / total).alias("Share"))
 
 
 def engineer(df: DataFrame) -> DataFrame:

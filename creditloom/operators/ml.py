@@ -88,8 +88,8 @@ def build_pipeline(reg_param: float) -> Pipeline:
 def with_class_weights(train: DataFrame) -> DataFrame:
     """Balanced weights n / (2 * n_class); the class-count table has two rows."""
     counts = train.groupBy(LABEL).agg(F.count(F.lit(1)).alias("_nc"))
-    total = counts.agg(F.sum("_nc").alias("_n"))
-    w = counts.crossJoin(F.broadcast(total)).select(LABEL, (F.col("_n") / (F.lit(2.0) * F.col("_nc"))).alias("class_weight"))
+    total = counts.agg(F.sum("_nc")).scalar()
+    w = counts.select(LABEL, (total / (F.lit(2.0) * F.col("_nc"))).alias("class_weight"))
     return train.join(F.broadcast(w), LABEL, "left")
 
 

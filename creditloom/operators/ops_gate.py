@@ -31,14 +31,6 @@ from .job_log import seconds_between, shifted, ts_lit
 BALANCED = [p for p in POLICY_PRESETS if p[0] == "balanced"]
 
 
-def presets_frame(spark, presets=None) -> DataFrame:
-    rows = [(p, float(a), float(w), float(t)) for p, a, w, t in (presets or POLICY_PRESETS)]
-    return spark.createDataFrame(
-        rows, "policy string, queue_age_threshold_seconds double, dead_letter_window_seconds double, "
-              "dead_letter_threshold_per_minute double"
-    )
-
-
 def _wcol(w: float) -> str:
     return f"_recent_{int(round(w * 1000))}"
 
@@ -65,8 +57,14 @@ def signals(jobs: DataFrame, as_of: str, presets=None, group_cols: list[str] | N
         )
     else:
         agg = agg.withColumn("worker_alive", F.lit(True)).withColumn("paused", F.lit(False))
-    pre = presets_frame(jobs.sparkSession, presets)
-    out = agg.crossJoin(F.broadcast(pre))  # preset table: a handful of rows fixed by code
+    # the presets are literal configuration: one exploded literal array
+    # attaches them to each aggregated group row (groups x presets, no join)
+    preset_items = F.array(*[
+        F.struct(F.lit(p).alias("policy"), F.lit(float(a)).alias("queue_age_threshold_seconds"),
+                 F.lit(float(w)).alias("dead_letter_window_seconds"), F.lit(float(t)).alias("dead_letter_threshold_per_minute"))
+        for p, a, w, t in presets
+    ])
+    out = agg.withColumn("_preset", F.explode(preset_items)).select("*", "_preset.*").drop("_preset")
     qa_thr = F.greatest(F.col("queue_age_threshold_seconds"), F.lit(0.0))
     window = F.greatest(F.col("dead_letter_window_seconds"), F.lit(1.0))
     dl_thr = F.greatest(F.col("dead_letter_threshold_per_minute"), F.lit(0.0))

@@ -75,27 +75,28 @@ def clean(df: DataFrame, approx: bool = False, medians: DataFrame | None = None,
     (sector shares, score maxima, plans) read it instead of recomputing the
     source joins, and lost executors re-read it. The census is a one-row
     aggregate; medians are computed only for columns that have nulls (for
-    the others the fill is a no-op). The medians are a one-row aggregate
-    cross-joined by broadcast.
+    the others the fill is a no-op) and reach the rows as one scalar
+    subquery (no join).
     """
     num = [c for c in numeric_columns(df) if c not in ID_CANDIDATES]
     dedup, nulls = dedupe_and_census(df, num if medians is None else [], materialize)
     fill = num if medians is not None else [c for c in num if nulls.get(c, 1) > 0]
-    joined = dedup
+    med_of = {}
     if fill:
         med = medians if medians is not None else (approx_medians(dedup, fill) if approx else exact_medians(dedup, fill))
-        med = med.select(*[F.col(c).alias(f"_med_{c}") for c in fill])
-        joined = dedup.crossJoin(F.broadcast(med))
+        # one scalar subquery holding every median, evaluated once
+        packed = med.select(F.struct(*[F.col(c).cast("double").alias(c) for c in fill])).scalar()
+        med_of = {c: packed[c] for c in fill}
     out = []
     for f in dedup.schema.fields:
         c = F.col(f.name)
         if f.name in num:
-            c = F.coalesce(c.cast("double"), F.col(f"_med_{f.name}")) if f.name in fill else c.cast("double")
+            c = F.coalesce(c.cast("double"), med_of[f.name]) if f.name in fill else c.cast("double")
         elif isinstance(f.dataType, T.StringType):
             c = strip(F.coalesce(c, F.lit("Unknown")))
         elif not isinstance(f.dataType, T.NumericType):
             c = strip(F.coalesce(c.cast("string"), F.lit("Unknown")))
         out.append(c.alias(f.name))
-    return joined.select(*out)
+    return dedup.select(*out)
 
 

@@ -141,13 +141,12 @@ def q_scored_page(spark, d):
 )
 def q_pipeline_counts(spark, d):
     out = pipeline.run(loans(spark, d), PLAN_DATE, mode="rule", materialize=True)
-    parts = [
-        out.scored.agg(F.count(F.lit(1)).alias("scored_accounts")),
-        out.top_risky.agg(F.count(F.lit(1)).alias("top_risky_accounts")),
-        out.visit_plan.agg(F.count(F.lit(1)).alias("visit_plan_rows")),
-        out.officer_kpis.agg(F.count(F.lit(1)).alias("officer_kpi_rows")),
-    ]
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.crossJoin(p)
-    return res
+    def rows(df):
+        return df.agg(F.count(F.lit(1))).scalar()
+
+    return out.scored.agg(F.count(F.lit(1)).alias("scored_accounts")).select(
+        "scored_accounts",
+        rows(out.top_risky).alias("top_risky_accounts"),
+        rows(out.visit_plan).alias("visit_plan_rows"),
+        rows(out.officer_kpis).alias("officer_kpi_rows"),
+    )

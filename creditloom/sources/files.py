@@ -211,14 +211,13 @@ def clamp_limit(n: int, cap: int) -> int:
 def record_page(df: DataFrame, limit: int, order_by: list | None = None) -> DataFrame:
     """First ``limit`` rows (text nulls as '') plus the table's total rows.
 
-    The total is a one-row aggregate cross-joined onto the (bounded) page.
+    The total is a scalar subquery attached to the (bounded) page.
     """
     page = df.orderBy(*order_by) if order_by else df
     page = page.limit(limit)
     text_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     page = page.fillna("", subset=text_cols) if text_cols else page
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    return page.crossJoin(F.broadcast(total))
+    return page.withColumn("total", df.agg(F.count(F.lit(1))).scalar())
 
 
 # ---------------------------------------------------------------------------
