@@ -4,8 +4,9 @@ Re-aimed from one service to a table: one row per monitored group (by
 default ``job_type``) and threshold preset. All counters come from ONE
 conditional aggregate over the job log (a pass per preset is never
 needed: each distinct dead-letter window is one extra conditional count);
-the small preset table (fixed by code) is cross-joined by broadcast and
-every later decision is a column expression on that signal table.
+the presets (literal configuration) are attached to each aggregated row by
+exploding a literal array, and every later decision is a column expression
+on that signal table.
 """
 
 from __future__ import annotations
