@@ -43,3 +43,10 @@ def test_filters_pushed_to_parquet(spark, tmp_path):
     plan = _plan(load_table(spark, path).filter(F.col("AgeDays") > 30).select("CLStatusCode"))
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThan\(AgeDays,30\)", plan)
     assert "ReadSchema: struct<CLStatusCode:string,AgeDays:int>" in plan
+
+
+def test_no_cross_joins(spark):
+    for name in ["top_risky_rule", "visit_plan", "visit_plan_feedback", "officer_kpis", "risk_distribution",
+                 "ranking_ratio", "scored_page", "ops_policy_matrix", "pipeline_counts", "scan_clean_gaps"]:
+        plan = _plan(C.QUERIES[name](spark, SF))
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
