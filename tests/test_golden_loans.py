@@ -175,3 +175,13 @@ def test_empty_book(spark, book):
     plan = cp.visit_plan(regular_accounts(scored_empty), "2026-01-01")
     assert plan.count() == 0 and len(plan.columns) == 17
     assert cp.officer_kpis(plan).count() == 0
+
+
+def test_clean_with_approx_medians(spark, book):
+    from pyspark.sql import functions as F
+
+    gappy = book.withColumn("AgeDays", F.when(F.col("AccountNo") == "ACC_0", F.lit(None)).otherwise(F.col("AgeDays")))
+    exact = {r.AccountNo: r.AgeDays for r in clean(gappy).collect()}
+    approx = {r.AccountNo: r.AgeDays for r in clean(gappy, approx=True).collect()}
+    assert exact["ACC_0"] == 95.0  # median of the nine other ages
+    assert abs(approx["ACC_0"] - exact["ACC_0"]) <= 40
