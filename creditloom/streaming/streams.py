@@ -25,8 +25,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.exprs import instant_to_wall, wall_to_instant
 from ..operators import collections_plan as cp
 from ..operators.request_log import LATENCY_BUCKETS_MS, status_group
-from ..session import cut_lineage
-from ..sources.files import align_feedback, canonicalize_feedback, path_exists
+from ..sources.files import align_feedback, canonicalize_feedback
 
 LATEST_PAYLOAD = ["Outcome", "PromiseStatus", "SupervisorEscalation", "FieldNotes", "RecordedAt"]
 
@@ -47,11 +46,40 @@ def _wall(c: str) -> F.Column:
 # ---------------------------------------------------------------------------
 
 
+def _versions(spark, base: str) -> list[tuple[int, str]]:
+    """(batch id, path) of the complete ``v=<id>`` versions under ``base``."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    out = []
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append((int(name[2:]), st.getPath().toString()))
+    return sorted(out)
+
+
+def read_latest(spark, latest_path: str) -> DataFrame:
+    """The current latest-per-account table written by ``feedback_ingest``."""
+    versions = _versions(spark, latest_path)
+    if not versions:
+        raise FileNotFoundError(f"No latest-feedback table under {latest_path}")
+    return spark.read.parquet(versions[-1][1])
+
+
 def feedback_ingest(stream: DataFrame, log_path: str, latest_path: str, checkpoint: str, now_ts: str, today: str,
                     watermark: str = "1 day", trigger: dict | None = None, rejected_path: str | None = None):
     """Start the ingest query; each micro-batch appends canonical rows to the
     log and merges them into the latest-per-account table. Rows without an
-    AccountId are rejected (appended to ``rejected_path`` when given)."""
+    AccountId are rejected (written under ``rejected_path`` when given).
+
+    Every write is keyed by the micro-batch id (``batch_id=<id>`` log
+    partitions, ``v=<id>`` latest versions), so a replayed batch overwrites
+    its own output instead of duplicating it; superseded latest versions
+    are removed once the new one is complete.
+    """
     accepted, rejected = canonicalize_feedback(stream, now_ts, today)
     canon = accepted.withColumn("_ok", F.lit(True))
     if rejected_path:
@@ -64,17 +92,23 @@ def feedback_ingest(stream: DataFrame, log_path: str, latest_path: str, checkpoi
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if rejected_path:
-            align_feedback(batch.filter(~F.col("_ok"))).write.mode("append").parquet(rejected_path)
+            align_feedback(batch.filter(~F.col("_ok"))).write.mode("overwrite").parquet(
+                f"{rejected_path}/batch_id={batch_id}")
         rows = align_feedback(batch.filter(F.col("_ok")).drop("_et", "_ok"))
-        rows.write.mode("append").parquet(log_path)
+        rows.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
         # latest-per-account is a max over (stamp, tie, payload): merging the
-        # previous latest table with this batch equals recomputing it over the
-        # whole log, at the cost of the latest table only
+        # previous latest version with this batch equals recomputing it over
+        # the whole log, at the cost of the latest table only
         fresh = rows.select("AccountId", *LATEST_PAYLOAD)
-        if path_exists(spark, latest_path):
-            fresh = spark.read.parquet(latest_path).select("AccountId", *LATEST_PAYLOAD).unionByName(fresh)
-        merged = cut_lineage(cp.latest_feedback(fresh))  # detach from the path it overwrites
-        merged.write.mode("overwrite").parquet(latest_path)
+        earlier = [v for v in _versions(spark, latest_path) if v[0] < batch_id]
+        if earlier:
+            fresh = spark.read.parquet(earlier[-1][1]).select("AccountId", *LATEST_PAYLOAD).unionByName(fresh)
+        cp.latest_feedback(fresh).write.mode("overwrite").parquet(f"{latest_path}/v={batch_id}")
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for _, old in earlier:
+            path = jvm.org.apache.hadoop.fs.Path(old)
+            path.getFileSystem(conf).delete(path, True)
 
     writer = dedup.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

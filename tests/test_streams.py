@@ -70,7 +70,7 @@ def test_feedback_ingest_stream(spark, events_stream):
     log_cols = list(log.columns)
     # exact duplicates (same account, stamp, outcome, promise, notes) are dropped once
     assert log.count() == batch.dropDuplicates(["AccountId", "RecordedAt", "Outcome", "PromiseStatus", "FieldNotes"]).count()
-    latest = spark.read.parquet(f"{base}/latest")
+    latest = S.read_latest(spark, f"{base}/latest")
     assert latest.count() == batch.select("AccountId").distinct().count()
     from creditloom.operators.collections_plan import latest_feedback
 
@@ -94,3 +94,26 @@ def test_dead_letter_windows_append_mode_emits_closed_windows(spark, events_stre
     missing = exp - set(got)
     # windows not emitted are the ones still open at the final watermark (max event time - 1 hour)
     assert all(m[1] > latest_end - timedelta(hours=2) for m in missing)
+
+
+def test_feedback_ingest_two_batches_keeps_one_latest_version(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    src_dir = str(tmp_path / "src")
+    events.filter("event_id < 500").coalesce(1).write.parquet(f"{src_dir}/part_a")
+    events.filter("event_id >= 500").coalesce(1).write.parquet(f"{src_dir}/part_b")
+    stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src_dir))
+    base = str(tmp_path / "out")
+    q = S.feedback_ingest(V.feedback_from_events(stream), f"{base}/log", f"{base}/latest", f"{base}/ck",
+                          "2024-01-31T00:00:00Z", "2024-01-31", watermark="3650 days")
+    q.awaitTermination(300)
+    log = spark.read.parquet(f"{base}/log")
+    assert log.select("batch_id").distinct().count() == 2
+    versions = S._versions(spark, f"{base}/latest")
+    assert len(versions) == 1
+    from creditloom.operators.collections_plan import latest_feedback
+
+    cols = ["AccountId", "Outcome", "PromiseStatus", "SupervisorEscalation", "FieldNotes", "RecordedAt"]
+    got = sorted(tuple(r[c] for c in cols) for r in S.read_latest(spark, f"{base}/latest").collect())
+    exp = sorted(tuple(r[c] for c in cols) for r in latest_feedback(log).collect())
+    assert got == exp
