@@ -130,7 +130,7 @@ def q_scored_page(spark, d):
 
 
 @register(
-    "pipeline_counts",
+    "output_counts",
     O.with_ctes(
         PLAN_CHAIN,
         "SELECT (SELECT count(*) FROM std) AS scored_accounts, "
@@ -139,7 +139,7 @@ def q_scored_page(spark, d):
         "(SELECT count(DISTINCT OfficerId) FROM plan) AS officer_kpi_rows",
     ),
 )
-def q_pipeline_counts(spark, d):
+def q_output_counts(spark, d):
     out = pipeline.run(loans(spark, d), PLAN_DATE, mode="rule", materialize=True)
     def rows(df):
         return df.agg(F.count(F.lit(1))).scalar()

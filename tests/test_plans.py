@@ -47,6 +47,6 @@ def test_filters_pushed_to_parquet(spark, tmp_path):
 
 def test_no_cross_joins(spark):
     for name in ["top_risky_rule", "visit_plan", "visit_plan_feedback", "officer_kpis", "risk_distribution",
-                 "ranking_ratio", "scored_page", "ops_policy_matrix", "pipeline_counts", "scan_clean_gaps"]:
+                 "ranking_ratio", "scored_page", "ops_policy_matrix", "output_counts", "scan_clean_gaps"]:
         plan = _plan(C.QUERIES[name](spark, SF))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
