@@ -11,6 +11,8 @@ on that signal table.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -208,6 +210,18 @@ def gate(sig: DataFrame) -> DataFrame:
     )
 
 
+def suppression_active(until: str | None, as_of: str | None) -> bool:
+    """Whether ``as_of`` (UTC wall clock) is not after the ISO-8601 ``until``
+    ('Z', an offset, or naive = UTC). Both are parameters, so this is decided
+    when the plan is built."""
+    if not until or not until.strip() or as_of is None:
+        return False
+    parsed = datetime.fromisoformat(until.strip().replace("Z", "+00:00"))
+    if parsed.tzinfo is not None:
+        parsed = parsed.astimezone(timezone.utc).replace(tzinfo=None)
+    return datetime.fromisoformat(as_of) <= parsed
+
+
 def rollout(sig: DataFrame, suppress_warning_until: str | None = None, as_of: str | None = None) -> DataFrame:
     """Profile gates (prod=strict, staging=advice, dev=relaxed) and the rollout decision.
 
@@ -229,11 +243,7 @@ def rollout(sig: DataFrame, suppress_warning_until: str | None = None, as_of: st
         ",", F.when(~dev_pass, F.lit("dev")), F.when(~staging_pass, F.lit("staging")), F.when(~prod_pass, F.lit("prod"))
     )
     eligible = prod_pass.cast("int") + staging_pass.cast("int") + dev_pass.cast("int")
-    if suppress_warning_until and suppress_warning_until.strip():
-        until = F.to_timestamp_ntz(F.regexp_replace(F.lit(suppress_warning_until.strip()), "Z$", ""))
-        active = ts_lit(as_of) <= until
-    else:
-        active = F.lit(False)
+    active = F.lit(suppression_active(suppress_warning_until, as_of))
     suppressed = active & (sev == "warning")
     return (
         sig.withColumn("prod_pass", prod_pass)

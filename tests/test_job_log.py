@@ -150,3 +150,10 @@ def test_policy_presets_differ_on_dead_letter_rate(spark):
     assert sig.first().policy == "balanced"
     roll = {r.policy: r.recommended_profile for r in og.rollout(og.signals(frame(spark, dead), AS_OF, POLICY_PRESETS)).collect()}
     assert roll == {"strict-prod": "block", "balanced": "prod", "conservative": "prod"}
+
+
+def test_suppression_window_parsing():
+    assert og.suppression_active("2999-01-01T00:00:00Z", AS_OF)
+    assert og.suppression_active("2026-01-01T05:00:00+05:00", AS_OF)  # = 00:00 UTC, inclusive
+    assert not og.suppression_active("2025-12-31T23:59:59", AS_OF)
+    assert not og.suppression_active("  ", AS_OF) and not og.suppression_active(None, AS_OF)
