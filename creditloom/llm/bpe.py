@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,9 @@ from creditloom.llm.common import doc_columns, single_threaded, slices, texts_of
 
 NEVER = 1 << 60
 #: Entries of one generation of a task's cache of encoded pieces (two are held).
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 250_000
+#: Pairs of tokens whose compatibility is remembered.
+PAIR_ENTRIES = 500_000
 #: A blank between two characters that are not white space always starts a new pre-token.
 _SAFE_BLANK = re.compile("(?<=[^\\s᠎]) (?=[^\\s᠎])")
 _UNSAFE = re.compile("[\\s᠎]{2}")
@@ -37,6 +39,13 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+#: Byte (as a Latin-1 character) to the character that stands for it.
+_SHOWN = {b: c for c, b in byte_alphabet().items()}
+#: Pre-tokens of pieces of plain letters, digits and marks; other pieces go to the library's own pattern.
+_PLAIN_ONLY = re.compile("[\\x20-\\x7e\\n\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+_PLAIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[^\\W\\d_]+| ?[0-9]+| ?(?:[^\\s\\w]|_)+|\\s+(?!\\S)|\\s+")
+
+
 class BpeModel:
     """A byte-level BPE vocabulary of the tokenizers format."""
 
@@ -49,14 +58,14 @@ class BpeModel:
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.special: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._pre = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-        self._rank: dict[tuple[int, int], int] = {}
+        self._rank: dict[int, int] = {}
         self._parts: dict[int, tuple[int, int]] = {}
         self._made: dict[int, int] = {}
         self._merged: dict[tuple[int, int], int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             a, b, c = self.vocab[left], self.vocab[right], self.vocab[left + right]
-            self._rank[a, b] = rank
+            self._rank[a << 20 | b] = rank
             self._merged[a, b] = c
             if c not in self._parts:
                 self._parts[c], self._made[c] = (a, b), rank
@@ -66,7 +75,7 @@ class BpeModel:
             self._suffixes.add_word(token, (i, len(token)))
         self._suffixes.make_automaton()
         self._stands: dict[int, bool] = {}
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
         self._right: dict[int, list[tuple[int, int]]] = {}
         self._left: dict[int, list[tuple[int, int]]] = {}
         alphabet = byte_alphabet()
@@ -76,7 +85,6 @@ class BpeModel:
             self.bytes[i] = bytes(alphabet[c] for c in token)
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
-        self._special_at = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     # -- pair compatibility
 
@@ -99,19 +107,21 @@ class BpeModel:
         A merge of two edge parts happens only before either is used up inside
         its own token; of equal merges the one further left is first.
         """
-        key = (a, b)
+        key = a << 20 | b
         known = self._apart.get(key)
         if known is None:
             known = True
-            rank = self._rank
+            rank, edge = self._rank, self._edge(a, 1, self._right)
             for y, y_used in self._edge(b, 0, self._left):
-                for x, x_used in self._edge(a, 1, self._right):
-                    r = rank.get((x, y), NEVER)
-                    if r < x_used and r <= y_used and r != NEVER:
+                for x, x_used in edge:
+                    r = rank.get(x << 20 | y)
+                    if r is not None and r < x_used and r <= y_used:
                         known = False
                         break
                 if not known:
                     break
+            if len(self._apart) >= PAIR_ENTRIES:
+                self._apart.clear()
             self._apart[key] = known
         return known
 
@@ -125,8 +135,8 @@ class BpeModel:
     def _by_merging(self, shown: str) -> list[int]:
         ids = [self.vocab[c] for c in shown]
         while len(ids) > 1:
-            best = min(zip(ids, ids[1:], strict=False), key=lambda p: self._rank.get(p, NEVER))
-            if best not in self._rank:
+            best = min(zip(ids, ids[1:], strict=False), key=lambda p: self._rank.get(p[0] << 20 | p[1], NEVER))
+            if best not in self._merged:
                 break
             out, i = [], 0
             while i < len(ids):
@@ -161,7 +171,7 @@ class BpeModel:
                 continue
             if start:
                 before = last[start]
-                ok = apart.get((before, token))
+                ok = apart.get(before << 20 | token)
                 if ok is None:
                     ok = stays(before, token)
             if ok:
@@ -173,84 +183,66 @@ class BpeModel:
         ids.reverse()
         return ids
 
-    def encode_piece(self, piece: str) -> list[int]:
-        """Ids of a piece of text without special tokens."""
-        if not piece:
-            return []
-        parts = self._pre.pre_tokenize_str(piece)
-        if len(parts) == 1:
-            return self.encode_shown(parts[0][0])
-        return [i for shown, _ in parts for i in self.encode_shown(shown)]
-
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        return [self.encode_piece(p) for p in pieces]
+    def pre_tokenize(self, piece: str) -> list[tuple[str, tuple[int, int]]]:
+        return self._pre.pre_tokenize_str(piece)
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids, special tokens included; bytes that are not UTF-8 become U+FFFD."""
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-class PieceCache(dict):
-    """Little-endian ids of pieces that follow a blank; two generations bound its size."""
+class _Generations(dict):
+    """A cache of bounded size: when one generation is full, the one before it is let go."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], entries: int = CACHE_ENTRIES):
+    def __init__(self, work, entries: int):
         super().__init__()
-        self._encode, self._entries, self._old = encode, entries, {}
+        self._work, self._entries, self._old = work, entries, {}
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        new = [p for p in set(pieces) if p not in self]
-        if len(self) + len(new) > self._entries and self:
+    def __missing__(self, key: str) -> bytes:
+        value = self._old.get(key)
+        if value is None:
+            value = self._work(key)
+        if len(self) >= self._entries:
             self._old = dict(self)
             self.clear()
-        unknown = []
-        for p in new:
-            known = self._old.get(p)
-            if known is None:
-                unknown.append(p)
-            else:
-                self[p] = known
-        for p, ids in zip(unknown, self._encode([" " + p for p in unknown]), strict=True):
-            self[p] = np.asarray(ids, dtype="<u4").tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        known = self._old.get(piece)
-        if known is None:
-            known = np.asarray(self._encode([" " + piece])[0], dtype="<u4").tobytes()
-        self[piece] = known
-        return known
+        self[key] = value
+        return value
 
 
 class TextEncoder:
     """Whole texts to little-endian unsigned 32-bit ids: texts are cut at blanks
-    that always start a pre-token, and equal pieces are encoded once."""
-
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], special: dict[str, int], entries: int = CACHE_ENTRIES):
-        self._encode, self._special = encode, special
-        self._cache = PieceCache(encode, entries)
-        self._special_at = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-
-    def _cut(self, text: str) -> list[str]:
-        return _SAFE_BLANK.split(text) if _UNSAFE.search(text) else text.split(" ")
+    that always start a pre-token, and equal pieces are encoded once while they
+    stay in the cache."""
+
+    def __init__(self, model: BpeModel, entries: int = CACHE_ENTRIES):
+        self._model, self._special = model, model.special
+        self._tokens = _Generations(self._token, entries)
+        self._pieces = _Generations(lambda piece: self._piece(" " + piece), entries)
+        self._special_at = re.compile("(" + "|".join(map(re.escape, self._special)) + ")") if self._special else None
+
+    def _token(self, shown: str) -> bytes:
+        return np.asarray(self._model.encode_shown(shown), dtype="<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        get = self._tokens.__getitem__
+        parts = _PLAIN.findall(piece) if _PLAIN_ONLY.fullmatch(piece) else None
+        if parts is None:
+            return b"".join([get(shown) for shown, _ in self._model.pre_tokenize(piece)])
+        shown = [p.encode().decode("latin-1").translate(_SHOWN) for p in parts]
+        return get(shown[0]) if len(shown) == 1 else b"".join(map(get, shown))
+
+    def _plain(self, text: str) -> bytes:
+        cut = _SAFE_BLANK.split(text) if _UNSAFE.search(text) else text.split(" ")
+        return self._piece(cut[0]) + b"".join(map(self._pieces.__getitem__, cut[1:])) if cut[0] else b"".join(map(self._pieces.__getitem__, cut[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plan: list[list] = []
-        for text in texts:
-            parts = self._special_at.split(text) if self._special_at and any(s in text for s in self._special) else [text]
-            plan.append([self._special[p] if p in self._special else self._cut(p) for p in parts if p])
-        self._cache.learn(p for parts in plan for x in parts if not isinstance(x, int) for p in x[1:])
-        first = sorted({x[0] for parts in plan for x in parts if not isinstance(x, int)})
-        heads = {p: np.asarray(ids, dtype="<u4").tobytes() for p, ids in zip(first, self._encode(first), strict=True)}
-        get = self._cache.__getitem__
         out = []
-        for parts in plan:
-            ids = []
-            for x in parts:
-                if isinstance(x, int):
-                    ids.append(np.asarray([x], dtype="<u4").tobytes())
-                else:
-                    ids.append(heads[x[0]])
-                    ids.extend(map(get, x[1:]))
-            out.append(b"".join(ids))
+        for text in texts:
+            if self._special_at and any(s in text for s in self._special):
+                parts = [p for p in self._special_at.split(text) if p]
+                out.append(b"".join(np.asarray([self._special[p]], "<u4").tobytes() if p in self._special else self._plain(p) for p in parts))
+            else:
+                out.append(self._plain(text))
         return out
 
 
@@ -261,7 +253,7 @@ def model_of(path: str) -> tuple[BpeModel, TextEncoder]:
     """The vocabulary at ``path``, loaded once per Python worker."""
     if path not in _MODELS:
         model = BpeModel(path)
-        _MODELS[path] = model, TextEncoder(model.encode_pieces, model.special)
+        _MODELS[path] = model, TextEncoder(model)
     return _MODELS[path]
 
 

@@ -23,32 +23,50 @@ columns are not read.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.bpe import TextEncoder
 from creditloom.llm.common import doc_columns, single_threaded, slices, texts_of, tokenizer_path
 from creditloom.session import cut_lineage
 
 CAPACITY = 1024
 END_ID = 2
-_ENCODERS: dict[str, TextEncoder] = {}
+#: Texts of these characters are cut alike by both libraries, whatever their Unicode version.
+_COMMON = re.compile("[^\\t\\n\\r\\x20-\\x7e\u00a1-\u024f]")
+_ENCODERS: dict[str, Callable[[str], np.ndarray]] = {}
 
 
-def _encoder(path: str) -> TextEncoder:
-    """Encodes pieces with the tokenizers library, once per Python worker."""
+def _encoder(path: str) -> Callable[[str], np.ndarray]:
+    """Ids of a text as the tokenizers library gives them, once per Python worker.
+
+    The vocabulary of the file also drives tiktoken, which is several times as
+    fast; texts with unusual characters or special tokens go to tokenizers.
+    """
     if path not in _ENCODERS:
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-        _ENCODERS[path] = TextEncoder(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)], special)
+        from creditloom.llm.bpe import byte_alphabet
+
+        tokenizer, alphabet = Tokenizer.from_file(path), byte_alphabet()
+        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        ranks = {bytes(alphabet[c] for c in token): i for token, i in tokenizer.get_vocab(with_added_tokens=False).items()}
+        fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+        def encode(text: str) -> np.ndarray:
+            if _COMMON.search(text) or any(s in text for s in special):
+                return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+
+        _ENCODERS[path] = encode
     return _ENCODERS[path]
 
 
@@ -67,12 +85,12 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
         from pyspark import TaskContext
 
         single_threaded()
-        encoder, chunk, seen = _encoder(path), TaskContext.get().partitionId(), Counter()
+        encode, chunk, seen = _encoder(path), TaskContext.get().partitionId(), Counter()
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in slices(batches):
             rows: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "nth", "ids")}
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch.column("text"))), strict=True):
-                ids += end
+            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
+                ids = encode(text).tobytes() + end
                 for k, (start, length) in enumerate(cut_pieces(len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * (start + length)]
                     for name, v in zip(rows, (doc, k, start, length, zlib.crc32(own), seen[length], own), strict=True):
