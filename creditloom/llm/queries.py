@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import bpe, packing, pii, quality, secrets, topk, toxicity
+from creditloom.llm import bpe, packing, pii, quality, secrets, substrings, topk, toxicity
 from creditloom.llm.common import read_table
 from creditloom.session import ensure_defaults
 
@@ -46,6 +46,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, ("assign", "access", "hex")), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_defaults(spark)
+    return substrings.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_defaults(spark)
     return pii.pseudonymise(read_table(spark, sf_dir, "documents"))
@@ -57,15 +62,16 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_packing, op4_toxicity, op5_secrets, op8_pii, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_packing, op4_toxicity, op5_secrets, op6_substrings, op8_pii, op10_topk)}
 
 ORACLE = {
+    "op6_substrings": substrings.oracle_sql(),
     "op10_topk": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
             SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
             FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
