@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import bpe, packing, pii, quality, secrets, substrings, topk, toxicity
+from creditloom.llm import bpe, packing, pii, quality, secrets, substrings, suffixes, topk, toxicity
 from creditloom.llm.common import read_table
 from creditloom.session import ensure_defaults
 
@@ -56,13 +56,18 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(read_table(spark, sf_dir, "documents"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_defaults(spark)
+    return suffixes.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_defaults(spark)
     vectors = topk.integer_vectors(read_table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_packing, op4_toxicity, op5_secrets, op6_substrings, op8_pii, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_packing, op4_toxicity, op5_secrets, op6_substrings, op8_pii, op9_suffixes, op10_topk)}
 
 ORACLE = {
     "op6_substrings": substrings.oracle_sql(),
