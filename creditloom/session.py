@@ -1,12 +1,14 @@
 """Spark session defaults for the engine.
 
-On a cluster the session comes from the launcher; ``ensure_defaults`` only
-fills in what is unset (checkpoint dir in tests, UTC zone, AQE).
+On a cluster the session and its settings come from the launcher, and
+``ensure_defaults`` only sees to the checkpoint folder; SESSION_DEFAULTS are
+what ``build_session`` sets for local runs, and what launchers are advised to set.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -54,9 +56,9 @@ def ensure_defaults(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster configured.
 
-    Only when none is configured (local tests) a private scratch folder is
-    created; on a cluster ``spark.checkpoint.dir`` must point at shared
-    storage and is used as is.
+    Only in local mode, where driver and executors are one process, a private
+    scratch folder is made if none is configured. On a cluster each executor
+    would write such a folder to its own disk, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -64,11 +66,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="creditloom-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Remove a table that :func:`cut_lineage` or a stage wrote; one that is gone is no error."""
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
+
+
 def cut_lineage(df):
     """Materialise ``df`` as a parquet table under the cluster's shared
     checkpoint folder (``spark.checkpoint.dir``) and return a DataFrame that
@@ -76,7 +92,8 @@ def cut_lineage(df):
 
     Compared with an RDD checkpoint the copy is columnar and compressed, and
     later readers get column pruning and filter push-down; lost executors
-    re-read the files instead of recomputing the lineage. Never local.
+    re-read the files instead of recomputing the lineage. Never local. The
+    table is removed when the driver ends.
     """
     import uuid
 
@@ -84,4 +101,6 @@ def cut_lineage(df):
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/creditloom-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
