@@ -15,7 +15,7 @@ input.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -123,14 +123,14 @@ def unpack(block: bytes) -> list[np.ndarray]:
 
 
 def chunked(docs: DataFrame, bytes_per_chunk: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """(chunk, doc_id, text) dealt out by the hash of the id, and all bytes of text."""
+    """The columns of ``docs`` (doc_id, text, ...) and ``chunk``, dealt out by the hash of the id; and all bytes of text."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = max(least, -(-total // bytes_per_chunk))
     # a null id is dealt by its text, else all such rows would meet in one chunk
     chunk = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(n))
-    return docs.select(chunk.alias("chunk"), "doc_id", "text").repartition(n, "chunk"), total
+    return docs.select(chunk.alias("chunk"), "*").repartition(n, "chunk"), total
 
 
 class Docs:
@@ -144,7 +144,7 @@ class Docs:
         raw = table.column("doc_id").combine_chunks()
         ids = pc.fill_null(raw, NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
         order = np.argsort(ids, kind="stable")
-        self.ids = ids[order]
+        self.ids, self.order = ids[order], order
         self.null = np.asarray(raw.is_null().to_numpy(zero_copy_only=False))[order]
         text = pc.fill_null(table.column("text"), "").combine_chunks().take(pa.array(order)).cast(pa.large_binary())
         offsets = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
@@ -297,11 +297,3 @@ def looked_up(h: np.ndarray, c: np.ndarray, answers: pa.Table, otherwise: np.nda
 def with_answers(docs: DataFrame, answers: DataFrame, work: Callable[[tuple, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """``work`` on each chunk's documents and the answers it got."""
     return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(work, schema)
-
-
-def no_documents(table: pa.Table) -> bool:
-    return table.num_rows == 0
-
-
-def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in batches if b.num_rows)

@@ -21,9 +21,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def doc_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) of any table; whatever else it holds is pruned from the scan."""
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def doc_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text) of any table, and the ``keep`` columns under names of their
+    own (``keep_0``, ...), so they clash with nothing; whatever else it holds is pruned from the scan."""
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
+
+
+def kept_schema(docs: DataFrame, keep: tuple[str, ...]) -> str:
+    """The ``keep`` columns as the end of a schema string."""
+    return "".join(f", keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+
+
+def named_back(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    return df.withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(keep)})
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -59,7 +69,3 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
-
-
-def empty_to_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in batches if b.num_rows)

@@ -18,8 +18,10 @@ A pair at the threshold is missed by all bands with a probability of 7e-9
 
 Rows: null and empty texts and texts without words have an empty set and are
 linked with nothing; a repeated row belongs to the class of its copy, and rows
-of equal id are kept or dropped alike; a null id is larger than all others; an
-empty table gives no rows; other columns are not read.
+of equal id are kept or dropped alike (of different texts under one id, one is
+verified); rows without an id are matched by equal sets alone and get a null
+component if no id is in it; an empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations

@@ -34,9 +34,10 @@ from functools import cmp_to_key
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from creditloom.llm import blocks as B
-from creditloom.llm.common import doc_columns
+from creditloom.llm.common import doc_columns, kept_schema, named_back
 from creditloom.llm.substrings import distinct_keys
 
 WINDOW, GRAM = 50, 24
@@ -288,13 +289,13 @@ def _find(h: np.ndarray, c: np.ndarray, want_h: np.ndarray, want_c: np.ndarray)
     return out
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text]).
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text]) and the ``keep`` columns.
 
-    ``text`` is what is left, read as UTF-8; bytes of a character that was cut
-    become U+FFFD (the digest is of the bytes themselves).
+    ``text`` is what is left, read as UTF-8; of a character that was cut the
+    other bytes go, too (the digest is of the bytes themselves).
     """
-    own, total = B.chunked(doc_columns(docs, id_col, text_col))
+    own, total = B.chunked(doc_columns(docs, id_col, text_col, keep))
     anchors = max(1, 2 * total // (window - gram + 2))
     cells, _ = B.cell_space(anchors)
     shards = max(1, -(-anchors // (2 * SEGMENTS)))
@@ -351,13 +352,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
         kept = [(x[~removed[a:b]] if r else x).tobytes() for a, b, r, x in ((a, b, r, d.bytes[a:b]) for a, b, r in zip(d.start[:-1], d.start[1:], n_removed, strict=True))]
         out = {"doc_id": d.id_column(), "n_bytes": pa.array(np.diff(d.start), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept])}
         if keep_text:
-            out["text"] = pa.array([x.decode("utf-8", "replace") for x in kept], pa.string())
+            out["text"] = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
+        out |= {f"keep_{i}": table.column(f"keep_{i}").take(pa.array(d.order)) for i in range(len(keep))}
         return pa.table(out)
 
-    from pyspark.sql import functions as F
-
     known = B.merge_sketches(own.groupBy("chunk").applyInArrow(sketch, blocks))
     sent = B.with_answers(own, known, send, blocks)
     merged = sent.groupBy("shard").applyInArrow(lambda table: _merge(table, window, gram), "chunk bigint, shard bigint, block binary")
     answers = known.withColumn("sketch", F.lit(True)).unionByName(merged.withColumn("sketch", F.lit(False)))
-    return B.with_answers(own, answers, left, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * keep_text)
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * keep_text
+    return named_back(B.with_answers(own, answers, left, schema + kept_schema(docs, keep)), keep)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import doc_columns, slices, texts_of
+from creditloom.llm.common import doc_columns, kept_schema, named_back, slices, texts_of
 from creditloom.session import cut_lineage
 
 #: Labelled documents read by the fit at most.
@@ -246,8 +246,8 @@ def _hits(docs: DataFrame, words: list[str], prefixes: list[str]) -> DataFrame:
     return docs.select(F.col("toxic").cast("int"), "text").mapInArrow(run, "toxic int, hits array<int>")
 
 
-def score_documents(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, votes): the score of every whole text and the names of the voters that fire.
+def score_documents(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, score, votes) and the ``keep`` columns: the score of every whole text and the names of the voters that fire.
 
     A map over the scan; the broadcast model has a bounded number of voters.
     """
@@ -262,9 +262,10 @@ def score_documents(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id",
             for i, own in enumerate(hits):
                 votes[i, own] = 1
             score = 1 / (1 + np.exp(-np.clip(_features(votes) @ m.weights + m.bias, -40, 40)))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(score), "votes": pa.array([[voters.names[i] for i in own] for own in hits], pa.list_(pa.string()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(score), "votes": pa.array([[voters.names[i] for i in own] for own in hits], pa.list_(pa.string()))} | {k: batch.column(k) for k in batch.schema.names if k.startswith("keep_")})
 
-    return doc_columns(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, score double, votes array<string>")
+    scored = doc_columns(docs, id_col, text_col, keep).mapInArrow(run, "doc_id bigint, score double, votes array<string>" + kept_schema(docs, keep))
+    return named_back(scored, keep)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
