@@ -3,11 +3,11 @@
 Every byte covered by a string of ``WINDOW`` bytes that also starts in a
 document of a smaller id is removed; strings are judged on the input.
 
-Each string (window) is stood for by the 24-byte gram of the least hash inside
+Each string (window) is stood for by the 32-byte gram of the least hash inside
 it, its *anchor*. Equal windows have equal anchors at equal places, so only
 grams of two documents or more matter; merged partial count-min sketches tell
 which these may be. For these a chunk sends the *segment* around the anchor:
-the bytes of all windows that share it, at most 76, each distinct segment once
+the bytes of all windows that share it, at most 68, each distinct segment once
 with its smallest document. A shard holds all segments of a gram and sorts
 them as suffixes from the anchor on, by merge sort; two suffixes are compared
 by binary search for their common extension on prefix polynomial hashes, and
@@ -29,6 +29,7 @@ are not read.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from functools import cmp_to_key
 
 import numpy as np
@@ -40,10 +41,10 @@ from creditloom.llm import blocks as B
 from creditloom.llm.common import doc_columns, kept_schema, named_back
 from creditloom.llm.substrings import distinct_keys
 
-WINDOW, GRAM = 50, 24
+WINDOW, GRAM = 50, 32
 #: Bits for a place in a chunk; the others of an anchor's 64 are its hash.
 PLACE_BITS = 30
-SEGMENTS = 1 << 17
+SEGMENTS = 1 << 16
 _EMPTY = {"shard": pa.int64(), "chunk": pa.int64(), "block": pa.binary()}
 
 
@@ -127,7 +128,7 @@ class SuffixSort:
         self.at = self.end - size + self.left
         self.prefix = B.prefix_hashes(B.BYTE_VALUE[np.frombuffer(self.data, np.uint8)])
         _, inverse = B.powers(len(self.prefix))
-        self._p, self._i = self.prefix.tolist(), inverse.tolist()
+        self._p, self._i = array("Q", self.prefix.tobytes()), array("Q", inverse.tobytes())
         groups: dict[bytes, list[int]] = {}
         for j, at in enumerate(self.at.tolist()):
             groups.setdefault(self.data[at : at + gram], []).append(j)
