@@ -29,7 +29,7 @@ from creditloom.llm.common import NULL_ID
 CHUNK_BYTES = 3 << 20
 SHARD_KEYS = 2 << 20
 #: Count-min sketch: rows, cells per key in each row, and cells of a shard.
-SKETCH_ROWS, CELLS_PER_KEY, SHARD_CELLS = 2, 4, 1 << 23
+SKETCH_ROWS, CELLS_PER_KEY, SHARD_CELLS = 2, 8, 1 << 23
 #: A cell this full is hot: its keys are dealt more finely.
 HOT = 200
 
@@ -78,8 +78,12 @@ def range_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
         return (prefix[end] - prefix[start]) * inverse[start]
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed block; sorted integers are stored as differences."""
+def pack(*arrays: np.ndarray, like: bytes = b"") -> bytes:
+    """Arrays as one compressed block; sorted integers are stored as differences.
+
+    ``like`` is a sample of text for the compressor, so that small blocks of
+    text are packed as well as large ones.
+    """
     import zstandard
 
     parts = [len(arrays).to_bytes(2, "little")]
@@ -95,13 +99,25 @@ def pack(*arrays: np.ndarray) -> bytes:
             parts.append(b"r" + kind.encode().ljust(4) + kind.encode().ljust(4) + len(body).to_bytes(8, "little") + bytes(8))
         # bytes of equal rank together: the high ones hardly differ
         parts.append(np.ascontiguousarray(body).view(np.uint8).reshape(len(body), -1).T.tobytes() if len(body) else b"")
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3 if like else 1, dict_data=_sample(like)).compress(b"".join(parts))
+
+
+def _sample(like: bytes):
+    import zstandard
+
+    return zstandard.ZstdCompressionDict(like, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if like else None
+
+
+def sample_text(docs: DataFrame, texts: int = 32, chars: int = 4096) -> bytes:
+    """A few beginnings of texts, by the hash of the id: only for packing, no result depends on it."""
+    rows = docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, chars).alias("t")).orderBy("h", "t").limit(texts).collect()
+    return "".join(r["t"] for r in rows).encode()
 
 
-def unpack(block: bytes) -> list[np.ndarray]:
+def unpack(block: bytes, like: bytes = b"") -> list[np.ndarray]:
     import zstandard
 
-    data = zstandard.ZstdDecompressor().decompress(block)
+    data = zstandard.ZstdDecompressor(dict_data=_sample(like)).decompress(block)
     out, at = [], 2
     for _ in range(int.from_bytes(data[:2], "little")):
         how, kind, held = data[at : at + 1], data[at + 1 : at + 5].decode().strip(), np.dtype(data[at + 5 : at + 9].decode().strip())

@@ -3,11 +3,11 @@
 Every byte covered by a string of ``WINDOW`` bytes that also starts in a
 document of a smaller id is removed; strings are judged on the input.
 
-Each string (window) is stood for by the 32-byte gram of the least hash inside
+Each string (window) is stood for by the 24-byte gram of the least hash inside
 it, its *anchor*. Equal windows have equal anchors at equal places, so only
 grams of two documents or more matter; merged partial count-min sketches tell
 which these may be. For these a chunk sends the *segment* around the anchor:
-the bytes of all windows that share it, at most 68, each distinct segment once
+the bytes of all windows that share it, at most 76, each distinct segment once
 with its smallest document. A shard holds all segments of a gram and sorts
 them as suffixes from the anchor on, by merge sort; two suffixes are compared
 by binary search for their common extension on prefix polynomial hashes, and
@@ -41,7 +41,7 @@ from creditloom.llm import blocks as B
 from creditloom.llm.common import doc_columns, kept_schema, named_back
 from creditloom.llm.substrings import distinct_keys
 
-WINDOW, GRAM = 50, 32
+WINDOW, GRAM = 50, 24
 #: Bits for a place in a chunk; the others of an anchor's 64 are its hash.
 PLACE_BITS = 30
 SEGMENTS = 1 << 16
@@ -103,16 +103,39 @@ def _gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
-def _segment_blocks(chunk: int, docs: B.Docs, shard: np.ndarray, hot: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, h: np.ndarray, c: np.ndarray, doc: np.ndarray, twice: np.ndarray) -> pa.Table:
-    order = np.argsort(shard, kind="stable")
-    edges = np.flatnonzero(np.diff(shard[order], prepend=-1))
-    shards, blocks = [], []
-    for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
-        o = order[a:b]
-        table, index = np.unique(doc[o], return_inverse=True)
-        shards.append(int(shard[o[0]]))
-        blocks.append(B.pack(_gathered(docs.bytes, start[o], size[o]), size[o].astype(np.uint8), left[o].astype(np.uint8), hot[o].astype(np.uint8) + 2 * twice[o].astype(np.uint8), h[o], c[o], index.astype(np.uint32), table.astype(np.int64)))
-    return pa.table({"shard": pa.array(shards, pa.int64()), "chunk": pa.array([chunk] * len(shards), pa.int64()), "block": pa.array(blocks, pa.binary())})
+class Sent:
+    """What a chunk sends: each distinct segment (or window of a hot gram), by shard and hash.
+
+    It is the same whenever it is worked out, so an answer need only name the
+    shard and the place in what was sent to it.
+    """
+
+    def __init__(self, d: B.Docs, s: Segments, level: np.ndarray, shards: int):
+        some = np.flatnonzero(level == 1)
+        rows, starts = s.single(np.flatnonzero(level == 2))
+        self.row = np.concatenate([some, rows])
+        self.start = np.concatenate([s.low[some], starts])
+        self.end = np.concatenate([s.high[some], starts]) + s.window
+        hot = np.arange(len(self.row)) >= len(some)
+        h, c = s.hashes(self.start, self.end, s.anchor[self.row])
+        _, _, least, twice, self.which = distinct_keys(h, c, d.ids[s.doc[self.row]])
+        first = np.full(len(least), -1, np.int64)
+        first[self.which[::-1]] = np.arange(len(self.which))[::-1]
+        shard = B.shard_of(np.where(hot[first], h[first], B.mix(s.key[self.row[first]], 9)), shards)
+        self.order = np.argsort(shard, kind="stable")  # the distinct ones are in order of their hash
+        self.shard, self.first, self.least, self.flags = shard, first, least, hot[first] + 2 * twice.astype(np.int64)
+        self.left = (s.anchor[self.row] - self.start)[first]
+
+    def blocks(self, chunk: int, d: B.Docs, like: bytes) -> pa.Table:
+        edges = np.flatnonzero(np.diff(self.shard[self.order], prepend=-1))
+        shards, blocks = [], []
+        for a, b in zip(edges, np.append(edges[1:], len(self.order)), strict=True):
+            o = self.order[a:b]
+            table, index = np.unique(self.least[o], return_inverse=True)
+            start, size = self.start[self.first[o]], (self.end - self.start)[self.first[o]]
+            shards.append(int(self.shard[o[0]]))
+            blocks.append(B.pack(_gathered(d.bytes, start, size), size.astype(np.uint8), self.left[o].astype(np.uint8), self.flags[o].astype(np.uint8), index.astype(np.uint16 if len(table) < 1 << 16 else np.uint32), table.astype(np.int64), like=like))
+        return pa.table({"shard": pa.array(shards, pa.int64()), "chunk": pa.array([chunk] * len(shards), pa.int64()), "block": pa.array(blocks, pa.binary())})
 
 
 class SuffixSort:
@@ -210,12 +233,12 @@ class SuffixSort:
         return min(int(self.doc[j]) for j in among if self.data[self._at[j] - s :][: self.window] == own)
 
 
-def _merge(table: pa.Table, window: int, gram: int) -> pa.Table:
-    parts = [B.unpack(b) for b in table.column("block").to_pylist()]
+def _merge(table: pa.Table, window: int, gram: int, like: bytes) -> pa.Table:
+    parts = [B.unpack(b, like) for b in table.column("block").to_pylist()]
     classes: dict[tuple[bytes, int], int] = {}
     docs: list[int] = []
     members: list[np.ndarray] = []
-    for data, size, left, *_, index, known in parts:
+    for data, size, left, _, index, known in parts:
         text, end = data.tobytes(), np.cumsum(size.astype(np.int64)).tolist()
         own, start = np.empty(len(end), np.int64), 0
         for k, (e, a, d) in enumerate(zip(end, left.tolist(), known[index].tolist(), strict=True)):
@@ -230,66 +253,43 @@ def _merge(table: pa.Table, window: int, gram: int) -> pa.Table:
     begin, smallest = SuffixSort([(x, a, docs[j]) for (x, a), j in classes.items()], window, gram).smallest()
     ends = np.append(begin[1:], len(smallest))
     least = np.minimum.reduceat(smallest, begin) if len(begin) else smallest
-    chunks, answers = [], []
-    for chunk, (_, _, _, flags, h, c, index, known), own in zip(table.column("chunk").to_pylist(), parts, members, strict=True):
-        told = np.flatnonzero((least[own] < known[index]) | (flags == 3))
+    chunks, shards, answers = [], [], []
+    for chunk, shard, (_, _, _, flags, index, known), own in zip(table.column("chunk").to_pylist(), table.column("shard").to_pylist(), parts, members, strict=True):
+        told = np.flatnonzero((least[own] < known[index]) | (flags >= 2))
         if len(told):
             n = ends[own[told]] - begin[own[told]]
+            of, place = np.unique(_gathered(smallest, begin[own[told]], n), return_inverse=True)
             chunks.append(chunk)
-            answers.append(B.pack(flags[told] & 1, h[told], c[told], n.astype(np.uint8), _gathered(smallest, begin[own[told]], n)))
-    return pa.table({"chunk": pa.array(chunks, pa.int64()), "shard": pa.array([0] * len(chunks), pa.int64()), "block": pa.array(answers, pa.binary())})
+            shards.append(shard)
+            answers.append(B.pack(told.astype(np.uint32), n.astype(np.uint8), place.astype(np.uint16 if len(of) < 1 << 16 else np.uint32), of.astype(np.int64)))
+    return pa.table({"chunk": pa.array(chunks, pa.int64()), "shard": pa.array(shards, pa.int64()), "block": pa.array(answers, pa.binary())})
 
 
-def _removed(d: B.Docs, s: Segments, answers: pa.Table, hot_keys: np.ndarray) -> np.ndarray:
+def _removed(d: B.Docs, s: Segments, sent: Sent, answers: pa.Table) -> np.ndarray:
     """For each window start of the chunk's bytes, whether the window is in a smaller document."""
     gone = np.zeros(len(d.bytes) + 1, bool)
-    ids = d.ids[s.doc] if len(s.doc) else s.doc
-    hot = np.isin(s.key, hot_keys)
-    parts = [B.unpack(b) for b in answers.column("block").to_pylist()]
-    flag, h, c, n, docs = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint8), np.zeros(0, np.int64))
-    begin = np.cumsum(n.astype(np.int64)) - n
-    # whole segments: equal ones of this chunk, and what the shards know of their windows
-    cold = np.flatnonzero(~hot)
-    _, _, least, _, which = distinct_keys(s.h[cold], s.c[cold], ids[cold])
-    again = least[which] < ids[cold] if len(cold) else np.zeros(0, bool)
-    rows, starts = s.single(cold[again])
-    gone[starts] = True
-    place = _find(h[flag == 0], c[flag == 0], s.h[cold], s.c[cold])
-    told = np.flatnonzero(place >= 0)
-    rows, starts = s.single(cold[told])
-    at = begin[flag == 0][place[told]]
-    size = s.high[cold[told]] - s.low[cold[told]] + 1
-    known = docs[np.repeat(at, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
-    gone[starts[known < ids[rows]]] = True
-    # single windows of hot grams
-    rows, starts = s.single(np.flatnonzero(hot))
-    wh, wc = s.hashes(starts, starts + s.window, s.anchor[rows])
-    place = _find(h[flag == 1], c[flag == 1], wh, wc)
-    told = np.flatnonzero(place >= 0)
-    known = docs[begin[flag == 1][place[told]]]
-    gone[starts[told][known < ids[rows[told]]]] = True
+    if not len(sent.row):
+        return gone
+    # where the answer to each distinct segment begins among all answered documents, or -1
+    begin = np.full(len(sent.first), -1, np.int64)
+    known, total = [np.zeros(0, np.int64)], 0
+    shard = sent.shard[sent.order]
+    for at, block in zip(answers.column("shard").to_pylist(), answers.column("block").to_pylist(), strict=True):
+        told, n, place, of = B.unpack(block)
+        n = n.astype(np.int64)
+        begin[sent.order[np.searchsorted(shard, at) + told.astype(np.int64)]] = total + np.cumsum(n) - n
+        known.append(of[place])
+        total += int(n.sum())
+    docs = np.concatenate(known)
+    row = np.flatnonzero(begin[sent.which] >= 0)
+    size = (sent.end - sent.start)[row] - s.window + 1
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    starts = np.repeat(sent.start[row], size) + step
+    least = docs[np.repeat(begin[sent.which[row]], size) + step]
+    gone[starts[least < np.repeat(d.ids[s.doc[sent.row[row]]], size)]] = True
     return gone
 
 
-def _find(h: np.ndarray, c: np.ndarray, want_h: np.ndarray, want_c: np.ndarray) -> np.ndarray:
-    """Where (want_h, want_c) stands in (h, c), or -1."""
-    out = np.full(len(want_h), -1, np.int64)
-    if not len(h):
-        return out
-    order = np.lexsort((c, h))
-    sh, sc = h[order], c[order]
-    at = np.searchsorted(sh, want_h)
-    rest = np.flatnonzero(at < len(sh))
-    while len(rest):
-        same = sh[at[rest]] == want_h[rest]
-        hit = same & (sc[at[rest]] == want_c[rest])
-        out[rest[hit]] = order[at[rest[hit]]]
-        rest = rest[same & ~hit]
-        at[rest] += 1
-        rest = rest[at[rest] < len(sh)]
-    return out
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text]) and the ``keep`` columns.
 
@@ -301,6 +301,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     cells, _ = B.cell_space(anchors)
     shards = max(1, -(-anchors // (2 * SEGMENTS)))
     blocks = "shard bigint, chunk bigint, block binary"
+    like = B.sample_text(doc_columns(docs, id_col, text_col))
 
     def sketch(key: tuple, table: pa.Table) -> pa.Table:
         d = B.Docs(table)
@@ -317,27 +318,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
             return pa.table({k: pa.array([], t) for k, t in _EMPTY.items()})
         d = B.Docs(table)
         s = Segments(d, window, gram)
-        level = estimates(s, answers)
-        some = np.flatnonzero(level == 1)
-        rows, starts = s.single(np.flatnonzero(level == 2))
-        start = np.concatenate([s.low[some], starts])
-        end = np.concatenate([s.high[some] + window, starts + window])
-        row = np.concatenate([some, rows])
-        hot = np.arange(len(row)) >= len(some)
-        h, c = s.hashes(start, end, s.anchor[row])
-        _, _, least, twice, which = distinct_keys(h, c, d.ids[s.doc[row]])
-        first = np.full(len(least), -1, np.int64)
-        first[which[::-1]] = np.arange(len(which))[::-1]
-        shard = B.shard_of(np.where(hot[first], h[first], B.mix(s.key[row[first]], 9)), shards)
-        return _segment_blocks(key[0].as_py(), d, shard, hot[first], start[first], (end - start)[first], (s.anchor[row] - start)[first], h[first], c[first], least, twice)
+        return Sent(d, s, estimates(s, answers), shards).blocks(key[0].as_py(), d, like)
 
     def left(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         d = B.Docs(table)
         s = Segments(d, window, gram)
         of_sketch = answers.column("sketch").to_numpy(zero_copy_only=False).astype(bool)
         sketches, exact = answers.filter(pa.array(of_sketch)), answers.filter(pa.array(~of_sketch))
-        hot = np.unique(s.key[estimates(s, sketches) == 2]) if len(s.key) else s.key
-        gone = np.flatnonzero(_removed(d, s, exact, hot))
+        gone = np.flatnonzero(_removed(d, s, Sent(d, s, estimates(s, sketches), shards), exact))
         cover = np.zeros(len(d.bytes) + 1, np.int32)
         np.add.at(cover, gone, 1)
         np.add.at(cover, gone + window, -1)
@@ -359,7 +347,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
 
     known = B.merge_sketches(own.groupBy("chunk").applyInArrow(sketch, blocks))
     sent = B.with_answers(own, known, send, blocks)
-    merged = sent.groupBy("shard").applyInArrow(lambda table: _merge(table, window, gram), "chunk bigint, shard bigint, block binary")
+    merged = sent.groupBy("shard").applyInArrow(lambda table: _merge(table, window, gram, like), "chunk bigint, shard bigint, block binary")
     answers = known.withColumn("sketch", F.lit(True)).unionByName(merged.withColumn("sketch", F.lit(False)))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * keep_text
     return named_back(B.with_answers(own, answers, left, schema + kept_schema(docs, keep)), keep)
