@@ -31,7 +31,7 @@ SHARD_KEYS = 2 << 20
 #: Count-min sketch: rows, cells per key in each row, and cells of a shard.
 SKETCH_ROWS, CELLS_PER_KEY, SHARD_CELLS = 2, 8, 1 << 23
 #: A cell this full is hot: its keys are dealt more finely.
-HOT = 200
+HOT = 1000
 
 U = np.uint64
 _RNG = np.random.default_rng(20240607)
@@ -211,10 +211,10 @@ def merge_sketches(sketches: DataFrame) -> DataFrame:
     """(chunk, shard, block): for each cell that the chunk sent, 0, 1 (filled twice or more) or 2 (hot)."""
 
     def run(table: pa.Table) -> pa.Table:
-        counts = np.zeros(SHARD_CELLS, np.uint8)
+        counts = np.zeros(SHARD_CELLS, np.uint16)
         parts = [unpack(b) for b in table.column("block").to_pylist()]
         for at, amount in parts:
-            counts[at] = np.minimum(counts[at].astype(np.int16) + amount, 255)
+            counts[at] = np.minimum(counts[at] + amount, HOT)
         answer = [pack((counts[at] >= 2).astype(np.uint8) + (counts[at] >= HOT)) for at, _ in parts]
         return pa.table({"chunk": table.column("chunk"), "shard": table.column("shard"), "block": pa.array(answer, pa.binary())})
 

@@ -44,7 +44,7 @@ from creditloom.llm.substrings import distinct_keys
 WINDOW, GRAM = 50, 24
 #: Bits for a place in a chunk; the others of an anchor's 64 are its hash.
 PLACE_BITS = 30
-SEGMENTS = 1 << 16
+SEGMENTS = 1 << 17
 _EMPTY = {"shard": pa.int64(), "chunk": pa.int64(), "block": pa.binary()}
 
 
