@@ -127,9 +127,9 @@ class Sent:
         self.left = (s.anchor[self.row] - self.start)[first]
 
     def blocks(self, chunk: int, d: B.Docs, like: bytes) -> pa.Table:
-        edges = np.flatnonzero(np.diff(self.shard[self.order], prepend=-1))
+        edges = np.append(np.flatnonzero(np.diff(self.shard[self.order], prepend=-1)), len(self.order))
         shards, blocks = [], []
-        for a, b in zip(edges, np.append(edges[1:], len(self.order)), strict=True):
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
             o = self.order[a:b]
             table, index = np.unique(self.least[o], return_inverse=True)
             start, size = self.start[self.first[o]], (self.end - self.start)[self.first[o]]
