@@ -36,6 +36,22 @@ def blank_default(c: str | Column, default: str) -> Column:
     return F.coalesce(blank_to_null(c), F.lit(default))
 
 
+_STAMP = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?))?(Z|[+-]\d{2}:?\d{2})?$"
+
+
+def parse_stamp(c: str | Column) -> Column:
+    """ISO-8601 text (date, minutes, seconds or fractions; Z or an offset) as
+    the TIMESTAMP_NTZ of its UTC time; without an offset it is read as UTC.
+    Other text becomes null."""
+    s = strip(col(c).cast("string"))
+    time, zone = F.regexp_extract(s, _STAMP, 2), F.regexp_extract(s, _STAMP, 3)
+    full = F.when(time == "", "00:00:00").when(F.length(time) == 5, F.concat(time, F.lit(":00"))).otherwise(time)
+    local = F.concat(F.regexp_extract(s, _STAMP, 1), F.lit(" "), full).try_cast("timestamp_ntz")
+    minutes = F.substring(zone, 2, 2).cast("int") * 60 + F.right(zone, F.lit(2)).cast("int")
+    ahead = F.when(zone.isin("", "Z"), 0).when(zone.startswith("-"), -minutes).otherwise(minutes)
+    return local - F.make_dt_interval(mins=ahead)
+
+
 def safe_divide(num: str | Column, den: str | Column) -> Column:
     """``num / den`` where a zero or missing denominator becomes 1e-9."""
     d = col(den).cast("double")

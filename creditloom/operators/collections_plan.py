@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip, count_if, join_small, round_half_even, strip
+from ..functions.exprs import clip, count_if, join_small, parse_stamp, round_half_even, strip
 from ..schema import (
     ACTION_FIELD,
     ACTION_REMOTE,
@@ -119,7 +119,8 @@ def assign_officers(cand: DataFrame, pool: int = OFFICER_POOL_SIZE, order_cols:
         officer = F.coalesce(F.when(strip(F.col("LoanOfficer").cast("string")) != "", F.col("LoanOfficer").cast("string")),
                              F.lit(OFFICER_UNASSIGNED))
         return cand.withColumn("OfficerId", officer)
-    if "Branch" in cand.columns:
+    # a Branch column without any value says nothing: the round robin below holds
+    if officer_map is not None or ("Branch" in cand.columns and not cand.filter(F.col("Branch").isNotNull()).select("Branch").isEmpty()):
         mapping = officer_map.select("Branch", "OfficerId") if officer_map is not None else branch_officer_map(cand, pool)
         mapping = mapping.withColumnRenamed("Branch", "_branch_key")
         keyed = cand.withColumn("_branch_key", F.coalesce(F.col("Branch").cast("string"), F.lit("nan")))
@@ -213,18 +214,9 @@ def visit_plan(
 # Feedback
 # ---------------------------------------------------------------------------
 
-_TS_PATTERNS = [
-    "yyyy-MM-dd'T'HH:mm:ss'Z'",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd",
-]
-
-
 def parse_recorded_at(c: Column) -> Column:
     """ISO-8601 text to timestamp; unparsable text becomes null."""
-    s = strip(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) for p in _TS_PATTERNS])
+    return parse_stamp(c).cast("timestamp")
 
 
 def latest_feedback(feedback: DataFrame, tie_col: str | None = None) -> DataFrame:

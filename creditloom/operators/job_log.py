@@ -37,8 +37,9 @@ def seconds_between(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, end).cast("double") / F.lit(1e6)
 
 
-def clamp(n: int, cap: int) -> int:
-    return max(1, min(cap, int(n)))
+def at_least_one(n: int) -> int:
+    """The caller's limit; a list never has a silent upper bound of its own."""
+    return max(1, int(n))
 
 
 # ---------------------------------------------------------------------------
@@ -52,7 +53,7 @@ def job_by_id(jobs: DataFrame, job_id: str) -> DataFrame:
 
 def jobs_by_status(jobs: DataFrame, status: str | None = None, limit: int = 50) -> DataFrame:
     out = jobs.filter(F.col("status") == status.strip().lower()) if status else jobs
-    return out.orderBy(F.col("updated_at").desc(), F.col("job_id").desc()).select(*JOB_COLUMNS).limit(clamp(limit, 200))
+    return out.orderBy(F.col("updated_at").desc(), F.col("job_id").desc()).select(*JOB_COLUMNS).limit(at_least_one(limit))
 
 
 def jobs_due(jobs: DataFrame, as_of: str) -> DataFrame:
@@ -75,7 +76,7 @@ def oldest_queued(jobs: DataFrame, limit: int = 20) -> DataFrame:
         jobs.filter(F.col("status") == "queued")
         .orderBy(F.col("created_at"), F.col("job_id"))
         .select(*JOB_COLUMNS)
-        .limit(clamp(limit, 200))
+        .limit(at_least_one(limit))
     )
 
 
@@ -84,7 +85,7 @@ def recent_dead_letters(jobs: DataFrame, limit: int = 20) -> DataFrame:
         jobs.filter(F.col("status") == "dead_letter")
         .orderBy(F.col("updated_at").desc(), F.col("job_id").desc())
         .select(*JOB_COLUMNS)
-        .limit(clamp(limit, 200))
+        .limit(at_least_one(limit))
     )
 
 
@@ -122,7 +123,7 @@ def job_type_stats(jobs: DataFrame, limit: int = 50) -> DataFrame:
         count_if(st == "dead_letter").alias("dead_letter"),
         F.count(F.lit(1)).alias("total"),
     )
-    return out.orderBy(F.col("total").desc(), F.col("job_type")).limit(clamp(limit, 200))
+    return out.orderBy(F.col("total").desc(), F.col("job_type")).limit(at_least_one(limit))
 
 
 def queue_age(jobs: DataFrame, as_of: str, threshold_seconds: float = 300.0) -> DataFrame:
@@ -160,7 +161,7 @@ def dead_letter_rate(jobs: DataFrame, as_of: str, window_seconds: float = 3600.0
 
 def dead_letter_top_types(jobs: DataFrame, limit: int = 10) -> DataFrame:
     out = jobs.filter(F.col("status") == "dead_letter").groupBy("job_type").agg(F.count(F.lit(1)).alias("dead_letter"))
-    return out.orderBy(F.col("dead_letter").desc(), F.col("job_type")).limit(clamp(limit, 100))
+    return out.orderBy(F.col("dead_letter").desc(), F.col("job_type")).limit(at_least_one(limit))
 
 
 def dead_letter_trend(jobs: DataFrame, as_of: str, window_seconds: float = 3600.0) -> DataFrame:
@@ -186,7 +187,7 @@ def dead_letter_errors(jobs: DataFrame, limit: int = 10) -> DataFrame:
     out = jobs.filter(F.col("status") == "dead_letter").groupBy(msg.alias("error_message")).agg(
         F.count(F.lit(1)).alias("dead_letter")
     )
-    return out.orderBy(F.col("dead_letter").desc(), F.col("error_message")).limit(clamp(limit, 100))
+    return out.orderBy(F.col("dead_letter").desc(), F.col("error_message")).limit(at_least_one(limit))
 
 
 # ---------------------------------------------------------------------------
@@ -240,7 +241,7 @@ def requeue_candidates(jobs: DataFrame, known_types: DataFrame, as_of: str, job_
     dead = jobs.filter(F.col("status") == "dead_letter")
     if job_type:
         dead = dead.filter(F.col("job_type") == job_type)
-    first = dead.orderBy(F.col("updated_at"), F.col("job_id")).limit(clamp(limit, 500))
+    first = dead.orderBy(F.col("updated_at"), F.col("job_id")).limit(at_least_one(limit))
     chosen = first.join(F.broadcast(known_types), "job_type", "left_semi")
     now = ts_lit(as_of)
     return chosen.select(
@@ -261,7 +262,7 @@ def cancel_candidates(jobs: DataFrame, as_of: str, job_type: str | None = None,
     if job_type:
         q = q.filter(F.col("job_type") == job_type)
     if limit is not None:
-        q = q.orderBy(F.col("created_at"), F.col("job_id")).limit(clamp(limit, 500))
+        q = q.orderBy(F.col("created_at"), F.col("job_id")).limit(at_least_one(limit))
     return q.select(
         "job_id",
         "job_type",
@@ -302,4 +303,4 @@ def normalize_annotations(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def list_log(log: DataFrame, key_col: str, key: str | None, limit: int = 50) -> DataFrame:
     out = log.filter(F.col(key_col) == key.strip().lower()) if key else log
-    return out.orderBy(F.col("created_at").desc(), F.col(out.columns[0]).desc()).limit(clamp(limit, 500))
+    return out.orderBy(F.col("created_at").desc(), F.col(out.columns[0]).desc()).limit(at_least_one(limit))

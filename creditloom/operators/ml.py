@@ -115,7 +115,7 @@ def probability(pred: DataFrame) -> DataFrame:
 def metrics(model: PipelineModel, test_df: DataFrame) -> DataFrame:
     """accuracy, precision (0 if undefined), recall, ROC AUC on the held-out rows (one row)."""
     pred = model.transform(test_df.withColumn("class_weight", F.lit(1.0)))
-    auc = BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction", metricName="areaUnderROC").evaluate(pred)
+    auc = BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0).evaluate(pred)
     p, y = F.col("prediction") == 1.0, F.col(LABEL) == 1
     agg = pred.agg(
         F.avg((F.col("prediction") == F.col(LABEL).cast("double")).cast("double")).alias("accuracy"),

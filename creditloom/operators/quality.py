@@ -24,7 +24,7 @@ def _null_census(cols: list[str]) -> list:
     return [F.count(F.when(F.col(c).isNull(), 1)).alias(f"_null_{c}") for c in cols]
 
 
-def dedupe_and_census(df: DataFrame, num: list[str], materialize: bool = True):
+def dedupe_and_census(df: DataFrame, num: list[str], materialize: bool = True, unique_key: str | None = None):
     """(whole-row distinct table, null count per numeric column).
 
     When the table has an account-id column and ``materialize`` is on, the
@@ -34,6 +34,12 @@ def dedupe_and_census(df: DataFrame, num: list[str], materialize: bool = True):
     skipped. Only when ids repeat (or there is no id) are whole rows
     de-duplicated - map-side combined - and the census taken again.
     """
+    if unique_key is not None:
+        # rows of a declared key cannot be equal: nothing to drop, so nothing is
+        # shuffled, and with ``materialize`` off nothing is written either
+        dedup = cut_lineage(df) if materialize else df
+        census = dedup.agg(*_null_census(num)).first() if num else {}
+        return dedup, {c: census[f"_null_{c}"] for c in num}
     key = next((c for c in ID_CANDIDATES if c in df.columns), None)
     if not materialize:
         dedup = df.dropDuplicates()
@@ -60,7 +66,8 @@ def drop_duplicate_rows(df: DataFrame, materialize: bool = True) -> DataFrame:
     return dedupe_and_census(df, [], materialize)[0]
 
 
-def clean(df: DataFrame, approx: bool = False, medians: DataFrame | None = None, materialize: bool = True) -> DataFrame:
+def clean(df: DataFrame, approx: bool = False, medians: DataFrame | None = None, materialize: bool = True,
+          unique_key: str | None = None) -> DataFrame:
     """Whole-row dedupe, median fill of numeric and 'Unknown' fill of text.
 
     * Duplicate rows (nulls equal) are dropped.
@@ -77,9 +84,13 @@ def clean(df: DataFrame, approx: bool = False, medians: DataFrame | None = None,
     aggregate; medians are computed only for columns that have nulls (for
     the others the fill is a no-op) and reach the rows as one scalar
     subquery (no join).
+
+    ``unique_key`` declares a column that no two rows share. Together with
+    ``materialize=False`` the result is lazy: filters and column pruning of
+    a later query reach the scan.
     """
     num = [c for c in numeric_columns(df) if c not in ID_CANDIDATES]
-    dedup, nulls = dedupe_and_census(df, num if medians is None else [], materialize)
+    dedup, nulls = dedupe_and_census(df, num if medians is None else [], materialize, unique_key)
     fill = num if medians is not None else [c for c in num if nulls.get(c, 1) > 0]
     med_of = {}
     if fill:

@@ -28,14 +28,14 @@ from .common import (
     ),
 )
 def q_visit_candidates(spark, d):
-    return cp.visit_candidates(std_scored(spark, d)).select(
+    return cp.visit_candidates(std_scored(spark, d, stored=True)).select(
         "AccountNo", "Branch", "DaysOverdue", "InstallmentRisk", "RiskBand", "RiskCore", "PriorityScore"
     )
 
 
 @register("officer_assignment", O.with_ctes(PLAN_CHAIN, "SELECT o_branch AS Branch, OfficerId FROM officers"))
 def q_officer_assignment(spark, d):
-    return cp.branch_officer_map(cp.visit_candidates(std_scored(spark, d)))
+    return cp.branch_officer_map(cp.visit_candidates(std_scored(spark, d, stored=True)))
 
 
 @register(
@@ -47,7 +47,7 @@ def q_officer_assignment(spark, d):
     ),
 )
 def q_officer_round_robin(spark, d):
-    cand = cp.visit_candidates(std_scored(spark, d)).drop("Branch")
+    cand = cp.visit_candidates(std_scored(spark, d, stored=True)).drop("Branch")
     cand = cand.withColumn("AccountId", F.col("AccountNo").cast("string"))
     return cp.assign_officers(cand).select("AccountId", "OfficerId")
 
@@ -64,7 +64,7 @@ register(
 @register("officer_kpis", O.with_ctes(PLAN_CHAIN, O.kpis("plan")))
 def q_officer_kpis(spark, d):
     # KPIs do not read the visit rank, so the plan is built without ranking
-    return cp.officer_kpis(cp.visit_plan(std_scored(spark, d), PLAN_DATE, ranked=False))
+    return cp.officer_kpis(cp.visit_plan(std_scored(spark, d, stored=True), PLAN_DATE, ranked=False))
 
 
 @register("latest_feedback", O.with_ctes([O.FEEDBACK, O.LATEST], "SELECT * FROM lf"))
@@ -125,7 +125,7 @@ def q_recent_feedback(spark, d):
     ),
 )
 def q_scored_page(spark, d):
-    return files.record_page(std_scored(spark, d), files.clamp_limit(200, 5000),
+    return files.record_page(std_scored(spark, d), files.at_least_one(200),
                              [F.col("RuleScore").desc(), F.col("AccountNo")])
 
 

@@ -32,20 +32,22 @@ def loans(spark, d):
     return V.loan_view(spark, d)
 
 
-def cleaned(spark, d):
-    return clean(loans(spark, d))
+def cleaned(spark, d, stored=False):
+    """The account number is the loan view's key. ``stored`` writes the book
+    once, for plans that read it many times."""
+    return clean(loans(spark, d), materialize=stored, unique_key="AccountNo")
 
 
-def featured(spark, d):
-    return engineer(cleaned(spark, d))
+def featured(spark, d, stored=False):
+    return engineer(cleaned(spark, d, stored))
 
 
-def scored(spark, d):
-    return rule_score(featured(spark, d))
+def scored(spark, d, stored=False):
+    return rule_score(featured(spark, d, stored))
 
 
-def std_scored(spark, d):
-    return regular_accounts(scored(spark, d))
+def std_scored(spark, d, stored=False):
+    return regular_accounts(scored(spark, d, stored))
 
 
 PLAN_CHAIN = O.LOAN_CHAIN + [O.PLAN]
@@ -53,7 +55,7 @@ NOW_TS = "2024-01-31T00:00:00Z"
 
 
 def plan_rule(spark, d):
-    return cp.visit_plan(std_scored(spark, d), PLAN_DATE)
+    return cp.visit_plan(std_scored(spark, d, stored=True), PLAN_DATE)
 
 
 def feedback_raw(spark, d):
@@ -61,7 +63,7 @@ def feedback_raw(spark, d):
 
 
 def plan_with_feedback(spark, d):
-    return cp.visit_plan(std_scored(spark, d), PLAN_DATE, feedback_raw(spark, d))
+    return cp.visit_plan(std_scored(spark, d, stored=True), PLAN_DATE, feedback_raw(spark, d))
 
 
 AS_OF = V.AS_OF

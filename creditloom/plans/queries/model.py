@@ -43,14 +43,15 @@ def q_model_split(spark, d):
 
 @register("model_metrics")
 def q_model_metrics(spark, d):
-    model, test_df = ml.train(scored(spark, d))
+    model, test_df = ml.train(scored(spark, d, stored=True))
     return ml.metrics(model, test_df)
 
 
 @register("scored_model")
 def q_scored_model(spark, d):
-    model, _ = ml.train(scored(spark, d))
-    return ml.score_regular(scored(spark, d), model).select(
+    book = scored(spark, d, stored=True)
+    model, _ = ml.train(book)
+    return ml.score_regular(book, model).select(
         "AccountNo", "RuleScore", "RuleRiskCategory", "PredDefaultProbability", "ModelRiskCategory"
     )
 

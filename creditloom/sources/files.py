@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import blank_default, nan_to_null, strip
+from ..functions.exprs import blank_default, nan_to_null, parse_stamp, strip
 from ..schema import FEEDBACK_COLUMNS, FEEDBACK_DEFAULTS, FEEDBACK_SCHEMA, NA_TOKENS
 
 # Declared types of the known loan-account columns; anything else stays text.
@@ -204,8 +204,9 @@ def seed_table_if_empty(spark: SparkSession, name: str, seed: DataFrame) -> Data
     return spark.table(name)
 
 
-def clamp_limit(n: int, cap: int) -> int:
-    return max(1, min(cap, int(n)))
+def at_least_one(n: int) -> int:
+    """The caller's limit, unbounded above."""
+    return max(1, int(n))
 
 
 def record_page(df: DataFrame, limit: int, order_by: list | None = None) -> DataFrame:
@@ -257,9 +258,7 @@ def load_job_log(spark: SparkSession, path_or_table: str) -> DataFrame:
     df = spark.table(path_or_table) if _is_table(spark, path_or_table) else spark.read.parquet(path_or_table)
     for c in JOB_TIME_COLUMNS:
         if c in df.columns and isinstance(df.schema[c].dataType, T.StringType):
-            text = F.regexp_replace(strip(F.col(c)), "Z$", "")
-            df = df.withColumn(c, F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss")),
-                                             F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss"))).cast("timestamp_ntz"))
+            df = df.withColumn(c, parse_stamp(F.col(c)))
     return df
 
 

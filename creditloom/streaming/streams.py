@@ -69,12 +69,26 @@ def read_latest(spark, latest_path: str) -> DataFrame:
     return spark.read.parquet(versions[-1][1])
 
 
+#: Feedback that agrees in these columns is the same feedback.
+FEEDBACK_KEY = ["AccountId", "RecordedAt", "Outcome", "PromiseStatus", "FieldNotes"]
+
+
+def read_log(spark, log_path: str) -> DataFrame:
+    """The feedback log, each feedback once."""
+    return spark.read.parquet(log_path).drop("batch_id").dropDuplicates(FEEDBACK_KEY)
+
+
 def feedback_ingest(stream: DataFrame, log_path: str, latest_path: str, checkpoint: str, now_ts: str, today: str,
                     watermark: str = "1 day", trigger: dict | None = None, rejected_path: str | None = None):
     """Start the ingest query; each micro-batch appends canonical rows to the
     log and merges them into the latest-per-account table. Rows without an
     AccountId are rejected (written under ``rejected_path`` when given).
 
+    However late a row is, it is logged: the log is the only copy, so no
+    watermark stands before it (``watermark`` is accepted for callers that
+    pass one and drops nothing). Equal feedback within a batch is written
+    once; equal feedback of different batches is one row of ``read_log``.
+
     Every write is keyed by the micro-batch id (``batch_id=<id>`` log
     partitions, ``v=<id>`` latest versions), so a replayed batch overwrites
     its own output instead of duplicating it; superseded latest versions
@@ -84,17 +98,13 @@ def feedback_ingest(stream: DataFrame, log_path: str, latest_path: str, checkpoi
     canon = accepted.withColumn("_ok", F.lit(True))
     if rejected_path:
         canon = canon.unionByName(rejected.withColumn("_ok", F.lit(False)))
-    keyed = canon.withColumn("_et", cp.parse_recorded_at(F.col("RecordedAt")).cast("timestamp"))
-    dedup = keyed.withWatermark("_et", watermark).dropDuplicatesWithinWatermark(
-        ["AccountId", "RecordedAt", "Outcome", "PromiseStatus", "FieldNotes"]
-    )
-
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.dropDuplicates([*FEEDBACK_KEY, "_ok"])
         if rejected_path:
             align_feedback(batch.filter(~F.col("_ok"))).write.mode("overwrite").parquet(
                 f"{rejected_path}/batch_id={batch_id}")
-        rows = align_feedback(batch.filter(F.col("_ok")).drop("_et", "_ok"))
+        rows = align_feedback(batch.filter(F.col("_ok")).drop("_ok"))
         rows.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
         # latest-per-account is a max over (stamp, tie, payload): merging the
         # previous latest version with this batch equals recomputing it over
@@ -110,7 +120,7 @@ def feedback_ingest(stream: DataFrame, log_path: str, latest_path: str, checkpoi
             path = jvm.org.apache.hadoop.fs.Path(old)
             path.getFileSystem(conf).delete(path, True)
 
-    writer = dedup.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    writer = canon.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
