@@ -4,6 +4,8 @@ import duckdb
 
 import __spark_entry__ as E
 
+TABLES = ["nation", "customer", "orders", "lineitem", "events", "documents", "embeddings", "labels"]
+
 
 def test_entry_runs_on_smoke_data(spark):
     df = E.entry(spark)
@@ -14,7 +16,7 @@ def test_every_oracle_has_a_query_and_runs_in_duckdb():
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) >= 70
     con = duckdb.connect()
-    for t in ["nation", "customer", "orders", "lineitem", "events"]:
+    for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     for name, text in sql.items():
         con.execute(f"DESCRIBE {text}")  # binds and plans every oracle query
@@ -23,7 +25,7 @@ def test_every_oracle_has_a_query_and_runs_in_duckdb():
 def test_query_and_oracle_columns_agree(spark):
     qs, sql = E.queries(), E.oracle_sql()
     con = duckdb.connect()
-    for t in ["nation", "customer", "orders", "lineitem", "events"]:
+    for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     for name in ["top_risky_rule", "job_stats", "ops_gate", "alt_score", "latency_histogram", "officer_kpis"]:
         spark_cols = sorted(qs[name](spark, "/root/testdata/sf0.001").columns)
