@@ -45,9 +45,12 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective scramble of 64-bit numbers."""
     with np.errstate(over="ignore"):
         x = x + U((0x9E3779B97F4A7C15 * (2 * salt + 1)) & (2**64 - 1))
-        x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-        return x ^ (x >> U(31))
+        x ^= x >> U(30)
+        x *= U(0xBF58476D1CE4E5B9)
+        x ^= x >> U(27)
+        x *= U(0x94D049BB133111EB)
+        x ^= x >> U(31)
+        return x
 
 
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -66,8 +69,20 @@ def prefix_hashes(values: np.ndarray) -> np.ndarray:
     """P[i]: polynomial hash of the first i values; n + 1 of them."""
     p, _ = powers(len(values))
     out = np.zeros(len(values) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(values * p, out=out[1:])
+    np.multiply(values, p, out=out[1:])
+    np.cumsum(out, out=out)
+    return out
+
+
+def byte_prefix(data: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """``prefix_hashes`` of the values of bytes, in steps that stay in the cache."""
+    p, _ = powers(len(data))
+    out = np.zeros(len(data) + 1, np.uint64)
+    for a in range(0, len(data), step):
+        part = BYTE_VALUE[data[a : a + step]]
+        part *= p[a : a + step]
+        part[:1] += out[a : a + 1]
+        np.cumsum(part, out=out[a + 1 : a + step + 1])
     return out
 
 

@@ -45,45 +45,59 @@ WINDOW, GRAM = 50, 24
 #: Bits for a place in a chunk; the others of an anchor's 64 are its hash.
 PLACE_BITS = 30
 SEGMENTS = 1 << 17
+#: Window starts worked on at once.
+STEP = 1 << 15
 _EMPTY = {"shard": pa.int64(), "chunk": pa.int64(), "block": pa.binary()}
 
 
 class Segments:
-    """The anchors of a chunk: first and last window start, place, document, hashes."""
+    """The anchors of a chunk: first and last window start, place, document, hash."""
 
     def __init__(self, docs: B.Docs, window: int = WINDOW, gram: int = GRAM):
         data, n = docs.bytes, len(docs.bytes)
         self.window = window
-        self.prefix = B.prefix_hashes(B.BYTE_VALUE[data])
+        self.prefix = B.byte_prefix(data)
         none = np.zeros(0, np.int64)
         self.low = self.high = self.anchor = self.doc = none
-        self.key = self.h = np.zeros(0, np.uint64)
-        self.c = np.zeros(0, np.uint32)
+        self.key = np.zeros(0, np.uint64)
         if n < window:
             return
         if n >= 1 << PLACE_BITS:
             raise ValueError(f"a chunk or a document of {n} bytes is over the limit of {1 << PLACE_BITS}")
-        place = np.arange(n - gram + 1)
-        hashes = B.mix(B.range_hashes(self.prefix, place, place + gram), 5)
-        low = B.U((1 << PLACE_BITS) - 1)
-        least = (hashes & ~low) | place.astype(np.uint64)
-        width, grams = 1, window - gram + 1
-        while 2 * width <= grams:
-            least = np.minimum(least[:-width], least[width:])
-            width *= 2
-        if grams > width:
-            least = np.minimum(least[: len(least) - (grams - width)], least[grams - width :])
-        sizes = np.diff(docs.start)
-        counts = np.maximum(sizes - window + 1, 0)
-        first = np.cumsum(counts) - counts
-        starts = np.repeat(docs.start[:-1] - first, counts) + np.arange(counts.sum())
-        anchor = (least[starts] & low).astype(np.int64)
-        new = np.flatnonzero(np.diff(anchor, prepend=-1))
-        self.low, self.anchor = starts[new], anchor[new]
-        self.high = starts[np.append(new[1:], len(starts)) - 1]
-        self.doc = np.repeat(np.arange(docs.n), counts)[new]
-        self.key = hashes[self.anchor]
-        self.h, self.c = self.hashes(self.low, self.high + window, self.anchor)
+        anchor = self._anchors(window, gram)
+        # a new segment begins where the anchor changes, and with each document
+        begins = np.ones(len(anchor), bool)
+        np.not_equal(anchor[1:], anchor[:-1], out=begins[1:])
+        begins[docs.start[:-1][docs.start[:-1] < len(begins)]] = True
+        low = np.flatnonzero(begins)
+        high = np.append(low[1:], len(begins)) - 1
+        doc = np.searchsorted(docs.start, low, side="right") - 1
+        last = docs.start[doc + 1] - window
+        inside = low <= last
+        self.low, self.high, self.doc = low[inside], np.minimum(high, last)[inside], doc[inside]
+        self.anchor = anchor[self.low].astype(np.int64)
+        self.key = B.mix(B.range_hashes(self.prefix, self.anchor, self.anchor + gram), 5)
+
+    def _anchors(self, window: int, gram: int) -> np.ndarray:
+        """For each window start, document ends aside, the place of its least gram; in steps that stay in the cache."""
+        n, grams, low = len(self.prefix) - 1, window - gram + 1, B.U((1 << PLACE_BITS) - 1)
+        anchor = np.empty(n - window + 1, np.int32)
+        _, inverse = B.powers(n + 1)
+        for a in range(0, len(anchor), STEP):
+            b = min(a + STEP, len(anchor)) + grams - 1
+            least = self.prefix[a + gram : b + gram] - self.prefix[a:b]
+            least *= inverse[a:b]
+            least = B.mix(least, 5)
+            least &= ~low
+            least |= np.arange(a, b, dtype=np.uint64)
+            width = 1
+            while 2 * width <= grams:
+                least = np.minimum(least[:-width], least[width:])
+                width *= 2
+            if grams > width:
+                least = np.minimum(least[: len(least) - (grams - width)], least[grams - width :])
+            anchor[a : b - grams + 1] = least & low
+        return anchor
 
     def hashes(self, start: np.ndarray, end: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """96 bits of the bytes and of the anchor's place in them."""
@@ -149,7 +163,7 @@ class SuffixSort:
         self.doc = np.asarray([d for _, _, d in classes], np.int64)
         self.end = np.cumsum(size)
         self.at = self.end - size + self.left
-        self.prefix = B.prefix_hashes(B.BYTE_VALUE[np.frombuffer(self.data, np.uint8)])
+        self.prefix = B.byte_prefix(np.frombuffer(self.data, np.uint8))
         _, inverse = B.powers(len(self.prefix))
         self._p, self._i = array("Q", self.prefix.tobytes()), array("Q", inverse.tobytes())
         groups: dict[bytes, list[int]] = {}
@@ -327,8 +341,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
         sketches, exact = answers.filter(pa.array(of_sketch)), answers.filter(pa.array(~of_sketch))
         gone = np.flatnonzero(_removed(d, s, Sent(d, s, estimates(s, sketches), shards), exact))
         cover = np.zeros(len(d.bytes) + 1, np.int32)
-        np.add.at(cover, gone, 1)
-        np.add.at(cover, gone + window, -1)
+        cover[gone] += 1
+        cover[gone + window] -= 1
         removed = np.cumsum(cover[:-1]) > 0
         total = np.concatenate([[0], np.cumsum(removed)])
         n_removed = total[d.start[1:]] - total[d.start[:-1]]
