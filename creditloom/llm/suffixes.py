@@ -304,6 +304,13 @@ def _removed(d: B.Docs, s: Segments, sent: Sent, answers: pa.Table) -> np.ndarra
     return gone
 
 
+def _running(flags: np.ndarray) -> np.ndarray:
+    """How many flags are set before each place, and in all; below 2**30."""
+    out = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, dtype=np.int32, out=out[1:])
+    return out
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, text]) and the ``keep`` columns.
 
@@ -340,17 +347,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
         of_sketch = answers.column("sketch").to_numpy(zero_copy_only=False).astype(bool)
         sketches, exact = answers.filter(pa.array(of_sketch)), answers.filter(pa.array(~of_sketch))
         gone = np.flatnonzero(_removed(d, s, Sent(d, s, estimates(s, sketches), shards), exact))
+        del s, answers, sketches, exact
         cover = np.zeros(len(d.bytes) + 1, np.int32)
         cover[gone] += 1
         cover[gone + window] -= 1
-        removed = np.cumsum(cover[:-1]) > 0
-        total = np.concatenate([[0], np.cumsum(removed)])
+        removed = np.cumsum(cover, dtype=np.int32, out=cover)[:-1] > 0
+        del gone, cover
+        total = _running(removed)
         n_removed = total[d.start[1:]] - total[d.start[:-1]]
         opens = removed.copy()
         opens[1:] &= ~removed[:-1]
         inner = d.start[:-1][d.start[:-1] < len(removed)]
         opens[inner] = removed[inner]  # a run ends with its document
-        spans = np.concatenate([[0], np.cumsum(opens)])
+        spans = _running(opens)
         n_spans = spans[d.start[1:]] - spans[d.start[:-1]]
         kept = [(x[~removed[a:b]] if r else x).tobytes() for a, b, r, x in ((a, b, r, d.bytes[a:b]) for a, b, r in zip(d.start[:-1], d.start[1:], n_removed, strict=True))]
         out = {"doc_id": d.id_column(), "n_bytes": pa.array(np.diff(d.start), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept])}
