@@ -3,9 +3,11 @@
 A vocabulary learnt from text spends few tokens on words and names, and many
 on random strings: a long run of key characters with few characters a token is
 reported as kind ``token``. Known digests (hexadecimal of a digest's length,
-UUIDs) and identifiers (plain words joined by case, ``_``, ``-`` or ``/``,
-numbers) are no secrets by themselves. Spans of the fixed patterns stay as
-they are; a costly string is added where it overlaps none of them.
+UUIDs) and identifiers (words joined by case, ``_``, ``-`` or ``/``, numbers)
+are no secrets by themselves; whether letters are words is asked of the
+tokenizer as well, so keys of one letter case are none. Spans of the fixed
+patterns stay as they are; a costly string is added where it overlaps none of
+them.
 
 Rows: null text is read as empty; rows without spans give an empty list;
 repeated rows and equal ids give a row each; other columns are not read. All
@@ -39,6 +41,8 @@ _IDENTIFIER = re.compile(r"(?:[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]{1,4}
 _WORDS = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{3,}")
 #: Ordinary words take about three characters a token or more, random strings under two.
 CHARS_PER_TOKEN = 2.0
+#: The same for the letters of an identifier, read in lower case: names are often in capitals, which a vocabulary of text knows badly.
+WORD_CHARS_PER_TOKEN = 2.25
 
 _ENCODINGS: dict = {}
 
@@ -55,11 +59,17 @@ def _encoding(path: str):
 
 
 def is_known(run: str) -> bool:
-    """A digest, a UUID, a number, or an identifier made mostly of words."""
-    if run.isdigit() or _UUID.fullmatch(run) or (len(run) in DIGEST_CHARS and _HEX_ONLY.fullmatch(run)):
-        return True
-    letters = sum(len(w) for w in _WORDS.findall(run))
-    return 2 * letters >= len(run) and _IDENTIFIER.fullmatch(run) is not None
+    """A digest, a UUID or a number."""
+    return run.isdigit() or _UUID.fullmatch(run) is not None or (len(run) in DIGEST_CHARS and _HEX_ONLY.fullmatch(run) is not None)
+
+
+def is_identifier(run: str, encoding) -> bool:
+    """An identifier made mostly of words, by its shape and by the tokens of its words (inside or at the start of a text)."""
+    words = [w.lower() for w in _WORDS.findall(run)]
+    letters = sum(map(len, words))
+    if 2 * letters < len(run) or _IDENTIFIER.fullmatch(run) is None:
+        return False
+    return letters >= WORD_CHARS_PER_TOKEN * sum(min(len(encoding.encode_ordinary(w)), len(encoding.encode_ordinary(" " + w))) for w in words)
 
 
 def base_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
@@ -82,7 +92,7 @@ def secret_spans(text: str, encoding, chars_per_token: float = CHARS_PER_TOKEN)
         run = text[start:end]
         if is_known(run) or any(s < end and start < e for s, e in taken):
             continue
-        if len(run) < chars_per_token * len(encoding.encode_ordinary(run)):
+        if len(run) < chars_per_token * len(encoding.encode_ordinary(run)) and not is_identifier(run, encoding):
             found.append(("token", start, end))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -146,6 +147,19 @@ def test_secret_spans(spark):
         assert [s for s in found[i] if s[0] == "hex"] == plain
 
 
+@pytest.mark.parametrize("letters", [string.ascii_lowercase + string.digits, string.ascii_uppercase + "234567", string.ascii_uppercase + string.digits, string.ascii_lowercase, string.ascii_uppercase])
+def test_keys_of_one_case_are_costly(letters):
+    r, encoding = random.Random(8), secrets._encoding(tokenizer_path("byte_bpe_50k.tiktoken"))
+    keys = ["".join(r.choice(letters) for _ in range(32)) for _ in range(300)]
+    assert sum(secrets.secret_spans(f"see {k} there", encoding) != [] for k in keys) >= 285
+
+
+def test_identifiers_are_not_costly():
+    encoding = secrets._encoding(tokenizer_path("byte_bpe_50k.tiktoken"))
+    names = ["someLongIdentifierName", "another_snake_case_word", "MAX_CONNECTION_TIMEOUT_SECONDS", "SQL_SCALAR_PANDAS_UDF", "src/main/resources/table-2024", "RequestHandlerFactoryBean", "release-notes-2024-12-03"]
+    assert [n for n in names if secrets.secret_spans(f"see {n} there", encoding)] == []
+
+
 def test_word_windows_equal_brute_force(docs, rows):
     want = [(i, n, r, h) for i, n, r, _, h in brute.repeats(rows, 13, brute.words, b" ".join)]
     got = [tuple(r)[:4] for r in substrings.remove_repeats(docs).collect()]
