@@ -60,6 +60,26 @@ def test_quality_rejects_other_distributions_only(spark):
     assert all(kept[i] for i in range(60)) and not kept[60] and not kept[61] and not kept[62]
 
 
+@pytest.mark.parametrize("limit", ["10485760", "-1"])
+def test_quality_of_rare_languages(spark, limit):
+    r = random.Random(4)
+    word = lambda common, letters: r.choice(common) if r.random() < 0.5 else "".join(r.choice(letters) for _ in range(7))
+    text = lambda n, *of: " ".join(word(*of) for _ in range(n))
+    en, ru = (["the", "of", "and", "to"], "aeioutnsrl"), (["и", "в", "не", "на"], "аеиотнсрлк")
+    rows = [(i, text(60, *en), "en") for i in range(900)] + [(i, text(2200, *ru), "ru" if i < 1002 else None) for i in range(1000, 1004)]
+    rows += [(1010, text(60, *ru).upper().replace(" ", "!! "), "ru"), (1011, text(60, *en), "ru"), (1012, text(60, *ru), "uk"), (1013, text(60, *ru), "*"), (1014, text(60, *ru), None)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        found = {x["doc_id"]: x for x in quality.judge_quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(found) == len(rows)
+    assert {i for i, x in found.items() if not x["kept"]} == {1010, 1011}
+    assert all(found[i]["char_distance"] < 0.1 and found[i]["word_distance"] < 0.2 for i in (1000, 1001, 1002, 1003, 1014))
+    assert all(found[i]["char_distance"] is None and found[i]["word_distance"] is None for i in (1012, 1013))
+
+
 def test_js_distance_by_numpy(spark):
     from pyspark.sql import functions as F
 
