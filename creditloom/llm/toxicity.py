@@ -199,7 +199,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str = "t
     """Fits on at most ``sample`` labelled documents among the ``allowed`` rows of ``labels``."""
     labelled = labels.where(allowed & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("bigint").alias("doc_id")).agg(F.max(label_col).alias("toxic"))
     drawn = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    own = cut_lineage(doc_columns(docs, id_col, text_col).join(F.broadcast(drawn), "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "toxic"))
+    joined = doc_columns(docs, id_col, text_col).join(F.broadcast(drawn), "doc_id")
+    # one text an id, the least, so that a repeated id counts once; combined before the shuffle
+    own = cut_lineage(joined.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "toxic"))
     sizes = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     words, prefixes = list(LEXICON), []
     if sizes.get(0) and sizes.get(1):

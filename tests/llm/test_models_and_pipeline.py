@@ -47,6 +47,15 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert all(0 <= x["score"] <= 1 for x in toxicity.score_documents(docs, alone).collect())
 
 
+def test_toxicity_counts_a_repeated_id_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)] + [(3, f"another {k}") for k in range(500)] + [(4, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, toxic int")
+    sizes, plain = [], toxicity._hits
+    monkeypatch.setattr(toxicity, "_hits", lambda own, *rest: sizes.append(sorted((r["doc_id"], r["text"]) for r in own.collect())) or plain(own, *rest))
+    toxicity.fit(docs, labels, F.lit(True))
+    assert sizes == [[(i, "another 0" if i == 3 else f"text {i}") for i in range(20)]]
+
+
 def test_label_model_learns_accuracy_and_correlation():
     r = np.random.default_rng(8)
     y = r.random(4000) < 0.2
