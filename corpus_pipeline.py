@@ -5,7 +5,10 @@ kept, and returns the columns of ``documents``; the last returns the packed
 pieces with their token ids. Stages are written as Parquet and read again.
 
 Rows: null and empty texts pass all filters and are packed as a document of
-the end token alone; a repeated row stays with its copy of the same id.
+the end token alone; a repeated row stays with its copy of the same id, and a
+row without an id stays in the near-duplicate stage, whole copies included:
+equal ids, and all null ids, are one document to the suffix stage as well, so
+exact copies among these rows reach the packing whole.
 """
 
 from __future__ import annotations
@@ -32,10 +35,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of the smallest id."""
+    """One document id of each group stays, the smallest, with all its rows; rows without an id all stay, copies or not."""
     found = neardup.near_duplicates(docs, PERCENT)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    # a row without an id is a copy of one that has one, or it stays
+    # a null id equals none in the join: rows without an id all stay
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
