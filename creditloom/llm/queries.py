@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import bpe, neardup, packing, pii, quality, secrets, substrings, suffixes, topk, toxicity
+from creditloom.llm import bpe, lm, neardup, packing, pii, quality, secrets, substrings, suffixes, topk, toxicity
 from creditloom.llm.common import read_table
 from creditloom.session import ensure_defaults
 
@@ -72,13 +72,18 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op11_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_defaults(spark)
+    return lm.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_packing, op4_toxicity, op5_secrets, op6_substrings, op7_minhash, op8_pii, op9_suffixes, op10_topk, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_packing, op4_toxicity, op5_secrets, op6_substrings, op7_minhash, op8_pii, op9_suffixes, op10_topk, op11_lm, pipeline)}
 
 ORACLE = {
     "op6_substrings": substrings.oracle_sql(),
