@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import bpe, lexical, lm, neardup, packing, pii, quality, secrets, substrings, suffixes, topk, toxicity
+from creditloom.llm import align, bpe, lexical, lm, neardup, packing, pii, quality, secrets, substrings, suffixes, topk, toxicity
 from creditloom.llm.common import read_table
 from creditloom.session import ensure_defaults
 
@@ -77,6 +77,11 @@ def op11_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_defaults(spark)
+    return align.align_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_defaults(spark)
     return lexical.Index(read_table(spark, sf_dir, "documents")).search(read_table(spark, sf_dir, "benchmark"))
@@ -88,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_packing, op4_toxicity, op5_secrets, op6_substrings, op7_minhash, op8_pii, op9_suffixes, op10_topk, op11_lm, op13_lexical, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_packing, op4_toxicity, op5_secrets, op6_substrings, op7_minhash, op8_pii, op9_suffixes, op10_topk, op11_lm, op12_align, op13_lexical, pipeline)}
 
 ORACLE = {
     "op13_lexical": lexical.oracle_sql(),
