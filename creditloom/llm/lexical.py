@@ -36,7 +36,7 @@ from creditloom.llm.blocks import pack, unpack
 from creditloom.llm.common import NULL_ID, doc_columns, slices
 from creditloom.session import cut_lineage
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Queries searched in one pass; their terms are all that is broadcast.
 QUERY_BLOCK = 2048
 #: Ranges opened at once.
@@ -47,7 +47,7 @@ TOP = 50
 
 #: All ASCII but letters and digits becomes a blank, A-Z lower case.
 _TERM_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
-_BITS = np.array([bin(i).count("1") for i in range(16)], np.int64)
+_BITS = np.array([bin(i).count("1") for i in range(16)], np.int8)
 
 
 def terms_of(text: str | None) -> list[bytes]:
@@ -92,8 +92,8 @@ class Treap:
         self.bitmap = np.zeros(len(maxima) + 1, np.uint8)
         self.bitmap[: len(bitmaps)] = bitmaps
         children = _BITS[self.bitmap]
-        self.first = np.cumsum(children) - children + (sizes[0] if len(maxima) else 0)
-        self.top = np.append(maxima, 0).astype(np.int64)
+        self.first = (np.cumsum(children, dtype=np.int64) - children + (sizes[0] if len(maxima) else 0)).astype(np.int32 if self.empty < 1 << 31 else np.int64)
+        self.top = np.append(maxima, np.uint32(0))
 
     def children(self, nodes: np.ndarray, row_bit: np.ndarray, column_bit: int) -> np.ndarray:
         child = 2 * row_bit + column_bit
@@ -201,10 +201,10 @@ class Index:
                     sizes, bitmaps, maxima = treap_levels(term, doc, impact, len(terms), len(ids))
                     yield pa.RecordBatch.from_pydict({
                         "slice": pa.array([batch.column("slice")[i].as_py()], pa.int64()), "ids": pa.array([pack(ids)], pa.binary()),
-                        "terms": pa.array([terms.to_pylist()], pa.list_(pa.string())), "treap": pa.array([pack(sizes, bitmaps, maxima)], pa.binary()),
+                        "terms": pa.array(["\n".join(terms.to_pylist()).encode()], pa.binary()), "treap": pa.array([pack(sizes, bitmaps, maxima)], pa.binary()),
                     })
 
-        self.treaps = cut_lineage(self.read.select("slice", "texts", "postings", "terms").mapInArrow(run, "slice bigint, ids binary, terms array<string>, treap binary"))
+        self.treaps = cut_lineage(self.read.select("slice", "texts", "postings", "terms").mapInArrow(run, "slice bigint, ids binary, terms binary, treap binary"))
 
     def weights(self, words: DataFrame) -> DataFrame:
         """(item_id, term, w) of the items' terms that the collection holds."""
@@ -251,7 +251,7 @@ class Index:
                 for batch in batches:
                     for i in range(batch.num_rows):
                         (ids,) = unpack(batch.column("ids")[i].as_py())
-                        row = {t: j for j, t in enumerate(batch.column("terms")[i].values.to_pylist()) if t in wanted}
+                        row = {t: j for j, t in enumerate(batch.column("terms")[i].as_py().decode().split("\n")) if t in wanted}
                         treap = Treap(*unpack(batch.column("treap")[i].as_py()))
                         for q, (_, terms, weight) in enumerate(own):
                             held = [j for j, t in enumerate(terms) if t in row]
