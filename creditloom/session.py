@@ -85,6 +85,17 @@ def drop_table(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
+def new_table_path(spark: SparkSession) -> str:
+    """A fresh folder under the shared checkpoint folder, removed when the driver ends."""
+    import uuid
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/creditloom-tables/{uuid.uuid4().hex}"
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where)
+    return path
+
+
 def cut_lineage(df):
     """Materialise ``df`` as a parquet table under the cluster's shared
     checkpoint folder (``spark.checkpoint.dir``) and return a DataFrame that
@@ -95,12 +106,7 @@ def cut_lineage(df):
     re-read the files instead of recomputing the lineage. Never local. The
     table is removed when the driver ends.
     """
-    import uuid
-
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/creditloom-tables/{uuid.uuid4().hex}"
+    path = new_table_path(spark)
     df.write.mode("overwrite").parquet(path)
-    files, where = _file_system(spark, path)
-    files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,6 +4,9 @@ import random
 from collections import deque
 from datetime import datetime, timedelta
 
+import numpy as np
+import pytest
+
 from creditloom.operators import request_log as rl
 
 
@@ -64,15 +67,48 @@ def test_requests_by_route(spark):
     assert got == {("/a", "2xx"): (1, 0), ("/a", "5xx"): (2, 2), ("/b", "4xx"): (1, 0)}
 
 
-def test_admission_split_equals_unsplit_with_gaps(spark):
+def _decisions(spark, rows, limit, window, **more):
+    got = rl.rate_limit_admission(_events(spark, rows), limit, window, **more).collect()
+    assert len(got) == len(rows)
+    return {r.event_id: r.admitted for r in got}
+
+
+@pytest.mark.parametrize("slice_events", [25, 100_000])
+def test_one_key_without_a_gap_is_decided_over_many_slices(spark, slice_events):
+    """Always saturated: every slice but the first needs the state of the one before it."""
+    rnd = random.Random(5)
+    t0 = datetime(2026, 1, 1)
+    rows = [(i, "only", t0 + timedelta(milliseconds=i * 900 + rnd.randint(0, 4000))) for i in range(400)]
+    expected = _brute_admission(rows, 6, 60)
+    assert 0.05 < sum(expected.values()) / 400 < 0.2
+    assert _decisions(spark, rows, 6, 60, slice_events=slice_events) == expected
+
+
+def test_bursts_pauses_ties_and_null_keys(spark):
     rnd = random.Random(11)
     t0 = datetime(2026, 1, 1)
     rows, t = [], t0
-    for i in range(2500):
-        # bursts separated by quiet gaps longer than the window
-        t = t + timedelta(seconds=rnd.choice([1, 2, 3, 5, 90]))
-        rows.append((i, "hot" if i % 4 else f"k{i % 7}", t))
-    df = _events(spark, rows)
-    split = {r.event_id: r.admitted for r in rl.rate_limit_admission(df, 3, 60, split_hot_keys=True).collect()}
-    plain = {r.event_id: r.admitted for r in rl.rate_limit_admission(df, 3, 60, split_hot_keys=False).collect()}
-    assert split == plain == _brute_admission(rows, 3, 60)
+    for i in range(1500):
+        # bursts, quiet gaps longer than the window, stretches at the limit, and many equal stamps
+        t = t + timedelta(seconds=rnd.choice([0, 0, 1, 2, 20, 90]) if i % 300 < 200 else 25)
+        rows.append((i, None if i % 5 == 0 else "hot" if i % 4 else f"k{i % 7}", t))
+    expected = _brute_admission([(i, k or "", t) for i, k, t in rows], 3, 60)
+    for slice_events in (90, 100_000):
+        assert _decisions(spark, rows, 3, 60, slice_events=slice_events) == expected
+
+
+def test_admission_of_nothing_of_a_zero_limit_and_of_undated_rows(spark):
+    t0 = datetime(2026, 1, 1)
+    assert _decisions(spark, [], 3, 60) == {}
+    assert _decisions(spark, [(1, "a", t0), (2, "a", None)], 0, 60) == {1: False, 2: False}
+    assert _decisions(spark, [(1, "a", t0), (2, "a", None), (3, "b", None)], 2, 60) == {1: True, 2: False, 3: False}
+
+
+def test_admit_hands_on_the_stamps_that_still_count():
+    stamps = np.array([0, 1, 2, 10, 11, 12, 13])
+    whole, held = rl.admit(stamps, [], 2, 10)
+    assert whole.tolist() == [True, True, False, False, True, True, False] and held == [11, 12]
+    for cut in range(len(stamps) + 1):
+        first, between = rl.admit(stamps[:cut], [], 2, 10)
+        second, end = rl.admit(stamps[cut:], between, 2, 10)
+        assert [*first, *second] == whole.tolist()
