@@ -23,6 +23,8 @@ SESSION_DEFAULTS = {
     # AQE converts a sort-merge join to a broadcast join only when the
     # shuffle stage of one side actually measured below this size.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+    # keyed state with timers (streaming admission) lives in RocksDB
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -14,17 +14,16 @@ over the stored log stays exact.
 
 from __future__ import annotations
 
-from typing import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.exprs import instant_to_wall, wall_to_instant
 from ..operators import collections_plan as cp
-from ..operators.request_log import LATENCY_BUCKETS_MS, status_group
+from ..operators.request_log import LATENCY_BUCKETS_MS, admit, status_group
 from ..sources.files import align_feedback, canonicalize_feedback
 
 LATEST_PAYLOAD = ["Outcome", "PromiseStatus", "SupervisorEscalation", "FieldNotes", "RecordedAt"]
@@ -167,42 +166,76 @@ ADMISSION_OUT = T.StructType(
         T.StructField("admitted", T.BooleanType()),
     ]
 )
-ADMISSION_STATE = T.StructType([T.StructField("admitted_us", T.ArrayType(T.LongType()))])
-
-
-def _admission_fn(limit: int, window_us: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            # no event of this key for a whole window: its state is empty anyway
-            state.remove()
-            return
-        admitted = list(state.get[0]) if state.exists else []
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["_t", "event_id"], kind="mergesort")
-        flags = []
-        for t in batch["_t"].to_numpy():
-            cutoff = t - window_us
-            admitted = [a for a in admitted if a >= cutoff]
-            ok = len(admitted) < limit
-            if ok:
-                admitted.append(int(t))
-            flags.append(ok)
-        state.update((admitted,))
-        # evict once the watermark passes the last event plus one window
-        state.setTimeoutTimestamp(int(batch["_t"].max()) // 1000 + window_us // 1000 + 1)
-        yield pd.DataFrame({"event_id": batch["event_id"].to_numpy(), "client_key": batch["client_key"].to_numpy(),
-                            "ts": batch["ts"].to_numpy(), "admitted": flags})
-
-    return fn
-
-
-def admission_stream(req: DataFrame, limit: int = 30, window_seconds: int = 60) -> DataFrame:
-    """Keyed admission over a request stream; state = admitted stamps in the window
-    (at most ``limit`` per key), evicted by an event-time timer one window
-    after the key's last event. Events behind the watermark (one window)
-    are dropped; within a micro-batch a key's events are ordered by time."""
+
+class AdmissionProcessor(StatefulProcessor):
+    """Holds a key's attempts back, by time bucket, until the watermark has
+    passed the bucket, then decides them in order of time and id.
+
+    State: the attempts of each open bucket (one map entry a bucket, read once
+    and removed), and the admitted stamps that still count (at most
+    ``limit``). A timer at the end of each bucket decides it; one more, a
+    window after the last admitted stamp, clears a key that fell silent.
+    """
+
+    def __init__(self, limit: int, window_us: int, bucket_us: int):
+        self.limit, self.window_us, self.bucket_us = limit, window_us, bucket_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getMapState("pending", "bucket long", "stamps array<long>, ids array<long>")
+        self.held = handle.getValueState("held", "stamps array<long>")
+
+    def _due(self, bucket: int) -> int:
+        """The first millisecond at which no attempt of the bucket can come any more."""
+        return -(-(bucket + 1) * self.bucket_us // 1000)
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:
+            stamps, ids = pdf["micros"].to_numpy(), pdf["event_id"].to_numpy()
+            buckets = stamps // self.bucket_us
+            for bucket in np.unique(buckets).tolist():
+                new = buckets == bucket
+                old_stamps, old_ids = self.pending.getValue((bucket,)) if self.pending.containsKey((bucket,)) else ([], [])
+                self.pending.updateValue((bucket,), ([*old_stamps, *stamps[new].tolist()], [*old_ids, *ids[new].tolist()]))
+                self.handle.registerTimer(self._due(bucket))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        closed = sorted(b for (b,) in self.pending.keys() if self._due(b) <= now)
+        held = list(self.held.get()[0]) if self.held.exists() else []
+        for bucket in closed:
+            stamps, ids = (np.array(x, np.int64) for x in self.pending.getValue((bucket,)))
+            self.pending.removeKey((bucket,))
+            order = np.lexsort((ids, stamps))
+            admitted, held = admit(stamps[order], held, self.limit, self.window_us)
+            yield pd.DataFrame({"event_id": ids[order], "client_key": [key[0]] * len(ids),
+                                "ts": pd.to_datetime(stamps[order], unit="us", utc=True), "admitted": admitted})
+        if closed and held:
+            self.held.update((held,))
+            self.handle.registerTimer(self._due((held[-1] + self.window_us) // self.bucket_us))
+        elif held and self._due((held[-1] + self.window_us) // self.bucket_us) <= now:
+            self.held.clear()  # every attempt that could still see the last admitted one is decided
+
+    def close(self) -> None:
+        pass
+
+
+def admission_stream(req: DataFrame, limit: int = 30, window_seconds: int = 60, lateness_seconds: int | None = None,
+                     bucket_seconds: float = 1.0) -> DataFrame:
+    """Keyed admission over a request stream, equal to the batch decisions for any
+    order of arrival within ``lateness_seconds`` (default: one window).
+
+    An attempt is decided once the watermark has passed its time bucket, so
+    attempts that arrive late, in the same or a later micro-batch, still take
+    their place in time; attempts behind the watermark are dropped by Spark.
+    State of a key: its undecided attempts and at most ``limit`` stamps; rows
+    are read batch by batch and never gathered per key. Needs the RocksDB
+    state store (``session.SESSION_DEFAULTS``); attempts without a stamp are left out.
+    """
     w_us = int(window_seconds * 1_000_000)
-    rows = req.select("event_id", "client_key", event_time("ts").alias("ts")).withColumn("_t", F.unix_micros("ts"))
-    rows = rows.withWatermark("ts", f"{int(window_seconds)} seconds")
-    return rows.groupBy("client_key").applyInPandasWithState(
-        _admission_fn(limit, w_us), ADMISSION_OUT, ADMISSION_STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    rows = req.select("event_id", "client_key", event_time("ts").alias("ts")).where(F.col("ts").isNotNull())
+    rows = rows.withColumn("micros", F.unix_micros("ts"))
+    rows = rows.withWatermark("ts", f"{int(window_seconds if lateness_seconds is None else lateness_seconds)} seconds")
+    processor = AdmissionProcessor(limit, w_us, max(1, int(bucket_seconds * 1_000_000)))
+    return rows.groupBy("client_key").transformWithStateInPandas(processor, ADMISSION_OUT, "append", "EventTime")
