@@ -116,8 +116,13 @@ EPOCH_NTZ = "1970-01-01 00:00:00"
 
 
 def ntz_micros(c: Column) -> Column:
-    """Microseconds since the epoch of a TIMESTAMP_NTZ value, zone-free."""
-    return F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), c)
+    """Microseconds since the epoch of a TIMESTAMP_NTZ value, zone-free.
+
+    From its date and clock parts: ``timestamp_diff`` would read the value in the
+    session's zone first, where an hour may be missing or come twice.
+    """
+    clock = F.hour(c).cast("bigint") * 3_600_000_000 + F.minute(c).cast("bigint") * 60_000_000
+    return F.unix_date(c.cast("date")).cast("bigint") * 86_400_000_000 + clock + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
 
 
 def wall_to_instant(c: Column) -> Column:

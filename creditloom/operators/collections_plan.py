@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clip, count_if, join_small, parse_stamp, round_half_even, strip
+from ..functions.exprs import clip, count_if, join_small, ntz_micros, parse_stamp, round_half_even, strip
 from ..schema import (
     ACTION_FIELD,
     ACTION_REMOTE,
@@ -215,8 +215,8 @@ def visit_plan(
 # ---------------------------------------------------------------------------
 
 def parse_recorded_at(c: Column) -> Column:
-    """ISO-8601 text to timestamp; unparsable text becomes null."""
-    return parse_stamp(c).cast("timestamp")
+    """ISO-8601 text to microseconds of its UTC time, whatever the session's zone; unparsable text becomes null."""
+    return ntz_micros(parse_stamp(c))
 
 
 def latest_feedback(feedback: DataFrame, tie_col: str | None = None) -> DataFrame:

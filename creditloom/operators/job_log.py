@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import count_if
+from ..session import cut_lineage
+from ..sources.bucketed import BucketedTable
 from ..schema import NO_ERROR_MESSAGE, STALE_EXHAUSTED, STALE_REQUEUED, TERMINAL_STATUSES
 
 JOB_COLUMNS = [
@@ -286,6 +288,34 @@ def apply_next_state(jobs: DataFrame, changes: DataFrame) -> DataFrame:
     return keep.unionByName(aligned.select(*jobs.columns))
 
 
+def remove_jobs(jobs: DataFrame, gone: DataFrame) -> DataFrame:
+    return jobs.join(gone.select("job_id"), "job_id", "left_anti")
+
+
+def job_table(spark, path: str, buckets: int = 64) -> BucketedTable:
+    """The job log as a table in id buckets: a change rewrites the buckets of its jobs only."""
+    return BucketedTable(spark, path, "job_id", buckets)
+
+
+def sweep(table: BucketedTable, as_of: str, stale_after_seconds: float = 300.0, cancel: bool = False,
+          older_than_seconds: float | None = 86400.0) -> int:
+    """Recover stale jobs, cancel what is queued (if asked), drop expired terminal jobs; the new version number.
+
+    Each step is a version of its own that reads the one before it. A step's
+    changes are stored first: they come from the table that the step changes.
+    """
+    version = table.versions()[-1]
+    steps = [(lambda jobs: stale_recovery(jobs, as_of, stale_after_seconds), apply_next_state)]
+    if cancel:
+        steps.append((lambda jobs: cancel_candidates(jobs, as_of), apply_next_state))
+    if older_than_seconds is not None:
+        steps.append((lambda jobs: remove_jobs(jobs, retention_keep(jobs, as_of, older_than_seconds)), remove_jobs))
+    for changes_of, combine in steps:
+        version += 1
+        table.change(cut_lineage(changes_of(table.read())), combine, version)
+    return version
+
+
 # ---------------------------------------------------------------------------
 # audit logs (incident annotations, gate decisions)
 # ---------------------------------------------------------------------------

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import oracle as O
 from ...operators import job_log as jl
-from ...schema import STALE_EXHAUSTED, STALE_REQUEUED
+from ...schema import STALE_EXHAUSTED, STALE_REQUEUED, TERMINAL_STATUSES
+from ...session import new_table_path
 from .common import A, AS_OF, J, jobs, register
 
 
@@ -213,3 +214,31 @@ register(
                    "'system' AS created_by, 'ops' AS created_by_role, updated_at AS created_at FROM job) "
                    "WHERE decision_type = 'type_2' ORDER BY created_at DESC, decision_id DESC LIMIT 500"),
 )(lambda spark, d: jl.list_log(decisions(spark, d), "decision_type", "type_2", 500))
+
+
+# the log after a sweep (stale recovery, cancelation, retention), each step a
+# version of the table in id buckets
+def swept(spark, d):
+    table = jl.job_table(spark, new_table_path(spark))
+    table.write(jobs(spark, d), 0)
+    jl.sweep(table, AS_OF, 300.0, cancel=True, older_than_seconds=86400.0)
+    return table.read()
+
+
+_STALE = f"status = 'running' AND updated_at <= {O.ts(jl.shifted(AS_OF, -300))}"
+register(
+    "job_log_swept",
+    O.with_ctes(J + [f"""
+recovered AS (
+  SELECT * REPLACE (
+    CASE WHEN {_STALE} THEN CASE WHEN attempts < max_attempts THEN 'queued' ELSE 'dead_letter' END ELSE status END AS status,
+    CASE WHEN {_STALE} THEN CASE WHEN attempts < max_attempts THEN {O.q(STALE_REQUEUED)} ELSE {O.q(STALE_EXHAUSTED)} END ELSE error END AS error,
+    CASE WHEN {_STALE} THEN CASE WHEN attempts < max_attempts THEN {A} END ELSE next_attempt_at END AS next_attempt_at,
+    CASE WHEN {_STALE} THEN {A} ELSE updated_at END AS updated_at) FROM job
+)""", f"""
+canceled AS (
+  SELECT * REPLACE (CASE WHEN status = 'queued' THEN 'canceled' ELSE status END AS status,
+    CASE WHEN status = 'queued' THEN NULL ELSE next_attempt_at END AS next_attempt_at,
+    CASE WHEN status = 'queued' THEN {A} ELSE updated_at END AS updated_at) FROM recovered
+)"""], f"SELECT * FROM canceled WHERE NOT (status IN ({', '.join(O.q(x) for x in TERMINAL_STATUSES)}) AND updated_at <= {O.ts(jl.shifted(AS_OF, -86400))})"),
+)(swept)

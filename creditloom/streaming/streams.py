@@ -1,7 +1,7 @@
 """Structured Streaming forms of the time-windowed computations.
 
-* R1 feedback ingest: canonicalise, de-duplicate within the watermark and
-  append to the log; each batch is merged into the latest-per-account table.
+* R1 feedback ingest: canonicalise and append to the log; each batch is merged
+  into the touched buckets of the latest-per-account table.
 * R2 dead letters per sliding event-time window.
 * R3 request counts and latency buckets per tumbling window.
 * R4 per-key admission limiter with keyed state.
@@ -14,6 +14,8 @@ over the stored log stays exact.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +26,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions.exprs import instant_to_wall, wall_to_instant
 from ..operators import collections_plan as cp
 from ..operators.request_log import LATENCY_BUCKETS_MS, admit, status_group
+from ..sources.bucketed import BucketedTable
 from ..sources.files import align_feedback, canonicalize_feedback
 
 LATEST_PAYLOAD = ["Outcome", "PromiseStatus", "SupervisorEscalation", "FieldNotes", "RecordedAt"]
@@ -45,81 +48,61 @@ def _wall(c: str) -> F.Column:
 # ---------------------------------------------------------------------------
 
 
-def _versions(spark, base: str) -> list[tuple[int, str]]:
-    """(batch id, path) of the complete ``v=<id>`` versions under ``base``."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(base)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    out = []
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append((int(name[2:]), st.getPath().toString()))
-    return sorted(out)
+#: Buckets of the latest-per-account table: about one for every few million accounts.
+LATEST_BUCKETS = 64
 
 
-def read_latest(spark, latest_path: str) -> DataFrame:
-    """The current latest-per-account table written by ``feedback_ingest``."""
-    versions = _versions(spark, latest_path)
-    if not versions:
-        raise FileNotFoundError(f"No latest-feedback table under {latest_path}")
-    return spark.read.parquet(versions[-1][1])
+def _latest_table(spark, latest_path: str, buckets: int = LATEST_BUCKETS) -> BucketedTable:
+    return BucketedTable(spark, latest_path, "AccountId", buckets)
 
 
-#: Feedback that agrees in these columns is the same feedback.
-FEEDBACK_KEY = ["AccountId", "RecordedAt", "Outcome", "PromiseStatus", "FieldNotes"]
+def read_latest(spark, latest_path: str) -> DataFrame:
+    """The current latest-per-account table written by ``feedback_ingest``."""
+    return _latest_table(spark, latest_path).read()
 
 
 def read_log(spark, log_path: str) -> DataFrame:
-    """The feedback log, each feedback once."""
-    return spark.read.parquet(log_path).drop("batch_id").dropDuplicates(FEEDBACK_KEY)
+    """The feedback log, each feedback once: rows that agree in every column are the same feedback."""
+    return spark.read.parquet(log_path).drop("batch_id").dropDuplicates()
 
 
-def feedback_ingest(stream: DataFrame, log_path: str, latest_path: str, checkpoint: str, now_ts: str, today: str,
-                    watermark: str = "1 day", trigger: dict | None = None, rejected_path: str | None = None):
+def feedback_ingest(stream: DataFrame, log_path: str, latest_path: str, checkpoint: str, now_ts: str | None = None,
+                    today: str | None = None, trigger: dict | None = None, rejected_path: str | None = None,
+                    buckets: int = LATEST_BUCKETS):
     """Start the ingest query; each micro-batch appends canonical rows to the
     log and merges them into the latest-per-account table. Rows without an
     AccountId are rejected (written under ``rejected_path`` when given).
 
     However late a row is, it is logged: the log is the only copy, so no
-    watermark stands before it (``watermark`` is accepted for callers that
-    pass one and drops nothing). Equal feedback within a batch is written
-    once; equal feedback of different batches is one row of ``read_log``.
-
-    Every write is keyed by the micro-batch id (``batch_id=<id>`` log
-    partitions, ``v=<id>`` latest versions), so a replayed batch overwrites
-    its own output instead of duplicating it; superseded latest versions
-    are removed once the new one is complete.
+    watermark stands before it. Rows of a batch that agree in every source column
+    are written once; such rows of different batches are one row of ``read_log``
+    if they have a stamp of their own. A missing stamp takes
+    ``now_ts`` and ``today``, or else the time its batch starts.
+
+    Every write is keyed by the micro-batch id, so a replayed batch overwrites
+    its own output instead of duplicating it. Of the latest table, a batch
+    reads and writes only the buckets of its accounts, and readers of the
+    version before keep theirs (``sources.bucketed``).
     """
-    accepted, rejected = canonicalize_feedback(stream, now_ts, today)
-    canon = accepted.withColumn("_ok", F.lit(True))
-    if rejected_path:
-        canon = canon.unionByName(rejected.withColumn("_ok", F.lit(False)))
+
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.dropDuplicates([*FEEDBACK_KEY, "_ok"])
+        spark, start = batch.sparkSession, datetime.now(timezone.utc)
+        accepted, rejected = canonicalize_feedback(
+            batch.dropDuplicates(), now_ts or start.strftime("%Y-%m-%dT%H:%M:%SZ"), today or start.strftime("%Y-%m-%d"))
         if rejected_path:
-            align_feedback(batch.filter(~F.col("_ok"))).write.mode("overwrite").parquet(
-                f"{rejected_path}/batch_id={batch_id}")
-        rows = align_feedback(batch.filter(F.col("_ok")).drop("_ok"))
-        rows.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
+            align_feedback(rejected).write.mode("overwrite").parquet(f"{rejected_path}/batch_id={batch_id}")
+        align_feedback(accepted).write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
         # latest-per-account is a max over (stamp, tie, payload): merging the
-        # previous latest version with this batch equals recomputing it over
-        # the whole log, at the cost of the latest table only
-        fresh = rows.select("AccountId", *LATEST_PAYLOAD)
-        earlier = [v for v in _versions(spark, latest_path) if v[0] < batch_id]
-        if earlier:
-            fresh = spark.read.parquet(earlier[-1][1]).select("AccountId", *LATEST_PAYLOAD).unionByName(fresh)
-        cp.latest_feedback(fresh).write.mode("overwrite").parquet(f"{latest_path}/v={batch_id}")
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for _, old in earlier:
-            path = jvm.org.apache.hadoop.fs.Path(old)
-            path.getFileSystem(conf).delete(path, True)
-
-    writer = canon.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+        # touched buckets with this batch equals recomputing it over the whole log
+        stored = spark.read.schema(align_feedback(accepted).schema).parquet(f"{log_path}/batch_id={batch_id}")
+        fresh = cp.latest_feedback(stored.select("AccountId", *LATEST_PAYLOAD))
+        table = _latest_table(spark, latest_path, buckets)
+        if any(v < batch_id for v in table.versions()):
+            table.change(fresh, lambda current, new: cp.latest_feedback(current.unionByName(new)), batch_id)
+        else:
+            table.write(fresh, batch_id)
+
+    writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
