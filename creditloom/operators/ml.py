@@ -1,23 +1,16 @@
-"""Default-risk model: features, stratified split, logistic regression, scoring.
-
-Built from Spark ML stages (Imputer, VectorAssembler, StandardScaler,
-StringIndexer, OneHotEncoder, LogisticRegression); training is distributed
-by Spark ML, scoring is a ``transform`` (a projection, no shuffle).
-"""
+"""Default-risk model: features, stratified split, fit (``logit``), metrics and scoring."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import count_if
 from ..session import cut_lineage
 from ..schema import HIGH, LOW, MEDIUM, MODEL_CATEGORICAL, MODEL_NUMERIC
+from . import logit
+from .logit import LogitModel
+from .ordering import rank_within_groups, running_count_within_groups
 from .scoring import id_column, regular_accounts
 
 LABEL = "WillDefault"
@@ -53,79 +46,55 @@ def split_draw(key: F.Column, label: F.Column, seed: int = SEED) -> F.Column:
 
 
 def stratified_split(df: DataFrame, test_fraction: float = TEST_FRACTION, seed: int = SEED) -> DataFrame:
-    """Deterministic stratified split: within each class a row goes to test when
-    its seeded draw falls below ``test_fraction``.
+    """Deterministic stratified split: of each class, exactly the rounded share of
+    ``test_fraction`` goes to test, the rows with the smallest seeded draws (of equal draws
+    the smaller id).
 
-    Same proportion per class as a stratified shuffle split, without a sort
-    or shuffle (a per-row expression), stable across re-runs and
-    reproducible in plain SQL.
+    Ranks come from range slices, so a class with most of the rows is not
+    sorted in one task; the class counts have one row a label.
     """
-    u = split_draw(F.col(id_column(df)), F.col(LABEL), seed)
-    return df.withColumn("split", F.when(u < F.lit(test_fraction), "test").otherwise("train"))
-
-
-def build_pipeline(reg_param: float) -> Pipeline:
-    imputed = [f"{c}__imp" for c in MODEL_NUMERIC]
-    stages = [
-        Imputer(strategy="median", inputCols=MODEL_NUMERIC, outputCols=imputed),
-        VectorAssembler(inputCols=imputed, outputCol="num_vec", handleInvalid="keep"),
-        StandardScaler(inputCol="num_vec", outputCol="num_scaled", withMean=True, withStd=True),
-    ]
-    idx = [f"{c}__idx" for c in MODEL_CATEGORICAL]
-    ohe = [f"{c}__ohe" for c in MODEL_CATEGORICAL]
-    stages += [
-        StringIndexer(inputCols=MODEL_CATEGORICAL, outputCols=idx, handleInvalid="keep"),
-        OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"),
-        VectorAssembler(inputCols=["num_scaled"] + ohe, outputCol="features"),
-        LogisticRegression(
-            featuresCol="features", labelCol=LABEL, weightCol="class_weight", maxIter=2000,
-            regParam=reg_param, elasticNetParam=0.0, standardization=False,
-        ),
-    ]
-    return Pipeline(stages=stages)
-
-
-def with_class_weights(train: DataFrame) -> DataFrame:
-    """Balanced weights n / (2 * n_class); the class-count table has two rows."""
-    counts = train.groupBy(LABEL).agg(F.count(F.lit(1)).alias("_nc"))
-    total = counts.agg(F.sum("_nc")).scalar()
-    w = counts.select(LABEL, (total / (F.lit(2.0) * F.col("_nc"))).alias("class_weight"))
-    return train.join(F.broadcast(w), LABEL, "left")
-
-
-def train(df: DataFrame) -> tuple[PipelineModel, DataFrame]:
+    key = id_column(df)
+    drawn = df.withColumn("_draw", split_draw(F.col(key), F.col(LABEL), seed))
+    ranked = rank_within_groups(drawn, [LABEL], [F.col("_draw"), F.col(key)], "_nth")
+    counts = df.groupBy(F.col(LABEL).alias("_label")).agg(F.floor(F.count(F.lit(1)) * F.lit(test_fraction) + F.lit(0.5)).alias("_tests"))
+    split = ranked.join(F.broadcast(counts), F.col(LABEL) == F.col("_label"))
+    return split.withColumn("split", F.when(F.col("_nth") <= F.col("_tests"), "test").otherwise("train")).drop("_draw", "_nth", "_label", "_tests")
+
+
+def train(df: DataFrame) -> tuple[LogitModel, DataFrame]:
     """Fit on the 70 % split; return the model and the held-out rows."""
     keep = [id_column(df), LABEL, *MODEL_NUMERIC, *MODEL_CATEGORICAL]
-    # one reliable materialisation: the feature stages and every optimizer
-    # iteration read it instead of recomputing the scoring lineage
+    # one reliable materialisation: statistics and every pass of the fit read
+    # it instead of recomputing the scoring lineage
     frame = cut_lineage(stratified_split(model_frame(df)).select(*keep, "split"))
-    train_df = frame.filter(F.col("split") == "train")
-    test_df = frame.filter(F.col("split") == "test")
-    stats = train_df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(LABEL).alias("k")).first()
-    if stats["k"] < 2:
-        raise ValueError("Target needs at least two classes to train a classifier.")
-    model = build_pipeline(1.0 / max(int(stats["n"]), 1)).fit(with_class_weights(train_df))
-    return model, test_df
+    model = logit.fit(frame.where(F.col("split") == "train"), LABEL, MODEL_NUMERIC, MODEL_CATEGORICAL)
+    return model, frame.where(F.col("split") == "test")
 
 
-def probability(pred: DataFrame) -> DataFrame:
-    return pred.withColumn("PredDefaultProbability", vector_to_array("probability")[1])
+def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
+    """Area under the ROC curve (one row): the share of (1, 0) pairs in the right
+    order, ties counting half. Rows are counted by score first; the counts of 0s
+    below each score are running sums over range slices, so no task sees all scores."""
+    counts = scored.groupBy(F.col(score).alias("p")).agg(count_if(F.col(label) == 1).alias("n1"), count_if(F.col(label) == 0).alias("n0"))
+    below = running_count_within_groups(counts, [], [F.col("p")], "n0", "upto")
+    pairs = F.sum(F.col("n1") * (2 * F.col("upto") - F.col("n0"))).cast("double")
+    all_ = F.sum("n1").cast("double") * F.sum("n0").cast("double") * 2.0
+    return below.agg((pairs / F.nullif(all_, F.lit(0.0))).alias("roc_auc"))
 
 
-def metrics(model: PipelineModel, test_df: DataFrame) -> DataFrame:
-    """accuracy, precision (0 if undefined), recall, ROC AUC on the held-out rows (one row)."""
-    pred = model.transform(test_df.withColumn("class_weight", F.lit(1.0)))
-    auc = BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0).evaluate(pred)
-    p, y = F.col("prediction") == 1.0, F.col(LABEL) == 1
+def metrics(model: LogitModel, test_df: DataFrame) -> DataFrame:
+    """accuracy, precision, recall (0 if undefined), ROC AUC on the held-out rows (one row)."""
+    pred = cut_lineage(model.transform(test_df, "p").select("p", LABEL))
+    said, true = F.col("p") > 0.5, F.col(LABEL) == 1
     agg = pred.agg(
-        F.avg((F.col("prediction") == F.col(LABEL).cast("double")).cast("double")).alias("accuracy"),
-        count_if(p & y).alias("tp"), count_if(p).alias("pp"), count_if(y).alias("ap"),
+        F.avg(F.when(said == true, 1.0).otherwise(0.0)).alias("accuracy"),
+        count_if(said & true).alias("tp"), count_if(said).alias("pp"), count_if(true).alias("ap"),
     )
     return agg.select(
         "accuracy",
         F.coalesce(F.col("tp") / F.when(F.col("pp") > 0, F.col("pp")), F.lit(0.0)).alias("precision"),
         F.coalesce(F.col("tp") / F.when(F.col("ap") > 0, F.col("ap")), F.lit(0.0)).alias("recall"),
-        F.lit(float(auc)).alias("roc_auc"),
+        auc(pred, "p", LABEL).scalar().alias("roc_auc"),
     )
 
 
@@ -133,23 +102,12 @@ def model_band(p) -> F.Column:
     return F.when((p > -0.01) & (p <= 0.4), LOW).when((p > 0.4) & (p <= 0.7), MEDIUM).when((p > 0.7) & (p <= 1.0), HIGH)
 
 
-def score_regular(scored: DataFrame, model: PipelineModel) -> DataFrame:
+def score_regular(scored: DataFrame, model: LogitModel) -> DataFrame:
     """Class-1 probability and model band for the regular (STD) accounts."""
-    std = regular_accounts(scored)
-    feats = std
-    for c in MODEL_NUMERIC:
-        feats = feats.withColumn(c, F.col(c).cast("double"))
-    pred = probability(model.transform(feats.withColumn("class_weight", F.lit(1.0))))
-    pred = pred.withColumn("ModelRiskCategory", model_band(F.col("PredDefaultProbability")))
-    helper = [c for c in pred.columns if c.endswith(("__imp", "__idx", "__ohe")) or c in
-              ("num_vec", "num_scaled", "features", "rawPrediction", "probability", "prediction", "class_weight")]
-    return pred.drop(*helper)
+    pred = model.transform(regular_accounts(scored))
+    return pred.withColumn("ModelRiskCategory", model_band(F.col("PredDefaultProbability")))
 
 
 def score_model(processed: DataFrame) -> tuple[DataFrame, DataFrame]:
     model, test_df = train(processed)
     return score_regular(processed, model), metrics(model, test_df)
-
-
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)

@@ -215,6 +215,66 @@ plan AS (
   FROM plan0
 )"""
 
+# the same plan from model probabilities and bands
+PLAN_MODEL = (
+    PLAN.replace(f"coalesce(RuleRiskCategory, 'nan') AS RiskBand,\n         {clip('cast(RuleScore AS double) / mx')} AS RiskCore",
+                 f"coalesce(ModelRiskCategory, 'nan') AS RiskBand, {clip('PredDefaultProbability')} AS RiskCore")
+    .replace(f"FROM std CROSS JOIN (SELECT greatest(coalesce(max(cast(RuleScore AS double)), {_f(1.0)}), {_f(1.0)}) AS mx FROM std)", "FROM std_model")
+    .replace("RuleScore AS tie", "PredDefaultProbability AS tie")
+)
+
+NEWTON_STEPS = 12
+
+
+def model_ctes(numeric: list[str], categorical: list[str]) -> list[str]:
+    """Fit and score the default model in SQL: imputation, scaling and one-hot
+    columns as one vector a row, then Newton steps of the balanced, penalised logistic
+    regression. Each step solves its normal equations by Gauss-Jordan elimination, one pivot a recursion."""
+    both = ", ".join([f"median({c}) AS md_{c}" for c in numeric] + [
+        f"(SELECT v FROM (SELECT {c} AS v, count(*) AS n FROM train WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 1)) AS mo_{c}"
+        for c in categorical])
+    fill = {c: f"coalesce(cast({c} AS double), md_{c})" for c in numeric}
+    means = ", ".join(f"avg({fill[c]}) AS mu_{c}" for c in numeric)
+    spread = ", ".join(f"sqrt(avg(({fill[c]} - mu_{c}) * ({fill[c]} - mu_{c}))) AS sd_{c}" for c in numeric)
+    levels = ", ".join(f"list_sort(list(DISTINCT coalesce({c}, mo_{c}))) AS lv_{c}" for c in categorical)
+    scaled = ", ".join(f"({fill[c]} - mu_{c}) / CASE WHEN sd_{c} = 0 THEN 1 ELSE sd_{c} END" for c in numeric)
+    vector = f"[{scaled}]"
+    for c in categorical:
+        vector = f"list_concat({vector}, list_transform(lv_{c}, lambda l: CASE WHEN coalesce({c}, mo_{c}) = l THEN {_f(1.0)} ELSE {_f(0.0)} END))"
+    vector = f"list_append({vector}, {_f(1.0)})"
+    out = [
+        "train AS MATERIALIZED (SELECT * FROM split_frame WHERE split = 'train')",
+        "held AS (SELECT * FROM split_frame WHERE split = 'test')",
+        f"filled AS MATERIALIZED (SELECT {both} FROM train)",
+        f"mean AS MATERIALIZED (SELECT {means} FROM train, filled)",
+        f"fitted AS MATERIALIZED (SELECT * FROM filled, mean, (SELECT {spread} FROM train, filled, mean), (SELECT {levels} FROM train, filled))",
+        "share AS MATERIALIZED (SELECT WillDefault AS c, (SELECT count(*) FROM train) / (cast(2 AS double) * count(*)) AS s FROM train GROUP BY 1)",
+        f"x AS MATERIALIZED (SELECT {vector} AS v, cast(WillDefault AS double) AS y, s FROM train JOIN share ON WillDefault = c, fitted)",
+        f"b0 AS MATERIALIZED (SELECT list_transform(v, lambda a: {_f(0.0)}) AS b, len(v) AS k FROM (SELECT v FROM x LIMIT 1))",
+    ]
+    for t in range(1, NEWTON_STEPS + 1):
+        out += [
+            f"p{t} AS MATERIALIZED (SELECT v, y, s, 1 / (1 + exp(-list_dot_product(v, b))) AS p FROM x, b{t - 1})",
+            f"h{t} AS (SELECT i, list(h ORDER BY j) AS r FROM (SELECT i, j, sum(s * p * (1 - p) * v[i] * v[j]) + "
+            f"CASE WHEN i = j AND i < any_value(k) THEN 1 ELSE 0 END AS h FROM p{t}, b{t - 1}, (SELECT unnest(range(1, k + 1)) AS i FROM b0), "
+            f"(SELECT unnest(range(1, k + 1)) AS j FROM b0) GROUP BY i, j) GROUP BY i)",
+            f"g{t} AS (SELECT i, sum(s * (p - y) * v[i]) + CASE WHEN i < any_value(k) THEN any_value(b)[i] ELSE 0 END AS g "
+            f"FROM p{t}, b{t - 1}, (SELECT unnest(range(1, k + 1)) AS i FROM b0) GROUP BY i)",
+            f"m{t} AS MATERIALIZED (SELECT list(list_append(r, g) ORDER BY i) AS m FROM h{t} JOIN g{t} USING (i))",
+            f"e{t} AS (SELECT 1 AS q, m FROM m{t} UNION ALL SELECT q + 1, list_transform(m, lambda r, i: CASE WHEN i = q THEN "
+            f"list_transform(r, lambda a: a / m[q][q]) ELSE list_transform(r, lambda a, j: a - r[q] / m[q][q] * m[q][j]) END) FROM e{t} WHERE q <= len(m))",
+            f"b{t} AS MATERIALIZED (SELECT list_transform(b, lambda a, i: a - m[i][k + 1]) AS b, k FROM b{t - 1}, (SELECT m FROM e{t} ORDER BY q DESC LIMIT 1))",
+        ]
+    probability = round_even(f"1 / (1 + exp(-list_dot_product({vector}, b)))", 6)
+    out += [
+        f"held_scored AS (SELECT {probability} AS p, WillDefault AS y FROM held, fitted, b{NEWTON_STEPS})",
+        f"std_p AS (SELECT std.*, {probability} AS PredDefaultProbability FROM std, fitted, b{NEWTON_STEPS})",
+        f"std_model AS (SELECT *, CASE WHEN PredDefaultProbability <= 0.4 THEN {q(LOW)} WHEN PredDefaultProbability <= 0.7 THEN {q(MEDIUM)} "
+        f"ELSE {q(HIGH)} END AS ModelRiskCategory FROM std_p)",
+    ]
+    return out
+
+
 FEEDBACK = """
 fb AS (
   SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS RecordedAt, props AS FieldNotes,

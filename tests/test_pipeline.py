@@ -63,16 +63,16 @@ def test_score_and_refresh_jobs(spark, tmp_path):
 
 
 def test_model_save_and_reload(spark, tmp_path):
-    from pyspark.ml import PipelineModel
-
     from creditloom.operators import ml
+    from creditloom.operators.logit import LogitModel
     from creditloom.plans import catalog as C
 
     scored = C.scored(spark, SF)
     model, _ = ml.train(scored)
     path = str(tmp_path / "model")
-    ml.save_model(model, path)
-    again = PipelineModel.load(path)
+    model.save(spark, path)
+    again = LogitModel.load(spark, path)
+    assert again == model
     a = ml.score_regular(scored, model).select("AccountNo", "PredDefaultProbability")
     b = ml.score_regular(scored, again).select("AccountNo", "PredDefaultProbability")
     assert a.exceptAll(b).count() == 0 and a.count() > 0
