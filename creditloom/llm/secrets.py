@@ -32,12 +32,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Characters of a part that is judged by its tokens: fewer are too few for a ratio to tell keys from names.
+LEAST_RUN = 16
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
+_PART = re.compile(r"[A-Za-z0-9]+")
 DIGEST_CHARS = {32, 40, 48, 56, 64, 96, 128}
 _HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Parts of an identifier: words in one case or capitalised, or short numbers.
-_IDENTIFIER = re.compile(r"(?:[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]{1,4}(?![0-9])))+[+/_=-]*")
+#: Possessive and atomic throughout, so that a run is read once whatever it holds.
+_IDENTIFIER = re.compile(r"(?:[+/_=-]*+(?:[A-Z]?[a-z]++|(?>[A-Z]+(?![a-z]))|[0-9]{1,4}+(?![0-9])))++[+/_=-]*+")
 _WORDS = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{3,}")
 #: Ordinary words take about three characters a token or more, random strings under two.
 CHARS_PER_TOKEN = 2.0
@@ -83,17 +87,45 @@ def base_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[str, int, i
     return found
 
 
+def uncovered(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What the ``taken`` spans (in order) leave of a span."""
+    for s, e in taken:
+        if e <= start:
+            continue
+        if s >= end:
+            break
+        if s > start:
+            yield start, s
+        start = max(start, e)
+    if start < end:
+        yield start, end
+
+
+def is_secret(run: str, encoding, chars_per_token: float = CHARS_PER_TOKEN) -> bool:
+    """Few characters a token, and neither a known kind of string nor an identifier."""
+    if len(run) < LEAST_RUN or is_known(run):
+        return False
+    return len(run) < chars_per_token * len(encoding.encode_ordinary(run)) and not is_identifier(run, encoding)
+
+
 def secret_spans(text: str, encoding, chars_per_token: float = CHARS_PER_TOKEN) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in code points, by start, then by kind as listed."""
+    """(kind, start, end) in code points, by start, then by kind as listed.
+
+    A run of key characters outside the base spans is judged whole, and, if it passes, part by
+    part between its separators, so that words joined to a key do not hide it.
+    """
     runs = [m.span() for m in RUN.finditer(text)]
     found = base_spans(text, runs)
     taken = sorted((s, e) for _, s, e in found)
-    for start, end in runs:
-        run = text[start:end]
-        if is_known(run) or any(s < end and start < e for s, e in taken):
-            continue
-        if len(run) < chars_per_token * len(encoding.encode_ordinary(run)) and not is_identifier(run, encoding):
-            found.append(("token", start, end))
+    for run in runs:
+        for start, end in uncovered(*run, taken) if taken else (run,):
+            if end - start < LEAST_RUN or is_known(text[start:end]):
+                continue
+            if is_secret(text[start:end], encoding, chars_per_token):
+                found.append(("token", start, end))
+            else:
+                parts = [m.span() for m in _PART.finditer(text, start, end)]
+                found += [("token", a, b) for a, b in parts if (a, b) != (start, end) and is_secret(text[a:b], encoding, chars_per_token)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

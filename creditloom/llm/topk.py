@@ -38,9 +38,14 @@ ANNULUS = 512
 
 
 def integer_vectors(table: DataFrame, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, v): each component x as floor(scale * x), whole vectors only."""
+    """(vec_id, v): each component x as floor(scale * x), of vectors without null or non-finite components.
+
+    Components of 2^53 / scale or more in size are an error (they are no
+    integers a double can tell apart), and so are scores beyond 64 bits.
+    """
     x = F.transform(F.col(vec_col), lambda e: F.floor(F.lit(float(scale)) * e.cast("double")))
-    whole = F.forall(F.col(vec_col), lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < F.lit(1e12)))
+    whole = F.forall(F.col(vec_col), lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < F.lit(float("inf"))))
+    x = F.transform(x, lambda e: F.when(F.abs(e) < 2**53, e).otherwise(F.raise_error(F.lit("component too large for an exact score")).cast("bigint")))
     kept = table.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & (F.size(F.col(vec_col)) > 0) & whole)
     return kept.select(F.col(id_col).cast("bigint").alias("vec_id"), x.cast("array<bigint>").alias("v"))
 
@@ -84,7 +89,7 @@ def build_index(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE)
     The order holds the id as well, so equal vectors spread over partitions.
     """
     spark = vectors.sparkSession
-    square = F.aggregate("v", F.lit(0).cast("bigint"), lambda a, e: a + e * e)
+    square = F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))
     shape = vectors.agg(F.max(F.size("v")).alias("dim"), F.max(square).alias("top")).first()
     if shape["dim"] is None:
         return vectors.select(F.lit(0).alias("pivot"), F.lit(0.0).alias("ring"), "vec_id", "v").limit(0), {}
@@ -108,11 +113,16 @@ def build_index(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE)
     return cut_lineage(keyed.repartitionByRange(parts, "pivot", "ring", "vec_id").sortWithinPartitions("pivot", "ring", "vec_id")), about
 
 
+def _exact(top: float):
+    """The type in which inner products up to ``top`` are exact: the extended one has 64 bits for an integer."""
+    return np.float64 if top < 2**53 else np.longdouble
+
+
 class _Best:
     """The k best (score, id) of every query, ties to the smaller id."""
 
     def __init__(self, queries: int, k: int, floor: np.ndarray):
-        self.score = np.full((queries, k), -np.inf)
+        self.score = np.full((queries, k), -np.inf, floor.dtype)
         self.ids = np.full((queries, k), np.iinfo(np.int64).max)
         self.floor = floor
 
@@ -138,7 +148,8 @@ def _search(batches: Iterator[pa.RecordBatch], about: dict, q_ids: np.ndarray, q
     length = (q * q).sum(1)
     lifted[:, -1] = 0
     to_pivot = np.sqrt(np.maximum(length[:, None] + (pivots * pivots).sum(1) - 2 * lifted @ pivots.T, 0))
-    best = _Best(len(q), k, floor)
+    best, kind = _Best(len(q), k, floor), _exact(top)
+    q = q.astype(kind, copy=False)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -153,11 +164,13 @@ def _search(batches: Iterator[pa.RecordBatch], about: dict, q_ids: np.ndarray, q
             a, b = annuli[j]
             live = np.flatnonzero(bound[j] >= best.worst())
             if len(live):
-                scores = q[live] @ m[a:b].T
+                scores = q[live] @ m[a:b].astype(kind, copy=False).T
                 scores[q_ids[live][:, None] == ids[a:b][None, :]] = -np.inf
                 best.offer(live, scores, ids[a:b])
     rows, ranks = np.nonzero(np.isfinite(best.score))
     if len(rows):
+        if np.abs(best.score[rows, ranks]).max() >= 2.0**63:
+            raise OverflowError("a score does not fit in 64 bits")
         yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(best.ids[rows, ranks]), pa.array(best.score[rows, ranks].astype(np.int64))], names=["query_id", "vec_id", "score"])
 
 
@@ -188,9 +201,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
         if not rows:
             continue
         q_ids, q = np.asarray([r["vec_id"] for r in rows], np.int64), _padded([r["v"] for r in rows], about["dim"])
-        scores = q @ about["sample"].T
+        kind = _exact(about["top"])
+        scores = q.astype(kind, copy=False) @ about["sample"].astype(kind, copy=False).T
         scores[q_ids[:, None] == about["ids"][None, :]] = -np.inf
-        floor = np.sort(scores, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(q), -np.inf)
+        floor = np.sort(scores, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(q), -np.inf, kind)
         shared = spark.sparkContext.broadcast((about, q_ids, q, floor))
         near = index.mapInArrow(lambda batches, shared=shared: _search(batches, shared.value[0], *shared.value[1:3], k, shared.value[3]), "query_id bigint, vec_id bigint, score bigint")
         found = near if found is None else found.unionByName(near)
