@@ -237,14 +237,14 @@ def requeue_candidates(jobs: DataFrame, known_types: DataFrame, as_of: str, job_
     """Next state of the oldest ``limit`` dead letters whose type has a handler.
 
     The limit applies before the handler check (rows of unknown types are
-    skipped, not replaced). ``known_types`` is the registered handler list
-    (bounded by code, broadcast for the semi join). A dry run is ``count()``.
+    skipped, not replaced). ``known_types`` is the registered handler list;
+    Spark chooses the join by its size. A dry run is ``count()``.
     """
     dead = jobs.filter(F.col("status") == "dead_letter")
     if job_type:
         dead = dead.filter(F.col("job_type") == job_type)
     first = dead.orderBy(F.col("updated_at"), F.col("job_id")).limit(at_least_one(limit))
-    chosen = first.join(F.broadcast(known_types), "job_type", "left_semi")
+    chosen = first.join(known_types, "job_type", "left_semi")
     now = ts_lit(as_of)
     return chosen.select(
         "job_id",

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import strip
+from ..functions.exprs import BROADCAST_MAX_ROWS, strip
 from ..schema import ID_CANDIDATES, REQUIRED_COLUMNS
 from ..session import cut_lineage
 from ..sources.files import required_status, validate_columns
@@ -20,45 +20,54 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
+_DIGEST = "_cl_digest"
+
+
 def _null_census(cols: list[str]) -> list:
     return [F.count(F.when(F.col(c).isNull(), 1)).alias(f"_null_{c}") for c in cols]
 
 
+def row_digest(df: DataFrame) -> Column:
+    """Equal for equal rows (nulls, NaN and zeros of either sign as in DISTINCT); different rows rarely share one."""
+    gaps = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in df.columns])
+    return F.xxhash64(gaps, *df.columns)
+
+
+def distinct_rows(df: DataFrame, max_digests: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Whole-row distinct of a stored table that moves only rows which may be copies.
+
+    Digests (8 bytes a row, counted before they are shuffled) tell which rows
+    can have an equal one; only rows of these digests are compared and
+    shuffled whole, so rows of equal digest that differ all stay. The repeated
+    digests are broadcast while there are at most ``max_digests`` (8 MB);
+    beyond, the table is de-duplicated whole.
+    """
+    tagged = df.withColumn(_DIGEST, row_digest(df))
+    counts = tagged.groupBy(_DIGEST).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(_DIGEST)
+    repeated = cut_lineage(counts)
+    found = repeated.count()
+    if found == 0:
+        return df
+    if found > max_digests:
+        return df.dropDuplicates()
+    repeated = F.broadcast(repeated)
+    copies = tagged.join(repeated, _DIGEST, "left_semi").drop(_DIGEST).dropDuplicates()
+    return tagged.join(repeated, _DIGEST, "left_anti").drop(_DIGEST).unionByName(copies)
+
+
 def dedupe_and_census(df: DataFrame, num: list[str], materialize: bool = True, unique_key: str | None = None):
     """(whole-row distinct table, null count per numeric column).
 
-    When the table has an account-id column and ``materialize`` is on, the
-    rows are written once to the checkpoint folder and one aggregate both
-    counts nulls and checks the ids: unique ids (at most one missing) mean
-    no two rows can be equal, so the wide shuffle of every column is
-    skipped. Only when ids repeat (or there is no id) are whole rows
-    de-duplicated - map-side combined - and the census taken again.
+    With ``materialize``, the rows are written once to the checkpoint folder,
+    and ``distinct_rows`` reads them there. Rows of a declared ``unique_key``
+    cannot be equal: nothing is dropped, so nothing is shuffled, and with
+    ``materialize`` off nothing is written either.
     """
-    if unique_key is not None:
-        # rows of a declared key cannot be equal: nothing to drop, so nothing is
-        # shuffled, and with ``materialize`` off nothing is written either
-        dedup = cut_lineage(df) if materialize else df
-        census = dedup.agg(*_null_census(num)).first() if num else {}
-        return dedup, {c: census[f"_null_{c}"] for c in num}
-    key = next((c for c in ID_CANDIDATES if c in df.columns), None)
-    if not materialize:
-        dedup = df.dropDuplicates()
-    elif key is None:
-        dedup = cut_lineage(df.dropDuplicates())
-    else:
-        raw = cut_lineage(df)
-        k = F.col(key)
-        stats = raw.agg(
-            F.count(F.lit(1)).alias("_rows"), F.countDistinct(k).alias("_keys"),
-            F.count(F.when(k.isNull(), 1)).alias("_null_keys"), *_null_census(num),
-        ).first()
-        if stats["_rows"] == stats["_keys"] + stats["_null_keys"] and stats["_null_keys"] <= 1:
-            return raw, {c: stats[f"_null_{c}"] for c in num}
-        dedup = cut_lineage(raw.dropDuplicates())
-    if not num:
-        return dedup, {}
-    census = dedup.agg(*_null_census(num)).first()
-    return dedup, {c: census[f"_null_{c}"] for c in num}
+    rows = cut_lineage(df) if materialize else df
+    if unique_key is None:
+        rows = distinct_rows(rows) if materialize else rows.dropDuplicates()
+    census = rows.agg(*_null_census(num)).first() if num else {}
+    return rows, {c: census[f"_null_{c}"] for c in num}
 
 
 def drop_duplicate_rows(df: DataFrame, materialize: bool = True) -> DataFrame:

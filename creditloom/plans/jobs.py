@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import argparse
 import datetime as dt
-import os
 
 from pyspark.sql import SparkSession
 
@@ -22,7 +21,7 @@ from . import pipeline
 
 
 def _loans(spark: SparkSession, source: str):
-    if os.path.isdir(source) and os.path.exists(os.path.join(source, "orders.parquet")):
+    if files.path_exists(spark, f"{source.rstrip('/')}/orders.parquet"):
         return loan_view(spark, source)
     return files.load_table(spark, source)
 
@@ -32,19 +31,16 @@ def score_job(spark: SparkSession, loans: str, out: str, feedback: str | None =
     as_of = as_of or dt.date.today().isoformat()
     fb = files.load_feedback(spark, feedback) if feedback else None
     result = pipeline.run(_loans(spark, loans), as_of, fb, mode=mode, materialize=True)
-    pipeline.write_outputs(result, out)
-    return {name: spark.read.parquet(f"{out}/{name}").count()
-            for name in ("scored_accounts", "top_risky_accounts", "daily_visit_plan", "officer_kpis")}
+    written = pipeline.write_outputs(result, out)
+    return {name: written[name] for name in ("scored_accounts", "top_risky_accounts", "daily_visit_plan", "officer_kpis")}
 
 
 def refresh_job(spark: SparkSession, scored: str, feedback: str, out: str, as_of: str | None = None) -> dict:
     as_of = as_of or dt.date.today().isoformat()
     fb = files.load_feedback(spark, feedback)
     plan, kpis = pipeline.refresh_plan(spark.read.parquet(scored), fb, as_of)
-    files.write_table(plan, f"{out}/daily_visit_plan", partition_by=["OfficerId"])
-    files.write_table(kpis, f"{out}/officer_kpis")
-    return {"visit_plan_rows": spark.read.parquet(f"{out}/daily_visit_plan").count(),
-            "officer_kpi_rows": spark.read.parquet(f"{out}/officer_kpis").count(),
+    return {"visit_plan_rows": files.write_table(plan, f"{out}/daily_visit_plan", partition_by=["OfficerId"]),
+            "officer_kpi_rows": files.write_table(kpis, f"{out}/officer_kpis"),
             "feedback_rows": fb.count()}
 
 

@@ -522,3 +522,11 @@ loan_gaps AS (
   FROM loan
 )"""
 CLEAN_GAPS = CLEAN.replace("SELECT DISTINCT * FROM loan)", "SELECT DISTINCT * FROM loan_gaps)")
+
+LOAN_COPIES = LOAN_GAPS + """,
+loan_copies AS (
+  SELECT * FROM loan_gaps
+  UNION ALL SELECT * FROM loan_gaps WHERE cast(regexp_extract(AccountNo, '([0-9]+)$', 1) AS bigint) % 9 = 0
+  UNION ALL SELECT * FROM loan_gaps WHERE cast(regexp_extract(AccountNo, '([0-9]+)$', 1) AS bigint) % 27 = 0
+)"""
+CLEAN_COPIES = CLEAN.replace("SELECT DISTINCT * FROM loan)", "SELECT DISTINCT * FROM loan_copies)")

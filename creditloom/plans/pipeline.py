@@ -77,11 +77,17 @@ def refresh_plan(scored: DataFrame, feedback: DataFrame, as_of_date: str) -> tup
     return plan, cp.officer_kpis(plan)
 
 
-def write_outputs(out: PipelineOutputs, base: str) -> None:
-    write_table(out.processed, f"{base}/loan_accounts_processed")
-    write_table(out.scored, f"{base}/scored_accounts")
-    write_table(out.top_risky, f"{base}/top_risky_accounts")
-    write_table(out.visit_plan, f"{base}/daily_visit_plan", partition_by=["OfficerId"])
-    write_table(out.officer_kpis, f"{base}/officer_kpis")
+def write_outputs(out: PipelineOutputs, base: str) -> dict[str, int]:
+    """Write every output; the rows of each, counted by the writes."""
+    rows = {
+        "loan_accounts_processed": write_table(out.processed, f"{base}/loan_accounts_processed"),
+        "scored_accounts": write_table(out.scored, f"{base}/scored_accounts"),
+        "top_risky_accounts": write_table(out.top_risky, f"{base}/top_risky_accounts"),
+        "daily_visit_plan": write_table(out.visit_plan, f"{base}/daily_visit_plan", partition_by=["OfficerId"]),
+    }
+    # KPIs are sums over the plan: read it back instead of planning again
+    plan = out.visit_plan.sparkSession.read.schema(out.visit_plan.schema).parquet(f"{base}/daily_visit_plan").select(*out.visit_plan.columns)
+    rows["officer_kpis"] = write_table(cp.officer_kpis(plan), f"{base}/officer_kpis")
     if out.metrics is not None:
         out.metrics.coalesce(1).write.mode("overwrite").json(f"{base}/model_metrics")
+    return rows

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import oracle as O, pipeline
 from ...operators import collections_plan as cp
+from ...session import new_table_path
 from ...sources import files
 from .common import (
     feedback_raw,
@@ -141,12 +142,7 @@ def q_scored_page(spark, d):
 )
 def q_output_counts(spark, d):
     out = pipeline.run(loans(spark, d), PLAN_DATE, mode="rule", materialize=True)
-    def rows(df):
-        return df.agg(F.count(F.lit(1))).scalar()
-
-    return out.scored.agg(F.count(F.lit(1)).alias("scored_accounts")).select(
-        "scored_accounts",
-        rows(out.top_risky).alias("top_risky_accounts"),
-        rows(out.visit_plan).alias("visit_plan_rows"),
-        rows(out.officer_kpis).alias("officer_kpi_rows"),
-    )
+    rows = pipeline.write_outputs(out, new_table_path(spark))
+    names = {"scored_accounts": "scored_accounts", "top_risky_accounts": "top_risky_accounts",
+             "daily_visit_plan": "visit_plan_rows", "officer_kpis": "officer_kpi_rows"}
+    return spark.createDataFrame([tuple(rows[n] for n in names)], ", ".join(f"{c} bigint" for c in names.values()))

@@ -41,6 +41,11 @@ register("scan_clean_gaps", O.with_ctes([O.LOAN_GAPS, O.CLEAN_GAPS], "SELECT * F
 )
 
 
+register("scan_clean_copies", O.with_ctes([O.LOAN_COPIES, O.CLEAN_COPIES], "SELECT * FROM clean"))(
+    lambda spark, d: clean(V.loan_view_with_copies(spark, d))
+)
+
+
 register(
     "rule_score_gaps",
     O.with_ctes([O.LOAN_GAPS, O.CLEAN_GAPS, O.FEATURES, O.SCORED.split(",\nstd AS")[0]],

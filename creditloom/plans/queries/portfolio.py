@@ -28,11 +28,9 @@ def pframe(spark, d):
     ),
 )
 def q_prepared_table(spark, d):
-    return pf.prepare_table(
-        pframe(spark, d),
-        ["AccountNo", "AccountName", "Branch", "Sector", "PrincipalOS", "RuleScore", "RuleRiskCategory"],
-        ["PredDefaultProbability", "RuleScore"], ascending=False, limit=100, tie_cols=["AccountNo"],
-    )
+    view = pf.View(("AccountNo", "AccountName", "Branch", "Sector", "PrincipalOS", "RuleScore", "RuleRiskCategory"),
+                   order=("PredDefaultProbability", "RuleScore"), ties=("AccountNo",), rows=100)
+    return view.of(pframe(spark, d))
 
 
 @register(
@@ -105,8 +103,7 @@ def q_stacked_risk(spark, d):
     ),
 )
 def q_ranking_ratio(spark, d):
-    top = pf.top_n(pframe(spark, d), "PrincipalOS", 10, False, "AccountNo", ["AccountNo", "PrincipalOS"])
-    return pf.ranking_ratio(top, "AccountNo", "PrincipalOS", 10)
+    return pf.ranking_ratio(pframe(spark, d), "AccountNo", "PrincipalOS", 10)
 
 
 RISK_TEXT = O.strip("coalesce(RuleRiskCategory, 'Unknown')")
@@ -142,7 +139,7 @@ def q_band_counts(spark, d):
     ),
 )
 def q_unique_branches(spark, d):
-    return pf.unique_values(pframe(spark, d), ["BrCode", "Branch"])
+    return pf.options(pframe(spark, d), ["BrCode", "Branch"])
 
 
 for _name, _col, _asc in [("top_outstanding", "PrincipalOS", False), ("low_outstanding_pct", "OutstandingPct", True),

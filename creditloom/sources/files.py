@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -186,11 +186,14 @@ def append_feedback(log: DataFrame, new_rows: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None,
-                fmt: str = "parquet") -> None:
-    w = df.write.mode(mode).format(fmt)
+                fmt: str = "parquet") -> int:
+    """Write ``df``; the number of rows written, observed by the write itself (no second pass)."""
+    seen = Observation()
+    w = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
+    return int(seen.get["rows"])
 
 
 def save_table(df: DataFrame, name: str, mode: str = "overwrite") -> None:

@@ -220,3 +220,12 @@ def loan_view_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("Sector", F.when(k % 13 == 0, F.lit(None)).otherwise(F.col("Sector")))
         .withColumn("RepaymentFrequency", F.when(k % 17 == 3, F.lit(None)).otherwise(F.col("RepaymentFrequency")))
     )
+
+
+def loan_view_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loan view with gaps in which every ninth account is entered twice and
+    every 27th three times (rows equal in every column)."""
+    v = loan_view_with_gaps(spark, sf_dir)
+    k = F.regexp_extract(F.col("AccountNo"), r"(\d+)$", 1).cast("bigint")
+    times = F.when(k % 27 == 0, 3).when(k % 9 == 0, 2).otherwise(1)
+    return v.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).drop("_copy")
