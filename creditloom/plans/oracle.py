@@ -278,7 +278,7 @@ def model_ctes(numeric: list[str], categorical: list[str]) -> list[str]:
 FEEDBACK = """
 fb AS (
   SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS RecordedAt, props AS FieldNotes,
-         concat('ACC_', cast(event_id * 7 % 1500 AS varchar(20))) AS AccountId,
+         concat('ACC_', cast(event_id * 7 % (SELECT max(o_orderkey) FROM orders) AS varchar(20))) AS AccountId,
          CASE event_type WHEN 'purchase' THEN 'Paid' WHEN 'view' THEN ' Resolved ' WHEN 'error' THEN 'No Contact'
               WHEN 'click' THEN 'Promise to Pay' ELSE '' END AS Outcome,
          CASE WHEN event_id % 9 = 0 THEN 'BROKEN' WHEN event_id % 9 = 1 THEN 'Kept' ELSE 'None' END AS PromiseStatus,

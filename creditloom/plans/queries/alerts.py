@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .. import oracle as O
 from ...operators import job_log as jl, ops_gate as og
 from ...schema import (
@@ -30,55 +32,10 @@ def sig(spark, d, presets=None):
     return og.signals(jobs(spark, d), AS_OF, presets or og.BALANCED)
 
 
-register("ops_signals", O.with_ctes(SIG_BAL, SNAP_SQL))(lambda spark, d: og.snapshot(sig(spark, d)))
-
-
-register(
-    "ops_failing",
-    O.with_ctes(
-        SIG_BAL + [SL],
-        "SELECT job_type, policy, severity, breached, cast(failing_count AS int) AS failing_count, 3 AS total_signals, "
-        "cast(row_number() OVER (PARTITION BY job_type, policy ORDER BY pos0) - 1 AS int) AS position, signal, signal_status, "
-        "recommendation FROM sl WHERE b "
-        "UNION ALL SELECT job_type, policy, severity, breached, cast(failing_count AS int), 3, 0, cast(NULL AS varchar), 'ok', "
-        f"{O.q(NO_ACTION)} FROM sig WHERE failing_count = 0",
-    ),
-)(lambda spark, d: og.failing_signals(sig(spark, d)))
-
-
-register(
-    "ops_remediation",
-    O.with_ctes(
-        SIG_BAL + [SL],
-        "SELECT job_type, policy, severity, cast(row_number() OVER (PARTITION BY job_type, policy ORDER BY priority) - 1 AS int) "
-        "AS position, signal, signal_status AS status, priority, recommendation AS action, "
-        + "CASE signal " + " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in SIGNAL_ENDPOINT.items())
-        + " END AS endpoint_hint FROM sl WHERE b",
-    ),
-)(lambda spark, d: og.remediation_actions(sig(spark, d)))
-
-
 SUMMARY_COLS = ["job_type", "policy", "severity", "breached", "failing_count", "total_actions", "critical_actions",
                 "warning_actions", "top_priority_signal", "deployment_allowed", "recommended_status_code", "summary"]
 
 
-register(
-    "ops_remediation_summary",
-    O.with_ctes(
-        SIG_BAL,
-        "SELECT job_type, policy, severity, breached, cast(failing_count AS int) AS failing_count, "
-        "cast(failing_count AS int) AS total_actions, "
-        "cast(worker_breached AS int) + cast(dead_letter_rate_breached AS int) AS critical_actions, "
-        "cast(queue_age_breached AS int) AS warning_actions, "
-        "CASE WHEN worker_breached THEN 'worker' WHEN dead_letter_rate_breached THEN 'dead_letter_rate' "
-        "WHEN queue_age_breached THEN 'queue_age' END AS top_priority_signal, NOT breached AS deployment_allowed, "
-        "CASE WHEN breached THEN 503 ELSE 200 END AS recommended_status_code, "
-        f"CASE WHEN failing_count > 0 THEN concat(cast(failing_count AS varchar), {O.q(REMEDIATION_PENDING_SUFFIX)}) "
-        f"ELSE {O.q(REMEDIATION_CLEAR)} END AS summary FROM sig",
-    ),
-)(lambda spark, d: og.remediation_summary(sig(spark, d)).select(*SUMMARY_COLS))
-
-
 GATE_COLS = ["job_type", "policy", "severity", "breached", "failing_count", "healthy", "healthy_strict", "relaxed_pass",
              "strict_pass", "relaxed_status_code", "strict_status_code", "recommended_mode", "deployment_allowed",
              "recommended_status_code", "reasons"]
@@ -93,21 +50,6 @@ _REASONS = (
 )
 
 
-register(
-    "ops_gate",
-    O.with_ctes(
-        SIG_BAL,
-        "SELECT job_type, policy, severity, breached, cast(failing_count AS int) AS failing_count, "
-        "severity <> 'critical' AS healthy, severity = 'ok' AS healthy_strict, severity <> 'critical' AS relaxed_pass, "
-        "severity = 'ok' AS strict_pass, CASE WHEN severity <> 'critical' THEN 200 ELSE 503 END AS relaxed_status_code, "
-        "CASE WHEN severity = 'ok' THEN 200 ELSE 503 END AS strict_status_code, "
-        "CASE WHEN severity = 'ok' THEN 'strict' WHEN severity <> 'critical' THEN 'relaxed' ELSE 'block' END AS recommended_mode, "
-        "severity <> 'critical' AS deployment_allowed, CASE WHEN severity <> 'critical' THEN 200 ELSE 503 END AS recommended_status_code, "
-        f"{_REASONS} AS reasons FROM sig",
-    ),
-)(lambda spark, d: og.gate(sig(spark, d)).select(*GATE_COLS))
-
-
 ROLLOUT_COLS = ["job_type", "policy", "severity", "prod_pass", "staging_pass", "dev_pass", "recommended_profile",
                 "next_profile", "recommended_action", "promotion_path", "highest_eligible_profile", "release_readiness",
                 "blocking_profiles", "eligible_stages", "blocked_stages", "total_stages", "suppression_active", "suppressed",
@@ -138,25 +80,137 @@ def rollout_sql(suppress_active: bool) -> str:
     )
 
 
-register(
-    "ops_rollout",
-    O.with_ctes(SIG_BAL, "SELECT " + ", ".join(ROLLOUT_COLS) + f" FROM ({rollout_sql(True)})"),
-)(lambda spark, d: og.rollout(sig(spark, d), SUPPRESS_UNTIL, AS_OF).select(*ROLLOUT_COLS))
-
-
 MATRIX_COLS = ["job_type", "policy", "queue_age_threshold_seconds", "dead_letter_window_seconds",
                "dead_letter_threshold_per_minute", "severity", "breached", "failing_count", "recent_dead_letter",
                "dead_letter_rate_per_minute", "recommended_profile", "release_readiness", "deployment_allowed",
                "recommended_status_code"]
 
 
-register(
-    "ops_policy_matrix",
-    O.with_ctes(
-        SIG_ALL,
-        "SELECT r.job_type, r.policy, queue_age_threshold_seconds, dead_letter_window_seconds, dead_letter_threshold_per_minute, "
-        "r.severity, breached, cast(failing_count AS int) AS failing_count, recent_dead_letter, dead_letter_rate_per_minute, "
-        "recommended_profile, release_readiness, deployment_allowed, recommended_status_code "
-        f"FROM ({rollout_sql(False)}) r JOIN sig ON r.job_type = sig.job_type AND r.policy = sig.policy",
-    ),
-)(lambda spark, d: og.rollout(og.with_failing(sig(spark, d, POLICY_PRESETS)).drop("_failing")).select(*MATRIX_COLS))
+def family(suffix: str, one: list[str], every: list[str], sig, presets, as_of: str) -> None:
+    """The gate queries over one view: ``one`` policy, and ``every`` policy for the matrix."""
+    register(f"ops_signals{suffix}", O.with_ctes(one, SNAP_SQL))(lambda spark, d: og.snapshot(sig(spark, d)))
+
+    register(
+        f"ops_failing{suffix}",
+        O.with_ctes(
+            one + [SL],
+            "SELECT job_type, policy, severity, breached, cast(failing_count AS int) AS failing_count, 3 AS total_signals, "
+            "cast(row_number() OVER (PARTITION BY job_type, policy ORDER BY pos0) - 1 AS int) AS position, signal, signal_status, "
+            "recommendation FROM sl WHERE b "
+            "UNION ALL SELECT job_type, policy, severity, breached, cast(failing_count AS int), 3, 0, cast(NULL AS varchar), 'ok', "
+            f"{O.q(NO_ACTION)} FROM sig WHERE failing_count = 0",
+        ),
+    )(lambda spark, d: og.failing_signals(sig(spark, d)))
+
+    register(
+        f"ops_remediation{suffix}",
+        O.with_ctes(
+            one + [SL],
+            "SELECT job_type, policy, severity, cast(row_number() OVER (PARTITION BY job_type, policy ORDER BY priority) - 1 AS int) "
+            "AS position, signal, signal_status AS status, priority, recommendation AS action, "
+            + "CASE signal " + " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in SIGNAL_ENDPOINT.items())
+            + " END AS endpoint_hint FROM sl WHERE b",
+        ),
+    )(lambda spark, d: og.remediation_actions(sig(spark, d)))
+
+    register(
+        f"ops_remediation_summary{suffix}",
+        O.with_ctes(
+            one,
+            "SELECT job_type, policy, severity, breached, cast(failing_count AS int) AS failing_count, "
+            "cast(failing_count AS int) AS total_actions, "
+            "cast(worker_breached AS int) + cast(dead_letter_rate_breached AS int) AS critical_actions, "
+            "cast(queue_age_breached AS int) AS warning_actions, "
+            "CASE WHEN worker_breached THEN 'worker' WHEN dead_letter_rate_breached THEN 'dead_letter_rate' "
+            "WHEN queue_age_breached THEN 'queue_age' END AS top_priority_signal, NOT breached AS deployment_allowed, "
+            "CASE WHEN breached THEN 503 ELSE 200 END AS recommended_status_code, "
+            f"CASE WHEN failing_count > 0 THEN concat(cast(failing_count AS varchar), {O.q(REMEDIATION_PENDING_SUFFIX)}) "
+            f"ELSE {O.q(REMEDIATION_CLEAR)} END AS summary FROM sig",
+        ),
+    )(lambda spark, d: og.remediation_summary(sig(spark, d)).select(*SUMMARY_COLS))
+
+    register(
+        f"ops_gate{suffix}",
+        O.with_ctes(
+            one,
+            "SELECT job_type, policy, severity, breached, cast(failing_count AS int) AS failing_count, "
+            "severity <> 'critical' AS healthy, severity = 'ok' AS healthy_strict, severity <> 'critical' AS relaxed_pass, "
+            "severity = 'ok' AS strict_pass, CASE WHEN severity <> 'critical' THEN 200 ELSE 503 END AS relaxed_status_code, "
+            "CASE WHEN severity = 'ok' THEN 200 ELSE 503 END AS strict_status_code, "
+            "CASE WHEN severity = 'ok' THEN 'strict' WHEN severity <> 'critical' THEN 'relaxed' ELSE 'block' END AS recommended_mode, "
+            "severity <> 'critical' AS deployment_allowed, CASE WHEN severity <> 'critical' THEN 200 ELSE 503 END AS recommended_status_code, "
+            f"{_REASONS} AS reasons FROM sig",
+        ),
+    )(lambda spark, d: og.gate(sig(spark, d)).select(*GATE_COLS))
+
+    register(
+        f"ops_rollout{suffix}",
+        O.with_ctes(one, "SELECT " + ", ".join(ROLLOUT_COLS) + f" FROM ({rollout_sql(True)})"),
+    )(lambda spark, d: og.rollout(sig(spark, d), SUPPRESS_UNTIL, as_of).select(*ROLLOUT_COLS))
+
+    register(
+        f"ops_policy_matrix{suffix}",
+        O.with_ctes(
+            every,
+            "SELECT r.job_type, r.policy, queue_age_threshold_seconds, dead_letter_window_seconds, dead_letter_threshold_per_minute, "
+            "r.severity, breached, cast(failing_count AS int) AS failing_count, recent_dead_letter, dead_letter_rate_per_minute, "
+            "recommended_profile, release_readiness, deployment_allowed, recommended_status_code "
+            f"FROM ({rollout_sql(False)}) r JOIN sig ON r.job_type = sig.job_type AND r.policy = sig.policy",
+        ),
+    )(lambda spark, d: og.rollout(og.with_failing(sig(spark, d, presets)).drop("_failing")).select(*MATRIX_COLS))
+
+
+family("", SIG_BAL, SIG_ALL, sig, POLICY_PRESETS, AS_OF)
+
+
+# -- the same signals per queue, in the middle of the log: of the jobs of the last half day,
+# some queues hold a waiting job, some a fresh dead letter, some have a silent
+# worker, some neither, so every severity and every signal occurs
+
+QUEUES = 600
+QUEUE_AS_OF = "2024-01-20 12:00:00"
+HORIZON = 43200.0
+QUEUE_PRESETS = [("balanced", 300.0, 7200.0, 0.004), ("patient", 14400.0, 3600.0, 0.01), ("lenient", 36000.0, 3600.0, 0.5)]
+
+
+def queue_jobs(spark, d):
+    j = jobs(spark, d)
+    recent = F.col("created_at").between(jl.ts_lit(jl.shifted(QUEUE_AS_OF, -HORIZON)), jl.ts_lit(QUEUE_AS_OF))
+    number = F.substring_index("job_id", "_", -1).cast("bigint") % QUEUES
+    return j.where(recent).withColumn("job_type", F.concat(F.lit("queue_"), number.cast("string")))
+
+
+def heartbeats(rows):
+    """A worker counts as alive if its queue moved in the last nine hours; a queue whose last change was a cancelation is paused."""
+    last = F.max(F.struct("updated_at", "job_id", "status")).alias("last")
+    beat = rows.groupBy("job_type").agg(last)
+    return beat.select("job_type", (F.col("last.updated_at") >= jl.ts_lit(jl.shifted(QUEUE_AS_OF, -32400.0))).alias("worker_alive"),
+                       (F.col("last.status") == "canceled").alias("paused"))
+
+
+def queue_sig(spark, d, presets=None):
+    rows = queue_jobs(spark, d)
+    return og.signals(rows, QUEUE_AS_OF, presets or QUEUE_PRESETS[:1], heartbeat=heartbeats(rows))
+
+
+_QUEUE_CTES = [J[0].replace("job AS (", "every_job AS (", 1)] + [f"""
+job AS (
+  SELECT * REPLACE (concat('queue_', cast(cast(split_part(job_id, '_', 2) AS bigint) % {QUEUES} AS varchar)) AS job_type) FROM every_job
+  WHERE created_at BETWEEN {O.ts(jl.shifted(QUEUE_AS_OF, -HORIZON))} AND {O.ts(QUEUE_AS_OF)}
+)""", f"""
+beat AS (
+  SELECT job_type AS beat_type, max(updated_at) >= {O.ts(jl.shifted(QUEUE_AS_OF, -32400.0))} AS worker_alive,
+         arg_max(status, (updated_at, job_id)) = 'canceled' AS paused FROM job GROUP BY job_type
+)"""]
+
+
+def _queue_sql(presets) -> list[str]:
+    made = O.signals_sql(presets, QUEUE_AS_OF, jl.shifted)
+    plain = "SELECT g.*, p.*, true AS worker_alive, false AS paused, false AS worker_breached,"
+    joined = [c.replace(plain, "SELECT g.*, p.*, beat.worker_alive, beat.paused, NOT beat.worker_alive AS worker_breached,")
+              .replace("FROM g CROSS JOIN", "FROM g JOIN beat ON g.job_type = beat.beat_type CROSS JOIN") for c in made]
+    assert joined != made
+    return _QUEUE_CTES + joined
+
+
+family("_queues", _queue_sql(QUEUE_PRESETS[:1]), _queue_sql(QUEUE_PRESETS), queue_sig, QUEUE_PRESETS, QUEUE_AS_OF)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: the evaluation instant every time predicate is relative to.
@@ -106,11 +106,13 @@ def _events(spark, sf_dir):
 
 
 def feedback_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw feedback log rows as written by officers (text, partly blank)."""
-    return feedback_from_events(_events(spark, sf_dir))
+    """Raw feedback log rows as written by officers (text, partly blank), on accounts of the whole book."""
+    last = read_table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).scalar()
+    return feedback_from_events(_events(spark, sf_dir), last)
 
 
-def feedback_from_events(e: DataFrame) -> DataFrame:
+def feedback_from_events(e: DataFrame, accounts: Column | int = 1500) -> DataFrame:
+    """``accounts``: account numbers run below it."""
     i = F.col("event_id")
     outcome = (
         F.when(F.col("event_type") == "purchase", "Paid")
@@ -123,7 +125,7 @@ def feedback_from_events(e: DataFrame) -> DataFrame:
         i.alias("event_id"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("RecordedAt"),
         F.col("props").alias("FieldNotes"),
-        F.concat(F.lit("ACC_"), (i * 7 % 1500).cast("string")).alias("AccountId"),
+        F.concat(F.lit("ACC_"), (i * 7 % accounts).cast("string")).alias("AccountId"),
         outcome.alias("Outcome"),
         F.when(i % 9 == 0, "BROKEN").when(i % 9 == 1, "Kept").otherwise("None").alias("PromiseStatus"),
         F.when(i % 13 == 0, "Yes").when(i % 13 == 1, F.lit(None)).otherwise("No").alias("SupervisorEscalation"),

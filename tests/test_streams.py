@@ -96,7 +96,7 @@ def test_feedback_ingest_stream(spark, events_stream):
     q.awaitTermination(300)
     log = spark.read.parquet(f"{base}/log")
     from creditloom.sources.files import canonicalize_feedback
-    raw = V.feedback_view(spark, SF)
+    raw = V.feedback_from_events(spark.read.parquet(f"{SF}/events.parquet"))
     raw = raw.withColumn("AccountId", F.when(F.col("event_id") % 250 == 0, F.lit("  ")).otherwise(F.col("AccountId")))
     batch, rejected = canonicalize_feedback(raw, "2024-01-31T00:00:00Z", "2024-01-31")
     assert spark.read.parquet(f"{base}/rejected").count() == rejected.count() == 4
