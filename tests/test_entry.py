@@ -4,7 +4,8 @@ import duckdb
 
 import __spark_entry__ as E
 
-TABLES = ["nation", "customer", "orders", "lineitem", "events", "documents", "embeddings", "labels"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels",
+          "conversations"]
 
 
 def test_entry_runs_on_smoke_data(spark):
