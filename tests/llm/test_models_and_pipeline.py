@@ -76,7 +76,7 @@ def test_components_of_chains_and_stars(spark):
 
 def test_queries_that_sql_can_express(spark):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     for name, sql in queries.ORACLE.items():
         got = queries.QUERIES[name](spark, SF)
