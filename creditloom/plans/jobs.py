@@ -12,9 +12,12 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ensure_defaults
+from ..functions.exprs import first_existing
+from ..operators.quality import distinct_rows
+from ..schema import ID_CANDIDATES
+from ..session import cut_lineage, ensure_defaults
 from ..sources import files
 from ..sources.views import loan_view
 from . import pipeline
@@ -26,11 +29,19 @@ def _loans(spark: SparkSession, source: str):
     return files.load_table(spark, source)
 
 
+def identified(loans: DataFrame) -> DataFrame:
+    """A book with an account id: its own, or ``ACC_<n>`` by position in the order of all
+    columns. Copies go first, as they would differ in their ids afterwards."""
+    if first_existing(loans.columns, ID_CANDIDATES) is not None:
+        return loans
+    return cut_lineage(files.assign_account_ids(distinct_rows(cut_lineage(loans))))
+
+
 def score_job(spark: SparkSession, loans: str, out: str, feedback: str | None = None, mode: str = "rule",
               as_of: str | None = None) -> dict:
     as_of = as_of or dt.date.today().isoformat()
     fb = files.load_feedback(spark, feedback) if feedback else None
-    result = pipeline.run(_loans(spark, loans), as_of, fb, mode=mode, materialize=True)
+    result = pipeline.run(identified(_loans(spark, loans)), as_of, fb, mode=mode, materialize=True)
     written = pipeline.write_outputs(result, out)
     return {name: written[name] for name in ("scored_accounts", "top_risky_accounts", "daily_visit_plan", "officer_kpis")}
 

@@ -62,6 +62,20 @@ def test_score_and_refresh_jobs(spark, tmp_path):
     assert r["feedback_rows"] == 1 and r["visit_plan_rows"] > 0
 
 
+def test_score_of_a_book_without_ids(spark, tmp_path):
+    from creditloom.plans import jobs
+    from creditloom.schema import ID_CANDIDATES
+
+    book = V.loan_view(spark, SF).drop(*ID_CANDIDATES)
+    book.unionByName(book.limit(40)).write.parquet(str(tmp_path / "loans.parquet"))
+    rows = jobs.score_job(spark, str(tmp_path / "loans.parquet"), str(tmp_path / "out"), as_of="2024-01-31")
+    processed = spark.read.parquet(str(tmp_path / "out" / "loan_accounts_processed"))
+    assert processed.count() == book.distinct().count() == processed.select("AccountNo").distinct().count()
+    assert processed.where(~F.col("AccountNo").rlike("^ACC_[0-9]+$")).count() == 0
+    plan = spark.read.parquet(str(tmp_path / "out" / "daily_visit_plan"))
+    assert rows["daily_visit_plan"] == plan.count() == plan.select("AccountId").distinct().count() > 0
+
+
 def test_model_save_and_reload(spark, tmp_path):
     from creditloom.operators import ml
     from creditloom.operators.logit import LogitModel
