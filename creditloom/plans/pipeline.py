@@ -61,7 +61,10 @@ def run(
     if mode == "model":
         from ..operators.ml import score_model
 
+        # the fit and the scoring read the book, and the list, the plan and the KPIs the scores
+        processed = processed if materialize else cut_lineage(processed)
         scored, metrics = score_model(processed)
+        scored = cut_lineage(scored)
         top = top_by(scored, "PredDefaultProbability", top_n)
     else:
         scored = regular_accounts(processed)
