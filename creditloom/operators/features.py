@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import join_small, literal_map, norm_code, safe_divide
@@ -26,13 +26,29 @@ def sector_share(df: DataFrame, sector_col: str = "Sector") -> DataFrame:
     return counts.select(sector_col, "Accounts", (F.col("Accounts") / total).alias("Share"))
 
 
-def engineer(df: DataFrame) -> DataFrame:
+# Most sectors whose shares travel as one map (a lookup compares its keys one by one).
+FEW_SECTORS = 1024
+
+
+def share_map(df: DataFrame, most: int = FEW_SECTORS) -> Column:
+    """{Sector: Share} as one scalar, read when the query runs and left out by the
+    optimizer where nothing needs it. More than ``most`` sectors are an error:
+    no more than ``most + 1`` rows are ever brought together."""
+    rows = sector_share(df).limit(most + 1).select(F.struct("Sector", "Share").alias("e"))
+    few = F.when(F.count(F.lit(1)) > most, F.raise_error(F.lit(f"more than {most} sectors: call engineer(few_sectors=False)")))
+    entries = F.map_from_entries(F.collect_list("e"))
+    return rows.agg(F.when(few.isNull(), entries).alias("m")).scalar()
+
+
+def engineer(df: DataFrame, few_sectors: bool = False) -> DataFrame:
     """Add the derived feature columns of a cleaned loan table.
 
-    The sector shares are joined back on ``Sector``; the share table has
-    one row per sector and is broadcast after a row-count check (a shuffle
-    join beyond the limit), so the loan table is not shuffled on the
-    low-cardinality, skewed sector key.
+    The sector shares come back to the rows without a shuffle of the loan
+    table on the low-cardinality, skewed sector key. By default they are a
+    table of one row per sector, broadcast after a row-count check (a shuffle
+    join beyond the limit); the check reads the book while the plan is built.
+    ``few_sectors`` declares at most 1,024 sectors: then the shares are one
+    map, and nothing is read before the query itself (see ``share_map``).
     """
     out = df.withColumn("CLStatusCode", norm_code(_text("CLStatusCode")))
     out = out.withColumn(
@@ -66,8 +82,11 @@ def engineer(df: DataFrame) -> DataFrame:
         F.col("RepaymentFrequency").isin("QUARTERLY", "HALF YEARLY").cast("int"),
     )
     out = out.withColumn("Sector", norm_code(_text("Sector")))
-    shares = sector_share(out).select(F.col("Sector").alias("_sec"), F.col("Share").alias("_share"))
-    out = join_small(out, shares, out["Sector"].eqNullSafe(shares["_sec"]), "left")
+    if few_sectors:
+        out = out.withColumn("_share", share_map(out)[F.col("Sector")])
+    else:
+        shares = sector_share(out).select(F.col("Sector").alias("_sec"), F.col("Share").alias("_share"))
+        out = join_small(out, shares, out["Sector"].eqNullSafe(shares["_sec"]), "left")
     out = out.withColumn(
         "SectorRiskScore", F.coalesce(F.lit(1.0) - F.col("_share"), F.lit(0.5))
     ).drop("_sec", "_share")

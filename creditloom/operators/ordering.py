@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import BROADCAST_MAX_ROWS
+from ..functions.exprs import BROADCAST_MAX_ROWS, literal_map
 from ..session import cut_lineage
 
 _PID, _POS = "_cl_pid", "_cl_pos"
@@ -95,45 +95,109 @@ def global_row_index(df: DataFrame, order_cols: list[Column], index_col: str, pa
     return out.withColumn(index_col, F.col("_cl_rank") - F.lit(1)).drop("_cl_rank")
 
 
-def exact_medians(df: DataFrame, cols: list[str], partitions: int | None = None) -> DataFrame:
+# Rows of a bracket that are few enough to be put in order value by value.
+BRACKET_ROWS = 1_000_000
+# Accuracy of the sketch that proposes a bracket: ranks within 1/10,000 of its rows.
+SKETCH_ACCURACY = 10_000
+
+
+class _Target:
+    """One wanted rank of one column: the open interval that holds it, or its value."""
+
+    def __init__(self, col: str, rank: int, rows: int):
+        self.col, self.rank, self.rows = col, rank, rows
+        self.low = self.high = self.value = None
+
+    def inside(self, v: Column) -> Column:
+        """``v`` lies in the interval (nulls and NaN lie in none)."""
+        ok = v.isNotNull() & ~F.isnan(v)
+        if self.low is not None:
+            ok = ok & (v > F.lit(self.low))
+        return ok & (v < F.lit(self.high)) if self.high is not None else ok
+
+    def pivots(self) -> Column:
+        at, off = (self.rank - 0.5) / self.rows, 2.0 / SKETCH_ACCURACY
+        v = F.col(self.col).cast("double")
+        return F.percentile_approx(F.when(self.inside(v), v), [max(at - off, 0.0), min(at + off, 1.0)], SKETCH_ACCURACY)
+
+    def counts(self, a: float, b: float) -> list[Column]:
+        """Rows of the interval below, at and between the pivots and at the upper one."""
+        v = F.col(self.col).cast("double")
+        ok = self.inside(v)
+        parts = [v < F.lit(a), v == F.lit(a), (v > F.lit(a)) & (v < F.lit(b)), (v == F.lit(b)) & F.lit(b != a)]
+        return [F.count(F.when(ok & part, 1)) for part in parts]
+
+    def narrow(self, a: float, b: float, below: int, at_a: int, between: int, at_b: int) -> None:
+        """Exact counts decide where the rank lies, whatever the sketch had promised."""
+        if self.rank <= below:
+            self.high, self.rows = a, below
+        elif self.rank <= below + at_a:
+            self.value = a
+        elif self.rank <= below + at_a + between:
+            self.low, self.high, self.rank, self.rows = a, b, self.rank - below - at_a, between
+        elif self.rank <= below + at_a + between + at_b:
+            self.value = b
+        else:
+            done = below + at_a + between + at_b
+            self.low, self.rank, self.rows = b, self.rank - done, self.rows - done
+
+
+def exact_medians(df: DataFrame, cols: list[str], bracket_rows: int = BRACKET_ROWS) -> DataFrame:
     """One row holding the exact median (two-middle mean) of each column.
 
-    Nulls are skipped. Values are first reduced to (column, value, count)
-    with map-side combining, range partitioned, and only the one or two
-    slices that hold the middle ranks of each column are scanned again.
-    Nothing is collected into a single task or the driver.
+    Nulls are skipped, NaN counts as the largest value, a column without
+    values has a null median. Nothing is shuffled but sketches, counts and the
+    rows of small brackets: a quantile sketch proposes two pivots around each
+    middle rank, one count of the rows below, at and between them tells exactly
+    where the rank lies, and so on inside that interval (a round leaves about a
+    2,500th of its rows, apart from repeats of the pivots, which are decided
+    by their count) until it holds at most ``bracket_rows`` rows. Those are
+    reduced to (value, count) and put in order. A round is two map-side
+    combined passes for all columns together; the driver sees four numbers per
+    column and round. A table of at most ``bracket_rows`` rows takes no round.
     """
+    spark = df.sparkSession
     if not cols:
-        return df.sparkSession.range(1).select()
-    items = F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])
-    long = df.select(F.explode(items).alias("x")).select("x.k", "x.v").where(F.col("v").isNotNull())
-    counts = long.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
-
-    ranged = _ranged(counts, [F.col("k"), F.col("v")], partitions).sortWithinPartitions("k", "v")
-    tagged = cut_lineage(ranged.withColumn(_PID, F.spark_partition_id()))
-
-    blocks = tagged.groupBy(_PID, "k").agg(F.sum("n").alias("bn"))
-    w_before = Window.partitionBy("k").orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        blocks.withColumn("before", F.coalesce(F.sum("bn").over(w_before), F.lit(0)))
-        .withColumn("total", F.sum("bn").over(Window.partitionBy("k")))
-        .withColumn("r1", F.floor((F.col("total") + 1) / 2))
-        .withColumn("r2", F.floor(F.col("total") / 2) + 1)
-    )
-    # the block(s) that hold rank r1 or r2: at most two per column
-    wanted = blocks.where((F.col("before") < F.col("r2")) & (F.col("before") + F.col("bn") >= F.col("r1")))
-    wanted = wanted.select(_PID, "k", "before", "r1", "r2")
-    cand = tagged.join(F.broadcast(wanted), [_PID, "k"], "inner")
-    w_cum = Window.partitionBy(_PID, "k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cand = cand.withColumn("cum", F.col("before") + F.sum("n").over(w_cum))
-    per_col = cand.groupBy("k").agg(
-        F.min(F.when(F.col("cum") >= F.col("r1"), F.col("v"))).alias("v1"),
-        F.min(F.when(F.col("cum") >= F.col("r2"), F.col("v"))).alias("v2"),
-    )
-    med = per_col.select("k", ((F.col("v1") + F.col("v2")) / 2).alias("m"))
-    # pivot the (<= len(cols)) rows into one row, one column per input column
-    one = med.agg(*[F.max(F.when(F.col("k") == i, F.col("m"))).alias(c) for i, c in enumerate(cols)])
-    return one
+        return spark.range(1).select()
+    def census(i: int, c: str) -> list[Column]:
+        v = F.col(c).cast("double")
+        return [F.count(F.when(v.isNotNull() & ~F.isnan(v), 1)).alias(f"n{i}"), F.count(F.when(F.isnan(v), 1)).alias(f"x{i}")]
+
+    sizes = df.agg(*[n for i, c in enumerate(cols) for n in census(i, c)]).first()
+    targets: dict[str, list[_Target]] = {}
+    for i, c in enumerate(cols):
+        real, total = sizes[f"n{i}"], sizes[f"n{i}"] + sizes[f"x{i}"]
+        targets[c] = [_Target(c, r, real) for r in sorted({(total + 1) // 2, total // 2 + 1})] if total else []
+        for t in targets[c]:
+            if t.rank > real:
+                t.value = float("nan")
+    every = [t for ts in targets.values() for t in ts]
+    while wide := [t for t in every if t.value is None and t.rows > bracket_rows]:
+        found = df.agg(*[t.pivots().alias(f"p{i}") for i, t in enumerate(wide)]).first()
+        # + 0.0: of literals 0.0 and -0.0 in one aggregate Spark evaluates only one
+        pivots = [[x + 0.0 for x in found[f"p{i}"]] for i in range(len(wide))]
+        counted = df.agg(*[n.alias(f"c{i}_{j}") for i, t in enumerate(wide)
+                           for j, n in enumerate(t.counts(*pivots[i]))]).first()
+        for i, t in enumerate(wide):
+            t.narrow(*pivots[i], *[counted[f"c{i}_{j}"] for j in range(4)])
+    _finish(df, [t for t in every if t.value is None])
+    means = {c: sum(t.value for t in ts) / len(ts) if ts else None for c, ts in targets.items()}
+    return spark.range(1).select(*[F.lit(means[c]).cast("double").alias(c) for c in cols])
+
+
+def _finish(df: DataFrame, small: list[_Target]) -> None:
+    """The values at the ranks of ``small``, whose intervals hold few rows each."""
+    if not small:
+        return
+    items = F.array(*[F.struct(F.lit(i).alias("k"), F.when(t.inside(F.col(t.col).cast("double")), F.col(t.col).cast("double")).alias("v"))
+                      for i, t in enumerate(small)])
+    values = df.select(F.explode(items).alias("x")).select("x.k", "x.v").where("v IS NOT NULL")
+    counts = values.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    wanted = literal_map({i: t.rank for i, t in enumerate(small)})[F.col("k")]
+    found = counts.withColumn("upto", upto).where(F.col("upto") >= wanted).groupBy("k").agg(F.min("v").alias("v"))
+    for r in found.collect():  # a row a target
+        small[r["k"]].value = r["v"]
 
 
 def approx_medians(df: DataFrame, cols: list[str], accuracy: int = 100000) -> DataFrame:

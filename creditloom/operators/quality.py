@@ -58,6 +58,9 @@ def distinct_rows(df: DataFrame, max_digests: int = BROADCAST_MAX_ROWS) -> DataF
 def dedupe_and_census(df: DataFrame, num: list[str], materialize: bool = True, unique_key: str | None = None):
     """(whole-row distinct table, null count per numeric column).
 
+    Columns that the schema says are never null are not counted; where all are
+    such, nothing is read here.
+
     With ``materialize``, the rows are written once to the checkpoint folder,
     and ``distinct_rows`` reads them there. Rows of a declared ``unique_key``
     cannot be equal: nothing is dropped, so nothing is shuffled, and with
@@ -66,8 +69,9 @@ def dedupe_and_census(df: DataFrame, num: list[str], materialize: bool = True, u
     rows = cut_lineage(df) if materialize else df
     if unique_key is None:
         rows = distinct_rows(rows) if materialize else rows.dropDuplicates()
-    census = rows.agg(*_null_census(num)).first() if num else {}
-    return rows, {c: census[f"_null_{c}"] for c in num}
+    gaps = [c for c in num if df.schema[c].nullable]
+    census = rows.agg(*_null_census(gaps)).first() if gaps else {}
+    return rows, {c: census[f"_null_{c}"] if c in gaps else 0 for c in num}
 
 
 def drop_duplicate_rows(df: DataFrame, materialize: bool = True) -> DataFrame:
@@ -90,9 +94,9 @@ def clean(df: DataFrame, approx: bool = False, medians: DataFrame | None = None,
     checkpoint folder (see ``dedupe_and_census``): the null census, the medians and every later branch
     (sector shares, score maxima, plans) read it instead of recomputing the
     source joins, and lost executors re-read it. The census is a one-row
-    aggregate; medians are computed only for columns that have nulls (for
-    the others the fill is a no-op) and reach the rows as one scalar
-    subquery (no join).
+    aggregate over the columns that may be null by schema; medians are computed
+    only for columns that have nulls (for the others the fill is a no-op) and
+    reach the rows as one scalar subquery (no join).
 
     ``unique_key`` declares a column that no two rows share. Together with
     ``materialize=False`` the result is lazy: filters and column pruning of

@@ -57,16 +57,16 @@ loan AS (
          CASE WHEN n_ret >= 3 AND o_orderkey % 240 > 90 THEN 'SUB'
               WHEN o_orderkey % 17 = 0 THEN 'LOS'
               WHEN o_orderkey % 5 = 0 THEN 'WCH' ELSE 'STD' END AS FutureStatusCode,
-         cast(o_orderkey % 240 AS int) AS AgeDays,
-         cast(n_ret AS int) AS DefaultedInst,
+         coalesce(cast(o_orderkey % 240 AS int), 0) AS AgeDays,
+         coalesce(cast(n_ret AS int), 0) AS DefaultedInst,
          cast(n_lines AS int) AS TotalInstallments,
-         o_totalprice AS PrincipalOS,
-         cast(p_arr AS double) AS PrincipalArrear,
-         cast(i_arr AS double) AS InterestArrear,
-         cast(acc_int AS double) AS TotalAccruedInt,
+         coalesce(o_totalprice, 0) AS PrincipalOS,
+         coalesce(cast(p_arr AS double), 0) AS PrincipalArrear,
+         coalesce(cast(i_arr AS double), 0) AS InterestArrear,
+         coalesce(cast(acc_int AS double), 0) AS TotalAccruedInt,
          CASE WHEN o_orderkey % 50 = 0 THEN cast(0 AS double)
-              ELSE o_totalprice * (cast(5 + o_orderkey % 11 AS double) / 10) END AS SecurityValue,
-         CASE WHEN o_orderkey % 60 = 0 THEN cast(0 AS double) ELSE o_totalprice * cast(1.25 AS double) END AS DisbAmount,
+              ELSE coalesce(o_totalprice, 0) * (cast(5 + o_orderkey % 11 AS double) / 10) END AS SecurityValue,
+         CASE WHEN o_orderkey % 60 = 0 THEN cast(0 AS double) ELSE coalesce(o_totalprice, 0) * cast(1.25 AS double) END AS DisbAmount,
          CASE o_orderpriority WHEN '2-HIGH' THEN 'Quarterly' WHEN '3-MEDIUM' THEN 'Half Yearly'
               WHEN '4-NOT SPECIFIED' THEN 'Yearly' ELSE 'Monthly' END AS RepaymentFrequency
   FROM orders

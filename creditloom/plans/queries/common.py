@@ -39,7 +39,7 @@ def cleaned(spark, d, stored=False):
 
 
 def featured(spark, d, stored=False):
-    return engineer(cleaned(spark, d, stored))
+    return engineer(cleaned(spark, d, stored), few_sectors=True)
 
 
 def scored(spark, d, stored=False):

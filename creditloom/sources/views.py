@@ -28,7 +28,13 @@ def _hundredths(c: str, precision: int) -> F.Column:
     return (F.col(c).cast(f"decimal({precision},2)") * F.lit(100)).cast("bigint")
 
 
+def _or_zero(c: Column, kind: str = "double") -> Column:
+    return F.coalesce(c, F.lit(0).cast(kind))
+
+
 def loan_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loan book of the given tables. It has no numeric gaps (a missing amount is 0,
+    ``loan_view_with_gaps`` has some), and its schema says so: cleaning it reads nothing ahead."""
     # Money is summed exactly in integer hundredths (price) and ten-thousandths
     # (price x rate): 64-bit sums stay on Spark's fast path, unlike DECIMAL
     # sums wider than 18 digits; converting the exact integer with one IEEE
@@ -86,17 +92,17 @@ def loan_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_mktsegment").alias("Sector"),
         status.alias("CLStatusCode"),
         future.alias("FutureStatusCode"),
-        (k % 240).cast("int").alias("AgeDays"),
-        F.col("n_ret").cast("int").alias("DefaultedInst"),
+        _or_zero((k % 240).cast("int"), "int").alias("AgeDays"),
+        _or_zero(F.col("n_ret").cast("int"), "int").alias("DefaultedInst"),
         F.col("n_lines").cast("int").alias("TotalInstallments"),
-        F.col("o_totalprice").alias("PrincipalOS"),
-        (F.col("p_arr_c").cast("double") / F.lit(100.0)).alias("PrincipalArrear"),
-        (F.col("i_arr_c").cast("double") / F.lit(10000.0)).alias("InterestArrear"),
-        (F.col("acc_int_c").cast("double") / F.lit(10000.0)).alias("TotalAccruedInt"),
-        F.when(k % 50 == 0, F.lit(0.0))
-        .otherwise(F.col("o_totalprice") * ((F.lit(5) + k % 11).cast("double") / F.lit(10)))
+        _or_zero(F.col("o_totalprice")).alias("PrincipalOS"),
+        _or_zero(F.col("p_arr_c").cast("double") / F.lit(100.0)).alias("PrincipalArrear"),
+        _or_zero(F.col("i_arr_c").cast("double") / F.lit(10000.0)).alias("InterestArrear"),
+        _or_zero(F.col("acc_int_c").cast("double") / F.lit(10000.0)).alias("TotalAccruedInt"),
+        _or_zero(F.when(k % 50 == 0, F.lit(0.0))
+                 .otherwise(F.col("o_totalprice") * ((F.lit(5) + k % 11).cast("double") / F.lit(10))))
         .alias("SecurityValue"),
-        F.when(k % 60 == 0, F.lit(0.0)).otherwise(F.col("o_totalprice") * F.lit(1.25)).alias("DisbAmount"),
+        _or_zero(F.when(k % 60 == 0, F.lit(0.0)).otherwise(F.col("o_totalprice") * F.lit(1.25))).alias("DisbAmount"),
         freq.alias("RepaymentFrequency"),
     )
 

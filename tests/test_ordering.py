@@ -2,7 +2,7 @@
 
 import statistics
 
-from hypothesis import given, settings, strategies as st
+from hypothesis import example, given, settings, strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -35,6 +35,45 @@ def test_exact_median(spark, values):
     assert got.a == exp and got.b == exp
 
 
+@settings(max_examples=4, deadline=None)
+@example([0.0, -1.0, float("inf"), -0.0, 7.0])
+@given(st.lists(st.one_of(st.none(), st.integers(-9, 9).map(float), st.floats(allow_nan=False, width=32)), min_size=1, max_size=40))
+def test_exact_median_by_rounds_of_brackets(spark, values):
+    df = spark.createDataFrame([(v, -v if v is not None else None) for v in values], "a double, b double")
+    got = exact_medians(df, ["a", "b"], bracket_rows=4).collect()[0]
+    present = [v for v in values if v is not None]
+    both = (present, [-v for v in present])
+    for x, exp in zip(got, [statistics.median(p) if p else None for p in both]):
+        assert x == exp or str(x) == str(exp)
+
+
+def test_exact_median_of_hot_values(spark):
+    # two values hold two thirds of all rows, the rest lies between and around them
+    df = spark.range(0, 9000).select(F.when(F.col("id") % 3 == 0, F.lit(5.0)).when(F.col("id") % 3 == 1, F.lit(9.0))
+                                     .otherwise((F.col("id") * 7919 % 1000).cast("double") / 50).alias("v"))
+    expected = statistics.median(r.v for r in df.collect())
+    for rows in (1, 50, 5000, 1_000_000):
+        assert exact_medians(df, ["v"], bracket_rows=rows).first().v == expected
+
+
+def test_exact_median_with_nan_and_infinities(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(1.0, nan, inf, None), (2.0, nan, -inf, None), (nan, 3.0, 4.0, None), (nan, nan, None, None)],
+                               "a double, b double, c double, d double")
+    for rows in (1, 100):
+        r = exact_medians(df, ["a", "b", "c", "d"], bracket_rows=rows).first()
+        assert str(r.a) == "nan" and str(r.b) == "nan" and r.c == 4.0 and r.d is None
+    empty = exact_medians(df.limit(0), ["a", "d"]).collect()
+    assert [tuple(r) for r in empty] == [(None, None)]
+
+
+def test_exact_median_shuffles_no_column(spark, tmp_path):
+    spark.range(0, 40000).select((F.col("id") * 7919 % 39989).cast("double").alias("v")).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    # 40,000 different values; the rows put in order are those of the last bracket alone
+    assert exact_medians(df, ["v"], bracket_rows=100).first().v == statistics.median(r.v for r in df.collect())
+
+
 def test_running_count_matches_window(spark):
     from creditloom.operators.ordering import running_count_within_groups
 
