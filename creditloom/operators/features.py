@@ -34,10 +34,11 @@ def share_map(df: DataFrame, most: int = FEW_SECTORS) -> Column:
     """{Sector: Share} as one scalar, read when the query runs and left out by the
     optimizer where nothing needs it. More than ``most`` sectors are an error:
     no more than ``most + 1`` rows are ever brought together."""
-    rows = sector_share(df).limit(most + 1).select(F.struct("Sector", "Share").alias("e"))
-    few = F.when(F.count(F.lit(1)) > most, F.raise_error(F.lit(f"more than {most} sectors: call engineer(few_sectors=False)")))
-    entries = F.map_from_entries(F.collect_list("e"))
-    return rows.agg(F.when(few.isNull(), entries).alias("m")).scalar()
+    counts = df.groupBy("Sector").agg(F.count(F.lit(1)).alias("Accounts")).limit(most + 1)
+    many = F.when(F.count(F.lit(1)) > most, F.raise_error(F.lit(f"more than {most} sectors: call engineer(few_sectors=False)")))
+    found = counts.agg(many.alias("many"), F.sum("Accounts").alias("total"), F.collect_list(F.struct("Sector", "Accounts")).alias("e"))
+    shares = F.transform(F.col("e"), lambda x: F.struct(x["Sector"].alias("Sector"), (x["Accounts"] / F.col("total")).alias("Share")))
+    return found.select(F.when(F.col("many").isNull(), F.map_from_entries(shares)).alias("m")).scalar()
 
 
 def engineer(df: DataFrame, few_sectors: bool = False) -> DataFrame:

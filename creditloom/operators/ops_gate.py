@@ -22,6 +22,7 @@ from ..schema import (
     NO_ACTION,
     POLICY_PRESETS,
     PROFILE_ACTIONS,
+    PROFILE_MODES,
     PROFILE_READINESS,
     REMEDIATION_CLEAR,
     REMEDIATION_PENDING_SUFFIX,
@@ -210,6 +211,44 @@ def gate(sig: DataFrame) -> DataFrame:
     )
 
 
+GATE_MODES = ("strict", "relaxed", "advice")
+
+
+def gate_evaluation(sig: DataFrame, modes=("advice",)) -> DataFrame:
+    """One row per signal row and gate mode asked for.
+
+    'strict' lets only a healthy group pass, 'relaxed' a warning too, 'advice'
+    what the advice of ``gate`` allows. Any other mode is a ValueError.
+    """
+    asked = [m.strip().lower() for m in modes]
+    if not asked or set(asked) - set(GATE_MODES):
+        raise ValueError(f"mode must be one of: {', '.join(GATE_MODES)}")
+    rows = gate(sig).withColumn("mode", F.explode(F.array(*[F.lit(m) for m in asked])))
+    mode, advised = F.col("mode"), F.col("mode") == "advice"
+    passed = F.when(mode == "strict", F.col("strict_pass")).when(mode == "relaxed", F.col("relaxed_pass")).otherwise(F.col("deployment_allowed"))
+    return (
+        rows.withColumn("pass_gate", passed)
+        .withColumn("deployment_allowed", passed)
+        .withColumn("recommended_status_code", F.when(passed, 200).otherwise(503))
+        .withColumn("effective_fail_on_warning", F.when(~advised, mode == "strict"))
+        .withColumn("recommended_mode", F.when(advised, F.col("recommended_mode")).otherwise(mode))
+    )
+
+
+def profile_evaluation(sig: DataFrame, profiles=("dev", "staging", "prod")) -> DataFrame:
+    """The gate of each release profile in the mode fixed for it: one row per signal row
+    and profile, numbered by ``stage`` in the order given (the default is the
+    order of promotion). An unknown profile is a ValueError."""
+    mode_of = dict(PROFILE_MODES)
+    asked = [p.strip().lower() for p in profiles]
+    if not asked or set(asked) - set(mode_of):
+        raise ValueError(f"profile must be one of: {', '.join(mode_of)}")
+    stages = [F.struct(F.lit(i).alias("stage"), F.lit(p).alias("profile"), F.lit(mode_of[p]).alias("profile_mode")) for i, p in enumerate(asked)]
+    judged = gate_evaluation(sig, sorted({mode_of[p] for p in asked}))
+    rows = judged.withColumn("_s", F.explode(F.filter(F.array(*stages), lambda s: s["profile_mode"] == F.col("mode"))))
+    return rows.select("*", "_s.*").drop("_s")
+
+
 def suppression_active(until: str | None, as_of: str | None) -> bool:
     """Whether ``as_of`` (UTC wall clock) is not after the ISO-8601 ``until``
     ('Z', an offset, or naive = UTC). Both are parameters, so this is decided

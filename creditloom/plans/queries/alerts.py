@@ -213,4 +213,34 @@ def _queue_sql(presets) -> list[str]:
     return _QUEUE_CTES + joined
 
 
+EVAL_COLS = ["job_type", "policy", "severity", "breached", "mode", "pass_gate", "deployment_allowed", "recommended_status_code",
+             "reasons", "effective_fail_on_warning", "recommended_mode"]
+_EVAL = """
+judged AS (
+  SELECT job_type, policy, severity, severity <> 'ok' AS breached, mode, CASE WHEN severity = 'ok' THEN true WHEN severity = 'warning' THEN mode <> 'strict'
+         ELSE false END AS pass_gate, %s AS reasons
+  FROM (SELECT *, cast(worker_breached AS int) + cast(queue_age_breached AS int) + cast(dead_letter_rate_breached AS int) AS failing_count
+        FROM sig) CROSS JOIN (VALUES ('strict'), ('relaxed'), ('advice')) m(mode)
+)""" % _REASONS
+_EVAL_ROWS = """SELECT job_type, policy, severity, breached, mode, pass_gate, pass_gate AS deployment_allowed,
+       CASE WHEN pass_gate THEN 200 ELSE 503 END AS recommended_status_code, reasons,
+       CASE mode WHEN 'strict' THEN true WHEN 'relaxed' THEN false END AS effective_fail_on_warning,
+       CASE WHEN mode <> 'advice' THEN mode WHEN severity = 'ok' THEN 'strict' WHEN severity = 'warning' THEN 'relaxed' ELSE 'block' END
+         AS recommended_mode FROM judged"""
+
+
+register("ops_gate_evaluation", O.with_ctes(_queue_sql(QUEUE_PRESETS) + [_EVAL], _EVAL_ROWS))(
+    lambda spark, d: og.gate_evaluation(queue_sig(spark, d, QUEUE_PRESETS), (" Strict", "relaxed", "ADVICE")).select(*EVAL_COLS))
+
+
+register(
+    "ops_profile_stages",
+    O.with_ctes(
+        _queue_sql(QUEUE_PRESETS) + [_EVAL],
+        f"SELECT stage, profile, profile_mode, e.* FROM ({_EVAL_ROWS}) e JOIN (VALUES (0, 'dev', 'relaxed'), (1, 'staging', 'advice'), "
+        "(2, 'prod', 'strict')) s(stage, profile, profile_mode) ON e.mode = s.profile_mode",
+    ),
+)(lambda spark, d: og.profile_evaluation(queue_sig(spark, d, QUEUE_PRESETS)).select("stage", "profile", "profile_mode", *EVAL_COLS))
+
+
 family("_queues", _queue_sql(QUEUE_PRESETS[:1]), _queue_sql(QUEUE_PRESETS), queue_sig, QUEUE_PRESETS, QUEUE_AS_OF)

@@ -8,6 +8,7 @@ from .. import oracle as O
 from ...operators import job_log as jl
 from ...schema import STALE_EXHAUSTED, STALE_REQUEUED, TERMINAL_STATUSES
 from ...session import new_table_path
+from ...sources.files import decode_fields
 from .common import A, AS_OF, J, jobs, register
 
 
@@ -242,3 +243,28 @@ canceled AS (
     CASE WHEN status = 'queued' THEN {A} ELSE updated_at END AS updated_at) FROM recovered
 )"""], f"SELECT * FROM canceled WHERE NOT (status IN ({', '.join(O.q(x) for x in TERMINAL_STATUSES)}) AND updated_at <= {O.ts(jl.shifted(AS_OF, -86400))})"),
 )(swept)
+
+
+# payloads as they come: every eleventh is cut off, every seventh nests its field
+def mixed_payloads(df):
+    i = F.substring_index("job_id", "_", -1).cast("bigint")
+    p = F.col("payload_json")
+    return df.withColumn("payload_json", F.when(i % 11 == 0, F.substring(p, 1, 5)).when(i % 7 == 0, F.concat(F.lit('{"steps": ['), p, F.lit("]}"))).otherwise(p))
+
+
+@register(
+    "job_payload_fields",
+    O.with_ctes(
+        J + ["""
+mixed AS (
+  SELECT job_id, CASE WHEN n % 11 = 0 THEN substr(payload_json, 1, 5) WHEN n % 7 = 0 THEN concat('{"steps": [', payload_json, ']}')
+                      ELSE payload_json END AS p
+  FROM (SELECT *, cast(split_part(job_id, '_', 2) AS bigint) AS n FROM job)
+)"""],
+        "SELECT job_id, json_valid(p) AS payload_json_valid, CASE WHEN json_valid(p) THEN try_cast(json_extract_string(p, '$.k') AS bigint) END AS k, "
+        "CASE WHEN json_valid(p) THEN try_cast(json_extract_string(p, '$.steps[0].k') AS bigint) END AS first_k FROM mixed",
+    ),
+)
+def q_job_payload_fields(spark, d):
+    rows = decode_fields(mixed_payloads(jobs(spark, d)), "payload_json", {"k": ("$.k", "bigint"), "first_k": ("$.steps[0].k", "bigint")})
+    return rows.select("job_id", "payload_json_valid", "k", "first_k")

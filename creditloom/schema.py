@@ -27,14 +27,6 @@ REQUIRED_COLUMNS = [
     "SecurityValue",
     "Sector",
 ]
-OPTIONAL_COLUMNS = [
-    "RepaymentFrequency",
-    "TotalInstallments",
-    "FutureStatusCode",
-    "Branch",
-    "SanctionedAmount",
-    "IntRate",
-]
 
 # Account-id candidate columns, first present wins.
 ID_CANDIDATES = [
@@ -191,7 +183,6 @@ KPI_COLUMNS = [
 # ---------------------------------------------------------------------------
 # Job log.
 # ---------------------------------------------------------------------------
-JOB_STATUSES = ["queued", "running", "succeeded", "dead_letter", "canceled"]
 TERMINAL_STATUSES = ["succeeded", "dead_letter", "canceled"]
 NO_ERROR_MESSAGE = "(no error message)"
 STALE_REQUEUED = "Recovered stale running job; requeued"
@@ -215,7 +206,6 @@ JOB_SCHEMA = T.StructType(
 )
 
 # Alert recommendations, remediation priority and endpoint hints.
-SIGNALS = ["worker", "queue_age", "dead_letter_rate"]
 SIGNAL_RECOMMENDATION = {
     "worker": "Run POST /api/v1/jobs/ensure-worker-alive; if still down, run POST /api/v1/jobs/restart-worker.",
     "queue_age": "Inspect GET /api/v1/jobs/queued-oldest and reduce backlog via cancel/requeue in controlled batches.",

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import blank_default, nan_to_null, parse_stamp, strip
-from ..schema import FEEDBACK_COLUMNS, FEEDBACK_DEFAULTS, FEEDBACK_SCHEMA, NA_TOKENS
+from ..schema import FEEDBACK_COLUMNS, FEEDBACK_DEFAULTS, FEEDBACK_SCHEMA, JOB_SCHEMA, NA_TOKENS
 
 # Declared types of the known loan-account columns; anything else stays text.
 LOAN_TYPES = {
@@ -196,8 +197,15 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     return int(seen.get["rows"])
 
 
-def save_table(df: DataFrame, name: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).saveAsTable(name)
+def save_table(df: DataFrame, name: str, mode: str = "overwrite", url: str | None = None, properties: dict | None = None,
+               connections: int = 8) -> None:
+    """Replace ('overwrite') or extend ('append') a catalog table, or a JDBC table when ``url`` is given."""
+    if mode not in ("overwrite", "append"):
+        raise ValueError("mode must be one of: overwrite, append")
+    if url:
+        df.write.mode(mode).format("jdbc").options(**jdbc_write_options(url, name, properties, connections)).save()
+    else:
+        df.write.mode(mode).saveAsTable(name)
 
 
 def seed_table_if_empty(spark: SparkSession, name: str, seed: DataFrame) -> DataFrame:
@@ -228,10 +236,42 @@ def record_page(df: DataFrame, limit: int, order_by: list | None = None) -> Data
 # SQL / catalog tables, job log, account ids
 # ---------------------------------------------------------------------------
 
-def read_sql_table(spark: SparkSession, name: str, url: str | None = None, properties: dict | None = None) -> DataFrame:
-    """A catalog table, or a JDBC table when ``url`` is given (``SELECT *``)."""
+@dataclass(frozen=True)
+class Slices:
+    """How a JDBC table is read in parallel: ``count`` ranges of equal width of a numeric,
+    date or timestamp column. Rows beyond the bounds belong to the outer ranges."""
+
+    column: str
+    lower: int | str
+    upper: int | str
+    count: int
+
+
+def jdbc_options(url: str, name: str, properties: dict | None = None, slices: Slices | None = None, fetch: int = 10_000) -> dict[str, str]:
+    """Options of a JDBC read; without ``slices`` the table is one task."""
+    options = {"fetchsize": str(fetch), **{k: str(v) for k, v in (properties or {}).items()}, "url": url, "dbtable": name}
+    if slices is not None:
+        if slices.count < 1:
+            raise ValueError("a table is read in one slice or more")
+        options |= {"partitionColumn": slices.column, "lowerBound": str(slices.lower), "upperBound": str(slices.upper),
+                    "numPartitions": str(slices.count)}
+    return options
+
+
+def jdbc_write_options(url: str, name: str, properties: dict | None = None, connections: int = 8, batch: int = 10_000) -> dict[str, str]:
+    """Options of a JDBC write: at most ``connections`` at once (Spark merges partitions for
+    it), rows in batches; a replaced table is emptied, so its definition and grants stay."""
+    if connections < 1:
+        raise ValueError("a write needs one connection or more")
+    return {"batchsize": str(batch), "truncate": "true", **{k: str(v) for k, v in (properties or {}).items()},
+            "url": url, "dbtable": name, "numPartitions": str(connections)}
+
+
+def read_sql_table(spark: SparkSession, name: str, url: str | None = None, properties: dict | None = None,
+                   slices: Slices | None = None) -> DataFrame:
+    """A catalog table, or a JDBC table when ``url`` is given (``SELECT *``), read in ``slices``."""
     if url:
-        return spark.read.jdbc(url, name, properties=properties or {})
+        return spark.read.format("jdbc").options(**jdbc_options(url, name, properties, slices)).load()
     return spark.table(name)
 
 
@@ -249,16 +289,29 @@ def output_exists(spark: SparkSession, name_or_path: str) -> bool:
     if _is_table(spark, name_or_path):
         return not spark.table(name_or_path).isEmpty()
     if path_exists(spark, name_or_path):
-        return not spark.read.parquet(name_or_path).isEmpty()
+        return not _read_path(spark, name_or_path).isEmpty()
     return False
 
 
+def _read_path(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A csv, parquet, json or orc path by suffix; without a suffix (an output folder) parquet."""
+    fmt = _format_of(path) if os.path.splitext(path.rstrip("/"))[1] else "parquet"
+    reader = spark.read.format(fmt)
+    if schema is not None and fmt == "json":
+        reader = reader.schema(schema)
+    return (reader.option("header", True) if fmt == "csv" else reader).load(path)
+
+
 JOB_TIME_COLUMNS = ["next_attempt_at", "created_at", "updated_at"]
 
 
 def load_job_log(spark: SparkSession, path_or_table: str) -> DataFrame:
-    """Job log with ISO-8601 UTC text stamps ('...Z') converted to timestamps."""
-    df = spark.table(path_or_table) if _is_table(spark, path_or_table) else spark.read.parquet(path_or_table)
+    """Job log (table, or csv/parquet/json/orc path) with ISO-8601 UTC text stamps
+    ('...Z') converted to timestamps and its counters to their types."""
+    text_stamps = T.StructType([T.StructField(f.name, T.StringType() if f.name in JOB_TIME_COLUMNS else f.dataType)
+                                for f in JOB_SCHEMA.fields])
+    df = spark.table(path_or_table) if _is_table(spark, path_or_table) else _read_path(spark, path_or_table, text_stamps)
+    df = apply_types(df, {f.name: f.dataType for f in JOB_SCHEMA.fields if f.name not in JOB_TIME_COLUMNS})
     for c in JOB_TIME_COLUMNS:
         if c in df.columns and isinstance(df.schema[c].dataType, T.StringType):
             df = df.withColumn(c, parse_stamp(F.col(c)))
@@ -283,3 +336,20 @@ def assign_account_ids(df: DataFrame, order_cols: list | None = None, id_col: st
 def decode_json(df: DataFrame, col_name: str, schema: str) -> DataFrame:
     """Parse a JSON text column (payload, details) into a struct column."""
     return df.withColumn(col_name.replace("_json", ""), F.from_json(F.col(col_name), schema))
+
+
+def decode_fields(df: DataFrame, col_name: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """Fields of a JSON text column whose shape differs from row to row.
+
+    ``fields`` maps a new column to (path, type), such as ``("$.steps[0].id", "bigint")``.
+    The text is parsed once a row into a VARIANT. Bad JSON, a missing path and
+    a value that is not of the type give null; ``<col>_valid`` tells whether
+    the text was JSON (null for null text).
+    """
+    value = F.try_parse_json(F.col(col_name))
+    parsed = df.withColumn("_cl_v", value)
+    valid = F.when(F.col(col_name).isNotNull(), F.col("_cl_v").isNotNull())
+    out = parsed.withColumn(f"{col_name}_valid", valid)
+    for name, (path, kind) in fields.items():
+        out = out.withColumn(name, F.try_variant_get(F.col("_cl_v"), path, kind))
+    return out.drop("_cl_v")
