@@ -6,6 +6,7 @@ from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EPS = 1e-9
 # ASCII whitespace removed by a text "strip".
@@ -91,21 +92,32 @@ def first_existing(columns, candidates):
     return next((c for c in candidates if c in present), None)
 
 
-# Largest side (rows) broadcast after an explicit size check.
+# Largest side (rows, bytes) broadcast after an explicit size check.
 BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 
-def join_small(big, small, on, how: str = "inner", max_rows: int = BROADCAST_MAX_ROWS):
+def row_bytes(df) -> Column:
+    """Bytes of a row's values: texts by their length, nested values by that of their JSON, others 8 each."""
+    fields = df.schema.fields
+    texts = [f.name for f in fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    nested = [f.name for f in fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    total = F.lit(8 * (len(fields) - len(texts) - len(nested))).cast("bigint")
+    for c in texts:
+        total = total + F.coalesce(F.octet_length(F.col(c)), F.lit(0))
+    return total + F.octet_length(F.to_json(F.struct(*nested))) if nested else total
+
+
+def join_small(big, small, on, how: str = "inner", max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES):
     """Join ``big`` with a data-derived ``small`` side, broadcasting it only
-    after checking its row count; beyond ``max_rows`` it is a shuffle join.
+    after checking its rows and bytes; beyond either limit it is a shuffle join.
 
-    The check is one count over ``small`` (typically an aggregate over a
+    The check is one aggregate over ``small`` (typically an aggregate over a
     materialised base), so the big side is never shuffled on a skewed
     low-cardinality key when the small side really is small.
     """
-    from pyspark.sql import functions as F
-
-    if small.count() <= max_rows:
+    size = small.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_bytes(small)), F.lit(0)).alias("b")).first()
+    if size["n"] <= max_rows and size["b"] <= max_bytes:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
 

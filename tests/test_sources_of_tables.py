@@ -107,3 +107,16 @@ def test_plan_of_a_book_without_branch(spark):
     df = spark.createDataFrame([("1", "High Risk", 90, 5.0)], "AccountNo string, RuleRiskCategory string, AgeDays int, PrincipalOS double")
     row = cp.visit_plan(df.withColumn("RuleScore", F.lit(80)), "2024-01-31").first()
     assert row.Branch == "UNKNOWN"
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    from creditloom.functions.exprs import join_small, row_bytes
+
+    notes = spark.range(50).select("id", F.repeat(F.lit("x"), 2000).alias("note"), F.array(F.lit(1)).alias("a"))
+    assert notes.select(row_bytes(notes).alias("b")).first().b == 8 + 2000 + len('{"a":[1]}')
+    big = spark.range(100)
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    wide, small = join_small(big, notes, "id", max_bytes=50_000), join_small(big, notes, "id")
+    assert hinted(small) and not hinted(wide) and not hinted(join_small(big, notes, "id", max_rows=49))
+    assert wide.count() == small.count() == 50
+    assert join_small(big, notes.limit(0), "id", "left").count() == 100
