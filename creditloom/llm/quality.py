@@ -9,14 +9,16 @@ histogram to mean anything are not judged by it (minimum lengths).
 
 Every language has its own reference, whatever its share of the documents;
 those without a language are one more. A histogram of a reference that is too
-small to mean anything (minimum sizes) judges no document. A reference word
-has at least the share ``WORD_SHARE`` of the words of its language, so a
-reference has at most 1 / WORD_SHARE words. The references are a stored table
+small to mean anything (minimum sizes) judges no document. A reference word is
+any word, of whatever length, with at least the share ``WORD_SHARE`` of the words
+of its language, so a reference has at most 1 / WORD_SHARE words. The references are a stored table
 of a row a language, joined on it: Spark broadcasts it while it is small, and
 else deals out by language, where adaptive execution splits the common ones.
 
 Everything about one text is worked out inside its row: no row meets another
 but in the counts of the references, which are summed before they are shuffled.
+One pass over the texts writes their measures and lower-cased words, which the
+references and the distances read.
 
 Rows: null text has no words (counts 0, base_failed); repeated rows and equal
 ids give a row each; an empty table gives none; other columns are not read.
@@ -36,7 +38,6 @@ WINDOW = 8
 #: Character classes in the order in which they are taken out of the text; what is left is the last class.
 CLASSES = {"lower": "[a-z]+", "blank": "[\\x20\\x09-\\x0D]+", "upper": "[A-Z]+", "letter": "\\p{L}+", "stop": "[.,;:'\"()?-]+", "digit": "[0-9]+"}
 WORD_SHARE = 0.01
-SHORT = 6
 
 MIN_CHARS = 200
 MIN_WORDS = 40
@@ -54,11 +55,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, BLANKS + "+"), "")
 
 
-def short_words(words: Column) -> Column:
-    """Lower-cased words of few characters, where a language's common words are found."""
-    return F.transform(F.filter(words, lambda w: F.char_length(w) <= SHORT), lambda w: F.lower(w))
-
-
 def class_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``classes``, the characters of each class: one class after another is
     taken out of the text, so each pass reads what the ones before have left."""
@@ -118,25 +114,18 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
-def language_counts(docs: DataFrame) -> DataFrame:
-    """(lang, key, n), summed over all documents in one scan: short words by
-    themselves; behind a blank, which no word holds, ``words`` and the classes."""
-    texts = class_counts(docs.select("lang", F.coalesce("text", F.lit("")).alias("text"))).withColumn("words", words_of(F.col("text")))
-    entry = lambda k, n: F.struct(k.alias("key"), n.cast("double").alias("n"))
-    whole = [entry(F.lit(" words"), F.size("words")), *[entry(F.lit(f" {i}"), F.col("classes")[i]) for i in range(len(CLASSES) + 1)]]
-    entries = F.concat(F.array(*whole), F.transform(short_words(F.col("words")), lambda w: entry(w, F.lit(1))))
-    return texts.select("lang", F.explode(entries).alias("e")).groupBy("lang", F.col("e.key").alias("key")).agg(F.sum("e.n").alias("n"))
+def word_counts(measured: DataFrame) -> DataFrame:
+    """(lang, key, n): every word of the lines, counted over all documents in one scan."""
+    words = measured.select("lang", F.explode(F.split("__line", " ")).alias("key")).where("key <> ''")
+    return words.groupBy("lang", "key").agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
-def references(docs: DataFrame) -> DataFrame:
+def references(measured: DataFrame) -> DataFrame:
     """(ref, ref_chars, ref_words, ref_shares), a stored row for every language and for null: shares of
     the classes, common words, and shares of these and of all others; null where too small."""
-    counts = cut_lineage(language_counts(docs))
-    whole = F.col("key").startswith(" ")
-    of = lambda key: F.coalesce(F.sum(F.when(F.col("key") == key, F.col("n"))), F.lit(0.0))
-    sums = counts.where(whole).groupBy(F.col("lang").alias("ref")).agg(of(" words").alias("__words"), F.array(*[of(f" {i}") for i in range(len(CLASSES) + 1)]).alias("__chars"))
-    sums = cut_lineage(sums)
-    common = counts.where(~whole).join(sums, F.col("lang").eqNullSafe(F.col("ref"))).where(F.col("n") >= WORD_SHARE * F.col("__words"))
+    chars = F.array(*[F.sum(F.col("classes")[i]) for i in range(len(CLASSES) + 1)])
+    sums = cut_lineage(measured.groupBy(F.col("lang").alias("ref")).agg(F.sum("n_words").cast("double").alias("__words"), chars.alias("__chars")))
+    common = word_counts(measured).join(sums, F.col("lang").eqNullSafe(F.col("ref"))).where(F.col("n") >= WORD_SHARE * F.col("__words"))
     listed = F.array_sort(F.collect_list(F.struct((-F.col("n") / F.col("__words")).alias("share"), "key")))
     common = common.groupBy("lang").agg(listed.alias("__common"))
     table = sums.join(common, F.col("lang").eqNullSafe(F.col("ref")), "left").withColumn("__common", F.coalesce("__common", F.array().cast("array<struct<share:double,key:string>>")))
@@ -156,14 +145,15 @@ def references(docs: DataFrame) -> DataFrame:
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
     """The base columns, both distances (null below the minimum lengths and sizes) and ``kept`` of every document."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__raw"), F.col(lang_col).cast("string").alias("lang"), *[c for c in keep if c not in (id_col, text_col, lang_col)])
-    table = references(d.withColumnRenamed("__raw", "text"))
     d = class_counts(base_rules(d.withColumn("text", F.coalesce("__raw", F.lit("")))))
-    d = d.withColumn("__short", short_words(F.col("words"))).withColumn("__length", F.char_length("text")).drop("__raw", "text", "words")
-    d = d.join(table, F.col("lang").eqNullSafe(F.col("ref")), "left")
-    # every short word stands between blanks of its own, so what a replacement takes away counts the word
+    d = d.withColumn("__line", F.lower(F.array_join("words", " "))).withColumn("__length", F.char_length("text")).drop("__raw", "text", "words")
+    # both the references and the distances read what one pass over the texts has written
+    d = cut_lineage(d, "zstd")
+    d = d.join(references(d), F.col("lang").eqNullSafe(F.col("ref")), "left")
+    # every word stands between blanks of its own, so what a replacement takes away counts the word
     # (``let``: worked out once a document, not once a reference word)
     taken = lambda line, w: F.octet_length(line) - F.octet_length(F.replace(line, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))
-    line = F.concat(F.lit(" "), F.array_join("__short", "  "), F.lit(" "))
+    line = F.concat(F.lit(" "), F.replace("__line", F.lit(" "), F.lit("  ")), F.lit(" "))
     number = let(line, lambda x: F.transform("ref_words", lambda w: taken(x, w) / (F.octet_length(w) + 2)))
     d = d.withColumn("__hits", number)
     d = d.withColumn("__counts", F.concat("__hits", F.array(F.col("n_words") - F.aggregate("__hits", F.lit(0.0), lambda a, x: a + x))))
