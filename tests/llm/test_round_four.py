@@ -4,7 +4,9 @@ import math
 import random
 from collections import Counter
 
-from creditloom.llm import quality
+import numpy as np
+
+from creditloom.llm import attention, lm, quality
 
 
 def plain_word_distances(rows):
@@ -35,3 +37,18 @@ def test_common_words_of_any_length_are_in_the_reference(spark):
     plain = plain_word_distances(rows)
     assert all(math.isclose(found[i]["word_distance"], plain[i], abs_tol=1e-9) for i, _ in rows)
     assert all(found[i]["kept"] for i in range(80)) and not found[80]["kept"]  # none of the language's common words, all long
+
+
+def test_every_window_of_the_training_texts_trains_once(spark):
+    r = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(r.choice(["red", "green", "blue", "river"]) for _ in range(r.randrange(1, 90)))) for i in range(200)], "doc_id bigint, text string")
+    found, expected = [], []
+    for x in lm.training_windows(lm.code_slices(docs)).collect():
+        c = lm.Coded.read(x["texts"], x["codes"], x["tokens"])
+        for nth in range(len(lm.RATES)):
+            found += c.training_windows(x["slice"], x["share"], nth, len(lm.RATES)).tolist()
+        for begin, inputs in zip(c.begin[~c.held].tolist(), c.inputs[~c.held].tolist()):
+            text = c.stream[begin : begin + inputs + 1].tolist()
+            places = [np.arange(at - attention.CONTEXT, at + attention.SCORED + 1).tolist() for at in range(0, inputs, attention.SCORED)]
+            expected += [[text[p] if 0 <= p < len(text) else -1 for p in row] for row in places]
+    assert len(expected) > 200 and sorted(found) == sorted(expected)
