@@ -43,6 +43,8 @@ PERCENT = 85
 PERMUTATIONS, BANDS, ROWS = 80, 32, 5
 #: Bytes of sets that a task verifies together.
 BLOCK_BYTES = 16 << 20
+#: Ties that a file of a turn holds, about.
+FILE_TIES = 250_000
 TEXT_SLICE = 2 << 20
 
 _RNG = np.random.default_rng(77003)
@@ -64,7 +66,7 @@ def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray,
     begin, end = np.flatnonzero(inside & (~before | cuts)), np.flatnonzero(before & (~inside | cuts))
     doc = np.searchsorted(start, begin, side="right") - 1
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
-    words = B.mix(B.range_hashes(B.prefix_hashes(B.BYTE_VALUE[data]), begin, end), 1)
+    words = B.mix(B.range_hashes(B.byte_prefix(data), begin, end), 1)
     prefix = B.prefix_hashes(words)
     count = np.diff(first)
     full = np.flatnonzero(first[doc + 1] - np.arange(len(doc)) >= shingle)
@@ -121,15 +123,21 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of (a, b) reaches.
+def _in_few_files(ties: DataFrame, most: int) -> DataFrame:
+    """Some ``most`` ties, in files by their number: a turn writes no file for each shuffle partition."""
+    return ties.coalesce(max(ties.sparkSession.sparkContext.defaultParallelism, -(-most // FILE_TIES)))
+
+
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, root): the smallest node that each node of (a, b), ``most`` rows if known, reaches.
 
     Alternating large and small stars: each turn ties a node's neighbours to
     the smallest of them, first the larger, then the smaller ones. Every turn
     is a written table; the number of turns grows with the logarithm of a
     component's size.
     """
-    star = cut_lineage(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    most = edges.count() if most is None else most
+    star = cut_lineage(_in_few_files(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), most))
     known = None
     while True:
         both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -137,12 +145,12 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("x"), "m").unionByName(least.select(F.col("a").alias("x"), "m"))
-        star = cut_lineage(small.where(F.col("x") != F.col("m")).select(F.col("x").alias("a"), F.col("m").alias("b")).distinct())
+        star = cut_lineage(_in_few_files(small.where(F.col("x") != F.col("m")).select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), most))
         said = star.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
         # done when every node has one tie and nothing changed
         if said == known:
             return star.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        known = said
+        known, most = said, 2 * said[0]  # a turn gives a tie for each of its ties and nodes at most
 
 
 def linked_groups(h: np.ndarray, edges: np.ndarray, percent: int) -> np.ndarray:
@@ -229,12 +237,12 @@ def _verified(spark: SparkSession, own: DataFrame, classes: DataFrame, percent:
     keys = classes.select("rep", F.explode("bands").alias("key"))
     leaders = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader <> last")
     ties = keys.join(leaders.select("key", "leader"), "key").where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
-    groups = components(ties)
+    groups = components(ties, BANDS * classes.count())
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     members = groups.join(classes.select(F.col("rep").alias("node"), "n"), "node")
     sized = members.groupBy("root").agg(F.ceil(F.sum(F.col("n") * 8) / BLOCK_BYTES).cast("bigint").alias("parts"))
     placed = cut_lineage(members.join(sized, "root").select(F.col("root").alias("grp"), "parts", F.col("node").alias("rep"), "n"))
-    total = placed.agg(F.sum(F.col("n") * 8)).first()[0] or 0
+    total, held = placed.agg(F.coalesce(F.sum(F.col("n") * 8), F.lit(0)), F.coalesce(F.sum("parts"), F.lit(0))).first()
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_BYTES))
     texts = own.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("rep"), "text")
     sets = _sets_of(texts.join(placed.select("rep", "grp", "parts"), "rep").dropDuplicates(["rep"]))
@@ -244,4 +252,4 @@ def _verified(spark: SparkSession, own: DataFrame, classes: DataFrame, percent:
     dealt = sets.withColumn("slot", F.explode(F.when(n > 1, pairs).otherwise(F.array(F.lit(-1).cast("bigint")))))
     dealt = dealt.withColumn("task", F.when(n > 1, F.col("grp")).otherwise(F.pmod(F.xxhash64("grp"), F.lit(tasks))))
     links = dealt.select("task", "slot", "grp", "rep", "hashes").groupBy("task", "slot").applyInArrow(lambda table: _verify(table, percent), "a bigint, b bigint")
-    return components(links)
+    return components(links, held)
