@@ -35,9 +35,6 @@ class Words:
     def __init__(self, docs: B.Docs, window: int):
         data = docs.bytes
         solid = ~_BLANK[data]
-        edge = np.zeros(len(data) + 1, np.int8)
-        edge[:-1] += solid
-        edge[1:] -= solid
         cuts = np.zeros(len(data) + 1, bool)  # a document's first byte starts a word, its end ends one
         cuts[docs.start] = True
         inside = np.zeros(len(data) + 1, bool)
@@ -49,7 +46,7 @@ class Words:
         self.doc = np.searchsorted(docs.start, self.start, side="right") - 1
         # several documents can start at one place if some are empty: the last of them has the word
         self.first = np.searchsorted(self.doc, np.arange(docs.n + 1))
-        hashes = B.range_hashes(B.prefix_hashes(B.BYTE_VALUE[data]), self.start, self.end)
+        hashes = B.range_hashes(B.byte_prefix(data), self.start, self.end)
         n = len(hashes)
         left = self.first[self.doc + 1] - np.arange(n) if n else np.zeros(0, np.int64)
         self.at = np.flatnonzero(left >= window)  # words that start a window
