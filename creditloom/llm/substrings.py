@@ -119,7 +119,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             out["text"] = pa.array([x.decode() for x in kept], pa.string())
         return pa.table(out)
 
-    sketches = own.groupBy("chunk").applyInArrow(sketch, blocks)
+    sketches = own.groupBy("chunk").applyInArrow(B.by_group(sketch), blocks)
     candidates = B.with_answers(own, B.merge_sketches(sketches), repeated, blocks)
     return B.with_answers(own, B.smallest_documents(candidates), left, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", text string" * keep_text)
 

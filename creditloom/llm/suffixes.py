@@ -29,7 +29,6 @@ are not read.
 from __future__ import annotations
 
 import hashlib
-from array import array
 from functools import cmp_to_key
 
 import numpy as np
@@ -82,11 +81,12 @@ class Segments:
         """For each window start, document ends aside, the place of its least gram; in steps that stay in the cache."""
         n, grams, low = len(self.prefix) - 1, window - gram + 1, B.U((1 << PLACE_BITS) - 1)
         anchor = np.empty(n - window + 1, np.int32)
-        _, inverse = B.powers(n + 1)
+        inverse = B.powers(STEP + grams)[1]
         for a in range(0, len(anchor), STEP):
             b = min(a + STEP, len(anchor)) + grams - 1
             least = self.prefix[a + gram : b + gram] - self.prefix[a:b]
-            least *= inverse[a:b]
+            least *= inverse[: b - a]
+            least *= B.inverses(np.array([a]), n)
             least = B.mix(least, 5)
             least &= ~low
             least |= np.arange(a, b, dtype=np.uint64)
@@ -164,8 +164,7 @@ class SuffixSort:
         self.end = np.cumsum(size)
         self.at = self.end - size + self.left
         self.prefix = B.byte_prefix(np.frombuffer(self.data, np.uint8))
-        _, inverse = B.powers(len(self.prefix))
-        self._p, self._i = array("Q", self.prefix.tobytes()), array("Q", inverse.tobytes())
+        self._p, self._i = memoryview(self.prefix), B.inverses(self.at, len(self.prefix)).tolist()
         groups: dict[bytes, list[int]] = {}
         for j, at in enumerate(self.at.tolist()):
             groups.setdefault(self.data[at : at + gram], []).append(j)
@@ -182,12 +181,13 @@ class SuffixSort:
 
     def compare(self, i: int, j: int) -> int:
         """-1, 0 or 1 of the suffixes from the anchors on: binary search for their common extension."""
-        a, b, p, inverse, full = self._at[i], self._at[j], self._p, self._i, (1 << 64) - 1
+        a, b, p, full = self._at[i], self._at[j], self._p, (1 << 64) - 1
+        of_a, of_b = self._i[i], self._i[j]
         ra, rb = self._end[i] - a, self._end[j] - b
         low, high = self._gram, min(ra, rb)
         while low < high:
             half = (low + high + 1) // 2
-            if ((p[a + half] - p[a]) * inverse[a] - (p[b + half] - p[b]) * inverse[b]) & full:
+            if ((p[a + half] - p[a]) * of_a - (p[b + half] - p[b]) * of_b) & full:
                 high = half - 1
             else:
                 low = half
@@ -368,9 +368,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
         out |= {f"keep_{i}": table.column(f"keep_{i}").take(pa.array(d.order)) for i in range(len(keep))}
         return pa.table(out)
 
-    known = B.merge_sketches(own.groupBy("chunk").applyInArrow(sketch, blocks))
+    known = B.merge_sketches(own.groupBy("chunk").applyInArrow(B.by_group(sketch), blocks))
     sent = B.with_answers(own, known, send, blocks)
-    merged = sent.groupBy("shard").applyInArrow(lambda table: _merge(table, window, gram, like), "chunk bigint, shard bigint, block binary")
+    merged = sent.groupBy("shard").applyInArrow(B.by_group(lambda key, table: _merge(table, window, gram, like)), "chunk bigint, shard bigint, block binary")
     answers = known.withColumn("sketch", F.lit(True)).unionByName(merged.withColumn("sketch", F.lit(False)))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * keep_text
     return named_back(B.with_answers(own, answers, left, schema + kept_schema(docs, keep)), keep)

@@ -4,7 +4,7 @@ import tracemalloc
 
 import pyarrow as pa
 
-from creditloom.llm import blocks, neardup
+from creditloom.llm import blocks, common, neardup, suffixes
 from creditloom.llm.substrings import Words
 
 
@@ -58,3 +58,32 @@ def test_turns_of_components_write_few_files(spark, monkeypatch):
             spark.conf.set(k, v)
     assert max(files) <= spark.sparkContext.defaultParallelism
     assert got == {a: (8000 if a > 8000 else (a - 1) // 50 * 50 + 1) for a in {a for a, _ in edges} | {9000} if a != 8000 and (a > 8000 or (a - 1) % 50)}
+
+
+def test_a_chunk_of_suffixes_keeps_no_table_as_long_as_its_text(monkeypatch):
+    monkeypatch.setattr(blocks, "_POWERS", [blocks.np.ones(1, blocks.np.uint64)] * 2)
+    words = [f"{w}{i * 7919 % 9973}" for i, w in enumerate("a river of stones and old green light walks".split() * 20_000)]
+    docs = blocks.Docs(pa.table({"doc_id": pa.array(range(len(words) // 90), pa.int64()), "text": pa.array([" ".join(words[i : i + 90]) for i in range(0, len(words), 90)])}))
+    tracemalloc.start()
+    segments = suffixes.Segments(docs)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(docs.bytes) > 1 << 20 and len(segments.key) and kept < 20 * len(docs.bytes)
+    assert max(map(len, blocks._POWERS)) < len(docs.bytes) / 4
+
+
+def test_suffix_order_is_that_of_the_bytes():
+    texts = [b"xx" + b"abcd" * 6 + t for t in (b"zebra", b"zeb", b"apple", b"applet", b"")]
+    order = suffixes.SuffixSort([(t, 2, i) for i, t in enumerate(texts)], 50, 24).order.tolist()
+    assert order == sorted(range(len(texts)), key=lambda i: texts[i])
+
+
+def test_memory_is_given_back_after_each_task(monkeypatch):
+    calls = []
+    monkeypatch.setattr(blocks, "give_back", lambda: calls.append(1))
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(2))
+    table = pa.table({"text": ["a", "b"]})
+    assert blocks.by_group(lambda key, t: t)((), table) is table
+    assert [b.num_rows for b in common.slices(table.to_batches(), limit=1)] == [1, 1]
+    assert calls == [1, 2]
+    common.give_back()
