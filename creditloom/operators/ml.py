@@ -65,8 +65,8 @@ def train(df: DataFrame) -> tuple[LogitModel, DataFrame]:
     """Fit on the 70 % split; return the model and the held-out rows."""
     keep = [id_column(df), LABEL, *MODEL_NUMERIC, *MODEL_CATEGORICAL]
     # one reliable materialisation: statistics and every pass of the fit read
-    # it instead of recomputing the scoring lineage
-    frame = cut_lineage(stratified_split(model_frame(df)).select(*keep, "split"))
+    # it instead of recomputing the scoring lineage; the split ranks and stores the model's columns alone
+    frame = cut_lineage(stratified_split(model_frame(df).select(*keep)))
     model = logit.fit(frame.where(F.col("split") == "train"), LABEL, MODEL_NUMERIC, MODEL_CATEGORICAL)
     return model, frame.where(F.col("split") == "test")
 

@@ -6,6 +6,7 @@ from hypothesis import example, given, settings, strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from creditloom.operators import ordering
 from creditloom.operators.ordering import exact_medians, global_row_index, rank_within_groups
 
 
@@ -100,3 +101,13 @@ def test_rank_independent_of_slice_count(spark):
     a = {r.id: r.rk for r in rank_within_groups(df, ["g"], order, "rk", partitions=3).collect()}
     b = {r.id: r.rk for r in rank_within_groups(df, ["g"], order, "rk").collect()}
     assert a == b and len(a) == 3000
+
+
+def test_both_middle_ranks_share_a_sketch(spark, monkeypatch):
+    asked = []
+    plain = ordering.F.percentile_approx
+    monkeypatch.setattr(ordering.F, "percentile_approx", lambda v, shares, accuracy: asked.append(len(shares)) or plain(v, shares, accuracy))
+    df = spark.range(200).select((F.col("id") * 7 % 200).cast("double").alias("a"), (F.col("id") % 5 - 0.0).alias("b"), F.when(F.col("id") < 101, F.col("id") / 3).alias("c"))
+    got = exact_medians(df, ["a", "b", "c"], bracket_rows=4).first()
+    assert (got.a, got.b, got.c) == (99.5, 2.0, statistics.median(i / 3 for i in range(101)))
+    assert asked[:3] == [4, 4, 2]  # the first round: one sketch a column

@@ -90,3 +90,17 @@ def test_model_save_and_reload(spark, tmp_path):
     a = ml.score_regular(scored, model).select("AccountNo", "PredDefaultProbability")
     b = ml.score_regular(scored, again).select("AccountNo", "PredDefaultProbability")
     assert a.exceptAll(b).count() == 0 and a.count() > 0
+
+
+def test_the_split_stores_the_columns_of_the_model_alone(spark, monkeypatch):
+    from creditloom.operators import ml, ordering
+    from creditloom.plans import catalog as C
+
+    stored = []
+    keep = ordering.cut_lineage
+    monkeypatch.setattr(ordering, "cut_lineage", lambda df: stored.append(set(df.columns)) or keep(df))
+    book = C.scored(spark, SF)
+    _, test = ml.train(book)
+    own = {"AccountNo", ml.LABEL, *ml.MODEL_NUMERIC, *ml.MODEL_CATEGORICAL}
+    assert own <= set(book.columns) and len(own) < len(book.columns)
+    assert {c for c in stored[0] if not c.startswith("_")} == own and set(test.columns) == own | {"split"}
