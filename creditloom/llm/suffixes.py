@@ -9,12 +9,16 @@ grams of two documents or more matter; merged partial count-min sketches tell
 which these may be. For these a chunk sends the *segment* around the anchor:
 the bytes of all windows that share it, at most 76, each distinct segment once
 with its smallest document. A shard holds all segments of a gram and sorts
-them as suffixes from the anchor on, by merge sort; two suffixes are compared
-by binary search for their common extension on prefix polynomial hashes, and
-the first byte behind it. Neighbours' common extensions then delimit runs of
-suffixes that agree on the right part of a window, and the hash of its left
-part splits a run into equal windows, of which the smallest document counts.
-Every window found so is compared byte by byte with the one it equals.
+them as suffixes from the anchor on, by merge sort over their bytes in words of
+eight. Neighbours' common extensions, found by binary search on prefix
+polynomial hashes, then delimit runs of suffixes that agree on the right part
+of a window, and the hash of its left part splits a run into equal windows, of
+which the smallest document counts. Every window found so is compared byte by
+byte with the one it equals.
+
+Of a large input several chunks, worked on one after the other, send a shard
+one block (``blocks.chunked``): blocks of one chunk each would be as many as
+the square of the input.
 
 A gram with very many different surroundings (the sketch counts it as hot)
 would make one large group: its windows are sent one by one instead, dealt by
@@ -29,7 +33,7 @@ are not read.
 from __future__ import annotations
 
 import hashlib
-from functools import cmp_to_key
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +47,9 @@ from creditloom.llm.substrings import distinct_keys
 WINDOW, GRAM = 50, 24
 #: Bits for a place in a chunk; the others of an anchor's 64 are its hash.
 PLACE_BITS = 30
-SEGMENTS = 1 << 17
-#: Window starts worked on at once.
+#: Segments sorted at once; a shard has so many times that many anchors, at most that are sent.
+SEGMENTS, SHARD_SEGMENTS = 1 << 18, 2
+#: Window starts, or strings to compare, worked on at once.
 STEP = 1 << 15
 _EMPTY = {"shard": pa.int64(), "chunk": pa.int64(), "block": pa.binary()}
 
@@ -87,8 +92,7 @@ class Segments:
             least = self.prefix[a + gram : b + gram] - self.prefix[a:b]
             least *= inverse[: b - a]
             least *= B.inverses(np.array([a]), n)
-            least = B.mix(least, 5)
-            least &= ~low
+            least &= ~low  # the high bits of a polynomial hash need no scramble to be an order
             least |= np.arange(a, b, dtype=np.uint64)
             width = 1
             while 2 * width <= grams:
@@ -117,6 +121,16 @@ def _gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
+def _differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the strings of these sizes at ``a`` and at ``b`` differ."""
+    out = np.zeros(len(a), bool)
+    for i in range(0, len(a), STEP):
+        n = size[i : i + STEP]
+        unlike = _gathered(data, a[i : i + STEP], n) != _gathered(data, b[i : i + STEP], n)
+        out[i + np.searchsorted(np.cumsum(n), np.flatnonzero(unlike), side="right")] = True
+    return out
+
+
 class Sent:
     """What a chunk sends: each distinct segment (or window of a hot gram), by shard and hash.
 
@@ -140,64 +154,80 @@ class Sent:
         self.shard, self.first, self.least, self.flags = shard, first, least, hot[first] + 2 * twice.astype(np.int64)
         self.left = (s.anchor[self.row] - self.start)[first]
 
-    def blocks(self, chunk: int, d: B.Docs, like: bytes) -> pa.Table:
-        edges = np.append(np.flatnonzero(np.diff(self.shard[self.order], prepend=-1)), len(self.order))
-        shards, blocks = [], []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            o = self.order[a:b]
-            table, index = np.unique(self.least[o], return_inverse=True)
-            start, size = self.start[self.first[o]], (self.end - self.start)[self.first[o]]
-            shards.append(int(self.shard[o[0]]))
-            blocks.append(B.pack(_gathered(d.bytes, start, size), size.astype(np.uint8), self.left[o].astype(np.uint8), self.flags[o].astype(np.uint8), index.astype(np.uint16 if len(table) < 1 << 16 else np.uint32), table.astype(np.int64), like=like))
-        return pa.table({"shard": pa.array(shards, pa.int64()), "chunk": pa.array([chunk] * len(shards), pa.int64()), "block": pa.array(blocks, pa.binary())})
+    def rows(self, low: int) -> tuple[np.ndarray, ...]:
+        """Shard, place in the batch (``low``: where the chunk begins), size, anchor, flags, document of what is sent."""
+        o, start = self.order, self.start[self.first]
+        size = (self.end - self.start)[self.first]
+        return self.shard[o].astype(np.int32), (start + low)[o], size[o].astype(np.uint8), self.left[o].astype(np.uint8), self.flags[o].astype(np.uint8), self.least[o]
+
+    def places(self, sent: np.ndarray) -> np.ndarray:
+        """For what is sent, shard and place in all that the batch sends to it, as one number.
+        ``sent``: how many the chunks before sent to each shard; this one adds its own."""
+        shard = self.shard[self.order]
+        n = np.bincount(shard, minlength=len(sent))
+        out = (shard << 32) + np.arange(len(shard)) + (sent - (np.cumsum(n) - n))[shard]
+        sent += n
+        return out
+
+
+def sent_blocks(batch: int, data: np.ndarray, rows: list[tuple[np.ndarray, ...]], like: bytes) -> pa.Table:
+    """One block a shard of what the chunks of a batch send, chunk after chunk."""
+    shard, start, size, left, flags, least = (np.concatenate(x) for x in zip(*rows, strict=True))
+    order = np.argsort(shard, kind="stable")
+    edges = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
+    shards, blocks = [], []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        o = order[a:b]
+        table, index = np.unique(least[o], return_inverse=True)
+        shards.append(int(shard[o[0]]))
+        blocks.append(B.pack(_gathered(data, start[o], size[o].astype(np.int64)), size[o], left[o], flags[o], index.astype(np.uint16 if len(table) < 1 << 16 else np.uint32), table, like=like))
+    return pa.table({"shard": pa.array(shards, pa.int64()), "chunk": pa.array([batch] * len(shards), pa.int64()), "block": pa.array(blocks, pa.binary())})
 
 
 class SuffixSort:
     """Classes of segments (bytes, place of the anchor, smallest document), sorted as suffixes within each gram."""
 
     def __init__(self, classes: list[tuple[bytes, int, int]], window: int, gram: int):
-        self.window = window
-        self.data = b"".join(x for x, _, _ in classes)
-        size = np.asarray([len(x) for x, _, _ in classes], np.int64)
-        self.left = np.asarray([a for _, a, _ in classes], np.int64)
-        self.doc = np.asarray([d for _, _, d in classes], np.int64)
+        text, left, doc = zip(*classes, strict=True) if classes else ((), (), ())
+        self._sort(np.frombuffer(b"".join(text), np.uint8), *(np.asarray(x, np.int64) for x in ([len(x) for x in text], left, doc)), window, gram)
+
+    @classmethod
+    def of(cls, data: np.ndarray, size: np.ndarray, left: np.ndarray, doc: np.ndarray, window: int, gram: int) -> SuffixSort:
+        """Of classes whose bytes lie end to end."""
+        own = cls.__new__(cls)
+        own._sort(data, size, left, doc, window, gram)
+        return own
+
+    def _sort(self, data: np.ndarray, size: np.ndarray, left: np.ndarray, doc: np.ndarray, window: int, gram: int) -> None:
+        self.window, self.data, self.left, self.doc = window, data, left, doc
         self.end = np.cumsum(size)
-        self.at = self.end - size + self.left
-        self.prefix = B.byte_prefix(np.frombuffer(self.data, np.uint8))
-        self._p, self._i = memoryview(self.prefix), B.inverses(self.at, len(self.prefix)).tolist()
-        groups: dict[bytes, list[int]] = {}
-        for j, at in enumerate(self.at.tolist()):
-            groups.setdefault(self.data[at : at + gram], []).append(j)
-        compare, order, first = cmp_to_key(self.compare), [], []
-        at, end = self.at.tolist(), self.end.tolist()
-        self._at, self._end, self._gram = at, end, gram
-        for own in groups.values():
-            first.append(len(order))
-            order += sorted(own, key=compare) if len(own) > 1 else own
-        self.order = np.asarray(order, np.int64)
-        self.first = np.zeros(len(order), bool)
-        self.first[first] = True
-        self.common = self._neighbours()
-
-    def compare(self, i: int, j: int) -> int:
-        """-1, 0 or 1 of the suffixes from the anchors on: binary search for their common extension."""
-        a, b, p, full = self._at[i], self._at[j], self._p, (1 << 64) - 1
-        of_a, of_b = self._i[i], self._i[j]
-        ra, rb = self._end[i] - a, self._end[j] - b
-        low, high = self._gram, min(ra, rb)
-        while low < high:
-            half = (low + high + 1) // 2
-            if ((p[a + half] - p[a]) * of_a - (p[b + half] - p[b]) * of_b) & full:
-                high = half - 1
-            else:
-                low = half
-        if low < min(ra, rb):
-            return -1 if self.data[a + low] < self.data[b + low] else 1
-        return (ra > rb) - (ra < rb)
-
-    def _neighbours(self) -> np.ndarray:
-        """Common extension of each suffix with the one before it; 0 for the first of a gram."""
-        o = self.order
+        self.at = self.end - size + left
+        self.prefix = B.byte_prefix(data)
+        key = B.range_hashes(self.prefix, self.at, self.at + gram)
+        order = np.argsort(key, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = key[order[1:]] != key[order[:-1]]
+        some = np.flatnonzero(~(new & np.append(new[1:], True)))  # a gram of one class needs no order
+        order[some] = order[some][np.lexsort((*self._words(order[some]), np.cumsum(new)[some]))]
+        self.order = order
+        self.common = np.zeros(len(order), np.int64)
+        self.common[some] = self._neighbours(order[some])
+        # a gram's first: the one before shares less than the gram with it, whatever their hashes
+        self.first = new | (self.common < gram)
+        self.common[self.first] = 0
+
+    def _words(self, own: np.ndarray) -> list[np.ndarray]:
+        """Sort keys of the suffixes, as for ``lexsort``: size last of all, after the bytes in words of eight, zeros behind the end."""
+        at, size = self.at[own], (self.end - self.at)[own]
+        eight, words = np.arange(8), []
+        for a in range(0, int(size.max(initial=0)), 8):
+            word = self.data[np.minimum(at[:, None] + (a + eight), len(self.data) - 1)]
+            word[a + eight >= size[:, None]] = 0
+            words.append(word.view(">u8").astype(np.uint64)[:, 0])
+        return [size, *words[::-1]]
+
+    def _neighbours(self, o: np.ndarray) -> np.ndarray:
+        """Common extension of each of these suffixes with the one before it."""
         at, size = self.at[o], self.end[o] - self.at[o]
         low = np.zeros(len(o), np.int64)
         if len(o) > 1:
@@ -209,7 +239,6 @@ class SuffixSort:
                 same = B.range_hashes(self.prefix, a, a + half) == B.range_hashes(self.prefix, b, b + half)
                 lo, high = np.where(same, half, lo), np.where(same, high, half - 1)
             low[1:] = lo
-        low[self.first] = 0
         return low
 
     def smallest(self) -> tuple[np.ndarray, np.ndarray]:
@@ -235,71 +264,132 @@ class SuffixSort:
             new[1:] = (run[1:] != run[:-1]) | (before[1:] != before[:-1])
             head = own[np.flatnonzero(new)][np.cumsum(new) - 1]
             least = self.doc[head]
-            for j in np.flatnonzero(least < self.doc[own]):  # equal hashes: are the bytes?
-                a, b = self._at[own[j]] - s, self._at[head[j]] - s
-                if self.data[a : a + self.window] != self.data[b : b + self.window]:
-                    least[j] = self._by_bytes(own[j], own[run == run[j]], s)
+            found = np.flatnonzero(least < self.doc[own])  # equal hashes: are the bytes?
+            for j in found[_differ(self.data, self.at[own[found]] - s, self.at[head[found]] - s, np.full(len(found), self.window))]:
+                least[j] = self._by_bytes(own[j], own[run == run[j]], s)
             out[begin[own] + self.left[own] - s] = least
         return begin, out
 
     def _by_bytes(self, i: int, among: np.ndarray, s: int) -> int:
-        own = self.data[self._at[i] - s :][: self.window]
-        return min(int(self.doc[j]) for j in among if self.data[self._at[j] - s :][: self.window] == own)
+        own = self.data[self.at[i] - s :][: self.window]
+        return min(int(self.doc[j]) for j in among if np.array_equal(self.data[self.at[j] - s :][: self.window], own))
+
+
+class Shard:
+    """What batches sent to a shard, end to end."""
+
+    def __init__(self, blocks: list[bytes], like: bytes):
+        parts = [B.unpack(b, like) for b in blocks]
+        self.data = np.concatenate([p[0] for p in parts])
+        self.size, self.left, self.flags = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
+        self.doc = np.concatenate([p[5][p[4]] for p in parts])
+        self.edges = np.cumsum([0, *(len(p[1]) for p in parts)])
+        self.start = np.cumsum(self.size, dtype=np.int64) - self.size
+
+    def hashes(self, gram: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each segment's gram, and of the whole with the anchor's place; in steps of some rows."""
+        of_gram, whole = (np.empty(len(self.size), np.uint64) for _ in range(2))
+        for a in range(0, len(self.size), STEP):
+            size, left = self.size[a : a + STEP].astype(np.int64), self.left[a : a + STEP].astype(np.int64)
+            at = self.start[a : a + STEP] - self.start[a]
+            prefix = B.byte_prefix(self.data[self.start[a] : self.start[a] + int(size.sum())])
+            of_gram[a : a + STEP] = B.mix(B.range_hashes(prefix, at + left, at + left + gram), 5)
+            whole[a : a + STEP] = B.mix(B.range_hashes(prefix, at, at + size), 6) + left.astype(np.uint64)
+        return of_gram, whole
+
+    def classes(self, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of some grams at a time, rows and the class of each: equal bytes, anchor at an equal place, confirmed byte by byte."""
+        of_gram, whole = self.hashes(gram)
+        order = np.lexsort((whole, of_gram))
+        other = np.flatnonzero(np.diff(of_gram[order], prepend=~of_gram[order[:1]]) != 0) if len(order) else order
+        edges = [*other[np.unique(np.searchsorted(other, np.arange(0, len(order), SEGMENTS), side="right") - 1)], len(order)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            rows = order[a:b]
+            new = np.ones(len(rows), bool)
+            new[1:] = (of_gram[rows[1:]] != of_gram[rows[:-1]]) | (whole[rows[1:]] != whole[rows[:-1]])
+            cls = np.cumsum(new) - 1
+            more, head = rows[~new], rows[np.flatnonzero(new)][cls[~new]]
+            if ((self.size[more] != self.size[head]) | (self.left[more] != self.left[head])).any() or _differ(self.data, self.start[more], self.start[head], self.size[more].astype(np.int64)).any():
+                yield self._by_bytes(rows)
+            else:
+                yield rows, cls
+
+    def _by_bytes(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Classes by the bytes themselves, where different ones have equal hashes."""
+        known: dict[tuple[bytes, int], int] = {}
+        cls = np.array([known.setdefault((self.data[self.start[i] :][: self.size[i]].tobytes(), int(self.left[i])), len(known)) for i in rows], np.int64)
+        order = np.argsort(cls, kind="stable")
+        return rows[order], cls[order]
+
+    def answers(self, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each row how many documents are told (0: none, else one a window) and where these begin; the documents."""
+        n, begin, told, total = np.zeros(len(self.size), np.int64), np.zeros(len(self.size), np.int64), [np.zeros(0, np.int64)], 0
+        for rows, cls in self.classes(gram):
+            first = np.flatnonzero(np.diff(cls, prepend=-1))
+            head = rows[first]
+            size = self.size[head].astype(np.int64)
+            data = np.concatenate([_gathered(self.data, self.start[head[i : i + STEP]], size[i : i + STEP]) for i in range(0, len(head), STEP)])
+            at, smallest = SuffixSort.of(data, size, self.left[head].astype(np.int64), np.minimum.reduceat(self.doc[rows], first), window, gram).smallest()
+            ends = np.append(at[1:], len(smallest))
+            some = np.flatnonzero((np.minimum.reduceat(smallest, at)[cls] < self.doc[rows]) | (self.flags[rows] >= 2))
+            n[rows[some]], begin[rows[some]] = (ends - at)[cls[some]], total + at[cls[some]]
+            told.append(smallest)
+            total += len(smallest)
+        return n, begin, np.concatenate(told)
 
 
 def _merge(table: pa.Table, window: int, gram: int, like: bytes) -> pa.Table:
-    parts = [B.unpack(b, like) for b in table.column("block").to_pylist()]
-    classes: dict[tuple[bytes, int], int] = {}
-    docs: list[int] = []
-    members: list[np.ndarray] = []
-    for data, size, left, _, index, known in parts:
-        text, end = data.tobytes(), np.cumsum(size.astype(np.int64)).tolist()
-        own, start = np.empty(len(end), np.int64), 0
-        for k, (e, a, d) in enumerate(zip(end, left.tolist(), known[index].tolist(), strict=True)):
-            key = (text[start:e], a)
-            j = classes.setdefault(key, len(docs))
-            if j == len(docs):
-                docs.append(d)
-            elif d < docs[j]:
-                docs[j] = d
-            own[k], start = j, e
-        members.append(own)
-    begin, smallest = SuffixSort([(x, a, docs[j]) for (x, a), j in classes.items()], window, gram).smallest()
-    ends = np.append(begin[1:], len(smallest))
-    least = np.minimum.reduceat(smallest, begin) if len(begin) else smallest
+    shard = Shard(table.column("block").to_pylist(), like)
+    size, begin, smallest = shard.answers(window, gram)
     chunks, shards, answers = [], [], []
-    for chunk, shard, (_, _, _, flags, index, known), own in zip(table.column("chunk").to_pylist(), table.column("shard").to_pylist(), parts, members, strict=True):
-        told = np.flatnonzero((least[own] < known[index]) | (flags >= 2))
+    for chunk, of_shard, a, b in zip(table.column("chunk").to_pylist(), table.column("shard").to_pylist(), shard.edges[:-1], shard.edges[1:], strict=True):
+        told = np.flatnonzero(size[a:b])
         if len(told):
-            n = ends[own[told]] - begin[own[told]]
-            of, place = np.unique(_gathered(smallest, begin[own[told]], n), return_inverse=True)
+            n = size[a:b][told]
+            of, place = np.unique(_gathered(smallest, begin[a:b][told], n), return_inverse=True)
             chunks.append(chunk)
-            shards.append(shard)
+            shards.append(of_shard)
             answers.append(B.pack(told.astype(np.uint32), n.astype(np.uint8), place.astype(np.uint16 if len(of) < 1 << 16 else np.uint32), of.astype(np.int64)))
     return pa.table({"chunk": pa.array(chunks, pa.int64()), "shard": pa.array(shards, pa.int64()), "block": pa.array(answers, pa.binary())})
 
 
-def _removed(d: B.Docs, s: Segments, sent: Sent, answers: pa.Table) -> np.ndarray:
+class Told:
+    """What a batch is told by all shards, in order of shard and place in what it sent there."""
+
+    def __init__(self, answers: pa.Table):
+        key, size, place, known, total = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        for shard, block in sorted(zip(answers.column("shard").to_pylist(), answers.column("block").to_pylist(), strict=True)):
+            told, n, at, of = B.unpack(block)
+            key.append((shard << 32) + told.astype(np.int64))
+            size.append(n.astype(np.int64))
+            place.append(at.astype(np.uint32) + np.uint32(total))
+            known.append(of)
+            total += len(of)
+        self.key, size = np.concatenate(key), np.concatenate(size)
+        self.begin = np.cumsum(size) - size
+        self.place, self.known = np.concatenate(place), np.concatenate(known)
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of these places are told of, and where their documents begin in ``place``."""
+        if not len(self.key):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.key, places), len(self.key) - 1)
+        some = np.flatnonzero(self.key[at] == places)
+        return some, self.begin[at[some]]
+
+
+def _removed(d: B.Docs, s: Segments, sent: Sent, places: np.ndarray, told: Told) -> np.ndarray:
     """For each window start of the chunk's bytes, whether the window is in a smaller document."""
     gone = np.zeros(len(d.bytes) + 1, bool)
-    if not len(sent.row):
-        return gone
     # where the answer to each distinct segment begins among all answered documents, or -1
     begin = np.full(len(sent.first), -1, np.int64)
-    known, total = [np.zeros(0, np.int64)], 0
-    shard = sent.shard[sent.order]
-    for at, block in zip(answers.column("shard").to_pylist(), answers.column("block").to_pylist(), strict=True):
-        told, n, place, of = B.unpack(block)
-        n = n.astype(np.int64)
-        begin[sent.order[np.searchsorted(shard, at) + told.astype(np.int64)]] = total + np.cumsum(n) - n
-        known.append(of[place])
-        total += int(n.sum())
-    docs = np.concatenate(known)
+    some, at = told.of(places)
+    begin[sent.order[some]] = at
     row = np.flatnonzero(begin[sent.which] >= 0)
     size = (sent.end - sent.start)[row] - s.window + 1
     step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     starts = np.repeat(sent.start[row], size) + step
-    least = docs[np.repeat(begin[sent.which[row]], size) + step]
+    least = told.known[told.place[np.repeat(begin[sent.which[row]], size) + step]]
     gone[starts[least < np.repeat(d.ids[s.doc[sent.row[row]]], size)]] = True
     return gone
 
@@ -317,37 +407,48 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     ``text`` is what is left, read as UTF-8; of a character that was cut the
     other bytes go, too (the digest is of the bytes themselves).
     """
-    own, total = B.chunked(doc_columns(docs, id_col, text_col, keep))
+    own, total = B.chunked(doc_columns(docs, id_col, text_col, keep), batched=True)
     anchors = max(1, 2 * total // (window - gram + 2))
     cells, _ = B.cell_space(anchors)
-    shards = max(1, -(-anchors // (2 * SEGMENTS)))
+    shards = max(1, -(-anchors // (SHARD_SEGMENTS * SEGMENTS)))
     blocks = "shard bigint, chunk bigint, block binary"
     like = B.sample_text(doc_columns(docs, id_col, text_col))
 
     def sketch(key: tuple, table: pa.Table) -> pa.Table:
+        keys, twice = [], []
         d = B.Docs(table)
-        s = Segments(d, window, gram)
-        keys, _, _, twice, _ = distinct_keys(s.key, np.zeros(len(s.key), np.uint32), d.ids[s.doc])
-        return pa.Table.from_batches([B.sketch_blocks(key[0].as_py(), keys, twice, cells)])
-
-    def estimates(s: Segments, answers: pa.Table) -> np.ndarray:
-        keys, where = np.unique(s.key, return_inverse=True)
-        return B.estimated(keys, answers, cells)[where] if len(keys) else np.zeros(0, np.uint8)
+        for _, own in d.parts():
+            s = Segments(own, window, gram)
+            distinct, _, _, two, _ = distinct_keys(s.key, np.zeros(len(s.key), np.uint32), own.ids[s.doc])
+            keys.append(distinct)
+            twice.append(two)
+        return pa.Table.from_batches([B.sketch_blocks(key[0].as_py(), np.concatenate(keys), np.concatenate(twice), cells, 2 * len(keys))])
 
     def send(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({k: pa.array([], t) for k, t in _EMPTY.items()})
-        d = B.Docs(table)
-        s = Segments(d, window, gram)
-        return Sent(d, s, estimates(s, answers), shards).blocks(key[0].as_py(), d, like)
+        d, full, rows = B.Docs(table), B.Full(answers, cells), []
+        for low, own in d.parts():
+            s = Segments(own, window, gram)
+            rows.append(Sent(own, s, full.estimated(s.key), shards).rows(low))
+        return sent_blocks(key[0].as_py(), d.bytes, rows, like)
 
     def left(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         d = B.Docs(table)
-        s = Segments(d, window, gram)
         of_sketch = answers.column("sketch").to_numpy(zero_copy_only=False).astype(bool)
-        sketches, exact = answers.filter(pa.array(of_sketch)), answers.filter(pa.array(~of_sketch))
-        gone = np.flatnonzero(_removed(d, s, Sent(d, s, estimates(s, sketches), shards), exact))
-        del s, answers, sketches, exact
+        full, told = B.Full(answers.filter(pa.array(of_sketch)), cells), Told(answers.filter(pa.array(~of_sketch)))
+        sent = np.zeros(shards, np.int64)
+        out = [without(own, full, told, sent) for _, own in d.parts()]
+        columns = {"doc_id": d.id_column(), "n_bytes": pa.array(np.diff(d.start), pa.int64())}
+        columns |= {k: pa.chunked_array([x[k] for x in out]) for k in out[0]}
+        return pa.table(columns | {f"keep_{i}": table.column(f"keep_{i}").take(pa.array(d.order)) for i in range(len(keep))})
+
+    def without(d: B.Docs, full: B.Full, told: Told, before: np.ndarray) -> dict[str, pa.Array]:
+        """What is left of the documents of a chunk."""
+        s = Segments(d, window, gram)
+        sent = Sent(d, s, full.estimated(s.key), shards)
+        gone = np.flatnonzero(_removed(d, s, sent, sent.places(before), told))
+        del s, sent
         cover = np.zeros(len(d.bytes) + 1, np.int32)
         cover[gone] += 1
         cover[gone + window] -= 1
@@ -362,13 +463,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
         spans = _running(opens)
         n_spans = spans[d.start[1:]] - spans[d.start[:-1]]
         kept = [(x[~removed[a:b]] if r else x).tobytes() for a, b, r, x in ((a, b, r, d.bytes[a:b]) for a, b, r in zip(d.start[:-1], d.start[1:], n_removed, strict=True))]
-        out = {"doc_id": d.id_column(), "n_bytes": pa.array(np.diff(d.start), pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept])}
+        out = {"n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept])}
         if keep_text:
             out["text"] = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
-        out |= {f"keep_{i}": table.column(f"keep_{i}").take(pa.array(d.order)) for i in range(len(keep))}
-        return pa.table(out)
+        return out
 
-    known = B.merge_sketches(own.groupBy("chunk").applyInArrow(B.by_group(sketch), blocks))
+    known = B.merge_sketches(own.groupBy("chunk").applyInArrow(B.by_group(sketch), blocks), listed=True)
     sent = B.with_answers(own, known, send, blocks)
     merged = sent.groupBy("shard").applyInArrow(B.by_group(lambda key, table: _merge(table, window, gram, like)), "chunk bigint, shard bigint, block binary")
     answers = known.withColumn("sketch", F.lit(True)).unionByName(merged.withColumn("sketch", F.lit(False)))
